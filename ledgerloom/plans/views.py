@@ -8,7 +8,9 @@ DEADLINES = """deadlines0 AS (
          CASE WHEN event_id % 10 = 0 THEN date_trunc('day', ts)::TIMESTAMP ELSE date_trunc('minute', ts) END AS starts_at
   FROM events),
 deadlines AS (
-  SELECT id, course, event_type || ' ' || (k % 20) AS title, starts_at,
+  SELECT id, course, CASE event_type WHEN 'purchase' THEN 'Exam' WHEN 'signup' THEN 'Project'
+           WHEN 'click' THEN CASE WHEN k % 3 = 0 THEN 'Reading' ELSE 'Quiz' END WHEN 'view' THEN 'Class' ELSE 'Signup' END
+         || ' ' || (k % 20) || CASE WHEN k % 7 = 0 THEN ', est 1h 10m' WHEN k % 11 = 0 THEN ' (25m)' ELSE '' END AS title, starts_at,
          CASE WHEN id % 3 = 0 THEN starts_at + to_hours(k % 50) END AS ends_at, all_day,
          CASE event_type WHEN 'purchase' THEN 'exam' WHEN 'signup' THEN 'project' WHEN 'click' THEN 'quiz'
               WHEN 'view' THEN 'recurring' ELSE 'admin' END AS kind,

@@ -41,7 +41,9 @@ def deadlines(events: DataFrame) -> DataFrame:
     return base.selectExpr(
         "id",
         "course",
-        "concat(event_type, ' ', k % 20) AS title",
+        "concat(CASE event_type WHEN 'purchase' THEN 'Exam' WHEN 'signup' THEN 'Project'"
+        " WHEN 'click' THEN if(k % 3 = 0, 'Reading', 'Quiz') WHEN 'view' THEN 'Class' ELSE 'Signup' END, ' ', k % 20,"
+        " CASE WHEN k % 7 = 0 THEN ', est 1h 10m' WHEN k % 11 = 0 THEN ' (25m)' ELSE '' END) AS title",
         "starts_at",
         "if(id % 3 = 0, starts_at + make_dt_interval(0, k % 50), null) AS ends_at",
         "all_day",
