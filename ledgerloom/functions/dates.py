@@ -22,11 +22,25 @@ def term_end(day: str) -> str:
 
 
 def utc_to_local(raw: str, zone: str = "America/New_York") -> str:
-    """ISO text, UTC unless it names an offset, as a zone-less local time; null when unreadable.
-
-    A bare date counts as midnight UTC.
-    """
-    utc = f"convert_timezone(current_timezone(), 'UTC', cast(try_to_timestamp({raw}) AS timestamp_ntz))"
-    naive = f"try_cast({raw} AS timestamp_ntz)"
-    has_zone = f"rlike({raw}, '(Z|[+-][0-9]{{2}}:?[0-9]{{2}})$')"
-    return f"convert_timezone('UTC', '{zone}', if({has_zone}, {utc}, {naive}))"
+    """ISO text, UTC unless it names an offset, as a zone-less local time; null when unreadable."""
+    suffix = "(Z|[+-][0-9]{2}:?[0-9]{2})$"
+    naive = f"try_cast(regexp_replace({raw}, '{suffix}', '') AS timestamp_ntz)"
+    offset = "([+-])([0-9]{2}):?([0-9]{2})$"
+    part = lambda n: f"cast(regexp_extract({raw}, 'T.*{offset}', {n}) AS int)"
+    minutes = (
+        f"CASE WHEN rlike({raw}, 'T.*{offset}') THEN"
+        f" if(regexp_extract({raw}, 'T.*{offset}', 1) = '-', -1, 1) * ({part(2)} * 60 + {part(3)}) ELSE 0 END"
+    )
+    return f"convert_timezone('UTC', '{zone}', {naive} - make_dt_interval(0, 0, {minutes}))"
+
+
+def clock(ts: str) -> str:
+    return f"date_format({ts}, 'HH:mm')"
+
+
+def iso_text(ts: str) -> str:
+    """ISO-8601 text; microseconds only when there are any."""
+    return (
+        f"if(date_format({ts}, 'SSSSSS') = '000000', date_format({ts}, \"yyyy-MM-dd'T'HH:mm:ss\"),"
+        f" date_format({ts}, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS\"))"
+    )

@@ -118,3 +118,24 @@ def probes(embeddings: DataFrame) -> DataFrame:
 def messages(conversations: DataFrame) -> DataFrame:
     """conversations -> chat messages in turn order."""
     return conversations.selectExpr("conv_id AS conversation_id", "turn", "role", "text AS content")
+
+
+# Day specs and clock strings of the ``venues`` view.
+DAY_SPECS = ["Tue-Fri", "Mon, Wed, Fri", "daily", "Fri-Sun", "Sun-Thu", "unknown", "Mon, Thu (call ahead)",
+             "Sat & Sun", "Wednesday and Thursday", "Mon-Tue, Thu"]
+CLOCKS = ["16:00", "4pm", "5:30 PM", "", "late", "11am", "17:15"]
+
+
+def pick(values, key: str) -> str:
+    return f"element_at(array({sql_list(values)}), cast({key} % {len(values)} AS int) + 1)"
+
+
+def venues(supplier: DataFrame) -> DataFrame:
+    """supplier -> venues with free-text days and clock times."""
+    return supplier.selectExpr(
+        "s_suppkey AS id",
+        "s_name AS name",
+        f"{pick(DAY_SPECS, 's_suppkey')} AS days_spec",
+        f"{pick(CLOCKS, 's_suppkey')} AS start_text",
+        f"{pick(CLOCKS, '(s_suppkey + 2 + s_nationkey)')} AS end_text",
+    )
