@@ -139,3 +139,38 @@ def venues(supplier: DataFrame) -> DataFrame:
         f"{pick(CLOCKS, 's_suppkey')} AS start_text",
         f"{pick(CLOCKS, '(s_suppkey + 2 + s_nationkey)')} AS end_text",
     )
+
+
+# Wording of gradebook items and of the calendar rows that may name them.
+ITEM_NAMES = ["Chapter Quiz", "Midterm Exam", "Research Paper", "Lab Report", "Excel Project"]
+EVENT_NAMES = ["Ch Quiz", "Midterm Exam (in class)", "Paper due", "Lab Report draft", "Proyecto de Excel", "Chapter Quiz at 10:30 am"]
+
+
+def books(lineitem: DataFrame) -> DataFrame:
+    """lineitem -> one small gradebook per order; two thirds of the books carry weights that add up to 100."""
+    live = lineitem.groupBy("l_orderkey").agg(
+        F.expr("count_if(NOT (l_linenumber = 7 OR (l_returnflag = 'R' AND l_linenumber = 1))) AS live")
+    )
+    return lineitem.join(live, "l_orderkey").selectExpr(
+        "concat('BK', l_orderkey) AS course",
+        f"concat({pick(ITEM_NAMES, 'l_partkey')}, ' ', l_linenumber) AS name",
+        "cast(l_quantity AS decimal(12,2)) AS max_points",
+        "cast(l_quantity AS decimal(12,2)) AS out_of",
+        "cast(round(l_quantity * (1 - l_discount), 2) AS decimal(12,2)) AS score",
+        "l_linestatus = 'F' AS graded",
+        "l_returnflag = 'R' AND l_linenumber = 1 AS bonus",
+        "l_linenumber = 7 AS excluded",
+        "cast(if(l_orderkey % 3 = 0, l_tax * 100, round(100D / greatest(live, 1), 2)) AS decimal(12,2)) AS weight",
+        "cast(round(l_quantity * (1 - l_discount), 2) AS decimal(12,2)) AS weighted_num",
+        "cast(l_quantity AS decimal(12,2)) AS weighted_den",
+    )
+
+
+def book_events(lineitem: DataFrame) -> DataFrame:
+    """lineitem -> one calendar row per line, worded independently of the gradebook."""
+    return lineitem.selectExpr(
+        "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id",
+        "concat('BK', l_orderkey) AS course",
+        f"concat({pick(EVENT_NAMES, '(l_partkey + l_suppkey % 2)')}, ' ', l_linenumber) AS title",
+        "cast(l_shipdate AS date) AS date",
+    )
