@@ -316,7 +316,7 @@ def question_intent(t):
 
 
 # Entities that occur in the pages; the Spark side knows all of them.
-UNESCAPED = "replace(replace(replace(replace(replace(replace({0}, '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')"
+UNESCAPED = "replace(replace(replace(replace(replace(replace(replace(replace({0}, '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
 NO_BLOCKS = "html"
 for _tag in ("script", "style", "nav", "header", "footer"):
     NO_BLOCKS = f"regexp_replace({NO_BLOCKS}, '(?is)<{_tag}[^>]*>.*?</{_tag}>', ' ', 'g')"
