@@ -6,7 +6,7 @@ from ledgerloom.functions import text as X
 from ledgerloom.operators import chunking as K
 from ledgerloom.operators import corpus as C
 from ledgerloom.plans.registry import query
-from ledgerloom.plans.text_plans import SENTENCES
+from ledgerloom.plans.text_plans import SENTENCES, WS
 from ledgerloom.plans.views import CORPUS, with_
 from ledgerloom.sources.files import decode_text, file_manifest
 from ledgerloom.sources.tables import corpus_files
@@ -225,7 +225,7 @@ def document_chunks(t, target=K.TARGET_TOKENS):
 
 # Greedy packing replayed step by step: words of oversize sentences first, then sentences.
 PACKING = f"""RECURSIVE {SENTENCES},
-big AS (SELECT doc_id, pos, string_split(sentence, ' ') AS w FROM sentence_rows WHERE length(sentence) // 4 > 800),
+big AS (SELECT doc_id, pos, regexp_split_to_array(sentence, '{WS}+') AS w FROM sentence_rows WHERE length(sentence) // 4 > 800),
 words AS (SELECT doc_id, pos, s.i AS i, s.x AS word, sum(length(s.x) + 1) OVER (PARTITION BY doc_id, pos ORDER BY s.i) AS upto FROM (
   SELECT doc_id, pos, unnest(list_transform(w, lambda x, i: {{'x': x, 'i': i}})) AS s FROM big)),
 wcut AS (SELECT doc_id, pos, 0 AS piece, 0::BIGINT AS a, 0::HUGEINT AS base, (SELECT coalesce(max(i) FILTER (greatest(1, (upto - 1) // 4) <= 800), 1) FROM words v WHERE v.doc_id = b.doc_id AND v.pos = b.pos) AS b FROM big b
@@ -251,11 +251,10 @@ steps AS (SELECT doc_id, 0 AS part, 0::BIGINT AS s, (SELECT max(u) FROM units v
     "pack_chunks",
     "WITH " + PACKING + """ SELECT s.doc_id, s.part, CASE WHEN max(s.part) OVER (PARTITION BY s.doc_id) = 0 THEN 'full text' ELSE 'part ' || (s.part + 1) END AS locator,
   c.content_hash, c.tokens FROM steps s JOIN (SELECT s.doc_id, s.part, substr(sha256(string_agg(unit, chr(10) ORDER BY u)), 1, 16) AS content_hash,
-  sum(cost)::BIGINT AS tokens FROM steps s JOIN units v ON v.doc_id = s.doc_id AND v.u > s.s AND v.u <= s.e GROUP BY ALL) c ON c.doc_id = s.doc_id AND c.part = s.part""",
+  greatest(1, length(string_agg(unit, chr(10) ORDER BY u)) // 4) AS tokens FROM steps s JOIN units v ON v.doc_id = s.doc_id AND v.u > s.s AND v.u <= s.e GROUP BY ALL) c ON c.doc_id = s.doc_id AND c.part = s.part""",
 )
 def pack_chunks(t):
-    tokens = f"cast(aggregate(split(text, '\\n'), 0, (s, x) -> s + {X.token_estimate('x')}) AS bigint) AS tokens"
-    return document_chunks(t).selectExpr("doc_id", "part", "locator", "content_hash", tokens)
+    return document_chunks(t).selectExpr("doc_id", "part", "locator", "content_hash", f"{X.token_estimate('text')} AS tokens")
 
 
 @query(
