@@ -88,10 +88,11 @@ def prompt_history(messages: DataFrame) -> DataFrame:
 def soft_floor(hits: DataFrame, floor: float, soft: float) -> DataFrame:
     """Hits at the hard floor; where a question has none at all, its hits at the soft floor, flagged.
 
-    ``hits`` are scored once at the soft floor, which holds every hit of the hard floor.
+    ``hits`` are scored once at the soft floor, which holds every hit of the hard floor; they number at most k
+    per question and collection.
     """
-    best = hits.groupBy("question_id").agg(F.max("score").alias("best"))
-    kept = hits.where(F.col("score") >= min(soft, floor)).join(best, "question_id")
+    best = F.max("score").over(Window.partitionBy("question_id"))
+    kept = hits.where(F.col("score") >= min(soft, floor)).withColumn("best", best)
     return kept.where(f"score >= {floor}D OR best < {floor}D").select(
         *hits.columns, F.expr(f"best < {floor}D AS low_confidence")
     )

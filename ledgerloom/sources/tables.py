@@ -174,3 +174,45 @@ def book_events(lineitem: DataFrame) -> DataFrame:
         f"concat({pick(EVENT_NAMES, '(l_partkey + l_suppkey % 2)')}, ' ', l_linenumber) AS title",
         "cast(l_shipdate AS date) AS date",
     )
+
+
+# Wording of stored and pulled work.
+WORK_NAMES = ["Chapter Quiz", "Problem Set", "Reading Response", "Lab Report", "Case Study Memo"]
+TODAY = "1998-01-01"
+
+
+def _work(orders: DataFrame) -> DataFrame:
+    return orders.selectExpr(
+        "o_orderkey AS k",
+        "concat('FINC', 300 + (o_orderkey div 10) % 40) AS course",
+        f"CASE WHEN o_orderkey % 17 = 0 THEN concat('VHL Supersite homework ', o_orderkey) WHEN o_orderkey % 10 >= 7"
+        f" THEN concat({pick(WORK_NAMES, '(o_orderkey div 10)')}, ' series ', o_orderkey div 10)"
+        f" ELSE concat({pick(WORK_NAMES, '(o_orderkey div 10)')}, ' ', o_orderkey) END AS title",
+        "cast(o_orderdate AS date) AS date",
+        "cast(8 + o_orderkey % 10 AS int) AS hour",
+    )
+
+
+def stored_work(orders: DataFrame) -> DataFrame:
+    """orders -> calendar rows already held (id, course, title, date, start_time, end_time, all_day, source)."""
+    return _work(orders).selectExpr(
+        "k AS id", "course", "title", "date", "concat(lpad(hour, 2, '0'), ':00') AS start_time",
+        "if(k % 3 = 0, concat(hour + 2, ':30'), '') AS end_time", "false AS all_day",
+        "CASE WHEN k % 5 = 0 THEN 'ics' ELSE 'csv' END AS source",
+    )
+
+
+def pulled_work(orders: DataFrame) -> DataFrame:
+    """orders -> items as a site serves them: some reworded, new, moved, retimed, undated or served twice."""
+    return _work(orders).selectExpr("*", "explode(sequence(0, if(k % 23 = 0, 1, 0))) AS copy").selectExpr(
+        "k * 2 + copy AS pos",
+        "course",
+        "CASE WHEN k % 17 = 0 THEN concat('Supersite: ', 1 + k % 9, ' activities') WHEN k % 11 = 0 THEN concat('Brand new task ', k + 1000000)"
+        " WHEN k % 13 = 0 THEN concat('Updated online version: ', title) ELSE concat(title, ' [synced]') END AS title",
+        "CASE WHEN k % 19 = 0 THEN null WHEN k % 7 = 0 THEN date_add(date, 3) ELSE date END AS date",
+        "concat(lpad(if(k % 4 = 0, hour + 1, hour), 2, '0'), ':00') AS start_time",
+        "if(k % 29 = 0, '21:45', '') AS end_time",
+        "false AS all_day",
+        "if(k % 17 = 0, 'vhl', 'lms') AS site",
+        "if(k % 8 = 0, array(concat(lpad(hour, 2, '0'), ':00'), '23:59'), cast(array() AS array<string>)) AS known_times",
+    )
