@@ -3,7 +3,8 @@
 stored (id, course, title, date, start_time, source), pulled (pos, course, title, date, start_time, site,
 known_times). ``pos`` is the order the sources served items in; it decides which of several items for one slot
 is reported. Items are first reduced to distinct variants, so a title that repeats a billion times is one row
-per date and time, and every "is there a match" is an equi-join against a distinct or aggregated side.
+per date and time, and every "is there a match" is an equi-join against a distinct or aggregated side. Results
+that several later steps read are written to the shared folder once instead of being computed again.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import titles as H
 from ledgerloom.functions.patterns import PLATFORM_WORDS
+from ledgerloom.session import materialize
 
 
 def signed(df: DataFrame) -> DataFrame:
@@ -77,54 +79,62 @@ def reconcile(pulled: DataFrame, stored: DataFrame, today: str) -> DataFrame:
     """
     have = signed(stored)
     dated = signed(pulled.where("date IS NOT NULL"))
-    variants = dated.groupBy("key", "up", "course", "title", "date", "start_time", "end_time", "all_day", "site").agg(
-        F.min("pos").alias("pos"), F.count("*").alias("n"), F.first("words").alias("words"), F.first("nums").alias("nums")
+    # Every known time of a slot once, with who states it; then one row of facts per slot.
+    stated = have.selectExpr(
+        "key", "date", "nullif(start_time, '') AS time", "source = 'csv' AND start_time <> '' AS in_csv", "true AS is_stored", "false AS is_served"
+    ).unionByName(
+        dated.selectExpr(
+            "key", "date", "explode_outer(filter(array_append(known_times, start_time), x -> x <> '')) AS time",
+            "false AS in_csv", "false AS is_stored", "true AS is_served",
+        )
     )
-    served = variants.select("key", "date").distinct()
-    vouched_times = (
-        dated.select("key", "date", F.expr("explode(array_append(known_times, start_time)) AS time"))
-        .where("time <> ''")
-        .distinct()
+    flags = [F.expr(f"bool_or({c}) AS {c}") for c in ("in_csv", "is_stored", "is_served")]
+    facts = stated.groupBy("key", "date", "time").agg(*flags).groupBy("key", "date").agg(
+        F.expr("bool_or(is_stored) AS same_date"),
+        F.expr("bool_or(is_served) AS served"),
+        F.expr("array_sort(collect_set(time) FILTER (WHERE in_csv)) AS old_times"),
+        F.expr("array_sort(collect_set(time) FILTER (WHERE is_served)) AS source_times"),
     )
-    csv_times = have.where("source = 'csv' AND start_time <> ''").select("key", "date", F.col("start_time").alias("time")).distinct()
-    # Slots whose stored times are known, and whether a source still vouches for one of them.
-    slot_times = (
-        csv_times.join(vouched_times.withColumn("ok", F.lit(True)), ["key", "date", "time"], "left")
-        .groupBy("key", "date")
-        .agg(F.expr("array_sort(collect_set(time)) AS old_times"), F.expr("coalesce(bool_or(ok), false) AS vouched"))
+    facts = materialize(facts, "slot-facts")
+    keys = facts.where("same_date").groupBy("key").agg(
+        F.min("date").alias("only"),
+        F.expr("min(date) = max(date) AS single"),
+        F.expr("min_by(served, date) AS only_served"),
+        F.expr("min_by(old_times, date) AS only_times"),
     )
-    keys = have.groupBy("key").agg(F.min("date").alias("only"), F.expr("min(date) = max(date) AS single"))
-    slots = have.select("key", "date").distinct().withColumn("same_date", F.lit(True))
     buckets = platform_slots(stored).withColumn("bucket", F.lit(True))
+    variants = dated.groupBy("key", "up", "course", "title", "date", "start_time", "end_time", "all_day", "site").agg(
+        F.min("pos").alias("pos"), F.count("*").alias("n"), F.first("words").alias("words"), F.first("nums").alias("nums")
+    )
     known = (
-        variants.join(buckets, ["site", "up", "date"], "left")
-        .join(keys, "key", "left")
-        .join(slots, ["key", "date"], "left")
-        .join(slot_times, ["key", "date"], "left")
-        .join(served.select("key", F.col("date").alias("only"), F.lit(True).alias("only_served")), ["key", "only"], "left")
+        variants.join(keys, "key", "left")
+        .join(facts.drop("served"), ["key", "date"], "left")
+        .join(buckets, ["site", "up", "date"], "left")
     )
+    known = materialize(known, "pulled-variants")
     # Other wordings of the same deadline, only for items whose key is unknown.
-    unkeyed = known.where("only IS NULL AND bucket IS NULL").select("key", "course", "title", "date", "up", "nums", "words").distinct()
+    unkeyed = known.where("only IS NULL AND bucket IS NULL").select("course", "title", "date", "up", "nums", "words").distinct()
     by_word = (
-        distinctive(have).where("date IS NOT NULL")
+        distinctive(have.where("date IS NOT NULL"))
         .select("up", "nums", "date", "word", F.expr("if(source = 'csv' AND start_time <> '', start_time, null) AS time"))
         .distinct()
     )
-    met = distinctive(unkeyed).join(by_word, ["up", "nums", "date", "word"]).select("key", "title", "course", "date", "time").distinct()
     cross = (
-        met.join(vouched_times.withColumn("ok", F.lit(True)), ["key", "date", "time"], "left")
+        distinctive(unkeyed).join(by_word, ["up", "nums", "date", "word"])
         .groupBy("course", "title", "date")
-        .agg(F.expr("array_sort(collect_set(time)) AS cross_times"), F.expr("coalesce(bool_or(ok), false) AS cross_vouched"))
+        .agg(F.expr("array_sort(collect_set(time)) AS cross_times"))
     )
-    retimed = "start_time <> '' AND size({t}) > 0 AND NOT {v} AND date >= date'" + today + "'"
+    late = "date < date'" + today + "'"
+    retimed = "start_time <> '' AND size({t}) > 0 AND NOT arrays_overlap({t}, source_times) AND NOT " + late
     judged = known.join(cross, ["course", "title", "date"], "left").selectExpr(
         "*",
         "CASE WHEN bucket THEN 'present'"
-        f" WHEN only IS NULL AND cross_times IS NULL THEN 'new'"
-        f" WHEN only IS NULL THEN if({retimed.format(t='cross_times', v='cross_vouched')}, 'retimed', 'present')"
-        f" WHEN same_date THEN if(single AND coalesce({retimed.format(t='old_times', v='vouched')}, false), 'retimed', 'present')"
-        f" WHEN single AND only_served IS NULL THEN 'moved' ELSE 'new' END AS verdict",
+        " WHEN only IS NULL AND cross_times IS NULL THEN 'new'"
+        f" WHEN only IS NULL THEN if({retimed.format(t='cross_times')}, 'retimed', 'present')"
+        f" WHEN same_date THEN if(single AND {retimed.format(t='old_times')}, 'retimed', 'present')"
+        " WHEN single AND NOT only_served THEN 'moved' ELSE 'new' END AS verdict",
     )
+    judged = materialize(judged, "verdicts")
     # One report per slot: the earliest item. The rest are present (retimes), fall back to new (moves) or vanish (new).
     moved_first = judged.where("verdict = 'moved'").groupBy("key").agg(F.min("pos").alias("moved_pos"))
     staged = judged.join(moved_first, "key", "left").withColumn(
@@ -146,9 +156,9 @@ def reconcile(pulled: DataFrame, stored: DataFrame, today: str) -> DataFrame:
         .selectExpr("'new' AS kind", "key", "i.course", "i.title", "date", "i.start_time", "i.end_time", "i.all_day", "i.site", "i.pos",
                     "cast(null AS date) AS old_date", "cast(array() AS array<string>) AS old_times", "cast(1 AS bigint) AS n")
     )
-    moves = staged.where("is_move").join(
-        slot_times.select("key", F.col("date").alias("only"), F.col("old_times").alias("left_times")), ["key", "only"], "left"
-    ).selectExpr("'moved' AS kind", *cols, "pos", "only AS old_date", "coalesce(left_times, cast(array() AS array<string>)) AS old_times", "cast(1 AS bigint) AS n")
+    moves = staged.where("is_move").selectExpr(
+        "'moved' AS kind", *cols, "pos", "only AS old_date", "only_times AS old_times", "cast(1 AS bigint) AS n"
+    )
     first_retime = judged.where("verdict = 'retimed'").groupBy("key", "date").agg(F.min("pos").alias("first_pos"))
     again = judged.where("verdict = 'retimed'").join(first_retime, ["key", "date"])
     retimes = again.where("pos = first_pos").selectExpr(
@@ -174,6 +184,7 @@ def apply_moves(stored: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFra
     table untouched. ``actions`` says rewritten, ambiguous, left or append per move.
     """
     pad = "if(start_time = '', '', lpad(start_time, 5, '0'))"
+    moves = materialize(moves, "moves")
     rows = signed(stored).withColumn("time", F.expr(pad))
     want = signed(moves.withColumnRenamed("date", "new_date").withColumnRenamed("old_date", "date")).withColumn(
         "time", F.expr("explode(if(size(old_times) = 0, array(cast(null AS string)), old_times))")
@@ -184,7 +195,7 @@ def apply_moves(stored: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFra
     words = distinctive(rows).select("course", "date", "nums", "word", "time", "id")
     loose_want = distinctive(want).select("pos", "course", "date", "nums", "word", "time").join(exact.select("pos"), "pos", "left_anti")
     loose = _loose(loose_want, words)
-    chosen = exact.unionByName(loose)
+    chosen = materialize(exact.unionByName(loose), "move-candidates")
     single = chosen.where("hits = 1").groupBy("id").agg(F.min("pos").alias("pos"))
     taken = moves.join(single, "pos").selectExpr("id", "pos", "date AS m_date", "start_time AS m_start", "end_time AS m_end", "all_day AS m_all_day")
     end = "if(end_time = '', '', lpad(end_time, 5, '0'))"

@@ -32,7 +32,7 @@ def parts(name: str, src: str) -> str:
 
 
 RECON = f"""slots AS (SELECT DISTINCT key, date FROM stored),
-keys AS (SELECT key, count(DISTINCT date) AS n, min(date) AS only FROM stored GROUP BY key),
+keys AS (SELECT key, count(DISTINCT date) AS n, min(date) AS only_date FROM stored GROUP BY key),
 csv_times AS (SELECT DISTINCT key, date, start_time AS t FROM stored WHERE source = 'csv' AND start_time <> ''),
 dated AS (SELECT * FROM pulled WHERE date IS NOT NULL),
 src_times AS (SELECT DISTINCT key, date, unnest(list_append(known_times, start_time)) AS t FROM dated),
@@ -43,19 +43,19 @@ x_hits AS (SELECT p.pos, s.start_time AS t, s.source FROM (SELECT * FROM dated W
   WHERE len(list_filter(list_intersect(s.words, p.words), lambda w: w <> p.dept)) > 0),
 cross_ AS (SELECT h.pos, coalesce(list(DISTINCT t ORDER BY t) FILTER (source = 'csv' AND t <> ''), []) AS ts,
     coalesce(bool_or(source = 'csv' AND EXISTS (SELECT 1 FROM src_times s, dated d WHERE d.pos = h.pos AND s.key = d.key AND s.date = d.date AND s.t = h.t)), false) AS vouched FROM x_hits h GROUP BY h.pos),
-judged AS (SELECT d.*, k.only, CASE WHEN d.site = 'vhl' AND EXISTS (SELECT 1 FROM plat b WHERE b.up = upper(d.course) AND b.date = d.date) THEN 'present'
+judged AS (SELECT d.*, k.only_date, CASE WHEN d.site = 'vhl' AND EXISTS (SELECT 1 FROM plat b WHERE b.up = upper(d.course) AND b.date = d.date) THEN 'present'
     WHEN k.key IS NULL AND c.pos IS NULL THEN 'new'
     WHEN k.key IS NULL THEN CASE WHEN len(c.ts) > 0 AND NOT c.vouched AND d.date >= DATE '{TODAY}' THEN 'retimed' ELSE 'present' END
     WHEN sl.key IS NOT NULL THEN CASE WHEN k.n = 1 AND st.ts IS NOT NULL AND NOT st.vouched AND d.date >= DATE '{TODAY}' THEN 'retimed' ELSE 'present' END
-    WHEN k.n = 1 AND NOT EXISTS (SELECT 1 FROM dated o WHERE o.key = d.key AND o.date = k.only) THEN 'moved' ELSE 'new' END AS verdict,
+    WHEN k.n = 1 AND NOT EXISTS (SELECT 1 FROM dated o WHERE o.key = d.key AND o.date = k.only_date) THEN 'moved' ELSE 'new' END AS verdict,
     coalesce(c.ts, st.ts) AS ts FROM dated d LEFT JOIN keys k ON k.key = d.key LEFT JOIN slots sl ON sl.key = d.key AND sl.date = d.date
   LEFT JOIN slot_times st ON st.key = d.key AND st.date = d.date LEFT JOIN cross_ c ON c.pos = d.pos),
 step1 AS (SELECT *, CASE WHEN verdict = 'moved' AND row_number() OVER (PARTITION BY key, verdict ORDER BY pos) > 1 THEN 'new'
     WHEN verdict = 'retimed' AND row_number() OVER (PARTITION BY key, date, verdict ORDER BY pos) > 1 THEN 'present' ELSE verdict END AS v FROM judged),
 step2 AS (SELECT *, CASE WHEN v = 'new' AND row_number() OVER (PARTITION BY key, date, v ORDER BY pos) > 1 THEN 'dropped' ELSE v END AS v2 FROM step1),
 changes AS (SELECT CASE v2 WHEN 'new' THEN 'new' ELSE 'moved' END AS kind, key, course, title, s.date, start_time, end_time, site, pos,
-    CASE v2 WHEN 'moved' THEN only WHEN 'retimed' THEN s.date END AS old_date,
-    CASE v2 WHEN 'moved' THEN coalesce((SELECT ts FROM slot_times t WHERE t.key = s.key AND t.date = s.only), []) WHEN 'retimed' THEN ts ELSE [] END AS old_times
+    CASE v2 WHEN 'moved' THEN only_date WHEN 'retimed' THEN s.date END AS old_date,
+    CASE v2 WHEN 'moved' THEN coalesce((SELECT ts FROM slot_times t WHERE t.key = s.key AND t.date = s.only_date), []) WHEN 'retimed' THEN ts ELSE [] END AS old_times
   FROM step2 s WHERE v2 IN ('new', 'moved', 'retimed'))"""
 REC = with_(WORK, parts("stored", "stored0"), parts("pulled", "pulled0"), RECON)
 CHANGE_COLS = "kind, key, title, date, start_time, pos, old_date, array_to_string(old_times, ',') AS old_times"
