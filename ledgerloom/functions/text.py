@@ -80,29 +80,32 @@ def unwrap_safelink(url: str) -> str:
     return f"if(contains({url}, 'safelinks.protection.outlook.com'), coalesce({inner}, {url}), {url})"
 
 
-def url_host(url: str) -> str:
-    return f"lower(regexp_extract({url}, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1))"
+def _host(names: str) -> str:
+    """Pattern text: a url whose host holds one of the names."""
+    return f"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?[^/?#:]*({names})"
 
 
+def _dots(names) -> str:
+    return "|".join(n.replace(".", "\\\\.") for n in names)
+
+
+# The link expressions name their argument as seldom as they can: filters on them inline the whole chain.
 def link_kind(url: str) -> str:
-    host = url_host(url)
-    refs = " OR ".join(f"contains({host}, '{h}')" for h in REFERENCE_HOSTS)
+    docs = "map('document', 'google_doc', 'presentation', 'google_slides', 'spreadsheets', 'google_sheet')"
     return (
-        f"CASE WHEN rlike({url}, '{GOOGLE_DOC}') THEN CASE regexp_extract({url}, '{GOOGLE_DOC}', 1)"
-        f" WHEN 'document' THEN 'google_doc' WHEN 'presentation' THEN 'google_slides' ELSE 'google_sheet' END"
-        f" WHEN {host} LIKE '%sharepoint.com' THEN 'sharepoint' WHEN {refs} THEN 'reference' ELSE 'web' END"
+        f"coalesce(try_element_at({docs}, regexp_extract({url}, '{GOOGLE_DOC}', 1)),"
+        f" CASE WHEN rlike({url}, '{_host(_dots(['sharepoint.com']))}(?:[:/?#]|$)') THEN 'sharepoint'"
+        f" WHEN rlike({url}, '{_host(_dots(REFERENCE_HOSTS))}') THEN 'reference' ELSE 'web' END)"
     )
 
 
 def link_session(url: str, kind: str) -> str:
     """Which stored session the link needs; '' for none."""
-    host = url_host(url)
+    fixed = "map('google_doc', 'google', 'google_slides', 'google', 'google_sheet', 'google', 'sharepoint', 'sharepoint', 'reference', '')"
     return (
-        f"CASE WHEN {kind} LIKE 'google%' THEN 'google' WHEN {kind} = 'sharepoint' THEN 'sharepoint'"
-        f" WHEN {kind} = 'reference' THEN ''"
-        f" WHEN {url} LIKE '/d2l/%' OR {url} LIKE '/content/%' OR contains({host}, 'lms.cofc.edu')"
-        f" OR contains({host}, 'brightspace.com') THEN 'oaks'"
-        f" WHEN contains({host}, 'blended-teaching.com') THEN 'blended' ELSE '' END"
+        f"coalesce(try_element_at({fixed}, {kind}),"
+        f" CASE WHEN rlike({url}, '^/(d2l|content)/|{_host(_dots(['lms.cofc.edu', 'brightspace.com']))}') THEN 'oaks'"
+        f" WHEN rlike({url}, '{_host(_dots(['blended-teaching.com']))}') THEN 'blended' ELSE '' END)"
     )
 
 
