@@ -27,7 +27,7 @@ def csv_lines(t):
         " WHEN 2 THEN concat('F1,Quiz,', d, ',09:00,,false,homework') WHEN 3 THEN concat('F1,Quiz,', d, ',,,false,quiz')"
         " WHEN 4 THEN concat('F1,Quiz,', d, ',25:00,,no,exam') WHEN 5 THEN concat('F1,Quiz,', d, ',10:30,9:30,false,exam')"
         " WHEN 6 THEN concat('F', o_custkey % 10, ',Reading day,', d, ',,,TRUE,Admin')"
-        " ELSE concat('F', o_custkey % 10, ', \"Quiz, part ', o_orderkey, '\" ,', d, ',9:05,10:45,0,project') END"
+        " ELSE concat('F', o_custkey % 10, ',\"Quiz, part ', o_orderkey, '\",', d, ',9:05,10:45,0,project') END"
     )
     rows = t.orders.withColumn("d", F.expr("date_format(o_orderdate, 'yyyy-MM-dd')")).selectExpr(
         "concat('f', o_custkey % 10) AS file", "o_orderkey + 2 AS line_no", f"{row} AS line"
@@ -74,7 +74,7 @@ def ics_bodies(t):
         f"CASE event_id % 5 WHEN 0 THEN concat('SUMMARY:All day ', event_id, '\\r\\nDTSTART;VALUE=DATE:', {day}, '\\r\\nDTEND;VALUE=DATE:', date_format(date_add(ts, 2), 'yyyyMMdd'))"
         f" WHEN 1 THEN concat('SUMMARY:Zulu ', event_id, '\\r\\nDTSTART:', {stamp}, 'Z\\r\\nDURATION:PT1H30M')"
         f" WHEN 2 THEN concat('DTSTART;TZID=Europe/Berlin:', {stamp}, '\\r\\nDTEND;TZID=Europe/Berlin:', date_format(ts + INTERVAL '2' HOUR, \"yyyyMMdd'T'HHmmss\"))"
-        f" WHEN 3 THEN concat('SUMMARY:Lost ', event_id) ELSE concat('SUMMARY:Very long na\\r\\n me ', event_id, '\\\\\\\\, folded\\r\\nCATEGORIES:C', user_id, '\\r\\nDTSTART:', {stamp}) END"
+        f" WHEN 3 THEN concat('SUMMARY:Lost ', event_id) ELSE concat('SUMMARY:Very long na\\r\\n me ', event_id, '\\\\, folded\\r\\nCATEGORIES:C', user_id, '\\r\\nDTSTART:', {stamp}) END"
     )
     return t.events.selectExpr(
         "event_id AS feed",
