@@ -102,7 +102,7 @@ c AS (SELECT id, m, d0, d, row_number() OVER (PARTITION BY id ORDER BY d) AS i F
   (m = 0 AND (d - d0) % 3 = 0) OR (m = 1 AND isodow(d) IN (1, 3, 5) AND d <= DATE '2024-03-01') OR (m = 2 AND day(d) = day(d0))
   OR (m = 3 AND isodow(d) = isodow(d0) AND (d - d0) % 14 = 0) OR (m = 4 AND d = d0)),
 o AS (SELECT id, d FROM c WHERE (m <> 0 OR i <= 20) AND (m <> 2 OR i <= 6) AND (m <> 3 OR d <> d0 + 28) AND (m = 4 OR d >= DATE '2024-01-08')
-  UNION SELECT id, DATE '2024-02-14' FROM r WHERE m = 3)"""
+  UNION SELECT id, DATE '2024-02-14' FROM r WHERE m = 3 AND d0 + 28 <> DATE '2024-02-14')"""
 
 
 def rule_events(t):

@@ -43,8 +43,7 @@ def stream_completions(t):
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     changes = J.completion_changes(log)
-    stream = changes.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", shared_dir(spark, "completions-checkpoint"))
-    stream.trigger(availableNow=True).start().awaitTermination()
+    J.run_batches(changes, keep, "completions", mode="update")
     found = spark.read.option("recursiveFileLookup", "true").schema(changes.schema).parquet(out)
     return found.groupBy("up", "key", "date").agg(F.expr("max(struct(line_no, title, done)) AS s")).select("up", "key", "date", "s.title", "s.done")
 

@@ -7,17 +7,16 @@ folder, so a restarted job continues where it stopped.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ledgerloom.session import shared_dir
 
 KEEP_DAYS = 120
+SPREAD = 32
 
 
 def file_stream(spark: SparkSession, folder: str, name: str, schema: StructType, max_files: int | None = None) -> DataFrame:
@@ -45,10 +44,10 @@ def run_available(stream: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def run_batches(stream: DataFrame, body: Callable[[DataFrame, int], None], purpose: str) -> None:
+def run_batches(stream: DataFrame, body: Callable[[DataFrame, int], None], purpose: str, mode: str = "append") -> None:
     """Run ``body(batch, batch_id)`` over the available input; one query runs its batches one after another."""
     query = (
-        stream.writeStream.foreachBatch(body).option("checkpointLocation", shared_dir(stream.sparkSession, f"{purpose}-checkpoint"))
+        stream.writeStream.foreachBatch(body).outputMode(mode).option("checkpointLocation", shared_dir(stream.sparkSession, f"{purpose}-checkpoint"))
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
@@ -77,11 +76,11 @@ def unseen_into(path: str, seen_path: str, keys: list[str], schema: StructType)
 
     def body(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        earlier = [f"{seen_path}/batch={i}" for i in range(batch_id)]
         fresh = batch.dropDuplicates(keys)
-        if earlier:
-            marks = spark.read.schema(StructType([schema[k] for k in keys])).parquet(*earlier)
-            fresh = fresh.join(marks, keys, "left_anti")
+        if batch_id > 0:
+            marked = StructType([*(schema[k] for k in keys), StructField("batch", LongType())])
+            marks = spark.read.schema(marked).parquet(seen_path).where(F.col("batch") < batch_id)
+            fresh = fresh.join(marks.select(*keys), keys, "left_anti")
         fresh.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
         written = spark.read.schema(fresh.schema).parquet(f"{path}/batch={batch_id}")
         written.select(*keys).write.mode("overwrite").parquet(f"{seen_path}/batch={batch_id}")
@@ -92,8 +91,13 @@ def unseen_into(path: str, seen_path: str, keys: list[str], schema: StructType)
 # ------------------------------------------------------------------ stateful operators
 
 def notification_dedup(events: DataFrame, keys: list[str], clock: str = "ts", keep_days: int = KEEP_DAYS) -> DataFrame:
-    """One notification per key within ``keep_days``; older keys leave the state."""
-    return events.withWatermark(clock, f"{keep_days} days").dropDuplicatesWithinWatermark(keys)
+    """One notification per key within ``keep_days``; older keys leave the state.
+
+    Repeats of one key are first thinned in ``SPREAD`` parts by their time, so a key that floods the input does
+    not meet in one task.
+    """
+    parts = events.withColumn("part", F.expr(f"pmod(xxhash64({clock}), {SPREAD})")).withWatermark(clock, f"{keep_days} days")
+    return parts.dropDuplicatesWithinWatermark([*keys, "part"]).drop("part").dropDuplicatesWithinWatermark(keys)
 
 
 def week_load(events: DataFrame, clock: str = "ts", delay: str = "1 day") -> DataFrame:
@@ -118,37 +122,14 @@ def sessions(events: DataFrame, keys: list[str], gap: str, clock: str = "ts", de
     )
 
 
-STATE = StructType([StructField("line_no", LongType()), StructField("title", StringType()), StructField("done", BooleanType())])
-
-
-class LastLineWins(StatefulProcessor):
-    """Keeps the newest line of each slot and emits it whenever a batch changes it."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.newest = handle.getValueState("newest", STATE)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        best = self.newest.get() if self.newest.exists() else None
-        changed = False
-        for frame in rows:
-            row = frame.loc[frame["line_no"].idxmax()]
-            if best is None or row["line_no"] > best[0]:
-                best, changed = (int(row["line_no"]), str(row["title"]), bool(row["done"])), True
-        if changed:
-            self.newest.update(best)
-            yield pd.DataFrame([[*key, *best]], columns=["up", "key", "date", "line_no", "title", "done"])
-
-    def close(self) -> None:
-        pass
-
-
 def completion_changes(log: DataFrame) -> DataFrame:
-    """Stream of new states per (up, key, date). log (up, key, date, line_no, title, done)."""
-    spark = log.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    out = StructType([log.schema["up"], log.schema["key"], log.schema["date"], *STATE.fields])
-    return log.groupBy("up", "key", "date").transformWithStateInPandas(
-        statefulProcessor=LastLineWins(), outputStructType=out, outputMode="update", timeMode="none"
+    """Newest line per (up, key, date), in update mode: each batch emits the slots it changed.
+
+    log (up, key, date, line_no, title, done). A built-in aggregate, so a slot that is ticked over and over is
+    combined before the shuffle and its state stays one row.
+    """
+    return log.groupBy("up", "key", "date").agg(F.expr("max(struct(line_no, title, done)) AS last")).select(
+        "up", "key", "date", "last.line_no", "last.title", "last.done"
     )
 
 
