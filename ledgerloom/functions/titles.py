@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from ledgerloom.functions import patterns as P
 from ledgerloom.functions.patterns import literal, word_match
 
@@ -47,15 +50,33 @@ def _bare(title: str) -> str:
 
 def key_words(title: str) -> str:
     """Distinct content words of a title, in order."""
-    return (
-        f"array_except(filter(regexp_extract_all({_bare(title)}, '[a-z0-9]+', 0), w -> NOT rlike(w, '^[0-9]+$')),"
-        f" {_array(P.KEY_STOPWORDS)})"
-    )
+    return words_of(_bare(title))
 
 
 def key_numbers(title: str) -> str:
     """Number signature: whole-word digit runs joined by '-'."""
-    return f"array_join(regexp_extract_all({_bare(title)}, '(?U)\\\\b([0-9]+)\\\\b', 1), '-')"
+    return numbers_of(_bare(title))
+
+
+def words_of(bare: str) -> str:
+    """The pattern takes only words with a letter in them, so pure numbers never match."""
+    return f"array_except(regexp_extract_all({bare}, '[a-z0-9]*[a-z][a-z0-9]*', 0), {_array(P.KEY_STOPWORDS)})"
+
+
+def numbers_of(bare: str) -> str:
+    return f"array_join(regexp_extract_all({bare}, '(?U)\\\\b([0-9]+)\\\\b', 1), '-')"
+
+
+def with_title_parts(df: DataFrame, course: str = "course", title: str = "title") -> DataFrame:
+    """Add key, up, words and nums, computing each from the one before; a table that has them stays as it is."""
+    if {"key", "up", "words", "nums"} <= set(df.columns):
+        return df
+    return (
+        df.withColumn("bare", F.expr(_bare(title)))
+        .withColumns({"up": F.expr(f"upper({course})"), "words": F.expr(words_of("bare")), "nums": F.expr(numbers_of("bare"))})
+        .withColumn("key", F.expr("concat(up, '|', array_join(slice(words, 1, 3), ' '), '|', nums)"))
+        .drop("bare")
+    )
 
 
 def title_key(course: str, title: str) -> str:
@@ -105,13 +126,17 @@ def fold_words_text(text: str) -> str:
 
 def run_words(text: str) -> str:
     """Words a strict match compares: no stopwords, no lone letters."""
+    return run_words_of(fold_words_text(text))
+
+
+def run_words_of(folded: str) -> str:
     return (
-        f"filter(split({fold_words_text(text)}, ' '), w -> w <> '' AND NOT array_contains({_array(P.RUN_STOPWORDS)}, w)"
-        f" AND (length(w) > 1 OR rlike(w, '[0-9]')))"
+        f"filter(split({folded}, ' '), w -> NOT array_contains({_array(['', *P.RUN_STOPWORDS])}, w)"
+        f" AND (length(w) > 1 OR w BETWEEN '0' AND '9'))"
     )
 
 
-def run_numbers(text: str, course: str) -> str:
+def run_numbers_of(folded: str, course: str) -> str:
     """Sorted distinct numerals, without the course's own digits."""
     code = f"regexp_replace({course}, '[^0-9]', '')"
-    return f"array_sort(array_distinct(filter(regexp_extract_all({fold_words_text(text)}, '[0-9]+', 0), n -> n <> {code})))"
+    return f"array_sort(array_remove(array_distinct(regexp_extract_all({folded}, '[0-9]+', 0)), {code}))"

@@ -94,7 +94,7 @@ def fence_spans(lines: str) -> str:
 
     Only the fence lines are folded; a fence closes on a line that starts with the mark that opened it.
     """
-    mark = f"regexp_extract({X.strip('l')}, '^(```|~~~)', 1)"
+    mark = "regexp_extract(l, '(?U)^\\\\s*(```|~~~)', 1)"
     marks = f"filter(transform({lines}, (l, i) -> struct(i AS i, {mark} AS m)), x -> x.m <> '')"
     state = "named_struct('at', {a}, 'm', {m}, 'spans', {s})"
     start = state.format(a="-1", m="''", s="cast(array() AS array<struct<first:int,last:int>>)")
@@ -109,9 +109,10 @@ def fence_spans(lines: str) -> str:
 def headings(lines: str, spans: str) -> str:
     """array<struct<at, level, title>> of heading lines outside fenced code."""
     shape = "(?U)^(#{1,6})\\\\s+(.*?)\\\\s*#*\\\\s*$"
+    hashed = f"filter(transform({lines}, (l, i) -> struct(i AS at, l AS l)), x -> startswith(x.l, '#'))"
     found = (
-        f"transform({lines}, (l, i) -> struct(i AS at, length(regexp_extract(l, '{shape}', 1)) AS level,"
-        f" {X.strip(f'''regexp_extract(l, '{shape}', 2)''')} AS title))"
+        f"transform({hashed}, x -> struct(x.at AS at, length(regexp_extract(x.l, '{shape}', 1)) AS level,"
+        f" {X.strip(f'''regexp_extract(x.l, '{shape}', 2)''')} AS title))"
     )
     return f"filter({found}, h -> h.level > 0 AND NOT exists({spans}, f -> h.at BETWEEN f.first AND f.last))"
 

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.titles import run_numbers, run_words
+from ledgerloom.functions.titles import fold_words_text, run_numbers_of, run_words_of
+from ledgerloom.session import materialize
 
 # Letter floors (inclusive) and grade points.
 LETTERS = [
@@ -141,7 +142,8 @@ def strict_pairs(items: DataFrame, events: DataFrame) -> DataFrame:
         return (
             df.select("course", col)
             .distinct()
-            .selectExpr("course", col, f"{run_words(col)} AS {words}", f"array_join({run_numbers(col, 'course')}, '-') AS {nums}")
+            .withColumn("folded", F.expr(fold_words_text(col)))
+            .selectExpr("course", col, f"{run_words_of('folded')} AS {words}", f"array_join({run_numbers_of('folded', 'course')}, '-') AS {nums}")
             .where(f"size({words}) > 0")
         )
 
@@ -160,9 +162,15 @@ def strict_pairs(items: DataFrame, events: DataFrame) -> DataFrame:
     return one.unionByName(two).distinct()
 
 
+def _priced_items(items: DataFrame) -> DataFrame:
+    return items.where("NOT excluded").join(priced_books(items).select("course"), "course", "left_semi").select(
+        "course", "name", "weight", "graded", "bonus"
+    )
+
+
 def stake_match(items: DataFrame, events: DataFrame) -> DataFrame:
     """Weight of the one priced item each calendar row names; a row that names two prints nothing."""
-    priced = items.where("NOT excluded").join(priced_books(items).select("course"), "course", "left_semi")
+    priced = materialize(_priced_items(items), "priced-items")
     per_name = priced.groupBy("course", "name").agg(F.count("*").alias("copies"), F.max("weight").alias("weight"))
     unique = (
         strict_pairs(priced, events)
@@ -186,8 +194,7 @@ def first_stake(stakes: DataFrame) -> DataFrame:
 
 def undated_stakes(items: DataFrame, events: DataFrame) -> DataFrame:
     """Priced, ungraded work of real weight that no calendar row names."""
-    priced = items.where("NOT excluded").join(priced_books(items).select("course"), "course", "left_semi")
-    wanted = priced.where(f"NOT graded AND NOT bonus AND weight >= {STAKE_MIN}")
+    wanted = materialize(_priced_items(items).where(f"NOT graded AND NOT bonus AND weight >= {STAKE_MIN}"), "open-stakes")
     return wanted.join(strict_pairs(wanted, events), ["course", "name"], "left_anti").selectExpr(
         "course", "name", "cast(bround(weight, 1) AS double) AS stake"
     )

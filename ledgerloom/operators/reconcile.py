@@ -18,15 +18,11 @@ from ledgerloom.session import materialize
 
 
 def signed(df: DataFrame) -> DataFrame:
-    """Add what titles are compared by: key, upper-case course, content words, numbers."""
-    return df.withColumns(
-        {
-            "key": F.expr(H.title_key("course", "title")),
-            "up": F.expr("upper(course)"),
-            "words": F.expr(H.key_words("title")),
-            "nums": F.expr(H.key_numbers("title")),
-        }
-    )
+    """Add what titles are compared by: key, upper-case course, content words, numbers.
+
+    A stored table may carry these columns; then nothing is computed.
+    """
+    return H.with_title_parts(df)
 
 
 def distinctive(df: DataFrame) -> DataFrame:
@@ -77,8 +73,8 @@ def reconcile(pulled: DataFrame, stored: DataFrame, today: str) -> DataFrame:
 
     Columns kind, key, course, title, date, start_time, end_time, all_day, site, pos, old_date, old_times, n.
     """
-    have = signed(stored)
-    dated = signed(pulled.where("date IS NOT NULL"))
+    have = materialize(signed(stored), "stored-signed")
+    dated = materialize(signed(pulled.where("date IS NOT NULL")), "pulled-signed")
     # Every known time of a slot once, with who states it; then one row of facts per slot.
     stated = have.selectExpr(
         "key", "date", "nullif(start_time, '') AS time", "source = 'csv' AND start_time <> '' AS in_csv", "true AS is_stored", "false AS is_served"
@@ -102,7 +98,7 @@ def reconcile(pulled: DataFrame, stored: DataFrame, today: str) -> DataFrame:
         F.expr("min_by(served, date) AS only_served"),
         F.expr("min_by(old_times, date) AS only_times"),
     )
-    buckets = platform_slots(stored).withColumn("bucket", F.lit(True))
+    buckets = platform_slots(have).withColumn("bucket", F.lit(True))
     variants = dated.groupBy("key", "up", "course", "title", "date", "start_time", "end_time", "all_day", "site").agg(
         F.min("pos").alias("pos"), F.count("*").alias("n"), F.first("words").alias("words"), F.first("nums").alias("nums")
     )
@@ -247,7 +243,7 @@ def _loose(want: DataFrame, words: DataFrame) -> DataFrame:
 
 def _same_deadline(moves: DataFrame, stored: DataFrame) -> DataFrame:
     """Moves whose new date already holds the same work, by key or across wordings."""
-    m, s = signed(moves), signed(stored)
+    m, s = signed(moves.drop("up", "words", "nums", "key")), signed(stored)
     by_key = m.join(s.select("course", "date", "key").distinct(), ["course", "date", "key"], "left_semi").select("pos")
     by_word = distinctive(m).join(
         distinctive(s).select("course", "date", "nums", "word").distinct(), ["course", "date", "nums", "word"], "left_semi"

@@ -4,6 +4,7 @@ from ledgerloom.operators import grading as G
 from ledgerloom.plans.registry import query
 from ledgerloom.plans.text_plans import RUN_STOP
 from ledgerloom.plans.views import GRADES, with_
+from ledgerloom.session import materialize
 from ledgerloom.sources.tables import EVENT_NAMES, ITEM_NAMES, book_events, books, grade_items, sql_list
 
 SUMS = """sums AS (SELECT course, count(*) FILTER (NOT excluded) AS total_count, count(*) FILTER (NOT excluded AND graded) AS graded_count,
@@ -106,14 +107,19 @@ STAKES = """stakes AS (SELECT e.id, e.course, e.title, e.date, u.item, round_eve
 BK = with_(BOOKS, SUMS.format(src="books"), PRICED, PAIRS, STAKES)
 
 
+def book_items(t):
+    """The books as a written table: the view joins, and the operators read items several times."""
+    return materialize(books(t.lineitem), "books")
+
+
 @query("priced_books", BK + "SELECT course, weight_sum::DOUBLE AS weight_sum FROM priced")
 def priced_books(t):
-    return G.priced_books(books(t.lineitem)).selectExpr("course", "cast(weight_sum AS double) AS weight_sum")
+    return G.priced_books(book_items(t)).selectExpr("course", "cast(weight_sum AS double) AS weight_sum")
 
 
 @query("stake_match", BK + "SELECT * FROM stakes")
 def stake_match(t):
-    return G.stake_match(books(t.lineitem), book_events(t.lineitem))
+    return G.stake_match(book_items(t), book_events(t.lineitem))
 
 
 @query(
@@ -121,7 +127,7 @@ def stake_match(t):
     BK + "SELECT id, course, item, date, stake, row_number() OVER (PARTITION BY course, item ORDER BY date, id) > 1 AS again FROM stakes",
 )
 def first_stake(t):
-    return G.first_stake(G.stake_match(books(t.lineitem), book_events(t.lineitem)))
+    return G.first_stake(G.stake_match(book_items(t), book_events(t.lineitem)))
 
 
 @query(
@@ -130,7 +136,7 @@ def first_stake(t):
 AND course IN (SELECT course FROM priced) AND NOT EXISTS (SELECT 1 FROM pairs p WHERE p.course = b.course AND p.name = b.name)""",
 )
 def undated_stakes(t):
-    return G.undated_stakes(books(t.lineitem), book_events(t.lineitem))
+    return G.undated_stakes(book_items(t), book_events(t.lineitem))
 
 
 @query(
@@ -139,7 +145,7 @@ def undated_stakes(t):
 GROUP BY p.course, p.name HAVING count(DISTINCT e.date) >= 2""",
 )
 def double_dated(t):
-    return G.double_dated(books(t.lineitem), book_events(t.lineitem))
+    return G.double_dated(book_items(t), book_events(t.lineitem))
 
 
 @query(
