@@ -310,7 +310,7 @@ def is_done(events: DataFrame, state: DataFrame) -> DataFrame:
     """
     ev = signed(events)
     exact = state.select("up", "key", "date", F.col("done").alias("exact"))
-    tagged = ev.join(exact, ["up", "key", "date"], "left")
+    tagged = materialize(ev.join(exact, ["up", "key", "date"], "left"), "tagged-events")
     open_ = tagged.where("exact IS NULL")
     finished = signed(state.where("done AND title <> ''").select(F.col("up").alias("course"), "title", "date"))
     twin_words = distinctive(finished).select("up", "date", "nums", "word").distinct()

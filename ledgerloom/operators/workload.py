@@ -110,21 +110,27 @@ def by_kind(events: DataFrame, now: str) -> DataFrame:
 
 
 def daily_load(events: DataFrame, now: str, days: int = 28) -> DataFrame:
-    """Per day of the coming ``days``: deadline count and a course -> count map."""
+    """Deadlines per day and course of the coming ``days``, with the day's total beside.
+
+    One row per day and course; a day without deadlines is one row with count 0 and no course. Courses stay
+    rows, not a map, so a day's row does not grow with the number of courses.
+    """
     spine = events.sparkSession.range(days).selectExpr(f"date_add({day_of(now)}, cast(id AS int)) AS date")
-    per_day = (
+    per_course = (
         ahead(events, now)
         .where(f"starts_at < {at(now)} + make_dt_interval({days})")
         .groupBy(F.expr(f"{DAY} AS date"), "course")
-        .count()
-        .groupBy("date")
-        .agg(
-            F.sum("count").alias("n"),
-            F.expr("map_from_entries(array_sort(collect_list(struct(course, count)))) AS courses"),
-        )
+        .agg(F.count("*").alias("n"))
     )
-    return spine.join(per_day, "date", "left").select(
-        "date", F.expr("coalesce(n, 0) AS count"), F.expr("coalesce(courses, map()) AS courses")
+    return _on_spine(spine, per_course, "date").select("date", "count", "course", "n")
+
+
+def _on_spine(spine: DataFrame, counts: DataFrame, day: str) -> DataFrame:
+    """Every spine row with its counts and their total, zero where there are none."""
+    total = counts.groupBy(day).agg(F.sum("n").alias("count"))
+    return (
+        spine.join(total, day, "left").join(counts, day, "left")
+        .withColumn("count", F.coalesce("count", F.lit(0))).withColumn("n", F.coalesce("n", F.lit(0)))
     )
 
 
@@ -153,15 +159,9 @@ def week_load(events: DataFrame, term_start: str, term_end: str) -> DataFrame:
 
 
 def week_load_by_course(events: DataFrame, term_start: str, term_end: str) -> DataFrame:
-    """``week_load`` with a course -> count map per week, on the same spine."""
-    counts = _week_counts(events, "course")
-    per_week = counts.groupBy("week_start").agg(
-        F.sum("n").alias("n"),
-        F.expr("map_from_entries(array_sort(collect_list(struct(course, n)))) AS by_course"),
-    )
-    return week_spine(counts, term_start, term_end).join(per_week, "week_start", "left").select(
-        "week_start", F.expr("coalesce(n, 0) AS count"), F.expr("coalesce(by_course, map()) AS by_course")
-    )
+    """``week_load`` split by course on the same spine: one row per week and course with the week's total."""
+    counts = _week_counts(events, "course").drop("d")
+    return _on_spine(week_spine(counts, term_start, term_end), counts, "week_start").select("week_start", "count", "course", "n")
 
 
 def worst_week(events: DataFrame, now: str, term_start: str, term_end: str) -> DataFrame:

@@ -113,27 +113,22 @@ def by_kind(t):
     return W.by_kind(deadlines(t.events), NOW)
 
 
-def _flat(column: str) -> str:
-    return f"array_join(transform(map_entries({column}), e -> concat(e.key, '=', e.value)), ',') AS {column}"
-
-
 @query(
     "daily_load",
     D + f""", per AS (SELECT starts_at::DATE AS date, course, count(*) AS n FROM deadlines
   WHERE {KINDS} AND starts_at >= {AT} AND starts_at < {AT} + to_days(28) GROUP BY ALL)
-SELECT s.date, coalesce(sum(n), 0)::BIGINT AS count, coalesce(string_agg(course || '=' || n, ',' ORDER BY course), '') AS courses
-FROM (SELECT ({TODAY} + i::INT)::DATE AS date FROM range(28) r(i)) s LEFT JOIN per p ON p.date = s.date GROUP BY s.date""",
+SELECT s.date, coalesce(sum(n) OVER (PARTITION BY s.date), 0)::BIGINT AS count, course, coalesce(n, 0) AS n
+FROM (SELECT ({TODAY} + i::INT)::DATE AS date FROM range(28) r(i)) s LEFT JOIN per p ON p.date = s.date""",
 )
 def daily_load(t):
-    return W.daily_load(deadlines(t.events), NOW).selectExpr("date", "count", _flat("courses"))
+    return W.daily_load(deadlines(t.events), NOW)
 
 
 WEEKS = f"""wk AS (SELECT date_trunc('week', starts_at)::DATE AS week_start, course, count(*) AS n,
     count(*) FILTER (kind <> 'recurring') AS d FROM deadlines WHERE kind <> 'admin' GROUP BY ALL),
 spine AS (SELECT unnest(generate_series(least(date_trunc('week', DATE '{TERM_START}'), (SELECT min(week_start) FROM wk)),
     greatest(date_trunc('week', DATE '{TERM_END}'), (SELECT max(week_start) FROM wk)), INTERVAL 7 DAY))::DATE AS week_start),
-weeks AS (SELECT s.week_start, coalesce(sum(n), 0)::BIGINT AS count, coalesce(sum(d), 0)::BIGINT AS deadlines,
-    coalesce(string_agg(course || '=' || n, ',' ORDER BY course), '') AS by_course
+weeks AS (SELECT s.week_start, coalesce(sum(n), 0)::BIGINT AS count, coalesce(sum(d), 0)::BIGINT AS deadlines
   FROM spine s LEFT JOIN wk USING (week_start) GROUP BY s.week_start)"""
 
 
@@ -142,11 +137,9 @@ def week_load(t):
     return W.week_load(deadlines(t.events), TERM_START, TERM_END)
 
 
-@query("week_load_by_course", with_(DEADLINES, WEEKS) + "SELECT week_start, count, by_course FROM weeks")
+@query("week_load_by_course", with_(DEADLINES, WEEKS) + "SELECT week_start, count, course, coalesce(n, 0) AS n FROM weeks LEFT JOIN (SELECT week_start, course, n FROM wk) USING (week_start)")
 def week_load_by_course(t):
-    return W.week_load_by_course(deadlines(t.events), TERM_START, TERM_END).selectExpr(
-        "week_start", "count", _flat("by_course")
-    )
+    return W.week_load_by_course(deadlines(t.events), TERM_START, TERM_END)
 
 
 @query(
