@@ -6,7 +6,7 @@ from ledgerloom.functions import text as X
 from ledgerloom.operators import chunking as K
 from ledgerloom.operators import corpus as C
 from ledgerloom.plans.registry import query
-from ledgerloom.plans.text_plans import SENTENCES, WS
+from ledgerloom.plans.text_plans import SENTENCES, UNESCAPED, WS, duck_strip
 from ledgerloom.plans.views import CORPUS, with_
 from ledgerloom.sources.files import decode_text, file_manifest
 from ledgerloom.sources.tables import corpus_files
@@ -273,10 +273,38 @@ def pack_invariants(t):
     return kept.where("ok").groupBy("doc_id").agg(F.count("*").alias("kept")).join(fits, "doc_id")
 
 
-@query("chunk_locators")
+def packed_sql(lib: str, select: str) -> str:
+    """The packing replay over a table ``lib`` (doc_id, text, …) given as a common table expression."""
+    steps = PACKING.replace("FROM documents)", "FROM lib)")
+    chunks = """packed AS (SELECT s.doc_id, s.part, max(s.part) OVER (PARTITION BY s.doc_id) AS last, c.content_hash FROM steps s JOIN (
+  SELECT s.doc_id, s.part, substr(sha256(string_agg(unit, chr(10) ORDER BY u)), 1, 16) AS content_hash FROM steps s
+  JOIN units v ON v.doc_id = s.doc_id AND v.u > s.s AND v.u <= s.e GROUP BY ALL) c ON c.doc_id = s.doc_id AND c.part = s.part)"""
+    return "WITH RECURSIVE " + lib + ",\n" + steps.removeprefix("RECURSIVE ") + ",\n" + chunks + "\n" + select
+
+
+def visible_sql(column: str) -> str:
+    """Visible text of html: scripts, styles, comments and tags out, entities decoded, blank lines dropped."""
+    text = column
+    for tag in ("script", "style", "noscript"):
+        text = f"regexp_replace({text}, '(?is)<{tag}[^>]*>.*?</{tag}>', '', 'g')"
+    text = f"regexp_replace(regexp_replace({text}, '(?s)<!--.*?-->', '', 'g'), '(?s)<[^>]+>', '', 'g')"
+    lines = f"list_filter(list_transform(string_split({UNESCAPED.format(text)}, chr(10)), lambda l: {duck_strip('l')}), lambda l: l <> '')"
+    return f"array_to_string({lines}, chr(10))"
+
+
+LIBRARY = f"""lib AS (SELECT doc_id, source, lang, CASE WHEN lang = 'de' THEN {visible_sql('text')} ELSE text END AS text FROM documents WHERE lang IN ('en', 'fr', 'de'))"""
+LIBRARY_CHUNKS = packed_sql(
+    LIBRARY,
+    """SELECT source AS collection, source || '/' || doc_id || CASE lang WHEN 'en' THEN '.md' WHEN 'fr' THEN '.TXT' ELSE '.html' END AS source_path,
+  CASE WHEN lang = 'fr' AND last = 0 THEN 'full text' WHEN lang = 'fr' THEN 'part ' || (part + 1) WHEN last = 0 THEN doc_id::VARCHAR ELSE doc_id || ' (part ' || (part + 1) || ')' END AS locator,
+  content_hash FROM packed JOIN lib USING (doc_id)""",
+)
+
+
+@query("chunk_locators", LIBRARY_CHUNKS)
 def chunk_locators(t):
     """Chunks of the whole library by file type, with their locators."""
-    return K.chunk_files(corpus_files(t.documents)).select("chunk_id", "collection", "source_path", "locator", "content_hash")
+    return K.chunk_files(corpus_files(t.documents)).select("collection", "source_path", "locator", "content_hash")
 
 
 @query(
@@ -287,7 +315,18 @@ def unsupported_files(t):
     return K.unsupported_files(corpus_files(t.documents))
 
 
-@query("page_chunks")
+TITLE_SQL = duck_strip(UNESCAPED.format("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"))
+PAGES_LIB = f"""lib AS (SELECT page_id AS doc_id, {TITLE_SQL} AS title, {visible_sql('html')} AS text FROM pages)"""
+
+
+@query(
+    "page_chunks",
+    packed_sql(
+        PAGES_LIB,
+        """SELECT 'web/' || doc_id || '.html' AS source_path, coalesce(nullif(title, ''), doc_id::VARCHAR) || CASE WHEN last = 0 THEN '' ELSE ' (part ' || (part + 1) || ')' END AS locator,
+  part, content_hash FROM packed JOIN lib USING (doc_id)""",
+    ),
+)
 def page_chunks(t):
     """Raw web pages through the html handler of the chunker."""
     pages = t.pages.selectExpr("'web' AS collection", "concat('web/', page_id, '.html') AS path", "html AS text")

@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import chunking, reconcile
-from ledgerloom.plans.reconcile import CMP, completion_log
+from ledgerloom.plans.corpus import LIBRARY_CHUNKS
+from ledgerloom.plans.reconcile import CMP, REC, completion_log
 from ledgerloom.plans.registry import query
 from ledgerloom.session import shared_dir
 from ledgerloom.sources.tables import TODAY, corpus_files, pulled_work, stored_work
@@ -84,7 +85,7 @@ def stream_sessions(t):
     return out.selectExpr("user_id", utc.format("start"), utc.format("end"), "n")
 
 
-@query("stream_index")
+@query("stream_index", LIBRARY_CHUNKS)
 def stream_index(t):
     """New documents are chunked as they arrive and added to the chunk table."""
     out = shared_dir(t.spark, "index")
@@ -112,7 +113,10 @@ def late_split(t):
     return J.run_available(J.late_split(rows, "2024-01-25", back=14), "late")
 
 
-@query("stream_reconcile")
+@query(
+    "stream_reconcile",
+    REC + "SELECT CASE v2 WHEN 'retimed' THEN 'moved' ELSE v2 END AS kind, count(*) AS n FROM step2 WHERE v2 <> 'dropped' GROUP BY 1",
+)
 def stream_reconcile(t):
     """Every micro-batch of pulled items against the stored table."""
     out, stored = shared_dir(t.spark, "reconcile"), stored_work(t.orders)
