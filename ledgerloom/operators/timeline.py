@@ -61,7 +61,7 @@ def stretches_by_session(rows: DataFrame, keys: Sequence[str] = (), gap: int = 7
     """
     keys = list(keys)
     days = rows.groupBy(*keys, "date").agg(F.count("*").alias("n"))
-    stamped = days.withColumn("at", F.expr("cast(date AS timestamp)"))
+    stamped = days.withColumn("at", F.expr("cast(date AS timestamp_ntz)"))
     return (
         stamped.groupBy(*keys, F.session_window("at", f"{gap} days"))
         .agg(F.min("date").alias("start"), F.max("date").alias("end"), F.sum("n").alias("dates"))

@@ -80,9 +80,7 @@ i AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRE
 SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*) AS n FROM i GROUP BY user_id, k HAVING max(ts) + INTERVAL 6 HOUR <= {LAST}""",
 )
 def stream_sessions(t):
-    out = J.run_available(J.sessions(event_stream(t), ["user_id"], "6 hours"), "sessions")
-    utc = "convert_timezone(current_timezone(), 'UTC', cast({0} AS timestamp_ntz)) AS {0}"
-    return out.selectExpr("user_id", utc.format("start"), utc.format("end"), "n")
+    return J.run_available(J.sessions(event_stream(t), ["user_id"], "6 hours"), "sessions")
 
 
 @query("stream_index", LIBRARY_CHUNKS)
@@ -109,7 +107,7 @@ def stream_seen(t):
 
 @query("late_split", "SELECT event_id, ts::DATE AS date, ts::DATE < DATE '2024-01-25' - 14 AS late FROM events")
 def late_split(t):
-    rows = event_stream(t).select("event_id", F.expr("cast(ts AS date) AS date"))
+    rows = event_stream(t).select("event_id", F.expr(f"cast({J.wall_time('ts')} AS date) AS date"))
     return J.run_available(J.late_split(rows, "2024-01-25", back=14), "late")
 
 

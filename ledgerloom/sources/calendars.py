@@ -102,12 +102,18 @@ def _params(name: str) -> str:
     return f"regexp_extract(v, '(?m)^{name}((?:;[^:\\\\r\\\\n]*)?):', 1)"
 
 
+def basic_time(value: str) -> str:
+    """'20260908' or '20260908T120000' as a zone-less time, null when unreadable; a trailing Z is left out."""
+    day, clock = "^([0-9]{4})([0-9]{2})([0-9]{2})", "T([0-9]{2})([0-9]{2})([0-9]{2})Z?"
+    return (
+        f"try_cast(CASE WHEN rlike({value}, '{day}{clock}$') THEN regexp_replace({value}, '{day}{clock}$', '$1-$2-$3 $4:$5:$6')"
+        f" WHEN rlike({value}, '{day}$') THEN regexp_replace({value}, '{day}$', '$1-$2-$3') END AS timestamp_ntz)"
+    )
+
+
 def ics_time(value: str, params: str, zone: str) -> str:
     """iCalendar date or date-time as a zone-less time in ``zone``; floating times stay as they are."""
-    stamp = (
-        f"coalesce(try_to_timestamp(replace({value}, 'Z', ''), \"yyyyMMdd'T'HHmmss\"), try_to_timestamp({value}, 'yyyyMMdd'))"
-    )
-    local = f"cast({stamp} AS timestamp_ntz)"
+    local = basic_time(value)
     tzid = f"regexp_extract({params}, 'TZID=\"?([^;:\"]+)', 1)"
     return (
         f"CASE WHEN endswith({value}, 'Z') THEN convert_timezone('UTC', '{zone}', {local})"
@@ -157,11 +163,11 @@ def expand_rules(events: DataFrame, window_start: str, window_end: str, cap: int
     window. COUNT runs from the first start; EXDATE does not extend it.
     """
     get = lambda k: f"regexp_extract(rrule, '(?:^|;){k}=([^;]*)', 1)"
-    until = "coalesce(try_to_timestamp(replace({u}, 'Z', ''), \"yyyyMMdd'T'HHmmss\"), try_to_timestamp(concat({u}, 'T235959'), \"yyyyMMdd'T'HHmmss\"))".format(u=get("UNTIL"))
+    until = basic_time(f"if(length({get('UNTIL')}) = 8, concat({get('UNTIL')}, 'T235959'), {get('UNTIL')})")
     end = f"timestamp_ntz'{window_end} 23:59:59'"
     rows = events.selectExpr(
         "*", f"{get('FREQ')} AS freq", f"coalesce(cast(nullif({get('INTERVAL')}, '') AS int), 1) AS step",
-        f"cast(nullif({get('COUNT')}, '') AS int) AS n_max", f"if({get('UNTIL')} = '', null, cast({until} AS timestamp_ntz)) AS until",
+        f"cast(nullif({get('COUNT')}, '') AS int) AS n_max", f"{until} AS until",
         f"filter(split({get('BYDAY')}, ','), x -> x <> '') AS bydays", "cast(starts_at AS date) AS d0",
         "starts_at - cast(cast(starts_at AS date) AS timestamp_ntz) AS tod", "ends_at - starts_at AS span",
         "rrule IS NOT NULL OR size(coalesce(rdates, array())) > 0 AS recurs",

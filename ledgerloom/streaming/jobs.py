@@ -27,9 +27,17 @@ def file_stream(spark: SparkSession, folder: str, name: str, schema: StructType,
     return reader.parquet(folder)
 
 
+EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
+
+
 def with_clock(events: DataFrame, column: str = "ts") -> DataFrame:
     """Watermarks need an instant: zone-less times are read as UTC, at the edge of the stream only."""
-    return events.withColumn(column, F.expr(f"cast({column} AS timestamp)"))
+    return events.withColumn(column, F.expr(f"timestamp_micros(timestampdiff(MICROSECOND, {EPOCH}, {column}))"))
+
+
+def wall_time(instant: str) -> str:
+    """SQL text: the zone-less UTC time of an instant, whatever the session's zone."""
+    return f"timestampadd(MICROSECOND, unix_micros({instant}), {EPOCH})"
 
 
 def run_available(stream: DataFrame, purpose: str) -> DataFrame:
@@ -104,21 +112,21 @@ def week_load(events: DataFrame, clock: str = "ts", delay: str = "1 day") -> Dat
     """Rows per Monday week, emitted when the week has closed."""
     weeks = F.window(clock, "7 days", "7 days", "4 days")
     return events.withWatermark(clock, delay).groupBy(weeks).agg(F.count("*").alias("count")).selectExpr(
-        "cast(window.start AS date) AS week_start", "count"
+        f"cast({wall_time('window.start')} AS date) AS week_start", "count"
     )
 
 
 def day_load(events: DataFrame, clock: str = "ts", delay: str = "1 day") -> DataFrame:
     """Rows per day, emitted when the day has closed."""
     return events.withWatermark(clock, delay).groupBy(F.window(clock, "1 day")).agg(F.count("*").alias("count")).selectExpr(
-        "cast(window.start AS date) AS date", "count"
+        f"cast({wall_time('window.start')} AS date) AS date", "count"
     )
 
 
 def sessions(events: DataFrame, keys: list[str], gap: str, clock: str = "ts", delay: str = "1 day") -> DataFrame:
     """Stretches of activity per key as session windows, emitted when closed."""
     return events.withWatermark(clock, delay).groupBy(*keys, F.session_window(clock, gap)).agg(F.count("*").alias("n")).selectExpr(
-        *keys, "session_window.start AS start", "session_window.end AS end", "n"
+        *keys, f"{wall_time('session_window.start')} AS start", f"{wall_time('session_window.end')} AS end", "n"
     )
 
 

@@ -69,6 +69,7 @@ def main():
     ap.add_argument("--sf", default="0.001")
     ap.add_argument("--modules", default=None)
     ap.add_argument("--no-oracle", action="store_true", help="only run and count the Spark side")
+    ap.add_argument("--zone", default=None, help="run the Spark session in another time zone")
     ap.add_argument("keys", nargs="*")
     args = ap.parse_args()
     if args.modules:
@@ -77,6 +78,8 @@ def main():
     sf_dir = f"/root/testdata/sf{args.sf}"
     spark = local_session("check")
     spark.sparkContext.setLogLevel("ERROR")
+    if args.zone:
+        spark.conf.set("spark.sql.session.timeZone", args.zone)
     con = connect(sf_dir)
     bad = []
     for key, fn in queries.items():
