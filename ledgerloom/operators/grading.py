@@ -133,9 +133,10 @@ def strict_pairs(items: DataFrame, events: DataFrame) -> DataFrame:
     """(course, name, title) of gradebook items and calendar rows that name the same work.
 
     Numerals must agree both ways and one side's words must cover the other's by prefix. A cover needs every
-    word of one side to meet a word of the other that shares its first two letters (or equals it), so the
-    candidates come from an equi-join on course, numerals and that short prefix of one chosen word. Names and
-    titles are made distinct first, so repeats of a series cost nothing.
+    word of one side to meet a word of the other that shares its first two letters (or equals it), so candidates
+    come from an equi-join on course, numerals and that short prefix of one word. Any word will do; the one whose
+    prefix is rarest on the other side is taken, and a name with a prefix the other side lacks is out at once.
+    Names and titles are made distinct first, so repeats of a series cost nothing.
     """
 
     def signed(df: DataFrame, col: str, words: str, nums: str) -> DataFrame:
@@ -149,10 +150,10 @@ def strict_pairs(items: DataFrame, events: DataFrame) -> DataFrame:
 
     left = signed(items, "name", "iw", "nums")
     right = signed(events, "title", "ew", "nums")
-    lead_i = left.withColumn("tok", F.expr("left(iw[0], 2)"))
-    all_e = right.withColumn("tok", F.expr("explode(array_distinct(transform(ew, w -> left(w, 2))))"))
-    lead_e = right.withColumn("tok", F.expr("left(ew[0], 2)"))
-    all_i = left.withColumn("tok", F.expr("explode(array_distinct(transform(iw, w -> left(w, 2))))"))
+    toks = lambda df, words: df.withColumn("tok", F.expr(f"explode(array_distinct(transform({words}, w -> left(w, 2))))"))
+    all_i, all_e = materialize(toks(left, "iw"), "item-words"), materialize(toks(right, "ew"), "event-words")
+    lead_i = _rarest(all_i, all_e, "name", "iw")
+    lead_e = _rarest(all_e, all_i, "title", "ew")
     meet = "x = y OR (length(x) >= 2 AND startswith(y, x)) OR (length(y) >= 2 AND startswith(x, y))"
     item_covered = f"forall(iw, x -> exists(ew, y -> {meet}))"
     event_covered = f"forall(ew, x -> exists(iw, y -> {meet}))"
@@ -162,6 +163,19 @@ def strict_pairs(items: DataFrame, events: DataFrame) -> DataFrame:
     return one.unionByName(two).distinct()
 
 
+def _rarest(rows: DataFrame, others: DataFrame, col: str, words: str) -> DataFrame:
+    """One prefix per row: the rarest among the others; rows with a prefix the others lack drop out."""
+    blocks = ["course", "nums", "tok"]
+    seen = others.groupBy(*blocks).agg(F.count("*").alias("n"))
+    return (
+        rows.join(seen, blocks, "left")
+        .groupBy("course", "nums", col)
+        .agg(F.expr("min(struct(coalesce(n, 0) AS n, tok)) AS lead"), F.first(words).alias(words))
+        .where("lead.n > 0")
+        .select("course", "nums", col, words, F.col("lead.tok").alias("tok"))
+    )
+
+
 def _priced_items(items: DataFrame) -> DataFrame:
     return items.where("NOT excluded").join(priced_books(items).select("course"), "course", "left_semi").select(
         "course", "name", "weight", "graded", "bonus"

@@ -29,9 +29,13 @@ def rebuild_or_upsert(existing: DataFrame, parsed: DataFrame) -> DataFrame:
     return good.unionByName(kept)
 
 
-def save_sources(events: DataFrame, path: str) -> None:
-    """Write the events table by source, replacing only the sources present."""
-    events.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source").parquet(path)
+def save_sources(events: DataFrame, path: str) -> DataFrame:
+    """Write the whole events table by source to a new folder and read it back.
+
+    The result of an import reads the table it replaces, so it never goes over that table in place.
+    """
+    events.write.mode("errorifexists").partitionBy("source").parquet(path)
+    return events.sparkSession.read.schema(events.schema).parquet(path)
 
 
 def collapse_report(parsed: DataFrame) -> DataFrame:

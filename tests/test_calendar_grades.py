@@ -11,6 +11,7 @@ from ledgerloom.operators import grading as G
 from ledgerloom.operators import timeline as L
 from ledgerloom.operators import upkeep as U
 from ledgerloom.operators import workload as W
+from ledgerloom.session import shared_dir
 from ledgerloom.sources import calendars as C
 
 EVENT = "id long, course string, title string, starts_at timestamp_ntz, ends_at timestamp_ntz, all_day boolean, kind string, source string"
@@ -130,7 +131,9 @@ def test_import_is_idempotent_and_keeps_broken_sources(spark):
     once = U.rebuild_or_upsert(existing, parsed)
     want = {(1, "b", "csv"), (2, "c", "ics"), (8, "old", "ics")}
     assert {tuple(r) for r in once.select("id", "title", "source").collect()} == want
-    assert {tuple(r) for r in U.rebuild_or_upsert(once, parsed).select("id", "title", "source").collect()} == want
+    saved = U.save_sources(once, shared_dir(spark, "events"))
+    assert {tuple(r) for r in saved.select("id", "title", "source").collect()} == want
+    assert {tuple(r) for r in U.rebuild_or_upsert(saved, parsed).select("id", "title", "source").collect()} == want
 
 
 def test_match_course_prefers_longest_code(spark):
