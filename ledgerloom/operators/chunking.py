@@ -7,11 +7,11 @@ order-dependent; one Arrow function turns the sentence array of a section into i
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
@@ -31,24 +31,32 @@ def overlap_for(target: int) -> int:
     return max(1, round(OVERLAP_TOKENS * target / TARGET_TOKENS))
 
 
-def cut_words(sentence: str, target: int, count: Callable[[str], int]) -> list[str]:
-    """Pieces of one oversize sentence: filled word by word, a giant word cut by characters."""
-    lines, line = [], ""
+def _filled(sentence: str, target: int, count: Callable[[str], int]) -> Iterator[str]:
+    """Lines of whole words that fit the target where words allow it."""
+    line = ""
     for word in sentence.split():
-        longer = f"{line} {word}" if line else word
-        if line and count(longer) > target:
-            lines.append(line)
-            longer = word
-        line = longer
-    lines.append(line)
-    pieces = []
-    for rest in lines:
-        while len(rest) > 4 and (cost := count(rest)) > target:
-            size = max(4, len(rest) * target // max(1, cost))
-            pieces.append(rest[:size])
-            rest = rest[size:]
-        pieces.append(rest)
-    return [p for p in pieces if p]
+        joined = f"{line} {word}" if line else word
+        if line and count(joined) > target:
+            yield line
+            joined = word
+        line = joined
+    if line:
+        yield line
+
+
+def _sliced(text: str, target: int, count: Callable[[str], int]) -> Iterator[str]:
+    """A text without word breaks in slices sized by its own tokens per character."""
+    while len(text) > 4 and (cost := count(text)) > target:
+        size = max(4, len(text) * target // cost)
+        yield text[:size]
+        text = text[size:]
+    if text:
+        yield text
+
+
+def cut_words(sentence: str, target: int, count: Callable[[str], int]) -> list[str]:
+    """Pieces of one oversize sentence."""
+    return [piece for line in _filled(sentence, target, count) for piece in _sliced(line, target, count)]
 
 
 def pack(sentences, target: int, overlap: int, count: Callable[[str], int]) -> list[str]:

@@ -54,14 +54,6 @@ def platform_slots(stored: DataFrame) -> DataFrame:
     )
 
 
-def platform_rows(pulled: DataFrame) -> DataFrame:
-    """Pulled items that carry a platform word of their own site."""
-    cases = " OR ".join(
-        f"(site = '{site}' AND arrays_overlap(words, array({', '.join(repr(w) for w in ws)})))" for site, ws in PLATFORM_WORDS.items()
-    )
-    return pulled.where(cases)
-
-
 def platform_bucket(pulled: DataFrame, stored: DataFrame) -> DataFrame:
     """Pulled items whose daily platform bucket is on the calendar already."""
     rows = pulled.where("date IS NOT NULL").withColumn("up", F.expr("upper(course)"))
@@ -281,9 +273,7 @@ def authority_merge(events: DataFrame, quizzes: DataFrame) -> DataFrame:
         "if(times IS NULL, known_times, array_sort(array_union(known_times, times))) AS known_times",
     )
     rest = e.where("owner IS NULL").groupBy("course", "key", "date").agg(
-        F.expr("min(struct(pos, start_time)) AS first"), F.max("start_time").alias("latest"),
-        F.expr("min_by(pos, struct(start_time = '' AS late, pos)) AS p0"),
-        F.collect_set(F.expr("nullif(start_time, '')")).alias("times"), F.count("*").alias("n"),
+        F.max("start_time").alias("latest"), F.collect_set(F.expr("nullif(start_time, '')")).alias("times"), F.count("*").alias("n"),
     )
     last = e.where("owner IS NULL").groupBy("course", "key", "date", "start_time").agg(F.min("pos").alias("pos"))
     kept = rest.join(last.withColumnRenamed("start_time", "latest"), ["course", "key", "date", "latest"]).selectExpr(

@@ -2,13 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.dates import clock
 from ledgerloom.plans.registry import query
 from ledgerloom.plans.text_plans import SITE_KIND_SQL
-from ledgerloom.plans.views import TITLES, with_
+from ledgerloom.plans.views import with_
 from ledgerloom.sources import calendars as C
 from ledgerloom.sources import payloads as P
-from ledgerloom.sources.tables import titles
 
 TODAY, CAP = "1998-03-01", "1998-09-20"
 WINDOW = f"{{0}} BETWEEN DATE '{TODAY}' - 30 AND least(DATE '{TODAY}' + 240, DATE '{CAP}')"

@@ -3,7 +3,6 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import text as X
 from ledgerloom.operators import retrieval as R
 from ledgerloom.operators import vectors as V
 from ledgerloom.plans.registry import query
