@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import exact_dedup, mixing, pii, quality, sharding
+from ledgerloom.llm import exact_dedup, mixing, pieces, pii, quality, sharding
 from ledgerloom.llm.oracles import ORACLES
 
 
@@ -45,8 +45,12 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(_documents(spark, sf_dir)).drop("_row")
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoded(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_pii, op5_quality_rules, op7_sharding, op8_mixing, op9_exact_dedup)
+    f.__name__: f for f in (op4_pii, op5_quality_rules, op7_sharding, op8_mixing, op9_exact_dedup, op10_sentencepiece)
 }
 
 
