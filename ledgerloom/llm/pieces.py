@@ -1,12 +1,12 @@
 """Sub-word encoding with seeded merge-dropout, and lossless decoding.
 
 A text is encoded by merging adjacent pieces from single characters upwards, best piece first, ties from the left. Each
-candidate merge taken from the agenda is skipped when a keyed hash of (seed, variant, unit, place, length) falls below the
-dropout rate, so one text has many segmentations, each reproducible from its seed, and all decode to the text itself. With
-dropout 0 the result is the usual encoding.
+candidate merge taken from the agenda is skipped when a hash of its place and length, keyed by seed, variant and unit,
+falls below the dropout rate. So one text has many segmentations, each reproducible from its seed, and all decode to the
+text itself. With dropout 0 the result is the usual encoding.
 
-A unit is a run of spaces with the word behind it; no piece spans two units, so units are merged on their own and kept in
-a bounded cache. The variant of a unit depends on the document and on the unit's place, so a repeated word varies within
+A unit is a run of spaces with the word behind it, or the start of a line; no piece spans two units, so units are merged
+on their own and kept in a bounded cache. The variant of a unit depends on the document and on the unit's place, so a repeated word varies within
 a document too. Characters outside the vocabulary become bytes. So do characters equal to the vocabulary's own mark for a
 space, which would otherwise come back as spaces.
 
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -35,14 +36,17 @@ CACHE = 200_000
 #: Longer units (texts without spaces, long rows of spaces) are not kept in the cache.
 CACHED_LENGTH = 64
 SLICE_CHARS = 2_000_000
+#: Odd constants of the multiplicative hash that decides on dropout.
+SPREAD, MULTIPLIER, MASK = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 2**64 - 1
+NEVER = float("inf")
 
 
 @dataclass
 class Vocabulary:
-    """Pieces of a merge-type model: ids of the mergeable pieces, their scores by id, and the bytes of every id."""
+    """Pieces of a merge-type model: ids and ranks (best lowest) of the mergeable pieces, and the bytes of every id."""
 
     ids: dict[str, int]
-    scores: list[float]
+    ranks: dict[str, float]
     byte_ids: list[int]
     surface: list[bytes] = field(repr=False)
 
@@ -51,10 +55,9 @@ class Vocabulary:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        ids, scores, surface, byte_ids = {}, [], [], [0] * 256
+        ids, ranks, surface, byte_ids = {}, {}, [], [0] * 256
         for i in range(model.get_piece_size()):
             piece = model.id_to_piece(i)
-            scores.append(model.get_score(i))
             if model.is_byte(i):
                 byte_ids[int(piece[3:5], 16)] = i
                 surface.append(bytes([int(piece[3:5], 16)]))
@@ -62,8 +65,9 @@ class Vocabulary:
                 surface.append(b"")
             else:
                 ids[piece] = i
+                ranks[piece] = -model.get_score(i)
                 surface.append(piece.replace(MARK, " ").encode())
-        return cls(ids, scores, byte_ids, surface)
+        return cls(ids, ranks, byte_ids, surface)
 
 
 class Encoder:
@@ -75,72 +79,130 @@ class Encoder:
         self.seed = seed
         self.variants = VARIANTS if self.limit else 1
         self.caches: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-        self.mark_bytes = np.array([vocabulary.byte_ids[b] for b in MARK.encode()], np.int32).tobytes()
+        self.mark_bytes = self._bytes(MARK)
+        # Where no piece holds a line break, nothing merges across one.
+        self.line_break = b"" if any("\n" in piece for piece in vocabulary.ids) else self._bytes("\n")
+
+    def _bytes(self, text: str) -> bytes:
+        return array("i", [self.v.byte_ids[b] for b in text.encode()]).tobytes()
+
+    def _skipped(self, key: int, start: int, length: int) -> bool:
+        """Whether dropout passes over the candidate at a place of a unit with hash ``key``."""
+        return (key ^ (start * SPREAD + length)) * MULTIPLIER & MASK < self.limit
 
     def merged(self, unit: str, variant: int) -> bytes:
         """Ids of one unit as little-endian 32-bit integers."""
-        ids, scores, limit = self.v.ids, self.v.scores, self.limit
+        key = xxhash.xxh64_intdigest(unit, self.seed + variant) if self.limit else 0
+        parts = self._scanned(unit, key) if len(unit) <= CACHED_LENGTH else self._queued(unit, key)
+        out: list[int] = []
+        ids, byte_ids = self.v.ids, self.v.byte_ids
+        for part in parts:
+            found = ids.get(part)
+            if found is not None:
+                out.append(found)
+            else:
+                out.extend([byte_ids[b] for b in part.encode()])
+        return array("i", out).tobytes()
+
+    def _scanned(self, unit: str, key: int) -> list[str]:
+        """The agenda of a short unit is a plain list with one rank per adjacent pair."""
+        rank, limit = self.v.ranks.get, self.limit
+        parts = list(unit)
+        ranks = [rank(a + b, NEVER) for a, b in zip(parts, parts[1:], strict=False)]
+        starts = list(range(len(parts)))
+        while ranks:
+            best = min(ranks)
+            if best == NEVER:
+                break
+            i = ranks.index(best)
+            if limit and self._skipped(key, starts[i], len(parts[i]) + len(parts[i + 1])):
+                ranks[i] = NEVER
+                continue
+            parts[i] += parts.pop(i + 1)
+            del starts[i + 1], ranks[i]
+            if i < len(ranks):
+                ranks[i] = rank(parts[i] + parts[i + 1], NEVER)
+            if i:
+                ranks[i - 1] = rank(parts[i - 1] + parts[i], NEVER)
+        return parts
+
+    def _queued(self, unit: str, key: int) -> list[str]:
+        """The agenda of a long unit is a heap; entries whose pair has changed meanwhile are passed over."""
+        rank, limit = self.v.ranks.get, self.limit
         parts: list[str | None] = list(unit)
         after = list(range(1, len(parts) + 1))
         before = list(range(-1, len(parts) - 1))
         agenda: list[tuple[float, int, int]] = []
-        salt = f"{variant}:{unit}:" if limit else ""
 
         def propose(left: int, right: int) -> None:
             piece = parts[left] + parts[right]
-            found = ids.get(piece)
+            found = rank(piece)
             if found is not None:
-                heapq.heappush(agenda, (-scores[found], left, len(piece)))
+                heapq.heappush(agenda, (found, left, len(piece)))
 
         for i in range(len(parts) - 1):
             propose(i, i + 1)
         while agenda:
             _, left, length = heapq.heappop(agenda)
-            if parts[left] is None:
-                continue
             right = after[left]
-            if right >= len(after) or len(parts[left]) + len(parts[right]) != length:
+            if parts[left] is None or right >= len(parts) or len(parts[left]) + len(parts[right]) != length:
                 continue
-            if limit and xxhash.xxh64_intdigest(f"{salt}{left}:{length}", self.seed) < limit:
+            if limit and self._skipped(key, left, length):
                 continue
             parts[left] += parts[right]
             parts[right] = None
             after[left] = after[right]
-            if after[left] < len(after):
+            if after[left] < len(parts):
                 before[after[left]] = left
                 propose(left, after[left])
             if before[left] >= 0:
                 propose(before[left], left)
-        out: list[int] = []
-        for part in parts:
-            if part is not None:
-                found = ids.get(part)
-                out.extend([found] if found is not None else [self.v.byte_ids[b] for b in part.encode()])
-        return np.array(out, np.int32).tobytes()
+        return [part for part in parts if part is not None]
 
     def encode(self, text: str, key: int = 0) -> np.ndarray:
         if not text:
             return np.empty(0, np.int32)
         out: list[bytes] = []
-        at, n = key % self.variants, self.variants
-        lookups = [c.get for c in self.caches]
         for k, stretch in enumerate((" " + text).split(MARK)):
             if k:
                 out.append(self.mark_bytes)
-            for unit in re.findall(" +[^ ]*|[^ ]+", stretch):
-                at = at + 1 if at + 1 < n else 0
-                ids = lookups[at](unit)
-                out.append(ids if ids is not None else self._unit(unit, at))
+            for n, line in enumerate(stretch.split("\n") if self.line_break else (stretch,)):
+                if n:
+                    out.append(self.line_break)
+                key = self._line(line, key, out)
         return np.frombuffer(b"".join(out), np.int32)
 
-    def _unit(self, unit: str, variant: int) -> bytes:
-        """Cached under the plain spelling, merged under the vocabulary's."""
-        found = self.merged(unit.replace(" ", MARK), variant)
-        if len(unit) <= CACHED_LENGTH:
-            cache = self.caches[variant]
-            if len(cache) >= CACHE:
-                cache.clear()
-            cache[unit] = found
+    def _line(self, line: str, key: int, out: list[bytes]) -> int:
+        """Appends the ids of a stretch in which only spaces part units; gives the key of the next one."""
+        head, *words = line.split(" ")
+        if head:
+            out.append(self._unit("\n" + head, head, key % self.variants))
+        if "" in words:  # a run of spaces belongs to the word behind it
+            runs = re.findall(" +[^ ]*", line)
+            found = [self._unit(u[1:] if u.count(" ") == 1 else u, u, (key + i) % self.variants) for i, u in enumerate(runs)]
+            out.extend(found)
+            return key + len(found) + 1
+        found = [None] * len(words)
+        for v in range(self.variants):
+            place = (v - key) % self.variants
+            found[place :: self.variants] = map(self.caches[v].get, words[place :: self.variants])
+        if None in found:
+            for i, ids in enumerate(found):
+                if ids is None:
+                    found[i] = self._unit(words[i], " " + words[i], (key + i) % self.variants)
+        out.extend(found)
+        return key + len(found) + 1
+
+    def _unit(self, name: str, unit: str, variant: int) -> bytes:
+        """Ids of a unit, kept under ``name``: the bare word for one behind a single space."""
+        cache = self.caches[variant]
+        found = cache.get(name)
+        if found is None:
+            found = self.merged(unit.replace(" ", MARK), variant)
+            if len(unit) <= CACHED_LENGTH:
+                if len(cache) >= CACHE:
+                    cache.clear()
+                cache[name] = found
         return found
 
 
