@@ -25,17 +25,17 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 
+from ledgerloom.llm.shared import slices
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 VARIANTS = 4
 CACHE = 200_000
 #: Longer units (texts without spaces, long rows of spaces) are not kept in the cache.
 CACHED_LENGTH = 64
-SLICE_CHARS = 2_000_000
 #: Odd constants of the multiplicative hash that decides on dropout.
 SPREAD, MULTIPLIER, MASK = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 2**64 - 1
 NEVER = float("inf")
@@ -212,18 +212,6 @@ def decode(vocabulary: Vocabulary, ids: np.ndarray) -> str:
     return joined[1:] if joined.startswith(" ") else joined
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list]]:
-    """Runs of rows with a bounded number of characters."""
-    keys, texts = batch.column(0), batch.column(1)
-    sizes = pc.binary_length(texts).to_pylist()
-    start = chars = 0
-    for i in range(batch.num_rows):
-        chars += sizes[i] or 0
-        if chars >= SLICE_CHARS or i + 1 == batch.num_rows:
-            yield keys[start : i + 1], texts[start : i + 1].to_pylist()
-            start, chars = i + 1, 0
-
-
 def encoded(
     docs: DataFrame, model: str = MODEL, dropout: float = 0.1, seed: int = 20240229, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -234,7 +222,7 @@ def encoded(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary, dropout, seed)
         for batch in batches:
-            for keys, texts in _slices(batch):
+            for keys, texts in slices(batch):
                 ids = [
                     None if t is None else encoder.encode(t, xxhash.xxh64_intdigest(str(k), seed))
                     for k, t in zip(keys.to_pylist(), texts, strict=True)

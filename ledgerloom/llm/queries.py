@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import exact_dedup, mixing, pieces, pii, quality, sharding
+from ledgerloom.llm import exact_dedup, mixing, pieces, pii, quality, sharding, toxicity
 from ledgerloom.llm.oracles import ORACLES
 
 
@@ -33,6 +33,14 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet"))
+    return toxicity.scored(docs, model).select(
+        "doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans"
+    )
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_documents(spark, sf_dir)).drop("row_no")
 
@@ -50,7 +58,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_pii, op5_quality_rules, op7_sharding, op8_mixing, op9_exact_dedup, op10_sentencepiece)
+    f.__name__: f for f in (op4_pii, op5_quality_rules, op6_toxicity, op7_sharding, op8_mixing, op9_exact_dedup, op10_sentencepiece)
 }
 
 

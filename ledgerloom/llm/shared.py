@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,3 +48,19 @@ def ascii_lower(text: Column) -> Column:
 
 def whole_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
+
+
+#: Characters of text that a Python worker holds as objects at a time; one longer text makes a slice of its own.
+SLICE_BYTES = 2_000_000
+
+
+def slices(batch: pa.RecordBatch, key: int = 0, text: int = 1) -> Iterator[tuple[pa.Array, list]]:
+    """Runs of rows of a batch with a bounded amount of text: the key column and the texts as Python strings."""
+    keys, texts = batch.column(key), batch.column(text)
+    sizes = pc.binary_length(texts).to_pylist()
+    start = held = 0
+    for i, size in enumerate(sizes):
+        held += size or 0
+        if held >= SLICE_BYTES or i + 1 == len(sizes):
+            yield keys[start : i + 1], texts[start : i + 1].to_pylist()
+            start, held = i + 1, 0
