@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import exact_dedup, mixing, pieces, pii, quality, sharding, simhash, toxicity
+from ledgerloom.llm import exact_dedup, main_text, mixing, pieces, pii, quality, sharding, simhash, toxicity
 from ledgerloom.llm.oracles import ORACLES
 
 
@@ -15,6 +15,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extracted(spark.read.parquet(f"{sf_dir.rstrip('/')}/pages.parquet"))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_documents(spark, sf_dir))
     return found.select("doc_id", simhash.as_hex().alias("fingerprint"), "component_id")
@@ -63,7 +67,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_simhash_near_dedup, op4_pii, op5_quality_rules, op6_toxicity, op7_sharding, op8_mixing, op9_exact_dedup, op10_sentencepiece)
+    f.__name__: f for f in (op1_main_text, op2_simhash_near_dedup, op4_pii, op5_quality_rules, op6_toxicity, op7_sharding, op8_mixing, op9_exact_dedup, op10_sentencepiece)
 }
 
 

@@ -24,12 +24,13 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.shared import slices, whole_text
 
-SAMPLE = 2000
+SAMPLE = 1500
 FOLDS = 5
 SPACE_BITS = 18
 STEMS = (4, 5, 6)
@@ -144,14 +145,16 @@ def markers(toxic: list[list[list[str]]], clean: list[list[list[str]]]) -> set[s
     """
     counts: list[Counter] = []
     for docs in (clean, toxic):
-        seen = set()
+        seen: set[int] = set()
+        count: Counter = Counter()
         for doc in docs:
             for chain in doc:
                 low = ["", *(w.lower() for w in chain), ""]
-                seen.update(zip(low, low[1:], low[2:], strict=False))
-        count: Counter = Counter()
-        for _, word, _ in seen:
-            count.update(_stems(word))
+                for before, word, after in zip(low, low[1:], low[2:], strict=False):
+                    context = xxhash.xxh64_intdigest(f"{before} {word} {after}")
+                    if context not in seen:
+                        seen.add(context)
+                        count.update(_stems(word))
         count[""] = len(seen)
         counts.append(count)
     in_clean, in_toxic = counts
