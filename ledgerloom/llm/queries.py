@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import exact_dedup, main_text, mixing, pieces, pii, quality, sharding, simhash, toxicity
+from ledgerloom.llm import exact_dedup, main_text, mixing, pieces, pii, quality, sharding, simhash, suffix_dedup, toxicity
 from ledgerloom.llm.oracles import ORACLES
 
 
@@ -24,6 +24,10 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.as_hex().alias("fingerprint"), "component_id")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicated(_documents(spark, sf_dir))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.redactions(_documents(spark, sf_dir))
     counts = [F.size(F.filter("base", _of_kind(k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
@@ -67,7 +71,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_main_text, op2_simhash_near_dedup, op4_pii, op5_quality_rules, op6_toxicity, op7_sharding, op8_mixing, op9_exact_dedup, op10_sentencepiece)
+    f.__name__: f for f in (op1_main_text, op2_simhash_near_dedup, op3_suffix_dedup, op4_pii, op5_quality_rules, op6_toxicity, op7_sharding, op8_mixing, op9_exact_dedup, op10_sentencepiece)
 }
 
 
