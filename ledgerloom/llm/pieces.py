@@ -38,7 +38,6 @@ CACHE = 200_000
 CACHED_LENGTH = 64
 #: Odd constants of the multiplicative hash that decides on dropout.
 SPREAD, MULTIPLIER, MASK = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 2**64 - 1
-NEVER = float("inf")
 
 
 @dataclass
@@ -70,11 +69,70 @@ class Vocabulary:
         return cls(ids, ranks, byte_ids, surface)
 
 
+class PairTable:
+    """Which piece two adjacent symbols merge into, as an open-addressing table that whole arrays are looked up in."""
+
+    SLOTS = 20
+
+    def __init__(self, vocabulary: Vocabulary):
+        ids = vocabulary.ids
+        symbols = dict(ids)
+        for piece in ids:
+            for c in piece:
+                symbols.setdefault(c, len(vocabulary.surface) + len(symbols))
+        self.by_char = np.full(0x110000, -1, np.int32)
+        for piece, i in symbols.items():
+            if len(piece) == 1:
+                self.by_char[ord(piece)] = i
+        made = [
+            (symbols[piece[:cut]] << 20 | symbols[piece[cut:]], i)
+            for piece, i in ids.items()
+            for cut in range(1, len(piece))
+            if piece[:cut] in symbols and piece[cut:] in symbols
+        ]
+        keys, values = (np.array(x, np.int64) for x in zip(*made, strict=True))
+        self.keys = np.full(1 << self.SLOTS, -1, np.int64)
+        self.values = np.full(1 << self.SLOTS, -1, np.int32)
+        slots = self._slot(keys)
+        while len(keys):
+            # Of the keys that want one free slot the first gets it; the others try the next slot.
+            _, pick = np.unique(slots, return_index=True)
+            pick = pick[self.keys[slots[pick]] < 0]
+            self.keys[slots[pick]], self.values[slots[pick]] = keys[pick], values[pick]
+            rest = np.ones(len(keys), bool)
+            rest[pick] = False
+            keys, values, slots = keys[rest], values[rest], (slots[rest] + 1) & ((1 << self.SLOTS) - 1)
+        # Ranks by id, best lowest; the entry that -1 finds is the last.
+        self.rank = np.full(len(vocabulary.surface) + 1, np.iinfo(np.int32).max, np.int32)
+        scores = np.unique(list(vocabulary.ranks.values()))
+        for piece, i in ids.items():
+            self.rank[i] = np.searchsorted(scores, vocabulary.ranks[piece])
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(SPREAD)) >> np.uint64(64 - self.SLOTS)).astype(np.int64)
+
+    def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ids of the merged pieces, -1 where there is none. A symbol below 0 merges with nothing."""
+        keys = left.astype(np.int64) << 20 | right.astype(np.int64)
+        out = np.full(keys.shape, -1, np.int32)
+        live = np.flatnonzero(((left >= 0) & (right >= 0)).ravel())
+        keys, flat = keys.ravel()[live], out.ravel()
+        slots = self._slot(keys)
+        while len(live):
+            there = self.keys[slots]
+            hit = there == keys
+            flat[live[hit]] = self.values[slots[hit]]
+            on = ~hit & (there >= 0)
+            live, keys, slots = live[on], keys[on], (slots[on] + 1) & ((1 << self.SLOTS) - 1)
+        return flat.reshape(out.shape)
+
+
 class Encoder:
     """Encodes texts with one vocabulary, dropout rate and seed."""
 
     def __init__(self, vocabulary: Vocabulary, dropout: float = 0.1, seed: int = 0):
         self.v = vocabulary
+        self.pairs = PairTable(vocabulary)
         self.limit = int(dropout * 2**64)
         self.seed = seed
         self.variants = VARIANTS if self.limit else 1
@@ -86,49 +144,12 @@ class Encoder:
     def _bytes(self, text: str) -> bytes:
         return array("i", [self.v.byte_ids[b] for b in text.encode()]).tobytes()
 
-    def _skipped(self, key: int, start: int, length: int) -> bool:
-        """Whether dropout passes over the candidate at a place of a unit with hash ``key``."""
-        return (key ^ (start * SPREAD + length)) * MULTIPLIER & MASK < self.limit
+    def _key(self, unit: str, variant: int) -> int:
+        return xxhash.xxh64_intdigest(unit, self.seed + variant) if self.limit else 0
 
     def merged(self, unit: str, variant: int) -> bytes:
-        """Ids of one unit as little-endian 32-bit integers."""
-        key = xxhash.xxh64_intdigest(unit, self.seed + variant) if self.limit else 0
-        parts = self._scanned(unit, key) if len(unit) <= CACHED_LENGTH else self._queued(unit, key)
-        out: list[int] = []
-        ids, byte_ids = self.v.ids, self.v.byte_ids
-        for part in parts:
-            found = ids.get(part)
-            if found is not None:
-                out.append(found)
-            else:
-                out.extend([byte_ids[b] for b in part.encode()])
-        return array("i", out).tobytes()
-
-    def _scanned(self, unit: str, key: int) -> list[str]:
-        """The agenda of a short unit is a plain list with one rank per adjacent pair."""
-        rank, limit = self.v.ranks.get, self.limit
-        parts = list(unit)
-        ranks = [rank(a + b, NEVER) for a, b in zip(parts, parts[1:], strict=False)]
-        starts = list(range(len(parts)))
-        while ranks:
-            best = min(ranks)
-            if best == NEVER:
-                break
-            i = ranks.index(best)
-            if limit and self._skipped(key, starts[i], len(parts[i]) + len(parts[i + 1])):
-                ranks[i] = NEVER
-                continue
-            parts[i] += parts.pop(i + 1)
-            del starts[i + 1], ranks[i]
-            if i < len(ranks):
-                ranks[i] = rank(parts[i] + parts[i + 1], NEVER)
-            if i:
-                ranks[i - 1] = rank(parts[i - 1] + parts[i], NEVER)
-        return parts
-
-    def _queued(self, unit: str, key: int) -> list[str]:
-        """The agenda of a long unit is a heap; entries whose pair has changed meanwhile are passed over."""
-        rank, limit = self.v.ranks.get, self.limit
+        """Ids of one unit as 32-bit integers. The agenda is a heap; entries whose pair has changed meanwhile are passed over."""
+        rank, limit, key = self.v.ranks.get, self.limit, self._key(unit, variant)
         parts: list[str | None] = list(unit)
         after = list(range(1, len(parts) + 1))
         before = list(range(-1, len(parts) - 1))
@@ -147,7 +168,7 @@ class Encoder:
             right = after[left]
             if parts[left] is None or right >= len(parts) or len(parts[left]) + len(parts[right]) != length:
                 continue
-            if limit and self._skipped(key, left, length):
+            if limit and (key ^ (left * SPREAD + length)) * MULTIPLIER & MASK < limit:
                 continue
             parts[left] += parts[right]
             parts[right] = None
@@ -157,53 +178,137 @@ class Encoder:
                 propose(left, after[left])
             if before[left] >= 0:
                 propose(before[left], left)
-        return [part for part in parts if part is not None]
+        out: list[int] = []
+        for part in parts:
+            if part is not None:
+                found = self.v.ids.get(part)
+                out.extend([found] if found is not None else [self.v.byte_ids[b] for b in part.encode()])
+        return array("i", out).tobytes()
+
+    def merged_many(self, units: list[str], variants: list[int]) -> list[bytes]:
+        """The same for many units at once: the agendas of all units of one length are rows of a matrix."""
+        sizes = np.array([len(u) for u in units], np.int64)
+        chars = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
+        symbols = self.pairs.by_char[chars]
+        first = np.cumsum(sizes) - sizes
+        # Units with characters that no piece knows, and long ones, take the heap.
+        plain = np.ones(len(units), bool)
+        plain[np.repeat(np.arange(len(units)), sizes)[symbols >= len(self.v.surface)]] = False
+        plain[np.repeat(np.arange(len(units)), sizes)[symbols < 0]] = False
+        plain &= sizes <= CACHED_LENGTH
+        keys = np.array([self._key(u, v) for u, v in zip(units, variants, strict=True)], np.uint64)
+        out: list[bytes] = [b""] * len(units)
+        for i in np.flatnonzero(~plain).tolist():
+            out[i] = self.merged(units[i], variants[i])
+        for size in np.unique(sizes[plain]).tolist():
+            at = np.flatnonzero(plain & (sizes == size))
+            ids, counts = self._matrix(symbols[first[at][:, None] + np.arange(size)], keys[at])
+            flat = ids[np.arange(size) < counts[:, None]].tobytes()
+            ends = np.cumsum(4 * counts)
+            for i, a, b in zip(at.tolist(), (ends - 4 * counts).tolist(), ends.tolist(), strict=True):
+                out[i] = flat[a:b]
+        return out
+
+    def _matrix(self, symbols: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Final symbols (rows filled up with -1) and their numbers for units of one length."""
+        n, size = symbols.shape
+        done, counts = symbols.copy(), np.full(n, size)
+        if size == 1:
+            return done, counts
+        rows, length = np.arange(n), np.full(n, size)
+        start = np.tile(np.arange(size + 1, dtype=np.int32), (n, 1))
+        pairs = self.pairs(symbols[:, :-1], symbols[:, 1:])
+        never, columns = self.pairs.rank[-1], np.arange(size)
+        while len(rows):
+            ranks = self.pairs.rank[pairs]
+            best = ranks.argmin(1)
+            on = ranks[np.arange(len(rows)), best] < never
+            if not on.all():
+                done[rows[~on]], counts[rows[~on]] = symbols[~on], length[~on]
+                rows, length, symbols, start, pairs, best, keys = (x[on] for x in (rows, length, symbols, start, pairs, best, keys))
+            at = np.arange(len(rows))
+            if self.limit:
+                left = start[at, best].astype(np.uint64)
+                place = left * np.uint64(SPREAD) + (start[at, best + 2].astype(np.uint64) - left)
+                missed = (keys ^ place) * np.uint64(MULTIPLIER) < np.uint64(min(self.limit, MASK))
+                pairs[at[missed], best[missed]] = -1
+                at = at[~missed]
+            if not len(at):
+                continue
+            b = best[at]
+            own = np.arange(len(at))
+            joined = pairs[at, b]
+            shifted = np.minimum(columns + (columns > b[:, None]), size - 1)
+            now = np.take_along_axis(symbols[at], shifted, 1)
+            now[:, -1] = -1
+            now[own, b] = joined
+            symbols[at] = now
+            length[at] -= 1
+            wide = np.arange(size + 1)
+            start[at] = np.take_along_axis(start[at], np.minimum(wide + (wide > b[:, None]), size), 1)
+            short = np.arange(size - 1)
+            next_pairs = np.take_along_axis(pairs[at], np.minimum(short + (short >= b[:, None]), size - 2), 1)
+            next_pairs[:, -1] = -1
+            right = np.where(b + 1 < size, now[own, np.minimum(b + 1, size - 1)], -1)
+            fits = b < size - 1
+            next_pairs[own[fits], b[fits]] = self.pairs(joined[fits], right[fits])
+            inner = b > 0
+            next_pairs[own[inner], b[inner] - 1] = self.pairs(now[own[inner], b[inner] - 1], joined[inner])
+            pairs[at] = next_pairs
+        return done, counts
 
     def encode(self, text: str, key: int = 0) -> np.ndarray:
-        if not text:
-            return np.empty(0, np.int32)
-        out: list[bytes] = []
-        for k, stretch in enumerate((" " + text).split(MARK)):
-            if k:
-                out.append(self.mark_bytes)
-            for n, line in enumerate(stretch.split("\n") if self.line_break else (stretch,)):
-                if n:
-                    out.append(self.line_break)
-                key = self._line(line, key, out)
-        return np.frombuffer(b"".join(out), np.int32)
-
-    def _line(self, line: str, key: int, out: list[bytes]) -> int:
-        """Appends the ids of a stretch in which only spaces part units; gives the key of the next one."""
+        return self.encode_all([text], [key])[0]
+
+    def encode_all(self, texts: list[str], keys: list[int]) -> list[np.ndarray]:
+        """Ids of each text. Units that no cache holds are gathered from all texts first and merged together."""
+        out: list[bytes | None] = []
+        holes: list[tuple[int, int, str]] = []
+        wanted: dict[tuple[int, str], str] = {}
+        ends = []
+        for text, key in zip(texts, keys, strict=True):
+            for k, stretch in enumerate((" " + text).split(MARK) if text else ()):
+                if k:
+                    out.append(self.mark_bytes)
+                for n, line in enumerate(stretch.split("\n") if self.line_break else (stretch,)):
+                    if n:
+                        out.append(self.line_break)
+                    key = self._line(line, key, out, holes, wanted)
+            ends.append(len(out))
+        fresh = dict(zip(wanted, self.merged_many(list(wanted.values()), [v for v, _ in wanted]), strict=True))
+        for place, variant, name in holes:
+            out[place] = fresh[variant, name]
+        for (variant, name), ids in fresh.items():
+            if len(name) <= CACHED_LENGTH:
+                cache = self.caches[variant]
+                if len(cache) >= CACHE:
+                    cache.clear()
+                cache[name] = ids
+        return [np.frombuffer(b"".join(out[a:b]), np.int32) for a, b in zip([0, *ends], ends, strict=False)]
+
+    def _line(self, line: str, key: int, out: list, holes: list, wanted: dict) -> int:
+        """Appends the ids of a stretch in which only spaces part units, with holes for those not known; gives the next key."""
         head, *words = line.split(" ")
-        if head:
-            out.append(self._unit("\n" + head, head, key % self.variants))
+        units: list[tuple[str, str]] | None = None
         if "" in words:  # a run of spaces belongs to the word behind it
-            runs = re.findall(" +[^ ]*", line)
-            found = [self._unit(u[1:] if u.count(" ") == 1 else u, u, (key + i) % self.variants) for i, u in enumerate(runs)]
-            out.extend(found)
-            return key + len(found) + 1
-        found = [None] * len(words)
+            units = [(u[1:] if u.count(" ") == 1 else u, u) for u in re.findall(" +[^ ]*", line)]
+            words = [name for name, _ in units]
+        if head:
+            words.insert(0, "\n" + head)
+        found: list[bytes | None] = [None] * len(words)
         for v in range(self.variants):
             place = (v - key) % self.variants
             found[place :: self.variants] = map(self.caches[v].get, words[place :: self.variants])
         if None in found:
+            base, shift = len(out), 1 if head else 0
             for i, ids in enumerate(found):
                 if ids is None:
-                    found[i] = self._unit(words[i], " " + words[i], (key + i) % self.variants)
+                    name, variant = words[i], (key + i) % self.variants
+                    unit = head if head and i == 0 else units[i - shift][1] if units else " " + name
+                    wanted[variant, name] = unit.replace(" ", MARK)
+                    holes.append((base + i, variant, name))
         out.extend(found)
-        return key + len(found) + 1
-
-    def _unit(self, name: str, unit: str, variant: int) -> bytes:
-        """Ids of a unit, kept under ``name``: the bare word for one behind a single space."""
-        cache = self.caches[variant]
-        found = cache.get(name)
-        if found is None:
-            found = self.merged(unit.replace(" ", MARK), variant)
-            if len(unit) <= CACHED_LENGTH:
-                if len(cache) >= CACHE:
-                    cache.clear()
-                cache[name] = found
-        return found
+        return key + len(found)
 
 
 def decode(vocabulary: Vocabulary, ids: np.ndarray) -> str:
@@ -223,10 +328,9 @@ def encoded(
         encoder = Encoder(vocabulary, dropout, seed)
         for batch in batches:
             for keys, texts in slices(batch):
-                ids = [
-                    None if t is None else encoder.encode(t, xxhash.xxh64_intdigest(str(k), seed))
-                    for k, t in zip(keys.to_pylist(), texts, strict=True)
-                ]
+                salts = [xxhash.xxh64_intdigest(str(k), seed) for k in keys.to_pylist()]
+                got = encoder.encode_all([t or "" for t in texts], salts)
+                ids = [None if t is None else i for t, i in zip(texts, got, strict=True)]
                 same = [None if t is None else decode(vocabulary, i) == t for t, i in zip(texts, ids, strict=True)]
                 sizes = [0 if i is None else len(i) for i in ids]
                 flat = np.concatenate([i for i in ids if i is not None] or [np.empty(0, np.int32)])

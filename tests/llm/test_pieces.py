@@ -22,18 +22,18 @@ def vocabulary():
 
 @settings(max_examples=200, deadline=None)
 @given(text=st.text(max_size=60), key=st.integers(0, 99))
-def test_round_trip(vocabulary, text, key):
+def test_round_trip(vocabulary, encoders, text, key):
     for rate in (0.0, 0.3, 1.0):
-        assert pieces.decode(vocabulary, pieces.Encoder(vocabulary, rate, 5).encode(text, key)) == text
+        assert pieces.decode(vocabulary, encoders[rate].encode(text, key)) == text
 
 
 @settings(max_examples=200, deadline=None)
 @given(text=st.text(alphabet=st.sampled_from("the aonirs\n.,é日😀"), max_size=80))
-def test_no_dropout_is_the_usual_encoding(vocabulary, text):
+def test_no_dropout_is_the_usual_encoding(encoders, text):
     import sentencepiece
 
     usual = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL).encode(text)
-    assert pieces.Encoder(vocabulary, 0.0).encode(text).tolist() == usual
+    assert encoders[0.0].encode(text).tolist() == usual
 
 
 def test_documents(spark):
@@ -69,3 +69,16 @@ def test_corpus_without_dropout(vocabulary):
     encoder = pieces.Encoder(vocabulary, 0.0)
     for text in texts:
         assert encoder.encode(text).tolist() == usual.encode(text)
+
+
+@settings(max_examples=150, deadline=None)
+@given(units=st.lists(st.text(alphabet=st.sampled_from("▁the aonirsé日😀q"), min_size=1, max_size=70), min_size=1, max_size=12), rate=st.sampled_from([0.0, 0.25, 1.0]))
+def test_many_units_are_merged_as_one_by_one(encoders, units, rate):
+    encoder = encoders[rate]
+    variants = [i % encoder.variants for i in range(len(units))]
+    assert encoder.merged_many(units, variants) == [encoder.merged(u, v) for u, v in zip(units, variants, strict=True)]
+
+
+@pytest.fixture(scope="module")
+def encoders(vocabulary):
+    return {rate: pieces.Encoder(vocabulary, rate, 9) for rate in (0.0, 0.25, 1.0, 0.3)}
