@@ -16,25 +16,27 @@ only suffixes of runs with one gram can match. Then
    string, sorted into suffix order gram by gram, and its longest previous factors are computed.
 
 Grams with very many different strings are not sorted in one place: their windows are dealt out again by content, where
-equal windows meet and the smallest doc_id decides. Each text is sent once, compressed, to fold equal texts, and kept
-bucketed, so that later steps bring their small tables to the texts. Everything spills; nothing is collected.
-
-Texts are whole UTF-8 byte strings; null counts as empty. Equal texts are worked once: a later copy of at least LENGTH
-bytes loses all of itself. Rows that repeat a doc_id are not earlier than one another. Rows without doc_id neither lose
-anything nor make others lose. An empty table gives an empty result; columns other than doc_id and text are ignored.
+equal windows meet and the smallest doc_id decides. Texts are shuffled once, compressed, to meet the runs to be cut from
+them and later the spans that go. Later copies of a text that one task sees are folded there. Everything spills; nothing
+is collected. Runs travel as three longs (48 bits of the gram's hash, 44 of the run's, start and length, document).
+
+Texts are whole UTF-8 byte strings, at most 2^30 bytes each; null counts as empty. Rows that repeat a doc_id are not
+earlier than one another: they are numbered within it first. Rows without doc_id neither lose anything nor make others
+lose. An empty table gives an empty result; columns other than doc_id and text are ignored. Ids are longs, and an id times
+the largest number of rows with one id must still be one.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.shared import Scratch, whole_text
@@ -44,7 +46,8 @@ GRAM = 16
 #: Different strings of one gram that are sorted together; grams with more are dealt out by window.
 TOGETHER = 2000
 SLICE = 4_000_000
-EMPTY_SHA = hashlib.sha256(b"").digest()
+#: Bits of the packed run: gram and run hashes, number of windows, start.
+GRAM_BITS, RUN_BITS, COUNT_BITS, LOW_BITS = 48, 44, 6, 16
 C1, C2, C3 = (np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9))
 
 
@@ -143,87 +146,150 @@ def _spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts[new], ends[last]
 
 
-def _texts(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, sha, n_bytes) of every row, and (sha, d, z): the smallest doc_id and the packed bytes of each long text."""
-    body = whole_text(text)
-    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.unhex(F.sha2(body, 256)).alias("sha"), F.octet_length(body).cast("long").alias("n_bytes"))
+def _numbered(docs: DataFrame, scratch: Scratch, doc_id: str, text: str) -> tuple[DataFrame, int]:
+    """(d, text) with a different d for every row that has a doc_id, and the number that d is to be divided by to get it."""
+    base = docs.select(F.col(doc_id).cast("long").alias("d"), whole_text(text).alias("text"))
+    ties = base.where("d IS NOT NULL").groupBy("d").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
+    if ties == 1:
+        return base, 1
+    number = F.row_number().over(Window.partitionBy("d").orderBy("text")) - 1
+    return scratch.write(base.withColumn("d", F.when(F.col("d").isNotNull(), F.col("d") * ties + number))), ties
 
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            z = [packer.compress(b) for b in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(z, pa.binary())], names=["doc_id", "sha", "z"])
 
-    raw = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.encode(body, "UTF-8").alias("bytes"))
-    long = raw.where(F.col("doc_id").isNotNull() & (F.octet_length("bytes") >= LENGTH))
-    sent = long.select("doc_id", F.unhex(F.sha2("bytes", 256)).alias("sha"), "bytes").mapInArrow(packed, "doc_id long, sha binary, z binary")
-    return slim, sent.groupBy("sha").agg(F.min("doc_id").alias("d"), F.first("z").alias("z"))
+def _id_of(ties: int) -> Column:
+    """The doc_id behind ``d``."""
+    return F.col("d") if ties == 1 else F.expr(f"(d - pmod(d, {ties}L)) DIV {ties}L")
+
+
+class _Copies:
+    """The smallest id of each text that a task has seen."""
+
+    def __init__(self, ties: int):
+        self.ties = ties
+        self.seen: dict[bytes, int] = {}
+
+    def later(self, d: int, text: bytes) -> bool:
+        key, own = xxhash.xxh3_128_digest(text), d // self.ties
+        first = self.seen.get(key)
+        if first is not None and first < own:
+            return True
+        self.seen[key] = own
+        return False
+
 
+def _runs(texts: DataFrame, ties: int) -> DataFrame:
+    """Packed runs (a, b, d) of all texts that are long enough.
 
-def _runs(texts: DataFrame) -> DataFrame:
-    """gram, run, d, t, start, n of all runs of the texts (d, t, z)."""
+    a: gram hash and low bits of the start; b: run hash, number of windows, high bits of the start. A later copy sends its
+    first run only, with 0 windows, which stands for the whole text.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpacker = zstandard.ZstdDecompressor()
+        copies = _Copies(ties)
         for batch in batches:
-            d, t = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            held, size, begin = [], 0, 0
-            for i, z in enumerate(batch.column(2)):
-                held.append(unpacker.decompress(z.as_py()))
+            ids = batch.column(0).to_pylist()
+            held: list[bytes] = []
+            whose: list[int] = []
+            copied: list[bool] = []
+            size = 0
+            for i, text in enumerate(batch.column(1)):
+                held.append(bytes(text.as_buffer()))
+                whose.append(ids[i])
+                copied.append(copies.later(ids[i], held[-1]))
                 size += len(held[-1])
                 if size >= SLICE or i + 1 == batch.num_rows:
-                    gram, named, owner, start, n = runs_of(held)
-                    owner = owner + begin
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(x) for x in (gram, named, d[owner], t[owner], start, n.astype(np.int32))],
-                        names=["gram", "run", "d", "t", "start", "n"],
-                    )
-                    held, size, begin = [], 0, i + 1
+                    yield packed(held, np.array(whose), np.array(copied))
+                    held, whose, copied, size = [], [], [], 0
+
+    def packed(held: list[bytes], whose: np.ndarray, copied: np.ndarray) -> pa.RecordBatch:
+        gram, named, owner, start, n = runs_of(held)
+        of_copy = copied[owner]
+        use = ~of_copy | (start == 0)
+        gram, named, owner, start = gram[use], named[use], owner[use], start[use]
+        n = np.where(of_copy[use], 0, n[use])
+        low, high = start & ((1 << LOW_BITS) - 1), start >> LOW_BITS
+        a = gram >> (64 - GRAM_BITS) << LOW_BITS | low
+        b = (named >> (64 - RUN_BITS) << COUNT_BITS | n) << (64 - RUN_BITS - COUNT_BITS) | high
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(whose[owner])], names=["a", "b", "d"])
+
+    long = texts.where(F.col("d").isNotNull() & (F.octet_length("text") >= LENGTH))
+    return long.select("d", "text").mapInArrow(run, "a long, b long, d long")
 
-    return texts.select("d", "t", "z").mapInArrow(run, "gram long, run long, d long, t int, start long, n int")
 
+def _shared_runs(runs: DataFrame, ties: int, parts: int) -> DataFrame:
+    """Runs whose gram occurs in two documents or more: d, start, n, and gram and run where the strings are wanted.
 
-def _shared_runs(runs: DataFrame) -> DataFrame:
-    """Runs whose gram occurs in two documents or more, with ``open``: whether that gram has different strings."""
-    by_gram = Window.partitionBy("gram")
-    known = runs.withColumns(
+    An equal run of an earlier document settles a run. Of the others those are wanted whose gram has different strings.
+    """
+    dealt = runs.repartition(parts, F.shiftright("a", LOW_BITS))
+    high = 64 - RUN_BITS - COUNT_BITS
+    plain = dealt.select(
+        F.shiftright("a", LOW_BITS).alias("gram"),
+        F.shiftright("b", 64 - RUN_BITS).alias("run"),
+        "d",
+        (F.shiftleft(F.col("b").bitwiseAND(F.lit((1 << high) - 1)), LOW_BITS) + F.col("a").bitwiseAND(F.lit((1 << LOW_BITS) - 1))).alias("start"),
+        F.shiftright("b", high).bitwiseAND(F.lit((1 << COUNT_BITS) - 1)).cast("int").alias("n"),
+        _id_of(ties).alias("id"),
+    )
+    by_gram, by_run = Window.partitionBy("gram"), Window.partitionBy("gram", "run")
+    known = plain.withColumns(
         {
-            "_first": F.min("d").over(by_gram),
-            "_last": F.max("d").over(by_gram),
-            "_low": F.min("run").over(by_gram),
-            "_high": F.max("run").over(by_gram),
+            "first": F.min("id").over(by_gram),
+            "last": F.max("id").over(by_gram),
+            "open": F.min("run").over(by_gram) != F.max("run").over(by_gram),
         }
-    )
-    return known.where("_first < _last").select("gram", "run", "d", "t", "start", "n", F.expr("_low <> _high").alias("open"))
+    ).where("first < last")
+    settled = F.col("id") > F.min("id").over(by_run)
+    judged = known.withColumn("settled", settled).where("settled OR open")
+    wanted = lambda name: F.when(~F.col("settled"), F.col(name)).alias(name)
+    return judged.select("d", "start", "n", "settled", wanted("gram"), wanted("run"))
 
 
-def _strings(wanted: DataFrame, texts: DataFrame) -> DataFrame:
-    """gram, run, d, t, start, s: the bytes of the wanted runs, cut from their texts."""
-    asked = wanted.groupBy("d", "t").agg(F.collect_list(F.struct("gram", "run", "start", "n")).alias("asked"))  # runs of one text
-    both = texts.join(asked, ["d", "t"]).select("d", "t", "z", "asked")
+def _packed(texts: DataFrame, ties: int, parts: int) -> DataFrame:
+    """(d, z) dealt out by d: the text's length, and its compressed bytes unless it is a later copy."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer, copies = zstandard.ZstdCompressor(level=5), _Copies(ties)
+        for batch in batches:
+            z = []
+            for d, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = bytes(text.as_buffer())
+                later = len(text) >= LENGTH and copies.later(d, text)
+                z.append(len(text).to_bytes(4, "little") + (b"" if later else packer.compress(text)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(z, pa.binary())], names=["d", "z"])
+
+    return texts.where("d IS NOT NULL").select("d", "text").mapInArrow(run, "d long, z binary").repartition(parts, "d")
+
+
+def _cut(packed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """gram, d, start, s: the bytes of the wanted runs, cut from their texts."""
+    asked = wanted.groupBy("d").agg(F.collect_list(F.struct("gram", "start", "n")).alias("asked"))  # runs of one text
+    both = packed.join(asked, "d").select("d", "z", "asked")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpacker = zstandard.ZstdDecompressor()
         for batch in batches:
             for part in range(0, batch.num_rows, 256):
-                few = batch.slice(part, 256)
                 rows = []
-                for d, t, z, asked in zip(*(c.to_pylist() for c in few.columns), strict=True):
-                    text = unpacker.decompress(z)
+                for d, z, asked in zip(*(c.to_pylist() for c in batch.slice(part, 256).columns), strict=True):
+                    text = unpacker.decompress(z[4:])
                     for a in asked:
-                        rows.append((a["gram"], a["run"], d, t, a["start"], text[a["start"] : a["start"] + a["n"] + LENGTH - 1]))
-                columns = list(zip(*rows, strict=True)) or [()] * 6
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(columns, types, strict=True)], names=["gram", "run", "d", "t", "start", "s"]
-                )
+                        rows.append((a["gram"], d, a["start"], text[a["start"] : a["start"] + a["n"] + LENGTH - 1]))
+                yield _batch(rows, {"gram": pa.int64(), "d": pa.int64(), "start": pa.int64(), "s": pa.binary()})
+
+    return both.mapInArrow(run, "gram long, d long, start long, s binary")
 
-    return both.mapInArrow(run, "gram long, run long, d long, t int, start long, s binary")
 
+def _batch(rows: list[tuple], types: dict[str, pa.DataType]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(types)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types.values(), strict=True)], names=list(types))
 
-def _sorted_matches(strings: DataFrame, parts: int) -> DataFrame:
-    """d, t, start, end of the matching windows of grams with few strings, by longest previous factors."""
-    dealt = strings.repartition(parts, "gram").sortWithinPartitions("gram")
+
+def _sorted_matches(strings: DataFrame, ties: int) -> DataFrame:
+    """d, start, end of the matching windows of grams with few strings, by longest previous factors.
+
+    The strings of a gram follow one another in a partition, as the window that counted them has left them.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -242,91 +308,76 @@ def _sorted_matches(strings: DataFrame, parts: int) -> DataFrame:
             yield found(pd.concat(held))
 
     def found(rows: pd.DataFrame) -> pd.DataFrame:
-        d, t, start = rows["d"].to_numpy(), rows["t"].to_numpy(), rows["start"].to_numpy()
-        hits = matches(rows["gram"].to_numpy().astype(np.int64).view(np.uint64), [bytes(s) for s in rows["s"]], d)
+        d, start = rows["d"].to_numpy(), rows["start"].to_numpy()
+        grams = rows["gram"].to_numpy().astype(np.int64).view(np.uint64)
         out = []
-        for i, hit in enumerate(hits):
+        for i, hit in enumerate(matches(grams, [bytes(s) for s in rows["s"]], d // ties)):
             if hit.any():
                 edge = np.flatnonzero(np.diff(np.r_[False, hit, False].astype(np.int8)))
-                out.extend((d[i], t[i], start[i] + a, start[i] + b - 1 + LENGTH) for a, b in edge.reshape(-1, 2))
-        return pd.DataFrame(out, columns=["d", "t", "start", "end"])
+                out.extend((d[i], start[i] + a, start[i] + b - 1 + LENGTH) for a, b in edge.reshape(-1, 2))
+        return pd.DataFrame(out, columns=["d", "start", "end"])
 
-    return dealt.mapInPandas(run, "d long, t int, start long, end long")
+    return strings.select("gram", "d", "start", "s").mapInPandas(run, "d long, start long, end long")
 
 
-def _dealt_matches(strings: DataFrame) -> DataFrame:
+def _dealt_matches(strings: DataFrame, ties: int) -> DataFrame:
     """The same for grams with very many strings: windows meet by content and the smallest doc_id is the first."""
     places = F.sequence(F.lit(0), F.octet_length("s") - LENGTH)
-    windows = strings.select("d", "t", "start", "s", F.explode(places).alias("i")).select(
-        "d", "t", (F.col("start") + F.col("i")).alias("start"), F.substring("s", F.col("i") + 1, F.lit(LENGTH)).alias("w")
+    windows = strings.select("d", "start", "s", F.explode(places).alias("i")).select(
+        "d", _id_of(ties).alias("id"), (F.col("start") + F.col("i")).alias("start"), F.substring("s", F.col("i") + 1, F.lit(LENGTH)).alias("w")
     )
-    least = windows.groupBy("w").agg(F.min("d").alias("first"))
-    return windows.join(least, "w").where("d > first").select("d", "t", "start", (F.col("start") + LENGTH).alias("end"))
-
-
-def removed_spans(texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """d, t, start, end: intervals, possibly overlapping, that cover what goes from each text (d, t, z)."""
-    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shared = scratch.write(_shared_runs(_runs(texts)))
-    by_run = Window.partitionBy("gram", "run")
-    placed = shared.withColumn("_first", F.min("d").over(by_run))
-    whole = placed.where("d > _first").select("d", "t", "start", (F.col("start") + F.col("n") + LENGTH - 1).alias("end"))
-    wanted = placed.where("open AND d = _first").select("gram", "run", "d", "t", "start", "n")
-    strings = scratch.write(_strings(wanted, texts))
-    many = strings.groupBy("gram").agg(F.count("*").alias("_n")).withColumn("_many", F.col("_n") > TOGETHER)
-    sized = strings.join(many.select("gram", "_many"), "gram")
-    few, crowd = sized.where("NOT _many"), sized.where("_many")
-    edges = _sorted_matches(few.drop("_many"), parts).unionByName(_dealt_matches(crowd))
-    return whole.unionByName(edges)
+    least = windows.groupBy("w").agg(F.min("id").alias("first"))
+    return windows.join(least, "w").where("id > first").select("d", "start", (F.col("start") + LENGTH).alias("end"))
+
+
+def _spans_of(packed: DataFrame, shared: DataFrame, ties: int) -> DataFrame:
+    """d, start, end: intervals, possibly overlapping, that cover what goes. An end of null is the end of the text."""
+    whole = shared.where("settled").select("d", "start", F.expr(f"IF(n = 0, NULL, start + n + {LENGTH - 1})").alias("end"))
+    strings = _cut(packed, shared.where("NOT settled").select("d", "start", "n", "gram"))
+    counted = strings.withColumn("_n", F.count("*").over(Window.partitionBy("gram")))
+    few = _sorted_matches(counted.where(F.col("_n") <= TOGETHER), ties)
+    return whole.unionByName(few).unionByName(_dealt_matches(counted.where(F.col("_n") > TOGETHER), ties))
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row; ``kept`` too, the remaining bytes, if asked for."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "suffix-dedup")
-    slim, texts = _texts(docs, doc_id, text)
-    table = f"texts_{uuid.uuid4().hex}"
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = texts.select("d", F.conv(F.substring(F.hex("sha"), 1, 7), 16, 10).cast("int").alias("t"), "sha", "z")
-    (
-        keyed.repartition(parts, "d", "t").write.bucketBy(parts, "d", "t").option("path", f"{scratch.base}/texts")
-        .saveAsTable(table)
-    )
-    stored = spark.table(table)
-    spans = removed_spans(stored, scratch).groupBy("d", "t").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    both = stored.join(spans, ["d", "t"], "left").select("sha", "d", "z", "spans")
+    scratch = Scratch(docs.sparkSession, "suffix-dedup")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts, ties = _numbered(docs, scratch, doc_id, text)
+    shared = scratch.write(_shared_runs(_runs(texts, ties), ties, parts))
+    packed = _packed(texts, ties, parts)
+    spans = _spans_of(packed, shared, ties).groupBy("d").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    both = packed.join(spans, "d", "left").select("d", "z", "spans")
+    types = {"d": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "sha": pa.binary(), "kept": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpacker = zstandard.ZstdDecompressor()
         for batch in batches:
             for part in range(0, batch.num_rows, 256):
-                few = batch.slice(part, 256)
                 rows = []
-                for sha, d, z, spans in zip(*(c.to_pylist() for c in few.columns), strict=True):
-                    kept, removed, n = unpacker.decompress(z), 0, 0
-                    if spans:
-                        a, b = _spans(np.array([s["start"] for s in spans]), np.array([s["end"] for s in spans]))
-                        cuts = np.r_[0, np.stack([a, b], 1).ravel(), len(kept)].tolist()
-                        kept = b"".join(kept[i:j] for i, j in zip(cuts[::2], cuts[1::2], strict=True))
-                        removed, n = int((b - a).sum()), len(a)
-                    rows.append((sha, d, removed, n, hashlib.sha256(kept).digest(), kept if with_text else None))
-                columns = list(zip(*rows, strict=True)) or [()] * 6
-                types = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(columns, types, strict=True)], names=["sha", "d", "gone", "n_spans", "kept_sha", "kept"]
-                )
-
-    done = scratch.write(both.mapInArrow(run, "sha binary, d long, gone long, n_spans long, kept_sha binary, kept binary"))
-    spark.sql(f"DROP TABLE {table}")
-    rows = slim.join(done, "sha", "left")
-    later = F.col("doc_id") > F.col("d")
-    own = F.col("doc_id") == F.col("d")
-    result = rows.select(
-        "doc_id",
-        "n_bytes",
-        F.when(later, F.col("n_bytes")).when(own, F.col("gone")).otherwise(F.lit(0)).alias("n_removed"),
-        F.when(later, F.lit(1)).when(own, F.col("n_spans")).otherwise(F.lit(0)).cast("long").alias("n_spans"),
-        F.lower(F.hex(F.when(later, F.lit(EMPTY_SHA)).when(own, F.col("kept_sha")).otherwise(F.col("sha")))).alias("kept_sha256"),
-        *([F.when(later, F.lit(b"")).when(own, F.col("kept")).alias("kept")] if with_text else []),
+                for d, z, spans in zip(*(c.to_pylist() for c in batch.slice(part, 256).columns), strict=True):
+                    n, kept, cut = int.from_bytes(z[:4], "little"), b"", [(0, None)]
+                    if len(z) > 4:
+                        kept = unpacker.decompress(z[4:])
+                        cut = [(s["start"], s["end"]) for s in spans or ()]
+                    removed = 0
+                    if cut:
+                        a, b = _spans(np.array([a for a, _ in cut]), np.array([n if b is None else b for _, b in cut]))
+                        edges = np.r_[0, np.stack([a, b], 1).ravel(), n].tolist()
+                        kept = b"".join(kept[i:j] for i, j in zip(edges[::2], edges[1::2], strict=True))
+                        removed, cut = int((b - a).sum()), a
+                    rows.append((d, n, removed, len(cut), hashlib.sha256(kept).digest(), kept if with_text else None))
+                yield _batch(rows, types)
+
+    done = both.mapInArrow(run, "d long, n_bytes long, n_removed long, n_spans long, sha binary, kept binary")
+    nameless = texts.where("d IS NULL").select(
+        F.lit(None).cast("long").alias("d"),
+        F.octet_length("text").cast("long").alias("n_bytes"),
+        F.lit(0).cast("long").alias("n_removed"),
+        F.lit(0).cast("long").alias("n_spans"),
+        F.unhex(F.sha2("text", 256)).alias("sha"),
+        F.encode("text", "UTF-8").alias("kept"),
+    )
+    return done.unionByName(nameless).select(
+        _id_of(ties).alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.lower(F.hex("sha")).alias("kept_sha256"), *(["kept"] if with_text else [])
     )
-    return result
