@@ -258,7 +258,9 @@ def _packed(texts: DataFrame, ties: int, parts: int) -> DataFrame:
                 z.append(len(text).to_bytes(4, "little") + (b"" if later else packer.compress(text)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(z, pa.binary())], names=["d", "z"])
 
-    return texts.where("d IS NOT NULL").select("d", "text").mapInArrow(run, "d long, z binary").repartition(parts, "d")
+    sent = texts.where("d IS NOT NULL").select("d", "text").mapInArrow(run, "d long, z binary")
+    # The joins on d would add this filter on one side only, and the two shuffles of the texts would not be one.
+    return sent.where("d IS NOT NULL").repartition(parts, "d")
 
 
 def _cut(packed: DataFrame, wanted: DataFrame) -> DataFrame:
