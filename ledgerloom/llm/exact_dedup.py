@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.shared import Scratch, ascii_lower, whole_text
+from ledgerloom.llm.shared import Scratch, ascii_lower, row_keyed, rows_at, whole_text
 
 BLOCK = 16_384
 #: A block that makes up more than this share of all blocks is hot and is named in salted steps. At most 1 / HOT_SHARE
@@ -89,12 +89,15 @@ def identities(docs: DataFrame, block: int = BLOCK, doc_id: str = "doc_id", text
     return done, scratch
 
 
-def groups(docs: DataFrame, block: int = BLOCK, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, and the row's ``_row``.
+def groups(
+    docs: DataFrame, block: int = BLOCK, doc_id: str = "doc_id", text: str = "text", row: Column | None = None
+) -> DataFrame:
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, and ``_row``, its key.
 
     Groups are reduced to their largest (doc_id, row) before anything meets, so a group of any size is two numbers.
     """
-    rows = docs.select(doc_id, text, F.monotonically_increasing_id().alias("_row"))
+    key = F.monotonically_increasing_id() if row is None else row
+    rows = docs.select(doc_id, text, key.alias("_row"))
     named, _ = identities(rows, block, doc_id, text)
     keep: Column = F.max(F.struct("doc_id", "_row"))
     best = named.groupBy("n_blocks", "name").agg(keep.alias("keep"), F.count("*").alias("group_size"))
@@ -109,7 +112,6 @@ def groups(docs: DataFrame, block: int = BLOCK, doc_id: str = "doc_id", text: st
 
 
 def kept_rows(docs: DataFrame, block: int = BLOCK, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns. ``docs`` must be a scan of a written table."""
-    stay = groups(docs, block, doc_id, text).where("kept").select("_row")
-    packed = docs.select(F.struct(*docs.columns).alias("_doc"), F.monotonically_increasing_id().alias("_row"))
-    return packed.join(stay, "_row", "left_semi").select("_doc.*")
+    """The rows of ``docs`` that stay, with all their columns."""
+    docs, key = row_keyed(docs, Scratch(docs.sparkSession, "exact-dedup-rows"))
+    return rows_at(docs, key, groups(docs, block, doc_id, text, key).where("kept").select("_row"))

@@ -16,7 +16,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.shared import WORD, Scratch, whole_text
+from ledgerloom.llm.shared import WORD, Scratch, row_keyed, rows_at, whole_text
 
 MARGINS = ("source", "lang", "topic")
 NONE = "(none)"
@@ -118,6 +118,7 @@ def mix(
     seed: int = 20240229,
     doc_id: str = "doc_id",
     text: str = "text",
+    row: Column | None = None,
 ) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, weight, probability, sampled, and ``_row``, for every row of ``docs``.
 
@@ -135,7 +136,7 @@ def mix(
             (default_topic(body) if topic is None else F.coalesce(topic, F.lit(NONE))).alias("topic"),
             F.regexp_count(body, F.lit(WORD)).cast("long").alias("n_tokens"),
             draw.alias("_draw"),
-            F.monotonically_increasing_id().alias("_row"),
+            (F.monotonically_increasing_id() if row is None else row).alias("_row"),
         )
     )
     cells = scratch.write(slim.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")))
@@ -148,7 +149,6 @@ def mix(
 
 
 def sampled_rows(docs: DataFrame, **options) -> DataFrame:
-    """The sampled rows of ``docs`` with all their columns. ``docs`` must be a scan of a written table."""
-    stay = mix(docs, **options).where("sampled").select("_row")
-    packed = docs.select(F.struct(*docs.columns).alias("_doc"), F.monotonically_increasing_id().alias("_row"))
-    return packed.join(stay, "_row", "left_semi").select("_doc.*")
+    """The sampled rows of ``docs`` with all their columns."""
+    docs, key = row_keyed(docs, Scratch(docs.sparkSession, "mixing-rows"))
+    return rows_at(docs, key, mix(docs, row=key, **options).where("sampled").select("_row"))

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +42,30 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def row_keyed(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, Column]:
+    """``docs`` and a key of its rows that is the same in every scan: the file and the place in it.
+
+    Numbers given at run time would depend on how a scan is split, which changes with the executors there are. What is no
+    plain scan of Parquet files is written first.
+    """
+
+    def key(df: DataFrame) -> Column:
+        place = df.metadataColumn("_metadata")
+        return F.struct(F.xxhash64(place["file_path"]).alias("file"), place["row_index"].alias("row"))
+
+    try:
+        docs.select(key(docs))
+    except AnalysisException:
+        docs = scratch.write(docs)
+    return docs, key(docs)
+
+
+def rows_at(docs: DataFrame, key: Column, places: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``key`` is among ``places._row``, with all their columns."""
+    packed = docs.select(F.struct(*docs.columns).alias("_doc"), key.alias("_row"))
+    return packed.join(places, "_row", "left_semi").select("_doc.*")
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lowered and nothing else. ``lower`` does that alone only where every character is ASCII."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.components import components
-from ledgerloom.llm.shared import Scratch, slices
+from ledgerloom.llm.shared import Scratch, row_keyed, rows_at, slices
 
 SEED = 42
 SHINGLE = 4
@@ -198,12 +198,11 @@ def as_hex(name: str = "fp"):
 
 
 def representative_rows(docs: DataFrame, max_bits: int = MAX_BITS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each component, the one with its smallest doc_id, with all columns. ``docs``: a scan of a written table.
+    """One row of each component, the one with its smallest doc_id, with all columns.
 
     A row without doc_id stays only where its component has no other; of rows that repeat the smallest doc_id one stays.
     """
-    key = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.monotonically_increasing_id().alias("row"))
+    docs, place = row_keyed(docs, Scratch(docs.sparkSession, "simhash-rows"))
+    key = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), place.alias("row"))
     found = near_duplicates(docs.select(key.alias("key"), text), max_bits, "key", text)
-    stay = found.select(F.col("component_id.row").alias("_row")).distinct()
-    packed = docs.select(F.struct(*docs.columns).alias("_doc"), F.monotonically_increasing_id().alias("_row"))
-    return packed.join(stay, "_row", "left_semi").select("_doc.*")
+    return rows_at(docs, place, found.select(F.col("component_id.row").alias("_row")).distinct())
