@@ -96,8 +96,8 @@ def topk_per_collection(t):
 
 @query("topk_grid", TOPK + "SELECT question_id, collection, chunk_id, round(score, 6) AS score, rn FROM topk")
 def topk_grid(t):
-    """The same search by the block grid that serves question tables too large to broadcast."""
-    return rounded(V.top_k(probes(t.embeddings), vectors(t.embeddings), TOP, SOFT, broadcast_bytes=0), "rn")
+    """The same search in the blocks that serve question tables too large to broadcast at once."""
+    return rounded(V.top_k(probes(t.embeddings), vectors(t.embeddings), TOP, SOFT, broadcast_bytes=4096), "rn")
 
 
 @query(

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -25,14 +28,19 @@ def local_session(app: str = "ledgerloom", cpus: int | str = "*", shuffle_partit
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder every executor can reach.
+    """A fresh folder every executor can reach, below ``spark.checkpoint.dir`` or the folder set on the context.
 
-    The cluster names its shared folder in ``spark.checkpoint.dir``. Only where that
-    is unset (tests, laptops) does a temporary folder stand in for it.
+    Only a local master, where driver and executors are one process, falls back to a temporary folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        set_on_context = spark.sparkContext._jsc.sc().getCheckpointDir()
+        base = set_on_context.get() if set_on_context.isDefined() else None
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="ledgerloom-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 

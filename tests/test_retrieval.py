@@ -30,15 +30,32 @@ def brute(asks, vecs, names, k, floor):
     return out
 
 
-@pytest.mark.parametrize("limit", [V.BROADCAST_BYTES, 0])
-@pytest.mark.parametrize("hot", [0.0, 0.5])
-def test_top_k_equals_brute_force(spark, limit, hot, monkeypatch):
-    monkeypatch.setattr(V, "QUESTION_BLOCK", 4)
-    monkeypatch.setattr(V, "CHUNK_BLOCK", 50)
+@pytest.mark.parametrize("limit", [V.BROADCAST_BYTES, 300, 0])
+@pytest.mark.parametrize(("hot", "adaptive"), [(0.0, "true"), (0.5, "false")])
+def test_top_k_equals_brute_force(spark, limit, hot, adaptive, monkeypatch):
+    monkeypatch.setattr(V, "HELD_ROWS", 40)
     monkeypatch.setattr(V, "SCORE_CELLS", 64)
-    questions, chunks, asks, vecs, names = random_space(spark, 300, 9, hot)
-    got = V.top_k(questions, chunks.repartition(7), 4, 0.2, broadcast_bytes=limit).collect()
-    assert {(r.question_id, r.collection, r.chunk_id) for r in got} == brute(asks, vecs, names, 4, 0.2)
+    settings = {
+        "spark.sql.adaptive.enabled": adaptive, "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "17",
+    }
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        questions, chunks, asks, vecs, names = random_space(spark, 300, 9, hot)
+        got = V.top_k(questions, chunks.repartition(7), 4, 0.2, broadcast_bytes=limit).collect()
+        assert len(got) == len({(r.question_id, r.collection, r.chunk_id) for r in got})
+        assert {(r.question_id, r.collection, r.chunk_id) for r in got} == brute(asks, vecs, names, 4, 0.2)
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_partial_hits_stay_near_the_result(spark):
+    chunks = spark.range(20_000).selectExpr("id AS chunk_id", "concat('c', id % 2000) AS collection", "array(sin(id), cos(id)) AS embedding").repartition(4)
+    questions = spark.range(5).selectExpr("id AS question_id", "'all' AS scope", "array(sin(id), cos(id)) AS qvec")
+    assert V.partial_hits(questions, chunks, 2, -1.0).count() <= 4 * 5 * 2000 * 2
 
 
 def test_copies_tie_by_id_and_scope_limits(spark):
