@@ -244,19 +244,27 @@ def html_embedded_json(t):
     "toc_flatten",
     """WITH o AS (SELECT o_orderkey AS k, 'C' || (o_custkey % 9) AS course FROM orders)
 SELECT course, k || '-1' AS topic_id, 'Top ' || k AS title, '/c/' || k || '/notes_a_.pdf' AS url, 'notes_a_.pdf' AS filename, 'Unit' AS module_path FROM o
-UNION ALL SELECT course, k || '-3', 'Deep', '/c/' || k || '/deep.docx', 'deep.docx', 'Unit > Part > Detail' FROM o WHERE k % 2 = 0""",
+UNION ALL SELECT course, k || '-3', 'Deep', '/c/' || k || '/deep.docx', 'deep.docx', 'Unit > Part > Detail' FROM o WHERE k % 2 = 0
+UNION ALL SELECT course, k || '-5', 'Low', '/c/' || k || '/low.txt', 'low.txt', array_to_string(['Unit', 'Part'] || list_transform(range(1, 1 + k % 26), lambda i: 'N' || i), ' > ') FROM o""",
 )
 def toc_flatten(t):
-    """Three levels of modules; links and topics without a file name give no row."""
+    """Three levels of modules and a chain of up to 25 more; links and topics without a file name give no row."""
     topic = "struct('{t}' AS Title, {u} AS Url, '{k}' AS TypeIdentifier, {i} AS Identifier)"
     top = "struct(concat('Top ', o_orderkey) AS Title, concat('/c/', o_orderkey, '/notes:a?.pdf') AS Url, 'File' AS TypeIdentifier, concat(o_orderkey, '-1') AS Identifier)"
     link = topic.format(t="Doc", u="'https://x.org'", k="Link", i="concat(o_orderkey, '-2')")
     deep = topic.format(t="Deep", u="concat('/c/', o_orderkey, '/deep.docx')", k="File", i="concat(o_orderkey, '-3')")
     none = topic.format(t="None", u="'plain'", k="File", i="concat(o_orderkey, '-4')")
-    detail = f"struct('Detail' AS Title, if(o_orderkey % 2 = 0, array({deep}, {none}), array({none})) AS Topics)"
-    part = f"struct('Part' AS Title, array({link}) AS Topics, array({detail}) AS Modules)"
-    raw = t.orders.selectExpr("concat('C', o_custkey % 9) AS course", f"to_json(struct(array(struct('Unit' AS Title, array({top}) AS Topics, array({part}) AS Modules)) AS Modules)) AS payload")
-    return P.content_topics(raw, depth=5).withColumn("url", F.expr("regexp_replace(url, 'notes:a.\\\\.pdf', 'notes_a_.pdf')"))
+    low = topic.format(t="Low", u="concat('/c/', o_orderkey, '/low.txt')", k="File", i="concat(o_orderkey, '-5')")
+    detail = f"to_json(struct('Detail' AS Title, if(o_orderkey % 2 = 0, array({deep}, {none}), array({none})) AS Topics))"
+    module = '{"Title":"%s","Topics":%s,"Modules":[%s]}'
+    # Text, not structs: the chain of modules is as long as the row says.
+    chain = (
+        f"aggregate(reverse(sequence(0, cast(o_orderkey % 26 AS int))), '', (a, i) -> printf('{module}', if(i = 0, 'Part', concat('N', i)),"
+        f" if(i = o_orderkey % 26, to_json(array({low})), '[]'), concat_ws(',', nullif(a, ''), if(i = 0, {detail}, null))))"
+    )
+    unit = f"""concat('{{"Modules":[', printf('{module}', 'Unit', to_json(array({top}, {link})), {chain}), ']}}')"""
+    raw = t.orders.selectExpr("concat('C', o_custkey % 9) AS course", f"{unit} AS payload")
+    return P.content_topics(raw).withColumn("url", F.expr("regexp_replace(url, 'notes:a.\\\\.pdf', 'notes_a_.pdf')"))
 
 
 @query(

@@ -5,6 +5,10 @@ Reading is tolerant: unknown fields are ignored, unreadable dates drop the item,
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +22,9 @@ PROCTOR = "'(?i)^\\\\s*proctoring enabled:\\\\s*'"
 # Grade objects that only sum up other ones.
 AGGREGATE_TYPES = (5, 7, 8, 9)
 VHL_DUE = "12:55"
+TOPIC_ARROW = pa.schema(
+    [("course", pa.string()), ("path", pa.list_(pa.string())), *((n, pa.string()) for n in ("Title", "Url", "TypeIdentifier", "Identifier"))]
+)
 
 
 def window(column: str, today: str, cap: str | None = None) -> str:
@@ -132,28 +139,50 @@ def embedded_summaries(pages: DataFrame) -> DataFrame:
     )
 
 
-def content_topics(raw: DataFrame, kind: str = "File", depth: int = 12) -> DataFrame:
+def _topics_of(payload: str | None) -> Iterator[tuple]:
+    """(path, Title, Url, TypeIdentifier, Identifier) of every topic of one content tree, of any depth."""
+    try:
+        tree = json.loads(payload or "null")
+    except ValueError:
+        return
+    text = lambda v: v if v is None or isinstance(v, str) else json.dumps(v)
+    modules = lambda node: node.get("Modules") if isinstance(node, dict) and isinstance(node.get("Modules"), list) else []
+    open_modules = [((), m) for m in reversed(modules(tree))]
+    while open_modules:
+        path, module = open_modules.pop()
+        if not isinstance(module, dict):
+            continue
+        path = (*path, text(module.get("Title")) or "")
+        for topic in module.get("Topics") or ():
+            if isinstance(topic, dict):
+                yield path, *(text(topic.get(k)) for k in ("Title", "Url", "TypeIdentifier", "Identifier"))
+        open_modules.extend((path, m) for m in reversed(modules(module)))
+
+
+def content_topics(raw: DataFrame, kind: str = "File") -> DataFrame:
     """Topics of one kind in a content tree with the path of modules above them. raw (course, payload).
 
-    The tree is opened level by level; nested modules stay JSON text until their level is reached. A tree deeper
-    than ``depth`` fails the job instead of losing its lower levels.
+    A tree has no fixed depth, so it is walked in an Arrow function, one pass over each payload.
     """
-    shape = "array<struct<Title: string, Topics: array<struct<Title: string, Url: string, TypeIdentifier: string, Identifier: string>>, Modules: string>>"
-    level = raw.select("course", F.expr("cast(array() AS array<string>) AS path"), F.expr("get_json_object(payload, '$.Modules') AS modules"))
-    found = None
-    for _ in range(depth):
-        opened = level.select("course", "path", F.expr(f"explode(from_json(modules, '{shape}')) AS m")).selectExpr(
-            "course", "array_append(path, coalesce(m.Title, '')) AS path", "m.Topics AS topics", "m.Modules AS modules"
-        )
-        topics = opened.select("course", "path", F.explode("topics").alias("t")).selectExpr("course", "path", "t.*")
-        found = topics if found is None else found.unionByName(topics)
-        level = opened.where("modules IS NOT NULL AND modules <> '[]'").select("course", "path", "modules")
-    deeper = level.selectExpr(
-        "course", "path", "cast(raise_error('content tree deeper than expected') AS string) AS Title", "'' AS Url", "'' AS TypeIdentifier", "'' AS Identifier"
-    )
-    rows = found.unionByName(deeper).where(f"TypeIdentifier = '{kind}'").selectExpr(
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [
+                (course, list(path), *topic)
+                for course, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+                for path, *topic in _topics_of(payload)
+                if topic[2] == kind
+            ]
+            columns = list(zip(*rows)) or [()] * len(TOPIC_ARROW)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, TOPIC_ARROW)], schema=TOPIC_ARROW)
+
+    topics = raw.select(F.col("course").cast("string"), "payload").mapInArrow(
+        run, "course string, path array<string>, Title string, Url string, TypeIdentifier string, Identifier string"
+    )
+    name = X.safe_filename("coalesce(Url, '')")
+    rows = topics.selectExpr(
         "course", "Identifier AS topic_id", "trim(coalesce(Title, '')) AS title", "coalesce(Url, '') AS url",
-        f"{X.safe_filename('''coalesce(Url, '')''')} AS filename", "array_join(filter(path, p -> p <> ''), ' > ') AS module_path",
+        f"{name} AS filename", "array_join(filter(path, p -> p <> ''), ' > ') AS module_path",
     )
     return rows.where("filename <> ''") if kind == "File" else rows
 
