@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,7 +25,6 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +38,8 @@ TOKEN = re.compile(r"\w+|[.!?\n]+")
 BREAKS = ".!?\n"
 CACHE = 500_000
 FLOOR = 1e-9
+#: Odd constants that mix the three words of a context.
+C1, C2, C3 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -86,18 +88,20 @@ def marginals(emission: np.ndarray, sizes: np.ndarray, trans: np.ndarray) -> np.
     return odds / (1 + odds)
 
 
-def _pair_expectations(emission, sizes, trans, p):
-    """Expected counts of the four transitions over all chains."""
+def _expectations(emission: np.ndarray, sizes: np.ndarray, trans: np.ndarray):
+    """Marginals, expected counts of the four transitions, and the tokens that start a pair."""
     gain = np.exp(np.clip(emission, -30, 30))
     forward, backward = _walk(gain, sizes, trans)
-    ends = np.cumsum(sizes)
-    inner = np.ones(len(p), bool)
-    inner[ends[sizes > 0] - 1] = False  # last tokens start no pair
+    odds = forward * backward
+    inner = np.ones(len(gain), bool)
+    inner[np.cumsum(sizes) - 1] = False  # last tokens start no pair
     i = np.flatnonzero(inner)
-    left = np.stack([1 / (1 + forward[i]), forward[i] / (1 + forward[i])])
-    ahead = np.stack([np.ones(len(i)), gain[i + 1] * backward[i + 1]])
-    joint = left[:, None] * np.exp(trans)[:, :, None] * ahead[None]
-    return (joint / joint.sum((0, 1))).sum(2), i
+    left, ahead = (1 / (1 + forward[i]), forward[i] / (1 + forward[i])), (1.0, gain[i + 1] * backward[i + 1])
+    a = np.exp(trans)
+    joint = [[left[x] * a[x, y] * ahead[y] for y in (0, 1)] for x in (0, 1)]
+    total = joint[0][0] + joint[0][1] + joint[1][0] + joint[1][1]
+    pairs = np.array([[(joint[x][y] / total).sum() for y in (0, 1)] for x in (0, 1)])
+    return odds / (1 + odds), pairs, i
 
 
 @dataclass
@@ -119,17 +123,21 @@ def _document_features(top: float, expected: float) -> np.ndarray:
     return np.array([1.0, np.log(top / (1 - top)), np.log1p(expected)])
 
 
-def chains(text: str) -> list[list[str]]:
-    """Sentences of a text as lists of words."""
-    out, now = [], []
-    for token in TOKEN.findall(text):
-        if token[0] in BREAKS:
-            if now:
-                out.append(now)
-            now = []
-        else:
-            now.append(token)
-    return [*out, now] if now else out
+def indexed(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Different lower-case words, then word number by token, tokens by sentence, and text number by sentence."""
+    words: dict[str, int] = {}
+    ids, sizes, owner = array("i"), array("i"), array("i")
+    for k, text in enumerate(texts):
+        n = 0
+        for token in [*TOKEN.findall(text), BREAKS]:
+            if token[0] not in BREAKS:
+                ids.append(words.setdefault(token.lower(), len(words)))
+                n += 1
+            elif n:
+                sizes.append(n)
+                owner.append(k)
+                n = 0
+    return list(words), *(np.frombuffer(x, np.int32).astype(np.int64) for x in (ids, sizes, owner))
 
 
 def _stems(low: str) -> list[str]:
@@ -137,66 +145,53 @@ def _stems(low: str) -> list[str]:
     return ["=" + low] + [low[:k] for k in STEMS if len(low) >= k]
 
 
-def markers(toxic: list[list[list[str]]], clean: list[list[list[str]]]) -> set[str]:
-    """Words and stems that tell toxic from clean documents, far beyond chance.
+def markers(words: list[str], ids: np.ndarray, sizes: np.ndarray, toxic: np.ndarray) -> set[str]:
+    """Words and stems that tell tokens of toxic documents from those of clean ones, far beyond chance.
 
     What is counted are different (word before, word, word after), so copies of a passage count once. Chance is the toxic
     share of all that is counted; the bound on its tail, times the number of stems tried, must stay below one in a hundred.
     """
-    counts: list[Counter] = []
-    for docs in (clean, toxic):
-        seen: set[int] = set()
-        count: Counter = Counter()
-        for doc in docs:
-            for chain in doc:
-                low = ["", *(w.lower() for w in chain), ""]
-                for before, word, after in zip(low, low[1:], low[2:], strict=False):
-                    context = xxhash.xxh64_intdigest(f"{before} {word} {after}")
-                    if context not in seen:
-                        seen.add(context)
-                        count.update(_stems(word))
-        count[""] = len(seen)
-        counts.append(count)
-    in_clean, in_toxic = counts
-    base = in_toxic[""] / max(in_toxic[""] + in_clean[""], 1)
-    needed = log(100 * len(in_toxic))
+    before, after = np.r_[-1, ids[:-1]], np.r_[ids[1:], -1]
+    ends = np.cumsum(sizes)
+    before[ends - sizes], after[ends - 1] = -1, -1
+    mixed = [x.astype(np.uint64) * np.uint64(m) for x, m in zip((before, ids, after), (C1, C2, C3), strict=True)]
+    context = (mixed[0] ^ (mixed[1] >> np.uint64(7)) ^ mixed[1]) * np.uint64(C2) ^ mixed[2] ^ (mixed[2] >> np.uint64(11))
+    counts = []
+    for of_class in (~toxic, toxic):
+        at = np.flatnonzero(of_class)
+        once = at[np.unique(context[at], return_index=True)[1]]
+        counts.append(np.bincount(ids[once], minlength=len(words)))
+    in_clean, in_toxic = Counter(), Counter()
+    for word, c, t in zip(words, *(n.tolist() for n in counts), strict=True):
+        for stem in _stems(word):
+            in_clean[stem] += c
+            in_toxic[stem] += t
+    n_clean, n_toxic = (max(int(n.sum()), 1) for n in counts)
+    base = n_toxic / (n_toxic + n_clean)
+    needed = log(100 * max(len(in_toxic), 1))
     out = set()
     for stem, n in in_toxic.items():
-        share = n / (n + in_clean[stem])
-        if not stem or share <= base or n / in_toxic[""] < 12 * in_clean[stem] / max(in_clean[""], 1):
+        if not n or n / n_toxic < 12 * in_clean[stem] / n_clean:
             continue
-        rest = (1 - share) * log((1 - share) / (1 - base)) if share < 1 else 0.0
-        if (n + in_clean[stem]) * (share * log(share / base) + rest) > needed:
-            out.add(stem)
+        share = n / (n + in_clean[stem])
+        if share > base:
+            rest = (1 - share) * log((1 - share) / (1 - base)) if share < 1 else 0.0
+            if (n + in_clean[stem]) * (share * log(share / base) + rest) > needed:
+                out.add(stem)
     return out
 
 
-def _marked(low: str, marks: set[str]) -> bool:
-    return any(stem in marks for stem in _stems(low))
-
-
 def train(texts: list[str], toxic: list[int], steps: int = 50, l2: float = 0.02) -> Model | None:
     """The field and the document score from labelled texts; None unless both classes occur."""
-    docs = list(dict(zip(texts, toxic, strict=True)).items())  # copies count once
-    split = [(chains(t), y) for t, y in docs]
-    tox, clean = [d for d, y in split if y], [d for d, y in split if not y]
-    if not tox or not clean:
+    docs = dict(zip(texts, toxic, strict=True))  # copies count once
+    labels = np.array(list(docs.values()), bool)
+    if labels.all() or not labels.any():
         return None
-    marks = markers(tox, clean)
-    words: dict[str, int] = {}
-    known: dict[str, bool] = {}
-    ids, tags, sizes, owner = [], [], [], []
-    for k, (doc, y) in enumerate(split):
-        for chain in doc:
-            for w in chain:
-                low = w.lower()
-                if low not in known:
-                    known[low] = _marked(low, marks)
-                ids.append(words.setdefault(low, len(words)))
-                tags.append(y and known[low])
-            sizes.append(len(chain))
-            owner.append(k)
-    ids, tags, sizes = np.array(ids, np.int64), np.array(tags, np.float64), np.array(sizes, np.int64)
+    words, ids, sizes, owner = indexed(list(docs))
+    of_toxic = np.repeat(labels[owner], sizes)
+    marks = markers(words, ids, sizes, of_toxic)
+    marked = np.array([any(stem in marks for stem in _stems(w)) for w in words], bool)
+    tags = (of_toxic & marked[ids]).astype(np.float64)
     table = np.array([features(w) for w in words], np.int64)
     weights, trans = np.zeros(1 << SPACE_BITS), np.zeros((2, 2))
     weights[0] = -2.0
@@ -204,8 +199,7 @@ def train(texts: list[str], toxic: list[int], steps: int = 50, l2: float = 0.02)
     pairs_seen = None
     for step in range(1, steps + 1):
         emission = weights[table].sum(1)[ids]
-        p = marginals(emission, sizes, trans)
-        pairs, inner = _pair_expectations(emission, sizes, trans, p)
+        p, pairs, inner = _expectations(emission, sizes, trans)
         if pairs_seen is None:
             code = (2 * tags[inner] + tags[inner + 1]).astype(int)
             pairs_seen = np.bincount(code, minlength=4).reshape(2, 2)
@@ -217,17 +211,17 @@ def train(texts: list[str], toxic: list[int], steps: int = 50, l2: float = 0.02)
             fast += 0.01 * (g * g - fast)
             value += 0.25 * (slow / (1 - 0.9**step)) / (np.sqrt(fast / (1 - 0.99**step)) + 1e-8)
     p = marginals(weights[table].sum(1)[ids], sizes, trans)
-    return Model(weights.astype(np.float32), trans, _fit_document(p, sizes, np.array(owner), len(split), [y for _, y in split]))
+    return Model(weights.astype(np.float32), trans, _fit_document(p, sizes, owner, labels))
 
 
-def _fit_document(p, sizes, owner, n, labels) -> np.ndarray:
+def _fit_document(p: np.ndarray, sizes: np.ndarray, owner: np.ndarray, labels: np.ndarray) -> np.ndarray:
     """Logistic regression of the label on the document's marginals, by Newton steps, both classes weighing the same."""
-    by_doc = np.repeat(owner, sizes)
+    n, by_doc = len(labels), np.repeat(owner, sizes)
     top = np.zeros(n)
     np.maximum.at(top, by_doc, p)
     expected = np.bincount(by_doc, np.where(p > FLOOR, p, 0), minlength=n)
     x = np.stack([_document_features(t, e) for t, e in zip(top, expected, strict=True)])
-    y = np.array(labels, float)
+    y = labels.astype(float)
     share = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     w = np.zeros(x.shape[1])
     for _ in range(25):

@@ -68,10 +68,8 @@ def test_copies_do_not_make_markers():
     rows = corpus(400, seed=5)
     passage = "alpha betaword gammaword deltaword."
     texts = [t + (passage if y and i % 8 == 0 else "") for i, t, y in rows]
-    marks = toxicity.markers(
-        [toxicity.chains(t) for t, (*_, y) in zip(texts, rows, strict=True) if y],
-        [toxicity.chains(t) for t, (*_, y) in zip(texts, rows, strict=True) if not y],
-    )
+    words, ids, sizes, owner = toxicity.indexed(texts)
+    marks = toxicity.markers(words, ids, sizes, np.repeat(np.array([y for *_, y in rows], bool)[owner], sizes))
     assert "=betaword" not in marks and "=grubber" in marks and "slogg" in marks
 
 
