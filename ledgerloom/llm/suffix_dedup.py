@@ -17,8 +17,8 @@ only suffixes of runs with one gram can match. Then
 
 Grams with very many different strings are not sorted in one place: their windows are dealt out again by content, where
 equal windows meet and the smallest doc_id decides. Texts are shuffled once, compressed, to meet the runs to be cut from
-them and later the spans that go. Later copies of a text that one task sees are folded there. Everything spills; nothing
-is collected. Runs travel as three longs (48 bits of the gram's hash, 44 of the run's, start and length, document).
+them and later the spans that go. Later copies of a text that one task sees, and runs that an earlier document at hand has too, are settled there. Everything spills; nothing
+is collected. Runs travel as three longs (48 bits of the gram's hash, 43 of the run's, start and length, document).
 
 Texts are whole UTF-8 byte strings, at most 2^30 bytes each; null counts as empty. Rows that repeat a doc_id are not
 earlier than one another: they are numbered within it first. Rows without doc_id neither lose anything nor make others
@@ -34,6 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
@@ -44,10 +45,10 @@ from ledgerloom.llm.shared import Scratch, whole_text
 LENGTH = 50
 GRAM = 16
 #: Different strings of one gram that are sorted together; grams with more are dealt out by window.
-TOGETHER = 2000
+TOGETHER = 20_000
 SLICE = 4_000_000
-#: Bits of the packed run: gram and run hashes, number of windows, start.
-GRAM_BITS, RUN_BITS, COUNT_BITS, LOW_BITS = 48, 44, 6, 16
+#: Bits of the packed run: gram and run hashes, number of windows, start (low and high); one more says settled.
+GRAM_BITS, RUN_BITS, COUNT_BITS, LOW_BITS, HIGH_BITS = 48, 43, 6, 16, 14
 C1, C2, C3 = (np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9))
 
 
@@ -125,16 +126,33 @@ def matches(groups: np.ndarray, strings: list[bytes], docs: np.ndarray) -> list[
     data = np.frombuffer(b"".join(strings), np.uint8)
     first = np.cumsum([0, *(len(s) for s in strings[:-1])])
     place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + first[owner]
-    rows = np.lib.stride_tricks.sliding_window_view(data, LENGTH)[place]
-    tagged = np.concatenate([groups[owner].astype(">u8").view(np.uint8).reshape(-1, 8), rows], 1)
+    # Only windows whose hash occurs twice in their group can match; the others are not sorted.
+    grams = _gram_hashes(data)
+    hashed = _mix(groups[owner])
+    for offset in (0, GRAM, 2 * GRAM, LENGTH - GRAM):
+        hashed = _mix(hashed * C1 ^ grams[place + offset])
+    ranks = np.argsort(hashed)
+    same = np.r_[False, hashed[ranks[1:]] == hashed[ranks[:-1]]]
+    twice = np.zeros(len(hashed), bool)
+    twice[ranks] = same | np.r_[same[1:], False]
+    hit = np.zeros(len(hashed), bool)
+    hit[twice] = _in_earlier(groups[owner[twice]], np.lib.stride_tricks.sliding_window_view(data, LENGTH)[place[twice]], docs[owner[twice]])
+    return np.split(hit, np.cumsum(counts)[:-1])
+
+
+def _in_earlier(groups: np.ndarray, rows: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Which windows (rows of bytes) are also in their group with a smaller doc, by longest previous factors."""
+    if not len(rows):
+        return np.zeros(0, bool)
+    tagged = np.concatenate([groups.astype(">u8").view(np.uint8).reshape(-1, 8), rows], 1)
     order = np.argsort(np.ascontiguousarray(tagged).view(f"V{LENGTH + 8}").ravel(), kind="stable")
     ranked = tagged[order]
     same = ranked[1:] == ranked[:-1]
     shared = np.where(same.all(1), LENGTH + 8, same.argmin(1))
     lcp = np.r_[0, np.maximum(shared - 8, 0)]
     factor = np.empty(len(order), np.int64)
-    factor[order] = longest_previous_factors(lcp, docs[owner][order])
-    return np.split(factor >= LENGTH, np.cumsum(counts)[:-1])
+    factor[order] = longest_previous_factors(lcp, docs[order])
+    return factor >= LENGTH
 
 
 def _spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -177,11 +195,23 @@ class _Copies:
         return False
 
 
+def _settled_here(gram: np.ndarray, named: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which of these runs an earlier document among the same ones has too."""
+    key = gram ^ _mix(named.view(np.uint64)).view(np.int64)
+    order = np.argsort(key, kind="stable")
+    ranked = key[order]
+    heads = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
+    first = np.minimum.reduceat(ids[order], heads)
+    out = np.empty(len(key), bool)
+    out[order] = ids[order] > np.repeat(first, np.diff(np.r_[heads, len(key)]))
+    return out
+
+
 def _runs(texts: DataFrame, ties: int) -> DataFrame:
     """Packed runs (a, b, d) of all texts that are long enough.
 
-    a: gram hash and low bits of the start; b: run hash, number of windows, high bits of the start. A later copy sends its
-    first run only, with 0 windows, which stands for the whole text.
+    a: gram hash and low bits of the start; b: run hash, whether an earlier document at hand has the run, number of windows,
+    high bits of the start. A later copy sends its first run only, with 0 windows, which stands for the whole text.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,10 +237,14 @@ def _runs(texts: DataFrame, ties: int) -> DataFrame:
         use = ~of_copy | (start == 0)
         gram, named, owner, start = gram[use], named[use], owner[use], start[use]
         n = np.where(of_copy[use], 0, n[use])
+        d = whose[owner]
+        settled = _settled_here(gram, named, d // ties)
+        # Settled runs need no gram to meet at; a hash of their own spreads them, however frequent their gram is.
+        gram = np.where(settled, _mix((d * 64 + 1).view(np.uint64) ^ _mix(start.view(np.uint64))).view(np.int64), gram)
         low, high = start & ((1 << LOW_BITS) - 1), start >> LOW_BITS
         a = gram >> (64 - GRAM_BITS) << LOW_BITS | low
-        b = (named >> (64 - RUN_BITS) << COUNT_BITS | n) << (64 - RUN_BITS - COUNT_BITS) | high
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(whose[owner])], names=["a", "b", "d"])
+        b = ((named >> (64 - RUN_BITS) << 1 | settled) << COUNT_BITS | n) << HIGH_BITS | high
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(d)], names=["a", "b", "d"])
 
     long = texts.where(F.col("d").isNotNull() & (F.octet_length("text") >= LENGTH))
     return long.select("d", "text").mapInArrow(run, "a long, b long, d long")
@@ -222,14 +256,14 @@ def _shared_runs(runs: DataFrame, ties: int, parts: int) -> DataFrame:
     An equal run of an earlier document settles a run. Of the others those are wanted whose gram has different strings.
     """
     dealt = runs.repartition(parts, F.shiftright("a", LOW_BITS))
-    high = 64 - RUN_BITS - COUNT_BITS
     plain = dealt.select(
         F.shiftright("a", LOW_BITS).alias("gram"),
         F.shiftright("b", 64 - RUN_BITS).alias("run"),
         "d",
-        (F.shiftleft(F.col("b").bitwiseAND(F.lit((1 << high) - 1)), LOW_BITS) + F.col("a").bitwiseAND(F.lit((1 << LOW_BITS) - 1))).alias("start"),
-        F.shiftright("b", high).bitwiseAND(F.lit((1 << COUNT_BITS) - 1)).cast("int").alias("n"),
+        (F.shiftleft(F.col("b").bitwiseAND(F.lit((1 << HIGH_BITS) - 1)), LOW_BITS) + F.col("a").bitwiseAND(F.lit((1 << LOW_BITS) - 1))).alias("start"),
+        F.shiftright("b", HIGH_BITS).bitwiseAND(F.lit((1 << COUNT_BITS) - 1)).cast("int").alias("n"),
         _id_of(ties).alias("id"),
+        (F.shiftright("b", HIGH_BITS + COUNT_BITS).bitwiseAND(F.lit(1)) == 1).alias("done"),
     )
     by_gram, by_run = Window.partitionBy("gram"), Window.partitionBy("gram", "run")
     known = plain.withColumns(
@@ -238,8 +272,8 @@ def _shared_runs(runs: DataFrame, ties: int, parts: int) -> DataFrame:
             "last": F.max("id").over(by_gram),
             "open": F.min("run").over(by_gram) != F.max("run").over(by_gram),
         }
-    ).where("first < last")
-    settled = F.col("id") > F.min("id").over(by_run)
+    ).where("first < last OR done")
+    settled = F.col("done") | (F.col("id") > F.min("id").over(by_run))
     judged = known.withColumn("settled", settled).where("settled OR open")
     wanted = lambda name: F.when(~F.col("settled"), F.col(name)).alias(name)
     return judged.select("d", "start", "n", "settled", wanted("gram"), wanted("run"))
@@ -356,19 +390,28 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
         unpacker = zstandard.ZstdDecompressor()
         for batch in batches:
             for part in range(0, batch.num_rows, 256):
-                rows = []
-                for d, z, spans in zip(*(c.to_pylist() for c in batch.slice(part, 256).columns), strict=True):
-                    n, kept, cut = int.from_bytes(z[:4], "little"), b"", [(0, None)]
-                    if len(z) > 4:
+                few = batch.slice(part, 256)
+                spans = few.column(2)
+                flat = spans.flatten()
+                starts = flat.field("start").to_numpy(zero_copy_only=False)
+                ends = flat.field("end").fill_null(-1).to_numpy(zero_copy_only=False)
+                sizes = pc.fill_null(pc.list_value_length(spans), 0).to_pylist()
+                rows, at = [], 0
+                for d, z, size in zip(few.column(0).to_pylist(), few.column(1), sizes, strict=True):
+                    z = z.as_buffer()
+                    n, kept, removed, pieces = int.from_bytes(z[:4], "little"), b"", 0, 0
+                    a, b = starts[at : at + size], ends[at : at + size]
+                    at += size
+                    if z.size > 4:
                         kept = unpacker.decompress(z[4:])
-                        cut = [(s["start"], s["end"]) for s in spans or ()]
-                    removed = 0
-                    if cut:
-                        a, b = _spans(np.array([a for a, _ in cut]), np.array([n if b is None else b for _, b in cut]))
+                    else:  # a later copy
+                        a, b = np.zeros(1, np.int64), np.array([-1])
+                    if len(a):
+                        a, b = _spans(a, np.where(b < 0, n, b))
                         edges = np.r_[0, np.stack([a, b], 1).ravel(), n].tolist()
                         kept = b"".join(kept[i:j] for i, j in zip(edges[::2], edges[1::2], strict=True))
-                        removed, cut = int((b - a).sum()), a
-                    rows.append((d, n, removed, len(cut), hashlib.sha256(kept).digest(), kept if with_text else None))
+                        removed, pieces = int((b - a).sum()), len(a)
+                    rows.append((d, n, removed, pieces, hashlib.sha256(kept).digest(), kept if with_text else None))
                 yield _batch(rows, types)
 
     done = both.mapInArrow(run, "d long, n_bytes long, n_removed long, n_spans long, sha binary, kept binary")
