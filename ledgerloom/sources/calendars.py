@@ -93,9 +93,9 @@ def _property(name: str) -> str:
     return f"regexp_extract(v, '(?m)^{name}(?:;[^:\\\\r\\\\n]*)?:([^\\\\r\\\\n]*)', 1)"
 
 
-def _all(name: str) -> str:
-    """Values of every line of a property, joined by commas."""
-    return f"array_join(regexp_extract_all(v, '(?m)^{name}(?:;[^:\\\\r\\\\n]*)?:([^\\\\r\\\\n]*)', 1), ',')"
+def _all(name: str, group: int) -> str:
+    """Parameters (1) or values (2) of every line of a property, as an array."""
+    return f"regexp_extract_all(v, '(?m)^{name}((?:;[^:\\\\r\\\\n]*)?):([^\\\\r\\\\n]*)', {group})"
 
 
 def _params(name: str) -> str:
@@ -111,13 +111,40 @@ def basic_time(value: str) -> str:
     )
 
 
-def ics_time(value: str, params: str, zone: str) -> str:
-    """iCalendar date or date-time as a zone-less time in ``zone``; floating times stay as they are."""
+# Zone names of Windows calendars and what they are called elsewhere.
+WINDOWS_ZONES = {
+    "UTC": "UTC", "GMT Standard Time": "Europe/London", "Greenwich Standard Time": "Atlantic/Reykjavik",
+    "W. Europe Standard Time": "Europe/Berlin", "Central Europe Standard Time": "Europe/Budapest",
+    "Central European Standard Time": "Europe/Warsaw", "Romance Standard Time": "Europe/Paris", "GTB Standard Time": "Europe/Bucharest",
+    "E. Europe Standard Time": "Europe/Chisinau", "FLE Standard Time": "Europe/Kiev", "Russian Standard Time": "Europe/Moscow",
+    "Turkey Standard Time": "Europe/Istanbul", "Israel Standard Time": "Asia/Jerusalem", "Egypt Standard Time": "Africa/Cairo",
+    "South Africa Standard Time": "Africa/Johannesburg", "Arabian Standard Time": "Asia/Dubai", "India Standard Time": "Asia/Kolkata",
+    "China Standard Time": "Asia/Shanghai", "Singapore Standard Time": "Asia/Singapore", "Tokyo Standard Time": "Asia/Tokyo",
+    "Korea Standard Time": "Asia/Seoul", "AUS Eastern Standard Time": "Australia/Sydney", "E. Australia Standard Time": "Australia/Brisbane",
+    "W. Australia Standard Time": "Australia/Perth", "New Zealand Standard Time": "Pacific/Auckland", "Hawaiian Standard Time": "Pacific/Honolulu",
+    "Alaskan Standard Time": "America/Anchorage", "Pacific Standard Time": "America/Los_Angeles", "US Mountain Standard Time": "America/Phoenix",
+    "Mountain Standard Time": "America/Denver", "Central Standard Time": "America/Chicago", "Central America Standard Time": "America/Guatemala",
+    "Eastern Standard Time": "America/New_York", "US Eastern Standard Time": "America/Indianapolis", "Atlantic Standard Time": "America/Halifax",
+    "Newfoundland Standard Time": "America/St_Johns", "SA Pacific Standard Time": "America/Bogota", "E. South America Standard Time": "America/Sao_Paulo",
+    "Argentina Standard Time": "America/Buenos_Aires",
+}
+_ZONES = "map(" + ", ".join(f"'{k}', '{v}'" for k, v in WINDOWS_ZONES.items()) + ")"
+
+
+def zone_of(params: str) -> str:
+    """The zone a property names: null when it names one that is not known, '' when it names none."""
+    tzid = f"trim(regexp_extract({params}, 'TZID=\"?([^;:\"]+)', 1))"
+    named = f"coalesce(try_element_at({_ZONES}, {tzid}), {tzid})"
+    known = f"try_to_timestamp(concat('2024-01-01 00:00:00 ', {named}), 'yyyy-MM-dd HH:mm:ss VV') IS NOT NULL"
+    return f"CASE WHEN {tzid} = '' THEN '' WHEN {known} THEN {named} END"
+
+
+def ics_time(value: str, named_zone: str, zone: str) -> str:
+    """iCalendar date or date-time as a zone-less time in ``zone``; floating times stay as they are, unknown zones give null."""
     local = basic_time(value)
-    tzid = f"regexp_extract({params}, 'TZID=\"?([^;:\"]+)', 1)"
     return (
         f"CASE WHEN endswith({value}, 'Z') THEN convert_timezone('UTC', '{zone}', {local})"
-        f" WHEN {tzid} <> '' THEN convert_timezone({tzid}, '{zone}', {local}) ELSE {local} END"
+        f" WHEN {named_zone} = '' THEN {local} WHEN {named_zone} IS NOT NULL THEN convert_timezone({named_zone}, '{zone}', {local}) END"
     )
 
 
@@ -126,71 +153,130 @@ def unescape_ics(value: str) -> str:
 
 
 def ics_events(feeds: DataFrame, zone: str = "UTC") -> DataFrame:
-    """VEVENTs of iCalendar bodies (feed, body): one row per VEVENT with its rule parts and an error column.
+    """VEVENTs of iCalendar bodies (feed, body): one row per VEVENT with its rules and an error column.
 
     The end comes from DTEND or DURATION; an all-day DTEND is exclusive and moves back a day, never before the start.
+    Several RRULE lines are kept, one per line. Alarms inside an event are not the event's properties. A zone that is
+    not known makes an error row.
     """
     unfolded = "regexp_replace(body, '\\r?\\n[ \\t]', '')"
     vevents = feeds.select("feed", F.expr(f"posexplode(slice(split({unfolded}, 'BEGIN:VEVENT'), 2, 1000000000)) AS (n, v0)")).selectExpr(
-        "feed", "n", "split_part(v0, 'END:VEVENT', 1) AS v"
+        "feed", "n", "regexp_replace(split_part(v0, 'END:VEVENT', 1), '(?s)BEGIN:VALARM.*?END:VALARM', '') AS v"
     )
     fields = vevents.selectExpr(
         "feed", "n", "v",
         f"coalesce(nullif(trim({unescape_ics(_property('SUMMARY'))}), ''), '(untitled)') AS title",
         f"{unescape_ics(_property('CATEGORIES'))} AS categories",
-        f"{_property('DTSTART')} AS st", f"{_params('DTSTART')} AS sp", f"{_property('DTEND')} AS et", f"{_params('DTEND')} AS ep",
-        f"{_property('DURATION')} AS dur", f"{_property('RRULE')} AS rrule", f"{_all('RDATE')} AS rdate", f"{_all('EXDATE')} AS exdate",
+        f"trim({_property('DTSTART')}) AS st", f"{zone_of(_params('DTSTART'))} AS sz", f"trim({_property('DTEND')}) AS et", f"{zone_of(_params('DTEND'))} AS ez",
+        f"{_property('DURATION')} AS dur", f"array_join({_all('RRULE', 2)}, '\\n') AS rrule",
+        *(f"zip_with({_all(k, 1)}, {_all(k, 2)}, (p, x) -> struct({zone_of('p')} AS z, x AS x)) AS {k.lower()}" for k in ("RDATE", "EXDATE")),
     )
-    part = lambda unit: f"coalesce(cast(nullif(regexp_extract(dur, '([0-9]+){unit}', 1), '') AS int), 0)"
+    part = lambda unit: f"coalesce(try_cast(nullif(regexp_extract(dur, '([0-9]+){unit}', 1), '') AS int), 0)"
     span = f"make_dt_interval({part('W')} * 7 + {part('D')}, {part('H')}, {part('M')}, {part('S')})"
     timed = fields.selectExpr(
-        "*", f"{ics_time('st', 'sp', zone)} AS starts_at", "length(st) = 8 AS all_day", f"{ics_time('et', 'ep', zone)} AS dtend", f"{span} AS span"
+        "*", f"{ics_time('st', 'sz', zone)} AS starts_at", "length(st) = 8 AS all_day", f"{ics_time('et', 'ez', zone)} AS dtend", f"{span} AS span"
+    )
+    # A listed date without a time means the occurrence of that day.
+    clock = "if(length(x) = 8 AND NOT all_day, concat(x, date_format(starts_at, \"'T'HHmmss\")), x)"
+    dates = lambda c: (
+        f"filter(flatten(transform({c}, l -> transform(transform(split(l.x, ','), x -> trim(x)), x -> {ics_time('x', 'l.z', zone).replace(basic_time('x'), basic_time(clock))}))), t -> t IS NOT NULL)"
     )
-    dates = lambda c: f"filter(transform(split({c}, ','), x -> {ics_time('x', chr(39) * 2, zone)}), x -> x IS NOT NULL)"
     return timed.selectExpr(
         "feed", "n", "title", "categories", "starts_at",
         "CASE WHEN et <> '' AND all_day THEN greatest(dtend - INTERVAL '1' DAY, starts_at) WHEN et <> '' THEN dtend WHEN dur <> '' THEN starts_at + span END AS ends_at",
         "all_day", "nullif(rrule, '') AS rrule", f"{dates('rdate')} AS rdates", f"{dates('exdate')} AS exdates",
-        "CASE WHEN st = '' THEN concat('VEVENT ', title, ' has no DTSTART; skipped') WHEN starts_at IS NULL THEN concat('VEVENT ', title, ': unreadable DTSTART ', st) END AS error",
+        "CASE WHEN st = '' THEN concat('VEVENT ', title, ' has no DTSTART; skipped') WHEN sz IS NULL THEN concat('VEVENT ', title, ': unknown time zone')"
+        " WHEN starts_at IS NULL THEN concat('VEVENT ', title, ': unreadable DTSTART ', st) END AS error",
+    )
+
+
+# ------------------------------------------------------------------ recurrence rules
+
+_CODES = "array('MO','TU','WE','TH','FR','SA','SU')"
+#: The parts of a rule that are read. Any other makes the rule an error row.
+RULE_PARTS = ("FREQ", "INTERVAL", "COUNT", "UNTIL", "BYDAY", "BYMONTHDAY", "BYMONTH", "BYSETPOS", "WKST")
+
+
+def _rule_part(key: str) -> str:
+    return f"regexp_extract(r, '(?:^|;){key}=([^;]*)', 1)"
+
+
+def _rule(zone: str) -> str:
+    """SQL text: a rule line ``r`` as a struct; ``bad`` where a part is unknown or cannot be read."""
+    ints = lambda k: f"transform(filter(split({_rule_part(k)}, ','), x -> x <> ''), x -> try_cast(x AS int))"
+    number = lambda k: f"try_cast(nullif({_rule_part(k)}, '') AS int)"
+    days = f"filter(split({_rule_part('BYDAY')}, ','), x -> x <> '')"
+    given = f"if(length({_rule_part('UNTIL')}) = 8, concat({_rule_part('UNTIL')}, 'T235959'), {_rule_part('UNTIL')})"
+    freq = _rule_part("FREQ")
+    bad = (
+        f"exists(split(r, ';'), p -> p <> '' AND split_part(p, '=', 1) NOT IN ({_quoted(RULE_PARTS)})) OR {freq} NOT IN ('DAILY', 'WEEKLY', 'MONTHLY', 'YEARLY')"
+        f" OR exists({days}, x -> NOT rlike(x, '^[+-]?[0-9]*(MO|TU|WE|TH|FR|SA|SU)$')) OR ({freq} IN ('DAILY', 'WEEKLY') AND exists({days}, x -> length(x) > 2))"
+        f" OR ({freq} = 'WEEKLY' AND {_rule_part('BYMONTHDAY')} <> '') OR ({_rule_part('INTERVAL')} <> '' AND coalesce({number('INTERVAL')}, 0) < 1)"
+        f" OR ({_rule_part('COUNT')} <> '' AND coalesce({number('COUNT')}, 0) < 1) OR ({_rule_part('UNTIL')} <> '' AND {basic_time(given)} IS NULL)"
+        + "".join(f" OR exists({ints(k)}, x -> x IS NULL)" for k in ("BYMONTHDAY", "BYMONTH", "BYSETPOS"))
+        + f" OR ({_rule_part('WKST')} <> '' AND NOT array_contains({_CODES}, {_rule_part('WKST')}))"
+    )
+    until = f"CASE WHEN endswith({given}, 'Z') THEN convert_timezone('UTC', '{zone}', {basic_time(given)}) ELSE {basic_time(given)} END"
+    by_day = f"transform({days}, x -> struct(coalesce(try_cast(nullif(left(x, length(x) - 2), '') AS int), 0) AS nth, array_position({_CODES}, right(x, 2)) - 1 AS dow))"
+    return (
+        f"struct({freq} AS freq, coalesce({number('INTERVAL')}, 1) AS step, {number('COUNT')} AS n_max, {until} AS until, {by_day} AS days,"
+        f" {ints('BYMONTHDAY')} AS mdays, {ints('BYMONTH')} AS months, {ints('BYSETPOS')} AS places,"
+        f" greatest(array_position({_CODES}, {_rule_part('WKST')}) - 1, 0) AS wkst, ({bad}) AS bad)"
     )
 
 
-def expand_rules(events: DataFrame, window_start: str, window_end: str, cap: int = MAX_OCCURRENCES) -> DataFrame:
+# Number of the period a day lies in, counted from the period of the first start.
+_PERIOD = (
+    "CASE p.freq WHEN 'DAILY' THEN datediff(d, d0) WHEN 'WEEKLY' THEN cast(floor((datediff(d, date'1970-01-05') - p.wkst) / 7)"
+    " - floor((datediff(d0, date'1970-01-05') - p.wkst) / 7) AS int)"
+    " WHEN 'MONTHLY' THEN (year(d) - year(d0)) * 12 + month(d) - month(d0) ELSE year(d) - year(d0) END"
+)
+_IN_MONTH = "(p.freq = 'MONTHLY' OR size(p.months) > 0)"
+_NTH = (
+    f"b.nth = 0 OR b.nth = if({_IN_MONTH}, if(b.nth > 0, ceil(day(d) / 7), -ceil((day(last_day(d)) - day(d) + 1) / 7)),"
+    " if(b.nth > 0, ceil(dayofyear(d) / 7), -ceil((dayofyear(make_date(year(d), 12, 31)) - dayofyear(d) + 1) / 7)))"
+)
+_FITS = (
+    "(size(p.months) = 0 OR array_contains(p.months, month(d)))"
+    " AND (size(p.mdays) = 0 OR array_contains(p.mdays, day(d)) OR array_contains(p.mdays, day(d) - day(last_day(d)) - 1))"
+    f" AND (size(p.days) = 0 OR exists(p.days, b -> b.dow = weekday(d) AND ({_NTH})))"
+    " AND (size(p.days) > 0 OR size(p.mdays) > 0 OR CASE p.freq WHEN 'WEEKLY' THEN weekday(d) = weekday(d0) WHEN 'MONTHLY' THEN day(d) = day(d0)"
+    " WHEN 'YEARLY' THEN day(d) = day(d0) AND (size(p.months) > 0 OR month(d) = month(d0)) ELSE true END)"
+)
+# Whole periods around the days in question, so that places in a period can be counted.
+_FROM = "CASE p.freq WHEN 'DAILY' THEN d0 WHEN 'WEEKLY' THEN date_sub(d0, cast(pmod(weekday(d0) - p.wkst, 7) AS int)) WHEN 'MONTHLY' THEN trunc(d0, 'MM') ELSE trunc(d0, 'YEAR') END"
+_TO = "CASE WHEN size(p.places) = 0 OR p.freq = 'DAILY' THEN last WHEN p.freq = 'WEEKLY' THEN date_add(last, 6) WHEN p.freq = 'MONTHLY' THEN last_day(last) ELSE make_date(year(last), 12, 31) END"
+
+
+def expand_rules(events: DataFrame, window_start: str, window_end: str, cap: int = MAX_OCCURRENCES, zone: str = "UTC") -> DataFrame:
     """Occurrences of recurring rows inside the window.
 
-    Rows need starts_at, ends_at, rrule, rdates, exdates, error. DAILY, WEEKLY (BYDAY) and MONTHLY rules with
-    INTERVAL, COUNT and UNTIL are read; any other rule is an error row, as is a rule without an occurrence in the
-    window. COUNT runs from the first start; EXDATE does not extend it.
+    Rows need starts_at, ends_at, rrule, rdates, exdates, error; ``rrule`` may hold several rules, one per line. Read are
+    DAILY, WEEKLY, MONTHLY and YEARLY rules with INTERVAL, COUNT, UNTIL, BYDAY (numbered too), BYMONTHDAY, BYMONTH,
+    BYSETPOS and WKST. Any other rule is an error row, as is a rule without an occurrence in the window. COUNT runs
+    from the first start; EXDATE does not extend it. UNTIL in UTC is taken in ``zone``.
     """
-    get = lambda k: f"regexp_extract(rrule, '(?:^|;){k}=([^;]*)', 1)"
-    until = basic_time(f"if(length({get('UNTIL')}) = 8, concat({get('UNTIL')}, 'T235959'), {get('UNTIL')})")
     end = f"timestamp_ntz'{window_end} 23:59:59'"
     rows = events.selectExpr(
-        "*", f"{get('FREQ')} AS freq", f"coalesce(cast(nullif({get('INTERVAL')}, '') AS int), 1) AS step",
-        f"cast(nullif({get('COUNT')}, '') AS int) AS n_max", f"{until} AS until",
-        f"filter(split({get('BYDAY')}, ','), x -> x <> '') AS bydays", "cast(starts_at AS date) AS d0",
+        "*", f"transform(filter(split(rrule, '\\n'), r -> r <> ''), r -> {_rule(zone)}) AS rules", "cast(starts_at AS date) AS d0",
         "starts_at - cast(cast(starts_at AS date) AS timestamp_ntz) AS tod", "ends_at - starts_at AS span",
-        "rrule IS NOT NULL OR size(coalesce(rdates, array())) > 0 AS recurs",
-    ).selectExpr("*", f"cast(least({end}, coalesce(until, {end})) AS date) AS last")
-    odd = "exists(transform(split(rrule, ';'), p -> split_part(p, '=', 1)), p -> p NOT IN ('FREQ', 'INTERVAL', 'COUNT', 'UNTIL', 'BYDAY', 'WKST'))"
-    bad_day = "exists(bydays, b -> NOT array_contains(array('MO','TU','WE','TH','FR','SA','SU'), b))"
-    unsupported = f"rrule IS NOT NULL AND (freq NOT IN ('DAILY', 'WEEKLY', 'MONTHLY') OR {odd} OR {bad_day} OR (freq <> 'WEEKLY' AND size(bydays) > 0))"
-    week0 = "date_sub(d0, weekday(d0))"
-    numbers = "if(size(bydays) = 0, array(weekday(d0)), array_sort(transform(bydays, b -> array_position(array('MO','TU','WE','TH','FR','SA','SU'), b) - 1)))"
-    weekly = f"flatten(transform(sequence({week0}, last, make_dt_interval(step * 7)), w -> transform({numbers}, b -> date_add(w, cast(b AS int)))))"
-    monthly = "filter(transform(sequence(0, cast(months_between(trunc(last, 'MM'), trunc(d0, 'MM')) AS int), step), m -> add_months(d0, m)), d -> day(d) = day(d0))"
-    days = (
-        f"CASE WHEN rrule IS NULL OR last < d0 THEN cast(array() AS array<date>) WHEN freq = 'DAILY' THEN sequence(d0, last, make_dt_interval(step))"
-        f" WHEN freq = 'WEEKLY' THEN filter({weekly}, d -> d >= d0) ELSE {monthly} END"
-    )
-    stamps = "filter(transform(days, d -> cast(d AS timestamp_ntz) + tod), t -> until IS NULL OR t <= until)"
-    counted = f"if(n_max IS NULL, {stamps}, slice({stamps}, 1, n_max))"
-    inside = f"t >= timestamp_ntz'{window_start} 00:00:00' AND t <= {end}"
-    merged = f"array_except(array_sort(array_distinct(concat({counted}, coalesce(rdates, array())))), coalesce(exdates, array()))"
-    staged = rows.withColumn("error", F.expr(f"coalesce(error, if({unsupported}, concat('unsupported rule ', rrule), null))"))
-    staged = staged.withColumn("days", F.expr(f"if(error IS NULL, {days}, cast(array() AS array<date>))")).withColumn(
-        "starts", F.expr(f"CASE WHEN error IS NOT NULL THEN cast(array() AS array<timestamp_ntz>) WHEN recurs THEN slice(filter({merged}, t -> {inside}), 1, {cap}) ELSE array(starts_at) END")
+        "rrule IS NOT NULL OR size(coalesce(rdates, array())) > 0 AS recurs", f"cast({end} AS date) AS last",
+    ).withColumn("error", F.expr("coalesce(error, if(exists(rules, p -> p.bad), concat('unsupported rule ', rrule), null))"))
+    # Days of the periods that count, with the number of their period.
+    day_rows = (
+        f"filter(transform(if(last < d0, cast(array() AS array<date>), sequence({_FROM}, {_TO})), d -> struct({_PERIOD} AS k, d AS d, {_FITS} AS fits)), x -> x.fits AND pmod(x.k, p.step) = 0)"
     )
+    placed = (
+        "filter(c, x -> size(p.places) = 0 OR exists(p.places, n -> n = if(n > 0, size(filter(c, y -> y.k = x.k AND y.d <= x.d)), -size(filter(c, y -> y.k = x.k AND y.d >= x.d)))))"
+    )
+    stamps = f"filter(transform(filter({placed}, x -> x.d >= d0), x -> cast(x.d AS timestamp_ntz) + tod), t -> (p.until IS NULL OR t <= p.until) AND t <= {end})"
+    staged = rows.withColumn("days", F.expr(f"if(error IS NULL, transform(rules, p -> {day_rows}), null)"))
+    staged = staged.withColumn("sets", F.expr(f"zip_with(rules, days, (p, c) -> {stamps})"))
+    counted = "flatten(zip_with(rules, sets, (p, s) -> if(p.n_max IS NULL, s, slice(s, 1, p.n_max))))"
+    merged = f"array_except(array_sort(array_distinct(concat(coalesce({counted}, array()), coalesce(rdates, array())))), coalesce(exdates, array()))"
+    inside = f"t >= timestamp_ntz'{window_start} 00:00:00' AND t <= {end}"
+    starts = f"CASE WHEN error IS NOT NULL THEN cast(array() AS array<timestamp_ntz>) WHEN recurs THEN slice(filter({merged}, t -> {inside}), 1, {cap}) ELSE array(starts_at) END"
+    staged = staged.withColumn("starts", F.expr(starts))
     keep = [c for c in events.columns if c not in ("starts_at", "ends_at", "rrule", "rdates", "exdates", "error")]
     return staged.withColumn(
         "error", F.expr(f"coalesce(error, if(size(starts) = 0, 'recurs but has no occurrence inside {window_start}..{window_end}', null))")
