@@ -76,7 +76,9 @@ REFERENCE_HOSTS = (
 
 
 def unwrap_safelink(url: str) -> str:
-    inner = f"url_decode(parse_url({url}, 'QUERY', 'url'))"
+    # The wrapped address is escaped once or twice; what cannot be unescaped stays as it is.
+    once = f"try_url_decode(try_parse_url({url}, 'QUERY', 'url'))"
+    inner = f"coalesce(try_url_decode(replace({once}, '+', '%2B')), {once})"
     return f"if(contains({url}, 'safelinks.protection.outlook.com'), coalesce({inner}, {url}), {url})"
 
 
@@ -155,7 +157,13 @@ def label_url(url: str) -> str:
     """Scheme, host and file name; the middle of the path, where tokens live, is dropped."""
     head = f"regexp_extract({url}, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+)', 1)"
     path = f"regexp_extract({url}, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+([^?#]*)', 1)"
-    return f"if({head} = '', {url}, concat({head}, '/.../', substring_index({path}, '/', -1)))"
+    tail = f"substring_index({path}, '/', -1)"
+    net = f"substring_index(substring_index(regexp_extract({url}, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^?#]*)', 1), '/', 1), '?', 1)"
+    broken = f"contains({net}, '[') <> contains({net}, ']')"
+    return (
+        f"CASE WHEN {broken} THEN '<feed url hidden>' WHEN {head} = '' THEN {url} WHEN {tail} = '' THEN concat({head}, '/...')"
+        f" ELSE concat({head}, '/.../', {tail}) END"
+    )
 
 
 def scrub(text: str, url: str) -> str:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from functools import cache
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -113,12 +117,32 @@ def slugify(text: str, limit: int = 48) -> str:
     return f"coalesce(nullif(rtrim('-', substring({dashed}, 1, {limit})), ''), 'announcement')"
 
 
+@cache
+def _compatible() -> tuple[dict[str, str], dict[str, str]]:
+    """Letters whose compatibility decomposition, less accents, holds a Latin letter or digit: to one character, to several.
+
+    Built from the Unicode database, not by hand.
+    """
+    one, many = {}, {}
+    for code in range(0x80, 0x30000):
+        c = chr(code)
+        plain = re.sub("[\u0300-\u036f]", "", unicodedata.normalize("NFKD", c)).lower()
+        if plain != c and re.search("[a-z0-9]", plain):
+            (one if len(plain) == 1 else many)[c] = plain
+    return one, many
+
+
+def _literal(text: str) -> str:
+    return "'" + text.replace("'", "\'") + "'"
+
+
 def fold_words_text(text: str) -> str:
-    """Accent-free lower-case words of a text as one space-separated string."""
-    # Fixed table: letters whose decomposition is a base letter and an accent.
-    accented = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-    plain = "aaaaaaceeeeiiiinooooouuuuyy"
-    folded = f"translate(lower({text}), '{accented}', '{plain}')"
+    """Accent-free lower-case words of a text as one space-separated string, compatibility forms resolved."""
+    one, many = _compatible()
+    table = ", ".join(f"{_literal(k)}, {_literal(v)}" for k, v in many.items())
+    spelled = f"array_join(transform(split({text}, ''), c -> coalesce(try_element_at(map({table}), c), c)), '')"
+    wide = f"if(rlike({text}, '[{''.join(many)}]'), {spelled}, {text})"
+    folded = f"lower(translate(regexp_replace({wide}, '[\u0300-\u036f]', ''), '{''.join(one)}', '{''.join(one.values())}'))"
     no_notes = f"regexp_replace(regexp_replace({folded}, '\\\\([^)]*\\\\)', ' '), '\\\\[[^\\\\]]*\\\\]', ' ')"
     no_clock = f"regexp_replace({no_notes}, '\\\\b[0-9]{{1,2}}:[0-9]{{2}}\\\\s*(?:am|pm)?\\\\b', ' ')"
     return f"trim(regexp_replace({no_clock}, '[^a-z0-9]+', ' '))"

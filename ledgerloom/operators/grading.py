@@ -242,33 +242,48 @@ def weight_tercile(items: DataFrame) -> DataFrame:
     )
 
 
-def digest_rows(items: DataFrame, cap: int = DIGEST_ITEMS) -> DataFrame:
+def digest_rows(items: DataFrame, cap: int = DIGEST_ITEMS, *more_columns: str) -> DataFrame:
     """The first ``cap`` graded items per course and how many more there are."""
     graded = items.where("graded")
     w = Window.partitionBy("course").orderBy("pos", "name")
     first = graded.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= cap)
     more = graded.groupBy("course").agg(F.expr(f"greatest(count(*) - {cap}, 0) AS more"))
-    return first.join(more, "course").select("course", "rn", "name", "score", "out_of", "more")
+    return first.join(more, "course").select("course", "rn", "name", "score", "out_of", "more", *more_columns)
 
 
 def short_number(x: str) -> str:
-    return f"coalesce(regexp_replace(cast({x} AS string), '\\\\.?0+$', ''), '?')"
+    """A number without the zeros behind its point."""
+    return f"coalesce(regexp_replace(cast({x} AS string), '(?:[.]0*|([.][0-9]*?)0+)$', '$1'), '?')"
 
 
-def grades_digest(items: DataFrame, cap: int = DIGEST_ITEMS, max_chars: int = DIGEST_CHARS) -> DataFrame:
-    """One block of text per course: its standing, its first graded items, and a count of the rest."""
-    line = f"concat('    graded: ', left(name, 46), ' = ', {short_number('score')}, '/', {short_number('out_of')})"
-    lines = digest_rows(items, cap).groupBy("course").agg(
-        F.expr(f"listagg({line}, '\\n') WITHIN GROUP (ORDER BY rn) AS body"), F.max("more").alias("more")
+def _digest_texts(items: DataFrame, cap: int) -> DataFrame:
+    """(course, text): a course's standing, its first graded items, and a count of the rest."""
+    shown = "if(coalesce(displayed, '') = '', '', concat(' (', displayed, ')'))"
+    line = f"concat('    graded: ', left(name, 46), ' = ', {short_number('score')}, '/', {short_number('out_of')}, {shown})"
+    items = items if "displayed" in items.columns else items.withColumn("displayed", F.lit(""))
+    lines = digest_rows(items, cap, "displayed").groupBy("course").agg(
+        F.expr(f"listagg({line}, '\n') WITHIN GROUP (ORDER BY rn) AS body"), F.max("more").alias("more")
     )
     head = (
         "concat('- ', course, ': ', if(current_pct IS NULL, concat('nothing graded yet (', total_count, ' items in the gradebook)'),"
         " concat('current ', current_pct, '% (', basis, '; ', graded_count, ' of ', total_count, ' items graded)')))"
     )
-    more = "if(more > 0, concat('\\n    (+', more, ' more graded items)'), '')"
-    text = grade_summary(items).join(lines, "course", "left").selectExpr(
-        "course", f"concat({head}, coalesce(concat('\\n', body, {more}), '')) AS text"
-    )
-    return text.selectExpr(
-        "course", f"if(char_length(text) > {max_chars}, concat(left(text, {max_chars}), '\\n    (truncated)'), text) AS text"
+    more = "if(more > 0, concat('\n    (+', more, ' more graded items)'), '')"
+    return grade_summary(items).join(lines, "course", "left").selectExpr(
+        "course", f"concat({head}, coalesce(concat('\n', body, {more}), '')) AS text"
     )
+
+
+def _cut(text: str, max_chars: int) -> str:
+    return f"if(char_length({text}) > {max_chars}, concat(left({text}, {max_chars}), '\n    (truncated)'), {text})"
+
+
+def grades_digest(items: DataFrame, cap: int = DIGEST_ITEMS, max_chars: int = DIGEST_CHARS) -> DataFrame:
+    """The digest of each course, for a question about one course."""
+    return _digest_texts(items, cap).selectExpr("course", f"{_cut('text', max_chars)} AS text")
+
+
+def grades_digest_all(items: DataFrame, cap: int = DIGEST_ITEMS, max_chars: int = DIGEST_CHARS) -> DataFrame:
+    """One digest of all courses, cut once. No course takes less than one character, so the first ones fill it."""
+    first = _digest_texts(items, cap).orderBy("course").limit(max_chars + 1)
+    return first.agg(F.expr("listagg(text, '\n') WITHIN GROUP (ORDER BY course) AS text")).selectExpr(f"{_cut('text', max_chars)} AS text")

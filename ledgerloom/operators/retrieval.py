@@ -190,18 +190,29 @@ def policy_block(hits: DataFrame, floor: float = 0.55, top: int = 2) -> DataFram
     )
 
 
-def calendar_digest(events: DataFrame, today: str, days: int = 14, limit: int = 60) -> DataFrame:
-    """Per course the next deadlines as text lines, the first ``limit`` of them."""
+def _deadline_lines(events: DataFrame, today: str, days: int) -> DataFrame:
     rows = events.where("kind <> 'recurring'").where(
         f"starts_at >= timestamp_ntz'{today} 00:00:00' AND cast(starts_at AS date) <= date_add(date'{today}', {days})"
     )
-    w = Window.partitionBy("course").orderBy("starts_at", "id")
-    first = rows.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= limit)
     stamp = "if(date_format(starts_at, 'HH:mm') = '00:00', date_format(starts_at, 'yyyy-MM-dd'), date_format(starts_at, 'yyyy-MM-dd HH:mm'))"
-    line = f"concat('- ', {stamp}, '  ', course, ': ', title, if(kind = 'admin', ' [admin]', ''))"
-    return first.groupBy("course").agg(
-        F.expr(f"concat('(today is {today})\\n', listagg({line}, '\\n') WITHIN GROUP (ORDER BY rn)) AS digest")
-    )
+    return rows.withColumn("line", F.expr(f"concat('- ', {stamp}, '  ', course, ': ', title, if(kind = 'admin', ' [admin]', ''))"))
+
+
+def _digest(order: str, today: str) -> str:
+    return f"concat('(today is {today})\n', listagg(line, '\n') WITHIN GROUP (ORDER BY {order})) AS digest"
+
+
+def calendar_digest(events: DataFrame, today: str, days: int = 14, limit: int = 60) -> DataFrame:
+    """Per course the next deadlines as text lines, the first ``limit`` of them."""
+    w = Window.partitionBy("course").orderBy("starts_at", "id")
+    first = _deadline_lines(events, today, days).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= limit)
+    return first.groupBy("course").agg(F.expr(_digest("rn", today)))
+
+
+def calendar_digest_all(events: DataFrame, today: str, days: int = 14, limit: int = 60) -> DataFrame:
+    """The next deadlines of all courses in one text, the first ``limit`` of them all."""
+    first = _deadline_lines(events, today, days).orderBy("starts_at", "id").limit(limit)
+    return first.agg(F.expr(_digest("struct(starts_at, id)", today))).where("digest IS NOT NULL")
 
 
 # ------------------------------------------------------------------ the whole preparation

@@ -98,14 +98,23 @@ def feed_last_good(fetches: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ notes and links
 
 def note_paths(notes: DataFrame) -> DataFrame:
-    """File path of each note (id, course, name, …); a later note with the same slug gets its id appended."""
+    """File path of each note (id, course, name, …); a later note with the same slug gets the last part of its id appended."""
     slugged = notes.withColumn("slug", F.expr(slugify("name")))
     first = slugged.groupBy("course", "slug").agg(F.min("id").alias("first_id"))
     return slugged.join(first, ["course", "slug"]).withColumn(
-        "path", F.expr("concat(course, '/_synced/quizzes/', slug, if(id = first_id, '', concat('-', id)), '.md')")
+        "path", F.expr("concat(course, '/_synced/quizzes/', slug, if(id = first_id, '', concat('-', substring_index(cast(id AS string), '-', -1))), '.md')")
     ).drop("first_id")
 
 
+def quiz_notes(bodies: DataFrame, site: str) -> DataFrame:
+    """Markdown of quizzes that carry text, from (id, course, name, due, attempts, body)."""
+    facts = "concat_ws(' - ', if(due = '', null, concat('due ', due)), nullif(attempts, ''))"
+    return bodies.where("body <> ''").selectExpr(
+        "id", "course", "name",
+        f"concat('# ', name, '\n\n> Quiz on {site} for ', course, if({facts} = '', '', concat(' (', {facts}, ')')), '.\n\n', body, '\n') AS text",
+    )
+
+
 def note_status(notes: DataFrame, current: DataFrame) -> DataFrame:
     """new, updated or unchanged per note, by comparing its text with the file already there (path, text)."""
     old = current.select("path", F.col("text").alias("old_text"), F.lit(True).alias("found"))

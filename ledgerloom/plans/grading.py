@@ -174,18 +174,27 @@ def digest_capped(t):
     )
 
 
-SHORT = "regexp_replace({0}::VARCHAR, '\\.?0+$', '')"
+SHORT = "CASE WHEN {0}::VARCHAR LIKE '%.%' THEN rtrim(rtrim({0}::VARCHAR, '0'), '.') ELSE {0}::VARCHAR END"
 
 
-@query(
-    "grades_digest",
-    with_(GRADES, SUMS.format(src="grades_items"), DIGEST) + f""", b AS (SELECT course, max(more) AS more,
+DIGEST_TEXT = with_(GRADES, SUMS.format(src="grades_items"), DIGEST) + f""", b AS (SELECT course, max(more) AS more,
   string_agg('    graded: ' || left(name, 46) || ' = ' || {SHORT.format('score')} || '/' || {SHORT.format('out_of')}, chr(10) ORDER BY rn) AS body
   FROM dig WHERE rn <= 14 GROUP BY course)
 SELECT course, '- ' || course || ': ' || CASE WHEN current_pct IS NULL THEN 'nothing graded yet (' || total_count || ' items in the gradebook)'
   ELSE 'current ' || current_pct || '% (' || basis || '; ' || graded_count || ' of ' || total_count || ' items graded)' END
   || coalesce(chr(10) || body || CASE WHEN more > 0 THEN chr(10) || '    (+' || more || ' more graded items)' ELSE '' END, '') AS text
-FROM summary LEFT JOIN b USING (course)""",
-)
+FROM summary LEFT JOIN b USING (course)"""
+
+
+@query("grades_digest", DIGEST_TEXT)
 def grades_digest(t):
     return G.grades_digest(grade_items(t.lineitem))
+
+
+@query(
+    "grades_digest_all",
+    "SELECT CASE WHEN length(x) > 3500 THEN left(x, 3500) || chr(10) || '    (truncated)' ELSE x END AS text FROM (SELECT string_agg(text, chr(10) ORDER BY course) AS x FROM ("
+    + DIGEST_TEXT + "))",
+)
+def grades_digest_all(t):
+    return G.grades_digest_all(grade_items(t.lineitem))

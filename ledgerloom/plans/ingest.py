@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ledgerloom.operators import upkeep as U
 from ledgerloom.plans.registry import query
 from ledgerloom.plans.text_plans import SITE_KIND_SQL
 from ledgerloom.plans.views import with_
@@ -342,6 +343,18 @@ def quiz_bodies(t):
     return P.quiz_bodies(raw)
 
 
+@query(
+    "quiz_notes",
+    f"""WITH q AS (SELECT doc_id AS k, source AS course, regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '') AS s,
+  CASE doc_id % 3 WHEN 0 THEN 'due 2024-01-15 12:30' WHEN 1 THEN 'due 2024-07-15 13:30' END AS due, CASE doc_id % 4 WHEN 0 THEN 'unlimited attempts' WHEN 1 THEN '1 attempt' WHEN 2 THEN '3 attempts' END AS attempts FROM documents)
+SELECT k AS id, '# Quiz ' || k || chr(10) || chr(10) || '> Quiz on OAKS for ' || course || CASE WHEN due IS NULL AND attempts IS NULL THEN '' ELSE ' (' || concat_ws(' - ', due, attempts) || ')' END || '.'
+  || chr(10) || chr(10) || s || CASE WHEN k % 2 = 0 THEN CASE WHEN s = '' THEN '' ELSE chr(10) || chr(10) END || 'Be on time.' ELSE '' END || chr(10) AS text FROM q WHERE s <> '' OR k % 2 = 0""",
+)
+def quiz_notes(t):
+    """The notes as they are written to disk."""
+    return U.quiz_notes(quiz_bodies(t), "OAKS").selectExpr("cast(substring_index(id, '-', -1) AS bigint) AS id", "text")
+
+
 @query(
     "jsonl_tolerant",
     """SELECT event_id AS line_no, 'C' || (user_id % 12) AS course, event_type || '|' || (props->>'$.k') AS key, strftime(ts, '%Y-%m-%d') AS date, CASE WHEN event_id % 2 = 0 THEN 'T' || event_id ELSE '' END AS title,

@@ -232,6 +232,18 @@ def calendar_digest(t):
     return R.calendar_digest(deadlines(t.events), "2024-01-15")
 
 
+@query(
+    "calendar_digest_all",
+    with_(DEADLINES) + """, r AS (SELECT *, row_number() OVER (ORDER BY starts_at, id) AS rn FROM deadlines
+  WHERE kind <> 'recurring' AND starts_at::DATE BETWEEN DATE '2024-01-15' AND DATE '2024-01-29')
+SELECT '(today is 2024-01-15)' || chr(10) || string_agg('- ' || CASE WHEN strftime(starts_at, '%H:%M') = '00:00' THEN strftime(starts_at, '%Y-%m-%d')
+  ELSE strftime(starts_at, '%Y-%m-%d %H:%M') END || '  ' || course || ': ' || title || CASE WHEN kind = 'admin' THEN ' [admin]' ELSE '' END, chr(10) ORDER BY rn) AS digest
+FROM r WHERE rn <= 60 HAVING count(*) > 0""",
+)
+def calendar_digest_all(t):
+    return R.calendar_digest_all(deadlines(t.events), "2024-01-15")
+
+
 # ------------------------------------------------------------------ conversations
 
 M = with_(MESSAGES)

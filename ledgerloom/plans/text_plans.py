@@ -230,9 +230,16 @@ def classify_links(t):
     return link_rows(t)
 
 
-@query("label_url", "SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) || '/.../' || split_part(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/', -1) AS label FROM pages")
+@query(
+    "label_url",
+    """WITH u AS (SELECT page_id, split_part(split_part(split_part(url, '?', 1), '#', 1), '://', 1) AS scheme, split_part(split_part(split_part(url, '?', 1), '#', 1), '://', 2) || CASE WHEN page_id % 3 = 0 THEN '/' ELSE '' END AS rest FROM pages)
+SELECT page_id, CASE WHEN page_id % 11 = 7 THEN '<feed url hidden>' ELSE scheme || '://' || split_part(rest, '/', 1) || '/...' || CASE WHEN rest LIKE '%/' OR rest NOT LIKE '%/%' THEN '' ELSE '/' || split_part(rest, '/', -1) END END AS label FROM u""",
+)
 def label_url(t):
-    return t.pages.selectExpr("page_id", f"{X.label_url('url')} AS label")
+    """Some addresses end in a slash, some have a broken host."""
+    bare = "regexp_extract(url, '^[^?#]*', 0)"
+    urls = t.pages.selectExpr("page_id", f"CASE WHEN page_id % 11 = 7 THEN 'https://[::1/a/b.ics' WHEN page_id % 3 = 0 THEN concat({bare}, '/?q=1') ELSE url END AS url")
+    return urls.selectExpr("page_id", f"{X.label_url('url')} AS label")
 
 
 @query(
@@ -267,7 +274,7 @@ def slugify(t):
 
 
 FOLD = (
-    r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'),"
+    r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(strip_accents(lower(text)), 'ß', ' '),"
     r" '\([^)]*\)', ' ', 'g'), '\[[^\]]*\]', ' ', 'g'), '\b[0-9]{1,2}:[0-9]{2}\s*(?:am|pm)?\b', ' ', 'g'), '[^a-z0-9]+', ' ', 'g'))"
 )
 RUN_STOP = "'de','en','la','el','y','del','due','the','of','and','a','in','on','at','por','para','con'"
