@@ -8,17 +8,10 @@ from ledgerloom.operators import corpus as C
 from ledgerloom.plans.registry import query
 from ledgerloom.plans.text_plans import SENTENCES, UNESCAPED, WS, duck_strip
 from ledgerloom.plans.views import CORPUS, with_
-from ledgerloom.sources.files import decode_text, file_manifest
+from ledgerloom.sources.files import decode_files
 from ledgerloom.sources.tables import corpus_files
 
 
-@query("file_manifest")
-def file_manifest_q(t):
-    return file_manifest(t.spark, [t.sf_dir], "tables", include=["**/*.parquet"]).withColumn(
-        "path", F.substring_index("path", "/", -1)
-    )
-
-
 ENCODING = (
     "CASE WHEN doc_id % 6 = 1 THEN 'bom8' WHEN doc_id % 6 = 2 THEN 'bom16le' WHEN doc_id % 6 = 3 THEN 'bom16be'"
     " WHEN doc_id % 6 = 4 AND rlike(text, '[\\u0080-\\u00ff]') THEN 'bare16'"
@@ -27,18 +20,26 @@ ENCODING = (
 
 
 def raw_bytes(t):
-    """Every document as the bytes of a file, in one of six encodings."""
+    """Every document as the bytes of a file, in one of six encodings; some files are torn in the middle of a character."""
     return t.documents.selectExpr("doc_id", "text", f"{ENCODING} AS enc").selectExpr(
         "doc_id",
-        "CASE enc WHEN 'bom8' THEN concat(X'EFBBBF', encode(text, 'UTF-8')) WHEN 'bom16le' THEN concat(X'FFFE', encode(text, 'UTF-16LE'))"
-        " WHEN 'bom16be' THEN concat(X'FEFF', encode(text, 'UTF-16BE')) WHEN 'bare16' THEN encode(text, 'UTF-16LE')"
+        "CASE enc WHEN 'bom8' THEN concat(X'EFBBBF', encode(text, 'UTF-8')) WHEN 'bom16le' THEN concat(X'FFFE', encode(text, 'UTF-16LE'), if(doc_id % 12 = 2, X'41', X''))"
+        " WHEN 'bom16be' THEN concat(X'FEFF', encode(text, 'UTF-16BE'), if(doc_id % 12 = 3, X'D83D', X'')) WHEN 'bare16' THEN encode(text, if(doc_id % 12 = 4, 'UTF-16LE', 'UTF-16BE'))"
         " WHEN 'latin1' THEN encode(text, 'ISO-8859-1') ELSE encode(text, 'UTF-8') END AS content",
     )
 
 
-@query("decode_text", "SELECT doc_id, text FROM documents")
+TORN = "doc_id % 12 IN (2, 3)"
+
+
+@query(
+    "decode_text",
+    # Without a mark, text in the other byte order reads as other characters wherever these exist.
+    f"SELECT doc_id, CASE WHEN {TORN} THEN NULL ELSE text END AS text, {TORN} AS failed FROM documents WHERE doc_id % 12 <> 10",
+)
 def decode_text_q(t):
-    return raw_bytes(t).selectExpr("doc_id", f"{decode_text()} AS text")
+    rows = decode_files(raw_bytes(t)).where("doc_id % 12 <> 10")
+    return rows.selectExpr("doc_id", "text", "failure IS NOT NULL AS failed")
 
 
 MANIFEST = """manifest AS (SELECT collection, CASE WHEN doc_id % 11 = 0 THEN path || '.old' ELSE path END AS path,

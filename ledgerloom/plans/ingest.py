@@ -19,8 +19,8 @@ where_sql = lambda title, w: f"CASE WHEN regexp_matches({title}, '(?i)\\b({LOCAT
 # ------------------------------------------------------------------ deadline csv
 
 
-def csv_lines(t):
-    """One csv line per order in ten files; some lines and one header are wrong."""
+def csv_files(t):
+    """One file per order with a row, blank lines and a row whose title has a line break; some rows and some headers are wrong."""
     row = (
         "CASE o_orderkey % 12 WHEN 0 THEN concat('F1,,', d, ',09:00,,false,quiz') WHEN 1 THEN 'F1,Quiz,not-a-date,09:00,,false,quiz'"
         " WHEN 2 THEN concat('F1,Quiz,', d, ',09:00,,false,homework') WHEN 3 THEN concat('F1,Quiz,', d, ',,,false,quiz')"
@@ -28,23 +28,25 @@ def csv_lines(t):
         " WHEN 6 THEN concat('F', o_custkey % 10, ',Reading day,', d, ',,,TRUE,Admin')"
         " ELSE concat('F', o_custkey % 10, ',\"Quiz, part ', o_orderkey, '\",', d, ',9:05,10:45,0,project') END"
     )
-    rows = t.orders.withColumn("d", F.expr("date_format(o_orderdate, 'yyyy-MM-dd')")).selectExpr(
-        "concat('f', o_custkey % 10) AS file", "o_orderkey + 2 AS line_no", f"{row} AS line"
+    header = "if(o_custkey % 10 = 3, 'course,title,date', 'Course,title,date,start_time, end_time,all_day,kind')"
+    second = "concat('F2,\"Two\r\nlines \"\"', o_orderkey, '\"\"\",', d, ',,,1,exam')"
+    return t.orders.withColumn("d", F.expr("date_format(o_orderdate, 'yyyy-MM-dd')")).selectExpr(
+        "o_orderkey AS file", f"concat('\ufeff', {header}, '\r\n', {row}, '\r\n\r\n', {second}, '\n\n') AS text"
     )
-    header = "if(s_suppkey = 3, 'course,title,date', 'Course,title,date,start_time, end_time,all_day,kind')"
-    return rows.unionByName(t.supplier.selectExpr("concat('f', s_suppkey) AS file", "cast(1 AS bigint) AS line_no", f"{header} AS line"))
 
 
 @query(
     "csv_validate",
-    """WITH r AS (SELECT 'f' || (o_custkey % 10) AS file, o_orderkey + 2 AS line_no, o_orderkey % 12 AS m, o_custkey % 10 AS f, o_orderkey AS k, o_orderdate AS d FROM orders)
-SELECT file, line_no, CASE WHEN f = 3 THEN 'header must be exactly course,title,date,start_time,end_time,all_day,kind' ELSE CASE m WHEN 0 THEN 'course and title are required' WHEN 1 THEN 'date not-a-date is not a date'
+    """WITH r AS (SELECT o_orderkey::VARCHAR AS file, o_orderkey % 12 AS m, o_custkey % 10 AS f, o_orderkey AS k, o_orderdate AS d FROM orders)
+SELECT file, 2 AS line_no, CASE WHEN f = 3 THEN 'header must be exactly course,title,date,start_time,end_time,all_day,kind' ELSE CASE m WHEN 0 THEN 'course and title are required' WHEN 1 THEN 'date not-a-date is not a date'
   WHEN 2 THEN 'kind homework is not one of exam|project|quiz|admin' WHEN 3 THEN 'all_day is false but start_time is empty' WHEN 4 THEN 'time 25:00 is not a time' WHEN 5 THEN 'end_time 9:30 is not after start_time 10:30' END END AS error,
   CASE WHEN m = 0 THEN '' WHEN m < 6 THEN 'Quiz' WHEN m = 6 THEN 'Reading day' ELSE 'Quiz, part ' || k END AS title, m = 6 AS all_day,
-  CASE WHEN f = 3 OR m < 6 THEN NULL WHEN m = 6 THEN d ELSE d + INTERVAL 545 MINUTE END AS starts_at, CASE WHEN f <> 3 AND m > 6 THEN d + INTERVAL 645 MINUTE END AS ends_at FROM r""",
+  CASE WHEN f = 3 OR m < 6 THEN NULL WHEN m = 6 THEN d ELSE d + INTERVAL 545 MINUTE END AS starts_at, CASE WHEN f <> 3 AND m > 6 THEN d + INTERVAL 645 MINUTE END AS ends_at FROM r
+UNION ALL SELECT file, 3, CASE WHEN f = 3 THEN 'header must be exactly course,title,date,start_time,end_time,all_day,kind' END, 'Two' || chr(13) || chr(10) || 'lines "' || k || '"', true,
+  CASE WHEN f <> 3 THEN d END, NULL FROM r""",
 )
 def csv_validate(t):
-    return C.deadline_csv(csv_lines(t)).select("file", "line_no", "error", "title", "all_day", "starts_at", "ends_at")
+    return C.deadline_csv(csv_files(t)).select("file", "line_no", "error", "title", "all_day", "starts_at", "ends_at")
 
 
 @query(

@@ -27,10 +27,24 @@ def stream_poll(t):
     return t.spark.read.option("recursiveFileLookup", "true").parquet(out)
 
 
-@query("stream_dedup", "SELECT DISTINCT user_id, event_type, props FROM events")
+@query(
+    "stream_dedup",
+    """WITH RECURSIVE d AS (SELECT DISTINCT user_id, event_type, (TIMESTAMP '2024-01-01' + 14 * (ts - TIMESTAMP '2024-01-01'))::DATE AS day FROM events),
+p AS (SELECT user_id, event_type, min(day) AS day FROM d GROUP BY 1, 2
+  UNION ALL SELECT p.user_id, p.event_type, (SELECT min(d.day) FROM d WHERE d.user_id = p.user_id AND d.event_type = p.event_type AND d.day - p.day > 120) AS nxt FROM p WHERE p.day IS NOT NULL)
+SELECT user_id, event_type, day FROM p WHERE day IS NOT NULL""",
+)
 def stream_dedup(t):
-    keys = ["user_id", "event_type", "props"]
-    return J.run_available(J.notification_dedup(event_stream(t), keys), "dedup").select(*keys)
+    """Events stretched over more than a year, in four batches: keys fall silent for 120 days and are due again."""
+    spark, keys = t.spark, ["user_id", "event_type"]
+    base = "timestamp_ntz'2024-01-01 00:00:00'"
+    long = t.events.withColumn("ts", F.expr(f"timestampadd(MICROSECOND, 14 * timestampdiff(MICROSECOND, {base}, ts), {base})"))
+    quarter = F.expr("least(3, greatest(0, datediff(ts, date'2024-01-01') div 105))")
+    folder = J.staged_files([long.where(quarter == k) for k in range(4)], shared_dir(spark, "stretched"))
+    out, state = shared_dir(spark, "dedup"), shared_dir(spark, "dedup-state")
+    stream = J.with_clock(J.file_stream(spark, folder, "*.parquet", long.schema, 1))
+    J.run_batches(stream, J.notify_into(out, state, keys), "dedup")
+    return spark.read.schema("user_id long, event_type string, day date").option("recursiveFileLookup", "true").parquet(out)
 
 
 @query("stream_completions", CMP + "SELECT up, key, date, title, done FROM state")
@@ -85,16 +99,15 @@ def stream_sessions(t):
 
 @query("stream_index", LIBRARY_CHUNKS)
 def stream_index(t):
-    """New documents are chunked as they arrive and added to the chunk table."""
-    out = shared_dir(t.spark, "index")
-    docs = J.file_stream(t.spark, t.sf_dir, "documents.parquet", t.documents.schema)
-
-    def body(batch, batch_id):
-        chunking.chunk_files(corpus_files(batch)).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-
-    J.run_batches(docs, body, "index")
-    chunks = t.spark.read.option("recursiveFileLookup", "true").parquet(out)
-    return chunks.select("collection", "source_path", "locator", "content_hash")
+    """Documents arrive in three batches, some a second time and some in a newer version; the index holds the last version once."""
+    spark = t.spark
+    docs = corpus_files(t.documents)
+    old = docs.where("doc_id % 9 = 0").selectExpr("* EXCEPT (text, size, mtime)", "mtime - INTERVAL '1' DAY AS mtime", "size + 7 AS size", "concat(text, ' Old.\\n# Gone') AS text").select(*docs.columns)
+    parts = [docs.where("doc_id % 3 = 0 AND doc_id % 9 <> 0").unionByName(old), docs.where("doc_id % 3 = 1 OR doc_id % 6 = 0 AND doc_id % 9 <> 0"), docs.where("doc_id % 3 = 2 OR doc_id % 9 = 0")]
+    stream = J.file_stream(spark, J.staged_files(parts, shared_dir(spark, "arrivals")), "*.parquet", docs.schema, 1)
+    out = shared_dir(spark, "index")
+    J.run_batches(stream, J.index_into(out, chunking.chunk_files, docs.schema), "index")
+    return J.current_index(spark, out, 2).select("collection", "source_path", "locator", "content_hash")
 
 
 @query("stream_seen", "SELECT DISTINCT user_id, event_type FROM events")

@@ -1,10 +1,15 @@
-"""Deadline CSV lines, recurring-rule rows and iCalendar bodies to calendar rows, with an error column.
+"""Deadline CSV files, recurring-rule rows and iCalendar bodies to calendar rows, with an error column.
 
 Bad input never drops good rows: every row carries null or the reason it was refused.
 """
 
 from __future__ import annotations
 
+import csv
+import io
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,25 +31,44 @@ def minute_of(time: str) -> str:
     return f"CASE WHEN {ok} THEN if({h} <= 23 AND {m} <= 59, {h} * 60 + {m}, null) END"
 
 
-def deadline_csv(lines: DataFrame) -> DataFrame:
-    """CSV lines (file, line_no, line) to calendar rows. A file with any other header is refused as a whole."""
+def _csv_rows(text: str | None) -> tuple[bool, list[list[str]]]:
+    """Whether the header is right, and the rows below it; blank lines are no rows, a quoted field may hold line breaks."""
+    rows = [r for r in csv.reader(io.StringIO((text or "").lstrip("\ufeff"), newline="")) if r]
+    header = [c.strip().lower() for c in rows[0]] if rows else []
+    return header == CSV_COLUMNS, [[*r, *[""] * len(CSV_COLUMNS)][: len(CSV_COLUMNS)] for r in rows[1:]]
+
+
+def _csv_fields(files: DataFrame) -> DataFrame:
+    schema = "file string, line_no int, header_ok boolean, " + ", ".join(f"{c} string" for c in CSV_COLUMNS)
+    names = ["file", "line_no", "header_ok", *CSV_COLUMNS]
+    types = [pa.string(), pa.int32(), pa.bool_(), *[pa.string()] * len(CSV_COLUMNS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for file, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                try:
+                    good, found = _csv_rows(text)
+                except csv.Error:
+                    good, found = False, [[""] * len(CSV_COLUMNS)]
+                if not good and not found:
+                    found = [[""] * len(CSV_COLUMNS)]  # a refused file is never silent
+                rows.extend((file, n, good, *r) for n, r in enumerate(found, 2))
+            columns = list(zip(*rows)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+
+    return files.select(F.col("file").cast("string"), "text").mapInArrow(run, schema)
+
+
+def deadline_csv(files: DataFrame) -> DataFrame:
+    """Deadline files (file, text) to calendar rows, numbered from 2. A file with any other header is refused as a whole."""
     header = ",".join(CSV_COLUMNS)
-    heads = lines.where("line_no = 1").selectExpr(
-        "file", f"regexp_replace(lower(regexp_replace(line, '^\\ufeff', '')), '\\\\s*,\\\\s*', ',') = '{header}' AS header_ok"
-    )
-    schema = ", ".join(f"{c} string" for c in CSV_COLUMNS)
-    fields = [f"trim(coalesce(r.{c}, '')) AS {c}" for c in CSV_COLUMNS]
-    rows = (
-        lines.where("line_no > 1")
-        .join(heads, "file", "left")
-        .select("file", "line_no", "header_ok", F.expr(f"from_csv(line, '{schema}') AS r"))
-        .selectExpr("file", "line_no", "coalesce(header_ok, false) AS header_ok", *fields)
-        .selectExpr(
-            "file", "line_no", "header_ok", "course", "title", "start_time", "end_time", "date AS date_text",
-            "if(rlike(date, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$'), try_cast(date AS date), null) AS day",
-            "lower(all_day) IN ('true', '1', 'yes') AS all_day", "lower(kind) AS kind",
-            f"{minute_of('start_time')} AS sm", f"{minute_of('end_time')} AS em",
-        )
+    fields = [f"trim(coalesce({c}, '')) AS {c}" for c in CSV_COLUMNS]
+    rows = _csv_fields(files).selectExpr("file", "line_no", "header_ok", *fields).selectExpr(
+        "file", "line_no", "header_ok", "course", "title", "start_time", "end_time", "date AS date_text",
+        "if(rlike(date, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$'), try_cast(date AS date), null) AS day",
+        "lower(all_day) IN ('true', '1', 'yes') AS all_day", "lower(kind) AS kind",
+        f"{minute_of('start_time')} AS sm", f"{minute_of('end_time')} AS em",
     )
     error = (
         f"CASE WHEN NOT header_ok THEN 'header must be exactly {header}'"

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 # What a library folder holds and what is noise.
 INCLUDE = ["**/*.pdf", "**/*.docx", "**/*.pptx", "**/*.md", "**/*.txt", "**/*.xlsx", "**/*.html", "**/*.htm"]
@@ -45,19 +48,50 @@ def file_manifest(
     return kept.dropDuplicates(["path"]).select(F.lit(collection).alias("collection"), "path", "mtime", "size")
 
 
-def decode_text(content: str = "content") -> str:
-    """SQL text decoding bytes: byte-order mark, else strict UTF-8, else UTF-16 when full of NULs, else Latin-1."""
-    as_text = f"cast({content} AS string)"
-    head = f"decode(substring({content}, 1, 4096), 'ISO-8859-1')"
-    nuls = f"char_length({head}) - char_length(replace({head}, '\\u0000', ''))"
-    mark = f"hex(substring({content}, 1, 4))"
-    no_mark = lambda x: f"regexp_replace({x}, '^\\ufeff+', '')"
-    return (
-        f"CASE WHEN {mark} IN ('FFFE0000', '0000FEFF') THEN {no_mark(f'''decode({content}, 'UTF-32')''')}"
-        f" WHEN {mark} LIKE 'EFBBBF%' THEN {no_mark(as_text)}"
-        f" WHEN {mark} LIKE 'FFFE%' THEN {no_mark(f'''decode(substring({content}, 3), 'UTF-16LE')''')}"
-        f" WHEN {mark} LIKE 'FEFF%' THEN {no_mark(f'''decode(substring({content}, 3), 'UTF-16BE')''')}"
-        f" WHEN is_valid_utf8({as_text}) THEN {as_text}"
-        f" WHEN ({nuls}) > char_length({head}) div 4 THEN decode({content}, 'UTF-16LE')"
-        f" ELSE decode({content}, 'ISO-8859-1') END"
-    )
+# Byte-order marks, longest first, and the encodings they announce.
+MARKS = (
+    (b"\xff\xfe\x00\x00", "utf-32-le"), (b"\x00\x00\xfe\xff", "utf-32-be"), (b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be"),
+)
+HEAD = 4096
+
+
+def decoded(content: bytes) -> str:
+    """Text of a file: by its mark, else strict UTF-8, else UTF-16 of either order when full of NULs, else Latin-1.
+
+    Raises ValueError where none fits.
+    """
+    for mark, encoding in MARKS:
+        if content.startswith(mark):
+            return content[len(mark) :].decode(encoding).lstrip("\ufeff")
+    candidates = ["utf-8"]
+    head = content[:HEAD]
+    candidates += ["utf-16-le", "utf-16-be"] if 4 * head.count(0) > len(head) else ["latin-1"]
+    for encoding in candidates:
+        try:
+            return content.decode(encoding)
+        except UnicodeDecodeError:
+            continue
+    raise ValueError("looks like UTF-16 but could not be decoded")
+
+
+def decode_files(files: DataFrame, content: str = "content") -> DataFrame:
+    """``files`` with ``text`` and ``failure`` in place of their bytes; a file that cannot be read is a row with a reason."""
+    place = files.columns.index(content)
+    kept = [f for f in files.schema.fields if f.name != content]
+    schema = StructType([*kept, StructField("text", StringType()), StructField("failure", StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, failures = [], []
+            for value in batch.column(place):
+                text = failure = None
+                try:
+                    text = decoded(value.as_py()) if value.is_valid else None
+                except ValueError as e:
+                    failure = str(e).splitlines()[0] if not isinstance(e, UnicodeDecodeError) else f"not {e.encoding}: {e.reason}"
+                texts.append(text)
+                failures.append(failure)
+            others = [batch.column(i) for i in range(batch.num_columns) if i != place]
+            yield pa.RecordBatch.from_arrays([*others, pa.array(texts, pa.string()), pa.array(failures, pa.string())], names=schema.names)
+
+    return files.mapInArrow(run, schema)

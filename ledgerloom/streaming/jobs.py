@@ -1,8 +1,9 @@
-"""Structured Streaming jobs. Each function builds a streaming DataFrame or a foreachBatch body; ``run_available``
-drives one to the end of its input and returns the table it wrote.
+"""Structured Streaming jobs. Each function builds a streaming DataFrame or a foreachBatch body; ``run_available`` and
+``run_batches`` drive one.
 
-State is bounded by watermarks wherever the reference bounds it by age; checkpoints and outputs live in the shared
-folder, so a restarted job continues where it stopped.
+A job continues where it stopped when it is started again with the same checkpoint folder. Bodies keep their tables by
+batch and read only what earlier batches wrote, so a batch that is tried again gives the same result. State is bounded
+by age wherever the rules forget by age.
 """
 
 from __future__ import annotations
@@ -11,12 +12,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ledgerloom.session import shared_dir
 
 KEEP_DAYS = 120
-SPREAD = 32
 
 
 def file_stream(spark: SparkSession, folder: str, name: str, schema: StructType, max_files: int | None = None) -> DataFrame:
@@ -27,6 +28,13 @@ def file_stream(spark: SparkSession, folder: str, name: str, schema: StructType,
     return reader.parquet(folder)
 
 
+def staged_files(parts: list[DataFrame], folder: str) -> str:
+    """Write each part as one file of a folder, in order, for a stream that reads a file at a time."""
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(folder)
+    return folder
+
+
 EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
 
 
@@ -40,25 +48,47 @@ def wall_time(instant: str) -> str:
     return f"timestampadd(MICROSECOND, unix_micros({instant}), {EPOCH})"
 
 
-def run_available(stream: DataFrame, purpose: str) -> DataFrame:
-    """Run to the end of the input into a fresh parquet table and read it back."""
+def run_available(stream: DataFrame, purpose: str, out: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """Run to the end of the input into a parquet table and read it back; new folders unless the caller names its own."""
     spark = stream.sparkSession
-    out, state = shared_dir(spark, purpose), shared_dir(spark, f"{purpose}-checkpoint")
+    out, checkpoint = out or shared_dir(spark, purpose), checkpoint or shared_dir(spark, f"{purpose}-checkpoint")
     query = (
-        stream.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", state)
+        stream.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def run_batches(stream: DataFrame, body: Callable[[DataFrame, int], None], purpose: str, mode: str = "append") -> None:
-    """Run ``body(batch, batch_id)`` over the available input; one query runs its batches one after another."""
-    query = (
-        stream.writeStream.foreachBatch(body).outputMode(mode).option("checkpointLocation", shared_dir(stream.sparkSession, f"{purpose}-checkpoint"))
-        .trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+Body = Callable[[DataFrame, int], None]
+
+
+def run_batches(
+    stream: DataFrame, body: Body, purpose: str, mode: str = "append", checkpoint: str | None = None, interval: str | None = None
+) -> StreamingQuery | None:
+    """Run ``body(batch, batch_id)`` batch after batch: over the available input, or every ``interval`` until it is stopped.
+
+    With an interval the running query is returned.
+    """
+    writer = stream.writeStream.foreachBatch(body).outputMode(mode)
+    writer = writer.option("checkpointLocation", checkpoint or shared_dir(stream.sparkSession, f"{purpose}-checkpoint"))
+    if interval:
+        return writer.trigger(processingTime=interval).start()
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return None
+
+
+def tolerant(body: Body, failures: str) -> Body:
+    """``body`` that records a failed batch (batch, reason) below ``failures`` and lets the stream go on."""
+
+    def guarded(batch: DataFrame, batch_id: int) -> None:
+        try:
+            body(batch, batch_id)
+        except Exception as e:  # whatever ends one poll must not end the stream
+            row = [(batch_id, f"{type(e).__name__}: {e}".splitlines()[0][:500])]
+            batch.sparkSession.createDataFrame(row, "batch long, reason string").write.mode("overwrite").parquet(f"{failures}/batch={batch_id}")
+
+    return guarded
 
 
 # ------------------------------------------------------------------ polling and sinks
@@ -98,14 +128,68 @@ def unseen_into(path: str, seen_path: str, keys: list[str], schema: StructType)
 
 # ------------------------------------------------------------------ stateful operators
 
-def notification_dedup(events: DataFrame, keys: list[str], clock: str = "ts", keep_days: int = KEEP_DAYS) -> DataFrame:
-    """One notification per key within ``keep_days``; older keys leave the state.
+def notify_into(path: str, state: str, keys: list[str], clock: str = "ts", keep_days: int = KEEP_DAYS) -> Body:
+    """Write the notifications that are due: a key is silent for ``keep_days`` days from its last notification.
+
+    Writes (keys, day) below ``path``. What is remembered, one day per key, is written below ``state`` for each batch and
+    forgets keys when their time is over. A key that floods a batch is one row per day before anything meets; within a
+    batch the days of a key are picked in rounds, as many as the batch spans silent periods.
+    """
+
+    def body(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        days = batch.select(*keys, F.expr(f"cast({wall_time(clock)} AS date) AS day")).distinct()
+        days.write.mode("overwrite").parquet(f"{state}/days/batch={batch_id}")
+        days = spark.read.schema(days.schema).parquet(f"{state}/days/batch={batch_id}")
+        last = days.limit(0)
+        if batch_id > 0:
+            last = spark.read.schema(days.schema).parquet(f"{state}/last/batch={batch_id - 1}")
+        known, rounds = last, 0
+        while True:
+            since = known.groupBy(*keys).agg(F.max("day").alias("since"))
+            due = days.join(since, keys, "left").where(f"since IS NULL OR datediff(day, since) > {keep_days}").groupBy(*keys).agg(F.min("day").alias("day"))
+            due.write.mode("overwrite").parquet(f"{path}/batch={batch_id}/round={rounds}")
+            picked = spark.read.schema(days.schema).parquet(f"{path}/batch={batch_id}/round={rounds}")
+            if picked.isEmpty():
+                break
+            known, rounds = known.unionByName(picked.select(*known.columns)), rounds + 1
+        today = known.unionByName(days).agg(F.max("day")).first()[0]
+        kept = known.groupBy(*keys).agg(F.max("day").alias("day")).where(F.datediff(F.lit(today), "day") <= keep_days)
+        kept.write.mode("overwrite").parquet(f"{state}/last/batch={batch_id}")
+
+    return body
+
+
+def index_into(path: str, chunk: Callable[[DataFrame], DataFrame], schema: StructType) -> Body:
+    """Keep an index of files (collection, path, mtime, size, text): only new and changed files are chunked.
 
-    Repeats of one key are first thinned in ``SPREAD`` parts by their time, so a key that floods the input does
-    not meet in one task.
+    ``manifest/batch=N`` says for every file known after batch N which batch chunked it; ``chunks/batch=N`` holds the
+    chunks of that batch. The chunks of a file's earlier version are left behind by the manifest.
     """
-    parts = events.withColumn("part", F.expr(f"pmod(xxhash64({clock}), {SPREAD})")).withWatermark(clock, f"{keep_days} days")
-    return parts.dropDuplicatesWithinWatermark([*keys, "part"]).drop("part").dropDuplicatesWithinWatermark(keys)
+    facts = ["path", "mtime", "size"]
+    known_schema = StructType([*(schema[c] for c in facts), StructField("owner", LongType())])
+
+    def body(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        newest = batch.groupBy("path").agg(F.max("mtime").alias("mtime"))
+        files = batch.join(newest, ["path", "mtime"]).dropDuplicates(["path"])
+        known = spark.createDataFrame([], known_schema)
+        if batch_id > 0:
+            known = spark.read.schema(known_schema).parquet(f"{path}/manifest/batch={batch_id - 1}")
+        changed = files.join(known.drop("owner"), facts, "left_anti")
+        chunk(changed).write.mode("overwrite").parquet(f"{path}/chunks/batch={batch_id}")
+        mine = changed.select(*facts).withColumn("owner", F.lit(batch_id).cast("long"))
+        now = known.join(mine.select("path"), "path", "left_anti").select(*mine.columns).unionByName(mine)
+        now.write.mode("overwrite").parquet(f"{path}/manifest/batch={batch_id}")
+
+    return body
+
+
+def current_index(spark: SparkSession, path: str, last_batch: int) -> DataFrame:
+    """The chunks that the manifest of the last batch vouches for."""
+    manifest = spark.read.parquet(f"{path}/manifest/batch={last_batch}").select(F.col("path").alias("source_path"), F.col("owner").alias("batch"))
+    chunks = spark.read.option("basePath", f"{path}/chunks").parquet(f"{path}/chunks").withColumn("batch", F.col("batch").cast("long"))
+    return chunks.join(manifest, ["source_path", "batch"], "left_semi").drop("batch")
 
 
 def week_load(events: DataFrame, clock: str = "ts", delay: str = "1 day") -> DataFrame:

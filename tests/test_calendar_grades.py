@@ -103,9 +103,12 @@ def test_stretches_equal_sessions(spark):
 def test_csv_fixture(spark):
     lines = ["course,title,date,start_time,end_time,all_day,kind", "T1,Quiz 1,2026-09-08,12:00,,false,quiz", 'T1,"Big, Exam",2026-09-21,09:00,10:30,false,exam',
              "T1,Reading day,2026-09-22,,,true,admin", "T1,Bad kind,2026-09-23,12:00,,false,homework", "T1,Bad date,not-a-date,12:00,,false,quiz"]
-    df = spark.createDataFrame([("f", i + 1, x) for i, x in enumerate(lines)], "file string, line_no long, line string")
-    rows = C.deadline_csv(df).orderBy("line_no").collect()
-    assert [r.error is None for r in rows] == [True, True, True, False, False]
+    lines[4:4] = ["", '"T1","Two\n""lines""",2026-09-22,,,true,exam', ""]
+    df = spark.createDataFrame([("f", "\r\n".join(lines)), ("g", "course,title\r\nT1,x"), ("h", ""), ("i", None)], "file string, text string")
+    rows = C.deadline_csv(df).where("file = 'f'").orderBy("line_no").collect()
+    assert [r.error is None for r in rows] == [True, True, True, True, False, False] and rows[3].title == 'Two\n"lines"'
+    refused = C.deadline_csv(df).where("file <> 'f'").collect()
+    assert sorted(r.file for r in refused) == ["g", "h", "i"] and all(r.error.startswith("header") for r in refused)
     assert rows[1].title == "Big, Exam" and rows[1].ends_at == dt(2026, 9, 21, 10, 30) and rows[2].starts_at == dt(2026, 9, 22)
 
 

@@ -5,7 +5,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import chunking as K
-from ledgerloom.sources.files import decode_text, glob_regex
+from ledgerloom.sources.files import decode_files, glob_regex
 
 
 def replay(sentences, target, overlap, count):
@@ -80,10 +80,14 @@ def test_decoding(spark):
     cases = {
         "utf8": "héllo".encode(), "bom": b"\xef\xbb\xbf# x", "u16le": b"\xff\xfe" + "hé".encode("utf-16-le"), "u16be": b"\xfe\xff" + "hé".encode("utf-16-be"),
         "u32": b"\xff\xfe\x00\x00" + "hé".encode("utf-32-le"), "bare16": "héé".encode("utf-16-le"), "latin": b"caf\xe9",
+        "odd": b"\xff\xfeA", "other order": "\u00d8\u00dbab".encode("utf-16-be"), "neither": b"\x00\xd8\x00" * 9, "torn mark": b"\xef\xbb\xbf\xff", "empty": b"",
     }
     df = spark.createDataFrame([(k, bytearray(v)) for k, v in cases.items()], "k string, content binary")
-    got = {r.k: r.t for r in df.select("k", F.expr(f"{decode_text()} AS t")).collect()}
-    assert got == {"utf8": "héllo", "bom": "# x", "u16le": "hé", "u16be": "hé", "u32": "hé", "bare16": "héé", "latin": "café"}
+    rows = decode_files(df).collect()
+    assert {r.k: r.text for r in rows if r.failure is None} == {
+        "utf8": "héllo", "bom": "# x", "u16le": "hé", "u16be": "hé", "u32": "hé", "bare16": "héé", "latin": "café", "empty": "", "other order": "\u00d8\u00dbab"
+    }
+    assert {r.k for r in rows if r.failure} == {"odd", "neither", "torn mark"}
 
 
 def test_globs():
