@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
-from itertools import accumulate
+from itertools import accumulate, pairwise
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -31,32 +31,29 @@ def overlap_for(target: int) -> int:
     return max(1, round(OVERLAP_TOKENS * target / TARGET_TOKENS))
 
 
-def _filled(sentence: str, target: int, count: Callable[[str], int]) -> Iterator[str]:
-    """Lines of whole words that fit the target where words allow it."""
-    line = ""
-    for word in sentence.split():
-        joined = f"{line} {word}" if line else word
-        if line and count(joined) > target:
-            yield line
-            joined = word
-        line = joined
-    if line:
-        yield line
+def _word_spans(words: list[str], target: int, count: Callable[[str], int]) -> list[str]:
+    """Words joined into as long stretches as fit the target; the longest fit is found by bisection."""
+    spans, at = [], 0
+    while at < len(words):
+        # Costs only grow with more words, so the stretches that fit come before those that do not.
+        fit = bisect_right(range(at + 2, len(words) + 1), target, key=lambda end: count(" ".join(words[at:end])))
+        spans.append(" ".join(words[at : at + 1 + fit]))
+        at += 1 + fit
+    return spans
 
 
-def _sliced(text: str, target: int, count: Callable[[str], int]) -> Iterator[str]:
-    """A text without word breaks in slices sized by its own tokens per character."""
-    while len(text) > 4 and (cost := count(text)) > target:
-        size = max(4, len(text) * target // cost)
-        yield text[:size]
-        text = text[size:]
-    if text:
-        yield text
+def _char_spans(text: str, target: int, count: Callable[[str], int]) -> list[str]:
+    """A text without word breaks, cut where its own characters per token say that the target is reached."""
+    edges = [0]
+    while len(text) - edges[-1] > 4 and (cost := count(text[edges[-1] :])) > target:
+        edges.append(edges[-1] + max(4, (len(text) - edges[-1]) * target // cost))
+    return [text[a:b] for a, b in pairwise([*edges, len(text)]) if a < b]
 
 
 def cut_words(sentence: str, target: int, count: Callable[[str], int]) -> list[str]:
-    """Pieces of one oversize sentence."""
-    return [piece for line in _filled(sentence, target, count) for piece in _sliced(line, target, count)]
+    """Pieces of one oversize sentence: stretches of words, and pieces of words that are too long themselves."""
+    spans = _word_spans(sentence.split(), target, count)
+    return [piece for span in spans for piece in ([span] if count(span) <= target else _char_spans(span, target, count))]
 
 
 def pack(sentences, target: int, overlap: int, count: Callable[[str], int]) -> list[str]:
@@ -216,7 +213,7 @@ def chunk_files(files: DataFrame, pack_column=None, handlers=None) -> DataFrame:
         sections = sections.unionByName(part)
     chunks = pack_sections(sections.drop("title", "suffix"), pack_column)
     return chunks.selectExpr(
-        "xxhash64(source_path, section, part, content_hash) AS chunk_id", "collection", "source_path", "section", "part",
+        "xxhash64(collection, source_path, section, part, content_hash) AS chunk_id", "collection", "source_path", "section", "part",
         "locator", "text", "content_hash",
     )
 
