@@ -134,54 +134,48 @@ def heading_paths(heads: str) -> str:
     return f"aggregate({heads}, {start}, (s, h) -> {step}, s -> s.out)"
 
 
-def markdown_sections(docs: DataFrame, text: str = "text", title: str = "title") -> DataFrame:
-    """One row per non-blank section: (…, section, heading_path, body)."""
-    cols = [c for c in docs.columns if c not in (text,)]
+# A handler adds ``found``, the array of a file's sections (section, heading_path, body), for the rows where ``when`` holds.
+FOUND = "array<struct<section:int,heading_path:string,body:string>>"
+
+
+def find_markdown(docs: DataFrame, when: str = "true", text: str = "text", title: str = "title") -> DataFrame:
+    """Sections by heading, fenced code left alone; blank ones are left out."""
+    body = X.strip("array_join(slice(lines, m.at + 1, if(i + 1 < size(marks), marks[i + 1].at, size(lines)) - m.at), '\n')")
+    path = f"coalesce(nullif(m.path, ''), nullif({title}, ''), '(preamble)')"
     staged = (
-        docs.withColumn("lines", F.expr(lines_of(text)))
+        docs.withColumn("lines", F.expr(f"if({when}, {lines_of(text)}, null)"))
         .withColumn("spans", F.expr(fence_spans("lines")))
         .withColumn("heads", F.expr(headings("lines", "spans")))
         .withColumn("marks", F.expr(f"concat(array(named_struct('at', 0, 'path', '')), {heading_paths('heads')})"))
     )
-    body = (
-        "array_join(slice(lines, m.at + 1, if(i + 1 < size(marks), marks[i + 1].at, size(lines)) - m.at), '\\n')"
-    )
-    cut = staged.select(
-        *cols, F.expr(f"posexplode(transform(marks, (m, i) -> struct(m.path AS path, {body} AS body))) AS (section, s)")
-    )
-    return cut.selectExpr(
-        *cols, "section", f"coalesce(nullif(s.path, ''), nullif({title}, ''), '(preamble)') AS heading_path", f"{X.strip('s.body')} AS body"
-    ).where("body <> ''")
+    found = f"transform(marks, (m, i) -> named_struct('section', i, 'heading_path', {path}, 'body', {body}))"
+    return staged.withColumn("found", F.expr(f"if({when}, filter({found}, s -> s.body <> ''), null)")).drop("lines", "spans", "heads", "marks")
 
 
-def html_sections(docs: DataFrame, text: str = "text", title: str = "title") -> DataFrame:
+def find_html(docs: DataFrame, when: str = "true", text: str = "text", title: str = "title") -> DataFrame:
     """Visible text of a page as one section, located by its <title>."""
-    cols = [c for c in docs.columns if c not in (text,)]
     bare = f"regexp_replace(regexp_replace({text}, '(?is)<!--.*?-->|<(script|style|noscript)[^>]*>.*?</\\\\1>', ''), '(?s)<[^>]+>', '')"
-    named = docs.select(
-        *cols,
-        X.unescape_entities(F.expr(bare)).alias("raw"),
-        X.unescape_entities(F.expr(f"regexp_extract({text}, '(?is)<title[^>]*>(.*?)</title>', 1)")).alias("page_title"),
-    )
-    body = f"array_join(filter(transform({lines_of('raw')}, l -> {X.strip('l')}), l -> l <> ''), '\\n')"
-    return named.selectExpr(
-        *cols, "0 AS section", f"coalesce(nullif({X.strip('page_title')}, ''), {title}) AS heading_path", f"{body} AS body"
-    ).where("body <> ''")
+    head = f"regexp_extract({text}, '(?is)<title[^>]*>(.*?)</title>', 1)"
+    named = docs.withColumns({"raw": X.unescape_entities(F.expr(f"if({when}, {bare}, null)")), "head": X.unescape_entities(F.expr(f"if({when}, {head}, null)"))})
+    body = f"array_join(filter(transform({lines_of('raw')}, l -> {X.strip('l')}), l -> l <> ''), '\n')"
+    found = f"array(named_struct('section', 0, 'heading_path', coalesce(nullif({X.strip('head')}, ''), {title}), 'body', {body}))"
+    return named.withColumn("found", F.expr(f"if({when}, filter({found}, s -> s.body <> ''), null)")).drop("raw", "head")
 
 
-def text_sections(docs: DataFrame, text: str = "text", title: str = "title") -> DataFrame:
+def find_text(docs: DataFrame, when: str = "true", text: str = "text", title: str = "title") -> DataFrame:
     """The whole text as one section without a path."""
-    cols = [c for c in docs.columns if c not in (text,)]
-    return docs.selectExpr(*cols, "0 AS section", "cast(null AS string) AS heading_path", f"{text} AS body")
+    found = f"array(named_struct('section', 0, 'heading_path', cast(null AS string), 'body', {text}))"
+    return docs.withColumn("found", F.expr(f"if({when}, {found}, null)"))
+
+
+def sections_of(docs: DataFrame, handler=find_markdown, text: str = "text") -> DataFrame:
+    """One row per section of texts of one type: (…, section, heading_path, body)."""
+    cols = [c for c in docs.columns if c != text]
+    return handler(docs).select(*cols, F.expr("inline(found)"))
 
 
 # Suffix -> how a file of that type becomes sections. A caller adds its own types here.
-HANDLERS: dict[str, Callable[[DataFrame], DataFrame]] = {
-    "md": markdown_sections,
-    "txt": text_sections,
-    "html": html_sections,
-    "htm": html_sections,
-}
+HANDLERS: dict[str, Callable[..., DataFrame]] = {"md": find_markdown, "txt": find_text, "html": find_html, "htm": find_html}
 
 
 def pack_sections(sections: DataFrame, pack_column=None) -> DataFrame:
@@ -205,12 +199,15 @@ def chunk_files(files: DataFrame, pack_column=None, handlers=None) -> DataFrame:
         "collection", "path AS source_path", "text",
         "regexp_replace(substring_index(path, '/', -1), '\\\\.[^.]*$', '') AS title", f"{X.extension('path')} AS suffix",
     )
-    parts = []
+    # One scan: each handler fills in the sections of its own files, and whatever one leaves null stays for the others.
+    by_handler: dict[Callable, list[str]] = {}
     for suffix, handler in (handlers or HANDLERS).items():
-        parts.append(handler(suffixed.where(F.col("suffix") == suffix)))
-    sections = parts[0]
-    for part in parts[1:]:
-        sections = sections.unionByName(part)
+        by_handler.setdefault(handler, []).append(suffix)
+    staged = suffixed.withColumn("sections", F.expr(f"cast(null AS {FOUND})"))
+    for handler, suffixes in by_handler.items():
+        mine = "suffix IN (" + ", ".join(f"'{x}'" for x in suffixes) + ")"
+        staged = handler(staged, mine).withColumn("sections", F.expr("coalesce(sections, found)")).drop("found")
+    sections = staged.select("collection", "source_path", "title", "suffix", F.expr("inline(sections)"))
     chunks = pack_sections(sections.drop("title", "suffix"), pack_column)
     return chunks.selectExpr(
         "xxhash64(collection, source_path, section, part, content_hash) AS chunk_id", "collection", "source_path", "section", "part",
@@ -224,3 +221,14 @@ def unsupported_files(files: DataFrame, handlers=None) -> DataFrame:
     return files.withColumn("suffix", F.expr(X.extension("path"))).where(~F.col("suffix").isin(*known)).selectExpr(
         "collection", "path", "concat('Unsupported file type ', suffix) AS reason"
     )
+
+
+def file_failures(files: DataFrame, handlers=None) -> DataFrame:
+    """Every file that gives no chunks with its reason: (collection, path, text, failure) as decoding left them."""
+    known = ", ".join(f"'{k}'" for k in handlers or HANDLERS)
+    blank = f"length({X.strip('text')}) = 0"
+    reason = (
+        f"CASE WHEN {X.extension('path')} NOT IN ({known}) THEN concat('Unsupported file type ', {X.extension('path')})"
+        f" WHEN failure IS NOT NULL THEN failure WHEN text IS NULL OR {blank} THEN '{ZERO_CHUNKS}' END"
+    )
+    return files.selectExpr("collection", "path", f"{reason} AS reason").where("reason IS NOT NULL")

@@ -204,7 +204,7 @@ paths AS (SELECT *, concat_ws(' > ', 'H' || p1, CASE WHEN p2 > coalesce(p1, -1)
 md5(regexp_replace(regexp_replace(string_agg(line, chr(10) ORDER BY i, sub), '^\\s+', ''), '\\s+$', '')) AS body_md5 FROM paths GROUP BY doc_id, sec""",
 )
 def heading_paths(t):
-    return K.markdown_sections(noted_documents(t)).selectExpr("doc_id", "section", "heading_path", "md5(body) AS body_md5")
+    return K.sections_of(noted_documents(t)).selectExpr("doc_id", "section", "heading_path", "md5(body) AS body_md5")
 
 
 @query(
@@ -308,6 +308,19 @@ def chunk_locators(t):
     return K.chunk_files(corpus_files(t.documents)).select("collection", "source_path", "locator", "content_hash")
 
 
+@query(
+    "file_failures",
+    with_(CORPUS) + f""", d AS (SELECT collection, path, doc_id, doc_id % 12 AS m FROM corpus)
+SELECT collection, path, CASE WHEN NOT contains(path, '.') THEN 'Unsupported file type (none)' WHEN m = 2 THEN 'not utf-16-le: truncated data'
+  WHEN m = 3 THEN 'not utf-16-be: unexpected end of data' ELSE 'parsed to zero chunks' END AS reason FROM d WHERE NOT contains(path, '.') OR {TORN} OR doc_id % 50 = 6""",
+)
+def file_failures(t):
+    """Torn files, files of unknown types and files with nothing in them."""
+    files = corpus_files(t.documents).drop("text").join(raw_bytes(t), "doc_id")
+    files = files.withColumn("content", F.expr("if(doc_id % 50 = 6 AND doc_id % 12 NOT IN (2, 3), encode(' \\n', 'UTF-8'), content)"))
+    return K.file_failures(decode_files(files)).select("collection", "path", "reason")
+
+
 @query(
     "unsupported_files",
     with_(CORPUS) + """SELECT collection, path, 'Unsupported file type (none)' AS reason FROM corpus WHERE NOT contains(path, '.')""",

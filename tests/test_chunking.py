@@ -46,7 +46,7 @@ def test_custom_tokenizer_and_scaled_overlap():
 
 def test_markdown_sections(spark):
     text = "intro\n# A\none\n```\n# no\n```\n## B\ntwo\n### C #\nthree\n## D\nfour\n# E\n\n"
-    rows = K.markdown_sections(spark.createDataFrame([(1, "note", text)], "id int, title string, text string")).orderBy("section").collect()
+    rows = K.sections_of(spark.createDataFrame([(1, "note", text)], "id int, title string, text string")).orderBy("section").collect()
     assert [(r.heading_path, r.body) for r in rows] == [
         ("note", "intro"), ("A", "# A\none\n```\n# no\n```"), ("A > B", "## B\ntwo"), ("A > B > C", "### C #\nthree"),
         ("A > D", "## D\nfour"), ("E", "# E"),
@@ -55,7 +55,7 @@ def test_markdown_sections(spark):
 
 def test_unclosed_fence_hides_headings(spark):
     df = spark.createDataFrame([(1, "", "~~~\n# x\n```\n# y")], "id int, title string, text string")
-    assert [r.heading_path for r in K.markdown_sections(df).collect()] == ["(preamble)"]
+    assert [r.heading_path for r in K.sections_of(df).collect()] == ["(preamble)"]
 
 
 def test_chunk_files_by_type(spark):
