@@ -215,26 +215,61 @@ def calendar_digest_all(events: DataFrame, today: str, days: int = 14, limit: in
     return first.agg(F.expr(_digest("struct(starts_at, id)", today))).where("digest IS NOT NULL")
 
 
+# ------------------------------------------------------------------ material beside the excerpts
+
+# Fixed value: the heading of the policy block.
+POLICY_HEADING = (
+    "THE SYLLABUS GRADING POLICY (authoritative for how the course is weighted; combine with the gradebook above to compute a current"
+    " or projected grade):"
+)
+
+
+def question_material(
+    questions: DataFrame, calendars: DataFrame, calendar_all: DataFrame, grades: DataFrame, grades_all: DataFrame, policies: DataFrame
+) -> DataFrame:
+    """(question_id, material): what the wording of a question calls for, whatever the search finds.
+
+    questions (question_id, scope, text); calendars (course, digest) and grades (course, text) by course, calendar_all
+    (digest) and grades_all (text) one row each at most; policies (collection, block). A schedule question gets its course's
+    deadlines, or all of them where its scope is no course; a grade question gets standings and the stated grading policy.
+    Questions without material give no row.
+    """
+    asked = questions.selectExpr("question_id", "scope", f"{X.asks_schedule('text')} AS s", f"{X.asks_grades('text')} AS g").where("s OR g")
+    every_policy = policies.agg(F.expr("listagg(block, '\n\n') WITHIN GROUP (ORDER BY collection) AS b"))
+    joined = (
+        asked.join(calendars.selectExpr("course AS scope", "digest"), "scope", "left")
+        .join(grades.selectExpr("course AS scope", "text AS standing"), "scope", "left")
+        .join(policies.selectExpr("collection AS scope", "block AS policy"), "scope", "left")
+        .withColumns({"calendar_all": calendar_all.select("digest").scalar(), "grades_all": grades_all.select("text").scalar(), "policy_all": every_policy.scalar()})
+    )
+    policy = "nullif(if(scope = 'all', policy_all, policy), '')"
+    parts = f"if(s, coalesce(digest, calendar_all), null), if(g, if(scope = 'all', grades_all, standing), null), if(g, concat('{POLICY_HEADING}\n\n', {policy}), null)"
+    return joined.selectExpr("question_id", f"concat_ws('\n\n', {parts}) AS material").where("material <> ''")
+
+
 # ------------------------------------------------------------------ the whole preparation
 
 def prepare_batch(
     questions: DataFrame, vectors: DataFrame, costs: DataFrame, levels: DataFrame,
-    k: int = 6, floor: float = 0.6, soft: float = 0.5, budget: int = 8000,
+    k: int = 6, floor: float = 0.6, soft: float = 0.5, budget: int = 8000, material: DataFrame | None = None,
 ) -> DataFrame:
     """Prepare a table of questions.
 
     questions (question_id, scope, qvec) with scope 'all' or one collection; vectors (chunk_id, collection,
     embedding); costs (chunk_id, cost) in tokens; levels (collection, assist_level). One row per question with
     status answerable, blocked, no_results or empty_index, its level, citations and notices. All facts of one
-    question come from a single array of at most k hits per collection.
+    question come from a single array of at most k hits per collection. A question that finds nothing but has
+    ``material`` (question_id, material) is answered from that: its status is context_only.
     """
+    if material is None:
+        material = questions.select("question_id", F.lit(None).cast("string").alias("material")).limit(0)
     indexed = vectors.select("collection").distinct()
     # A closed collection refuses a question that names it before any search.
     routed = (
         questions.join(levels.withColumnRenamed("collection", "scope"), "scope", "left")
         .join(indexed.selectExpr("collection AS scope", "true AS has_chunks"), "scope", "left")
         .selectExpr(
-            "question_id", "scope", "qvec",
+            "question_id", "scope", "qvec", "if(scope <> 'all' AND assist_level = 'explain_only', 'explain_only', 'full') AS own_level",
             "CASE WHEN scope = 'all' THEN 'search' WHEN assist_level = 'off' THEN 'blocked'"
             " WHEN has_chunks IS NULL THEN 'empty_index' ELSE 'search' END AS route",
         )
@@ -248,13 +283,15 @@ def prepare_batch(
     clear = f"filter(offered, x -> x.score >= {floor}D OR best < {floor}D)"
     names = lambda lv: f"array_sort(array_distinct(transform(filter(items, x -> x.level = '{lv}'), x -> x.collection)))"
     facts = (
-        routed.select("question_id", "scope", "route")
+        routed.select("question_id", "scope", "route", "own_level")
         .join(grouped, "question_id", "left")
-        .selectExpr("question_id", "scope", "route", f"coalesce({clear}, array()) AS items", f"best < {floor}D AS low")
+        .join(material.select("question_id", "material"), "question_id", "left")
+        .selectExpr("question_id", "scope", "route", "own_level", "material", f"coalesce({clear}, array()) AS items", f"best < {floor}D AS low")
         .selectExpr("*", f"{names('off')} AS off", f"{names('explain_only')} AS limited")
     )
     status = (
-        "CASE WHEN route <> 'search' THEN route WHEN size(items) = 0 THEN 'no_results' WHEN size(off) > 0 THEN 'blocked'"
+        "CASE WHEN route = 'blocked' THEN route WHEN size(items) = 0 AND material IS NOT NULL THEN 'context_only'"
+        " WHEN route <> 'search' THEN route WHEN size(items) = 0 THEN 'no_results' WHEN size(off) > 0 THEN 'blocked'"
         " ELSE 'answerable' END"
     )
     state = (
@@ -275,19 +312,20 @@ def prepare_batch(
         "question_id",
         "scope",
         "status",
-        "CASE WHEN status = 'answerable' THEN if(size(limited) > 0, 'explain_only', 'full') END AS level",
+        "CASE status WHEN 'answerable' THEN if(size(limited) > 0, 'explain_only', 'full') WHEN 'context_only' THEN own_level END AS level",
         "if(status = 'answerable', limited, cast(array() AS array<string>)) AS restricting",
         f"if(status = 'answerable', {fold}, cast(array() AS array<struct<score:double,chunk_id:bigint,collection:string>>)) AS kept",
         "size(items) AS offered",
         "status = 'answerable' AND low AS low_confidence",
+        "if(status IN ('answerable', 'context_only'), material, null) AS material",
     ).selectExpr(
-        "question_id", "scope", "status", "level", "restricting",
+        "question_id", "scope", "status", "level", "restricting", "material",
         "transform(kept, (c, i) -> struct(i + 1 AS n, c.collection AS collection, c.chunk_id AS chunk_id, -c.score AS score)) AS cited",
         "if(status = 'answerable', offered - size(kept), 0) AS dropped",
         "low_confidence",
     )
     return notices(
-        rows.withColumn("empty", F.when(F.expr("scope = 'all' AND status = 'answerable'"), empty.scalar()).otherwise(F.expr("cast(array() AS array<string>)")))
+        rows.withColumn("empty", F.when(F.expr("scope = 'all' AND status IN ('answerable', 'context_only')"), empty.scalar()).otherwise(F.expr("cast(array() AS array<string>)")))
     )
 
 

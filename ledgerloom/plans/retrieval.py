@@ -3,12 +3,13 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ledgerloom.operators import grading as G
 from ledgerloom.operators import retrieval as R
 from ledgerloom.operators import vectors as V
 from ledgerloom.plans.registry import query
 from ledgerloom.plans.text_plans import WS, duck_strip
 from ledgerloom.plans.views import DEADLINES, MESSAGES, PROBES, VECTORS, with_
-from ledgerloom.sources.tables import deadlines, messages, probes, vectors
+from ledgerloom.sources.tables import deadlines, grade_items, messages, probes, vectors
 
 VP = (VECTORS, PROBES)
 FLOOR, SOFT, TOP, BUDGET = 0.42, 0.2, 6, 1500
@@ -357,6 +358,48 @@ def prepare_batch(t):
     )
 
 
+ASKING = "CASE question_id % 3 WHEN 0 THEN 'What is due this week?' WHEN 1 THEN 'What do I need on the final?' ELSE 'Explain duration.' END"
+
+
+def material(t):
+    """Texts for the vector questions: a third asks for deadlines, a third for grades."""
+    asked = questions(t).selectExpr("question_id", "scope", f"{ASKING} AS text")
+    events = deadlines(t.events).withColumn("course", F.expr("replace(course, 'C', 'L')"))
+    books = grade_items(t.lineitem).withColumn("course", F.expr("concat('L', cast(substring(course, 2) AS int) % 7)"))
+    rules = t.region.selectExpr("concat('L', r_regionkey) AS collection", "concat('[L', r_regionkey, '] Grading\\nExams 60%, homework 40%') AS block")
+    return R.question_material(
+        asked, R.calendar_digest(events, "2024-01-15"), R.calendar_digest_all(events, "2024-01-15"), G.grades_digest(books), G.grades_digest_all(books), rules
+    )
+
+
+# The digests have oracles of their own; here it counts which of them a question gets.
+@query(
+    "question_material",
+    f"""WITH RECURSIVE {VECTORS}, {PROBES}, q0 AS (SELECT question_id * 10 AS question_id, 'all' AS scope FROM probes UNION ALL SELECT question_id * 10 + 1, 'L' || question_id FROM probes
+  UNION ALL SELECT question_id * 10 + 2, 'X' || (10 + question_id % 2) FROM probes), q AS (SELECT *, question_id % 3 = 0 AS s, question_id % 3 = 1 AS g, TRY_CAST(substr(scope, 2) AS INT) AS n FROM q0)
+SELECT question_id, CASE WHEN s THEN '(today is 2024-01-15)' WHEN scope = 'all' THEN '- L0: ' ELSE '- ' || scope || ': ' END AS start,
+  g AND (scope = 'all' OR (scope LIKE 'L%' AND n < 5)) AS has_policy FROM q WHERE s OR (g AND (scope = 'all' OR (scope LIKE 'L%' AND n < 7)))""",
+)
+def question_material(t):
+    return material(t).selectExpr(
+        "question_id", "if(material LIKE '(today%', substring_index(material, '\n', 1), regexp_extract(material, '^- L[0-9]+: ', 0)) AS start",
+        "contains(material, 'THE SYLLABUS GRADING POLICY') AS has_policy",
+    )
+
+
+@query(
+    "context_only",
+    "WITH " + PREPARED + """, q AS (SELECT *, question_id % 3 = 0 OR (question_id % 3 = 1 AND (scope = 'all' OR (scope LIKE 'L%' AND TRY_CAST(substr(scope, 2) AS INT) < 7))) AS has FROM res)
+SELECT question_id, CASE WHEN has AND status IN ('no_results', 'empty_index') THEN 'context_only' ELSE status END AS status,
+  CASE WHEN has AND status IN ('no_results', 'empty_index') THEN coalesce((SELECT CASE WHEN l.assist_level = 'explain_only' THEN 'explain_only' END FROM levels l WHERE l.collection = q.scope), 'full') ELSE level END AS level,
+  cited FROM q""",
+)
+def context_only(t):
+    """Questions that find nothing are answered from calendar and gradebook where their wording asks for these."""
+    found = R.prepare_batch(questions(t), vectors(t.embeddings), chunk_costs(t), levels(t), k=TOP, floor=FLOOR, soft=SOFT, budget=BUDGET, material=material(t))
+    return found.selectExpr("question_id", "status", "level", "array_join(transform(cited, c -> concat(c.n, ':', c.collection, ':', c.chunk_id)), ',') AS cited")
+
+
 @query("notices", "WITH " + PREPARED + f" SELECT question_id, {NOTICES} AS notices FROM res")
 def notices(t):
     return prepared(t).selectExpr("question_id", "array_join(notices, ' / ') AS notices")
