@@ -23,7 +23,7 @@ m AS (SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(length(array_to_string
         len(regexp_extract_all(t, '\p{L}+'))::BIGINT AS n_letter_runs
       FROM w LEFT JOIN covered USING (doc_id)),
 f AS (SELECT *, CASE WHEN n_words < 10 THEN 1 ELSE 0 END | CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 2 ELSE 0 END
-        | CASE WHEN n_symbols > 0.4::DOUBLE * n_words THEN 4 ELSE 0 END
+        | CASE WHEN n_symbols > 0.1::DOUBLE * n_words THEN 4 ELSE 0 END
         | CASE WHEN n_dup_lines > 3 AND n_dup_lines > 0.5::DOUBLE * n_lines THEN 8 ELSE 0 END
         | CASE WHEN word_chars < 2 * n_words THEN 16 ELSE 0 END | CASE WHEN word_chars > 25 * n_words THEN 32 ELSE 0 END
         | CASE WHEN n_letter_runs < 0.5::DOUBLE * n_words THEN 64 ELSE 0 END AS failures FROM m)

@@ -21,16 +21,17 @@ from ledgerloom.llm import boosting
 from ledgerloom.llm.shared import Scratch, whole_text
 
 KINDS = ("email", "ip", "card", "phone")
-#: Base rules. They find what the plain patterns find: possessive quantifiers and look-behinds only spare retries.
+#: Base rules. They find what the plain patterns find: possessive quantifiers and look-behinds only spare retries, and the
+#: matcher's stack on very long matches.
 BASE = {
-    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){15,18}+(?![ -]?[0-9])",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 WIDE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+(?:@| ?[\[(] ?(?:at|AT) ?[\])] ?| (?:at|AT) )[A-Za-z0-9-]++"
-    r"(?:(?:\.| ?[\[(] ?(?:dot|DOT) ?[\])] ?| (?:dot|DOT) )[A-Za-z0-9-]++)+",
+    r"(?:(?:\.| ?[\[(] ?(?:dot|DOT) ?[\])] ?| (?:dot|DOT) )[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9])|(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
     "card": r"(?<![0-9])(?:[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}|[0-9]{4}[ -]?[0-9]{6}[ -]?[0-9]{5})(?![0-9])",
     "phone": r"(?<![0-9.])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",

@@ -81,7 +81,7 @@ def rules() -> list[tuple[str, Column]]:
     return [
         ("few_words", F.col("n_words") < 10),
         ("repeated_words", 100 * F.col("n_repeat_words") > 20 * F.col("n_words")),
-        ("symbols", _share("n_symbols", "n_words", 0.4)),
+        ("symbols", _share("n_symbols", "n_words", 0.1)),
         ("duplicate_lines", (F.col("n_dup_lines") > 3) & _share("n_dup_lines", "n_lines", 0.5)),
         ("short_words", F.col("word_chars") < 2 * F.col("n_words")),
         ("long_words", F.col("word_chars") > 25 * F.col("n_words")),

@@ -50,6 +50,7 @@ TEXTS = [
     "+1 (826) 555-4081 190.137.223.204 and +49 30 1234567. +1+2+33 4444 5555 ++7 1",
     "é😀 ü ann@x.org 😀 +1 (826) 555-4081 é",
     "7" * 30_000 + " " + "a" * 30_000 + " x@y.z" + "1 " * 20_000,
+    "x@y" + ".z" * 30_000 + " 1" + ".2" * 30_000 + " +" + "3(" * 30_000,
     "write to ann (at) example (dot) org today",
 ]
 
