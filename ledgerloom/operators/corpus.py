@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 from ledgerloom.operators.chunking import ZERO_CHUNKS
 
 
+# A file and its manifest row agree.
+SAME = "old_size = size AND abs(unix_micros(cast(old_mtime AS timestamp)) - unix_micros(cast(mtime AS timestamp))) < 1"
+
+
 def changed_files(files: DataFrame, manifest: DataFrame, force: bool = False) -> DataFrame:
     """Files whose size or modification time differs from the manifest, or that it lacks."""
     if force:
         return files
     old = manifest.select("path", F.col("size").alias("old_size"), F.col("mtime").alias("old_mtime"))
-    same = "old_size = size AND abs(unix_micros(cast(old_mtime AS timestamp)) - unix_micros(cast(mtime AS timestamp))) < 1"
-    return files.join(old, "path", "left").where(f"NOT coalesce({same}, false)").drop("old_size", "old_mtime")
+    return files.join(old, "path", "left").where(f"NOT coalesce({SAME}, false)").drop("old_size", "old_mtime")
 
 
 def removed_files(manifest: DataFrame, files: DataFrame, unhealthy: DataFrame) -> DataFrame:
@@ -42,20 +45,19 @@ def index_status(files: DataFrame, chunks: DataFrame, failures: DataFrame) -> Da
 
 def index_report(files: DataFrame, manifest: DataFrame, failures: DataFrame, unhealthy: DataFrame) -> DataFrame:
     """Run counters per collection: scanned, skipped, indexed, removed, failed."""
-    changed = changed_files(files, manifest)
-    counts = [
-        files.groupBy("collection").agg(F.count("*").alias("scanned")),
-        changed.groupBy("collection").agg(F.count("*").alias("changed")),
-        removed_files(manifest, files, unhealthy).groupBy("collection").agg(F.count("*").alias("removed")),
-        failures.join(changed.select("path"), "path", "left_semi").groupBy("collection").agg(F.count("*").alias("failed")),
-    ]
-    out = counts[0]
-    for part in counts[1:]:
-        out = out.join(part, "collection", "full_outer")
-    out = out.fillna(0)
-    return out.selectExpr(
-        "collection", "scanned", "scanned - changed AS skipped", "changed - failed AS indexed", "removed", "failed"
+    old = manifest.selectExpr("path", "collection AS old_collection", "size AS old_size", "mtime AS old_mtime", "true AS known")
+    bad = failures.groupBy("path").agg(F.count("*").alias("n_failed"))
+    gone = unhealthy.selectExpr("collection AS old_collection", "true AS unread").distinct()
+    both = files.selectExpr("path", "collection", "size", "mtime", "true AS live").join(old, "path", "full_outer").join(bad, "path", "left")
+    judged = both.join(gone, "old_collection", "left").selectExpr(
+        "coalesce(collection, old_collection) AS collection", "live", "n_failed",
+        f"live AND NOT coalesce({SAME}, false) AS changed", "live IS NULL AND unread IS NULL AS removed",
     )
+    return judged.groupBy("collection").agg(
+        F.expr("count_if(live) AS scanned"), F.expr("count_if(live AND NOT changed) AS skipped"),
+        F.expr("count_if(changed) - coalesce(sum(n_failed) FILTER (WHERE changed), 0) AS indexed"),
+        F.expr("count_if(removed) AS removed"), F.expr("coalesce(sum(n_failed) FILTER (WHERE changed), 0) AS failed"),
+    ).where("scanned > 0 OR removed > 0")
 
 
 # ------------------------------------------------------------------ vector table upkeep

@@ -107,9 +107,12 @@ def grade_distribution(items: DataFrame) -> DataFrame:
         .selectExpr("course", "100D * cast(score AS double) / cast(out_of AS double) AS pct")
         .groupBy("course", "pct")
         .agg(F.count("*").alias("n"))
-        .groupBy("course")
-        .agg(F.expr("percentile(pct, 0.5D, n) AS median"))
     )
+    # The two middle places, counted from 0, lie in the rows whose running count passes them.
+    by_course = Window.partitionBy("course")
+    placed = pct.withColumn("upto", F.sum("n").over(by_course.orderBy("pct"))).withColumn("total", F.sum("n").over(by_course))
+    middle = lambda k: f"sum(if(upto - n <= {k} AND {k} < upto, pct, 0D))"
+    pct = placed.groupBy("course").agg(F.expr(f"({middle('(total - 1) div 2')} + {middle('total div 2')}) / 2 AS median"))
     points = counted.groupBy("course").agg(
         F.expr("coalesce(sum(score) FILTER (WHERE graded), 0) AS banked"),
         F.expr("coalesce(sum(greatest(out_of - score, 0)) FILTER (WHERE graded AND NOT bonus), 0) AS lost"),
@@ -200,10 +203,8 @@ def stake_match(items: DataFrame, events: DataFrame) -> DataFrame:
 
 def first_stake(stakes: DataFrame) -> DataFrame:
     """Flag every calendar row after the first that carries the same priced item."""
-    first = stakes.groupBy("course", "item").agg(F.expr("min(struct(date, id)) AS f"))
-    return stakes.join(first, ["course", "item"]).selectExpr(
-        "id", "course", "item", "date", "stake", "NOT (date = f.date AND id = f.id) AS again"
-    )
+    first = F.min(F.struct("date", "id")).over(Window.partitionBy("course", "item"))
+    return stakes.withColumn("f", first).selectExpr("id", "course", "item", "date", "stake", "NOT (date = f.date AND id = f.id) AS again")
 
 
 def undated_stakes(items: DataFrame, events: DataFrame) -> DataFrame:

@@ -24,8 +24,9 @@ def rebuild_or_upsert(existing: DataFrame, parsed: DataFrame) -> DataFrame:
     good = parsed.where("error IS NULL").groupBy("id", "source").agg(
         F.max(F.struct("pos", *cols)).alias("r")
     ).select("id", *[F.col(f"r.{c}").alias(c) for c in cols], "source")
-    broken = parsed.where("error IS NOT NULL").select("source").distinct()
-    kept = existing.join(broken, "source", "left_semi").join(good.select("id"), "id", "left_anti")
+    # Sources are a handful of names: a set of them filters the stored table where it is read.
+    broken = parsed.where("error IS NOT NULL").agg(F.collect_set("source"))
+    kept = existing.where(F.array_contains(broken.scalar(), F.col("source"))).join(good.select("id"), "id", "left_anti")
     return good.unionByName(kept)
 
 
