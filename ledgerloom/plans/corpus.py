@@ -277,8 +277,8 @@ def pack_invariants(t):
 def packed_sql(lib: str, select: str) -> str:
     """The packing replay over a table ``lib`` (doc_id, text, …) given as a common table expression."""
     steps = PACKING.replace("FROM documents)", "FROM lib)")
-    chunks = """packed AS (SELECT s.doc_id, s.part, max(s.part) OVER (PARTITION BY s.doc_id) AS last, c.content_hash FROM steps s JOIN (
-  SELECT s.doc_id, s.part, substr(sha256(string_agg(unit, chr(10) ORDER BY u)), 1, 16) AS content_hash FROM steps s
+    chunks = """packed AS (SELECT s.doc_id, s.part, max(s.part) OVER (PARTITION BY s.doc_id) AS last, c.text, substr(sha256(c.text), 1, 16) AS content_hash FROM steps s JOIN (
+  SELECT s.doc_id, s.part, string_agg(unit, chr(10) ORDER BY u) AS text FROM steps s
   JOIN units v ON v.doc_id = s.doc_id AND v.u > s.s AND v.u <= s.e GROUP BY ALL) c ON c.doc_id = s.doc_id AND c.part = s.part)"""
     return "WITH RECURSIVE " + lib + ",\n" + steps.removeprefix("RECURSIVE ") + ",\n" + chunks + "\n" + select
 

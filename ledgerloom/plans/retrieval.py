@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 from ledgerloom.operators import grading as G
 from ledgerloom.operators import retrieval as R
 from ledgerloom.operators import vectors as V
+from ledgerloom.operators.chunking import chunk_files
+from ledgerloom.plans.corpus import LIBRARY, packed_sql
 from ledgerloom.plans.registry import query
 from ledgerloom.plans.text_plans import WS, duck_strip
 from ledgerloom.plans.views import DEADLINES, MESSAGES, PROBES, VECTORS, with_
-from ledgerloom.sources.tables import deadlines, grade_items, messages, probes, vectors
+from ledgerloom.sources.tables import corpus_files, deadlines, grade_items, messages, probes, vectors
 
 VP = (VECTORS, PROBES)
 FLOOR, SOFT, TOP, BUDGET = 0.42, 0.2, 6, 1500
@@ -250,17 +252,37 @@ def calendar_digest_all(t):
 M = with_(MESSAGES)
 
 
-@query(
-    "followup_query",
-    M + f""", u AS (SELECT *, lag(c, 1) OVER w AS p1, lag(c, 2) OVER w AS p2 FROM (
+FOLLOWUPS = f"""u AS (SELECT *, lag(c, 1) OVER w AS p1, lag(c, 2) OVER w AS p2 FROM (
     SELECT *, {duck_strip("regexp_replace(content, '[[][0-9]+]', '', 'g')")} AS c FROM messages WHERE role = 'user' AND content <> '')
-  WINDOW w AS (PARTITION BY conversation_id ORDER BY turn))
-SELECT conversation_id, turn, CASE WHEN greatest(1, length(content) // 4) <= 25 AND p1 IS NOT NULL THEN concat_ws(chr(10), p2, p1, content) ELSE content END AS query FROM u""",
-)
+  WINDOW w AS (PARTITION BY conversation_id ORDER BY turn))"""
+FOLLOWUP_SELECT = """SELECT conversation_id, turn, CASE WHEN greatest(1, length(content) // 4) <= 25 AND p1 IS NOT NULL THEN concat_ws(chr(10), p2, p1, content) ELSE content END AS query FROM u"""
+
+
+@query("followup_query", M + ", " + FOLLOWUPS + FOLLOWUP_SELECT)
 def followup_query(t):
     return R.followup_query(messages(t.conversations))
 
 
+# Chunk ids are hashes, so equal scores are told apart by rank alone.
+@query(
+    "corpus_hits",
+    packed_sql(
+        LIBRARY + ",\n" + MESSAGES + ",\n" + FOLLOWUPS + ", asked AS (" + FOLLOWUP_SELECT.replace("AS query", "AS text") + ")",
+        """, pieces AS (SELECT doc_id * 1000 + part AS piece, source, packed.text FROM packed JOIN lib USING (doc_id)), qs AS (SELECT conversation_id * 1000 + turn AS question, text FROM asked), """
+        + word_rows("piece", "pieces") + ", " + word_rows("question", "qs").replace("word_rows", "q_rows").replace("counts", "q_counts").replace("embedded", "q_embedded")
+        + """ SELECT question AS question_id, source AS collection, rn, round(score, 6) AS score FROM (
+  SELECT *, (row_number() OVER (PARTITION BY question, source ORDER BY score DESC))::INT AS rn FROM (
+    SELECT question, source, piece, round(sum(q.weight * e.weight), 12) AS score FROM q_embedded q JOIN embedded e USING (bucket) JOIN pieces USING (piece) GROUP BY ALL) WHERE score >= 0.2) WHERE rn <= 2""",
+    ).replace("\n, pieces AS", ",\npieces AS"),
+)
+def corpus_hits(t):
+    """From files to answers: chunks of the library and their vectors, conversations as questions, the best chunks of each collection."""
+    chunks = V.embed_with(chunk_files(corpus_files(t.documents)).select("chunk_id", "collection", "text"))
+    asked = R.followup_query(messages(t.conversations)).selectExpr("conversation_id * 1000 + turn AS question_id", "query AS text")
+    questions = V.embed_with(asked).withColumnRenamed("embedding", "qvec")
+    return V.top_k(questions, chunks, 2, 0.2).select("question_id", "collection", "rn", F.round("score", 6).alias("score"))
+
+
 @query(
     "history_window",
     M + """, r AS (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY turn DESC) AS rn FROM messages WHERE content <> '')
