@@ -273,7 +273,7 @@ def followup_query(t):
         + """ SELECT question AS question_id, source AS collection, rn, round(score, 6) AS score FROM (
   SELECT *, (row_number() OVER (PARTITION BY question, source ORDER BY score DESC))::INT AS rn FROM (
     SELECT question, source, piece, round(sum(q.weight * e.weight), 12) AS score FROM q_embedded q JOIN embedded e USING (bucket) JOIN pieces USING (piece) GROUP BY ALL) WHERE score >= 0.2) WHERE rn <= 2""",
-    ).replace("\n, pieces AS", ",\npieces AS"),
+    ),
 )
 def corpus_hits(t):
     """From files to answers: chunks of the library and their vectors, conversations as questions, the best chunks of each collection."""
