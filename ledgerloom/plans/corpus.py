@@ -74,50 +74,6 @@ def removed_files(t):
     return C.removed_files(manifest(t), corpus_files(t.documents), unhealthy(t)).select("collection", "path")
 
 
-LONG_LINES = """long_lines AS (SELECT source || '/' || doc_id || CASE lang WHEN 'en' THEN '.md' WHEN 'fr' THEN '.TXT' WHEN 'de' THEN '.html' ELSE '' END AS source_path,
-  source AS collection FROM (SELECT doc_id, source, lang, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length(line) > 300),
-failures AS (SELECT collection, path, 'parsed to zero chunks' AS reason FROM corpus WHERE path NOT IN (SELECT source_path FROM long_lines))"""
-
-
-def long_lines(t):
-    """A cheap chunk table: lines of more than 300 characters, so that some files give none."""
-    return corpus_files(t.documents).selectExpr(
-        "collection", "path AS source_path", "explode(split(text, '\\n')) AS line"
-    ).where("char_length(line) > 300")
-
-
-def failures(t):
-    return C.zero_chunk_failures(corpus_files(t.documents), long_lines(t))
-
-
-@query("zero_chunk_failures", with_(CORPUS, LONG_LINES) + "SELECT * FROM failures")
-def zero_chunk_failures(t):
-    return failures(t)
-
-
-@query(
-    "index_status",
-    with_(CORPUS, LONG_LINES) + """SELECT f.collection, doc_count, coalesce(chunk_count, 0) AS chunk_count, coalesce(failure_count, 0) AS failure_count
-FROM (SELECT collection, count(*) AS doc_count FROM corpus GROUP BY 1) f
-LEFT JOIN (SELECT collection, count(*) AS chunk_count FROM long_lines GROUP BY 1) c ON c.collection = f.collection
-LEFT JOIN (SELECT collection, count(*) AS failure_count FROM failures GROUP BY 1) x ON x.collection = f.collection""",
-)
-def index_status(t):
-    return C.index_status(corpus_files(t.documents), long_lines(t), failures(t))
-
-
-@query(
-    "index_report",
-    with_(CORPUS, LONG_LINES, MANIFEST) + """SELECT s.collection, scanned, scanned - coalesce(n, 0) AS skipped, coalesce(n, 0) - coalesce(x, 0) AS indexed,
-coalesce(r, 0) AS removed, coalesce(x, 0) AS failed FROM (SELECT collection, count(*) AS scanned FROM corpus GROUP BY 1) s
-LEFT JOIN (SELECT collection, count(*) AS n FROM changed GROUP BY 1) c ON c.collection = s.collection
-LEFT JOIN (SELECT collection, count(*) AS r FROM removed GROUP BY 1) r ON r.collection = s.collection
-LEFT JOIN (SELECT collection, count(*) AS x FROM failures WHERE path IN (SELECT path FROM changed) GROUP BY 1) x ON x.collection = s.collection""",
-)
-def index_report(t):
-    return C.index_report(corpus_files(t.documents), manifest(t), failures(t), unhealthy(t))
-
-
 # ------------------------------------------------------------------ vector upkeep
 
 STORE = """live AS (SELECT vec_id AS chunk_id, 'h' || label || '-' || vec_id AS content_hash FROM embeddings),
@@ -308,6 +264,46 @@ def chunk_locators(t):
     return K.chunk_files(corpus_files(t.documents)).select("collection", "source_path", "locator", "content_hash")
 
 
+CHUNKED = f"""chunked AS ({LIBRARY_CHUNKS}),
+failures AS (SELECT collection, path, 'parsed to zero chunks' AS reason FROM corpus WHERE path NOT IN (SELECT source_path FROM chunked))"""
+
+
+def chunked(t):
+    return K.chunk_files(corpus_files(t.documents)).select("collection", "source_path")
+
+
+def failures(t):
+    return C.zero_chunk_failures(corpus_files(t.documents), chunked(t))
+
+
+@query("zero_chunk_failures", with_(CORPUS, CHUNKED) + "SELECT * FROM failures")
+def zero_chunk_failures(t):
+    return failures(t)
+
+
+@query(
+    "index_status",
+    with_(CORPUS, CHUNKED) + """SELECT f.collection, doc_count, coalesce(chunk_count, 0) AS chunk_count, coalesce(failure_count, 0) AS failure_count
+FROM (SELECT collection, count(*) AS doc_count FROM corpus GROUP BY 1) f
+LEFT JOIN (SELECT collection, count(*) AS chunk_count FROM chunked GROUP BY 1) c ON c.collection = f.collection
+LEFT JOIN (SELECT collection, count(*) AS failure_count FROM failures GROUP BY 1) x ON x.collection = f.collection""",
+)
+def index_status(t):
+    return C.index_status(corpus_files(t.documents), chunked(t), failures(t))
+
+
+@query(
+    "index_report",
+    with_(CORPUS, CHUNKED, MANIFEST) + """SELECT s.collection, scanned, scanned - coalesce(n, 0) AS skipped, coalesce(n, 0) - coalesce(x, 0) AS indexed,
+coalesce(r, 0) AS removed, coalesce(x, 0) AS failed FROM (SELECT collection, count(*) AS scanned FROM corpus GROUP BY 1) s
+LEFT JOIN (SELECT collection, count(*) AS n FROM changed GROUP BY 1) c ON c.collection = s.collection
+LEFT JOIN (SELECT collection, count(*) AS r FROM removed GROUP BY 1) r ON r.collection = s.collection
+LEFT JOIN (SELECT collection, count(*) AS x FROM failures WHERE path IN (SELECT path FROM changed) GROUP BY 1) x ON x.collection = s.collection""",
+)
+def index_report(t):
+    return C.index_report(corpus_files(t.documents), manifest(t), failures(t), unhealthy(t))
+
+
 @query(
     "file_failures",
     with_(CORPUS) + f""", d AS (SELECT collection, path, doc_id, doc_id % 12 AS m FROM corpus)

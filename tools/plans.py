@@ -1,4 +1,7 @@
-"""List physical operators worth a second look in every registered plan: python tools/plans.py [key-prefix ...]"""
+"""List physical operators worth a second look in every registered plan: python tools/plans.py [key-prefix ...]
+
+Only the last plan of a key is seen: what a key has written and read back on its way is behind a scan.
+"""
 
 import contextlib
 import io
@@ -10,7 +13,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from ledgerloom.plans import registry  # noqa: E402
 from ledgerloom.session import local_session  # noqa: E402
 
-SUSPECTS = ["CartesianProduct", "BroadcastNestedLoopJoin", "Exchange SinglePartition", "BatchEvalPython"]
+SUSPECTS = ["CartesianProduct", "BroadcastNestedLoopJoin", "Arguments: SinglePartition", "BatchEvalPython"]
 
 
 def main():
