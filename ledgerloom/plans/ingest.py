@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import upkeep as U
-from ledgerloom.plans.registry import query
+from ledgerloom.plans.registry import oracle_of, query
 from ledgerloom.plans.text_plans import SITE_KIND_SQL
 from ledgerloom.plans.views import with_
 from ledgerloom.sources import calendars as C
@@ -195,6 +195,17 @@ def pulled_events(t):
     return P.calendar_events(event_payloads(t), TODAY, CAP)
 
 
+def quizzes_payloads(t):
+    """Every seventh quiz states no due date and so gives no row."""
+    s = "o_orderdate + make_dt_interval(0, cast(o_orderkey % 24 AS int))"
+    raw = t.orders.selectExpr(
+        "concat('C', o_custkey % 9) AS course",
+        f"to_json(array(struct(o_orderkey AS QuizId, concat('Prueba ', o_orderkey) AS Name, if(o_orderkey % 7 = 0, null, {ISO_Z.format(s)}) AS DueDate,"
+        f" {ISO_Z.format(s + ' - INTERVAL 2 DAY')} AS StartDate, if(o_orderkey % 3 = 0, {ISO_Z.format(s + ' + INTERVAL 90 MINUTE')}, null) AS EndDate))) AS payload",
+    )
+    return raw
+
+
 @query(
     "pulled_quizzes",
     f"""WITH q AS (SELECT o_orderkey AS k, 'C' || (o_custkey % 9) AS course, {NY.format('(o_orderdate + to_hours(o_orderkey % 24))')} AS due, {NY.format('(o_orderdate + to_hours(o_orderkey % 24) - INTERVAL 2 DAY)')} AS st,
@@ -205,16 +216,17 @@ array_to_string(list_sort(list_distinct(list_filter([strftime(st, '%Y-%m-%d'), s
 FROM q WHERE {WINDOW.format('due::DATE')}""",
 )
 def pulled_quizzes(t):
-    """Every seventh quiz states no due date and so gives no row."""
-    s = "o_orderdate + make_dt_interval(0, cast(o_orderkey % 24 AS int))"
+    return P.quizzes(quizzes_payloads(t), TODAY, CAP).withColumn("known_times", F.array_join("known_times", ",")).withColumn(
+        "known_dates", F.expr("array_join(transform(known_dates, d -> cast(d AS string)), ',')")
+    )
+
+
+def dropboxes_payloads(t):
     raw = t.orders.selectExpr(
         "concat('C', o_custkey % 9) AS course",
-        f"to_json(array(struct(o_orderkey AS QuizId, concat('Prueba ', o_orderkey) AS Name, if(o_orderkey % 7 = 0, null, {ISO_Z.format(s)}) AS DueDate,"
-        f" {ISO_Z.format(s + ' - INTERVAL 2 DAY')} AS StartDate, if(o_orderkey % 3 = 0, {ISO_Z.format(s + ' + INTERVAL 90 MINUTE')}, null) AS EndDate))) AS payload",
-    )
-    return P.quizzes(raw, TODAY, CAP).withColumn("known_times", F.array_join("known_times", ",")).withColumn(
-        "known_dates", F.expr("array_join(transform(known_dates, d -> cast(d AS string)), ',')")
+        f"to_json(array(struct(o_orderkey AS Id, concat('Memo ', o_orderkey) AS Name, if(o_orderkey % 6 = 0, null, {ISO_Z.format('o_orderdate + INTERVAL 239 MINUTE + INTERVAL 59 SECOND')}) AS DueDate))) AS payload",
     )
+    return raw
 
 
 @query(
@@ -223,11 +235,20 @@ def pulled_quizzes(t):
 SELECT course, 'Memo ' || k || ' (submit on OAKS)' AS title, due::DATE AS date, strftime(due, '%H:%M') AS start_time, 'project' AS kind, 'dropbox-' || k AS external_id FROM q WHERE {WINDOW.format('due::DATE')}""",
 )
 def pulled_dropboxes(t):
-    raw = t.orders.selectExpr(
-        "concat('C', o_custkey % 9) AS course",
-        f"to_json(array(struct(o_orderkey AS Id, concat('Memo ', o_orderkey) AS Name, if(o_orderkey % 6 = 0, null, {ISO_Z.format('o_orderdate + INTERVAL 239 MINUTE + INTERVAL 59 SECOND')}) AS DueDate))) AS payload",
-    )
-    return P.dropboxes(raw, TODAY, CAP)
+    return P.dropboxes(dropboxes_payloads(t), TODAY, CAP)
+
+
+@query(
+    "pulled_all",
+    f"""SELECT 'oaks_events' AS site, course, title, date, start_time, kind, external_id FROM ({oracle_of("pulled_events")})
+UNION ALL SELECT 'oaks_quizzes', course, title, date, start_time, kind, external_id FROM ({oracle_of("pulled_quizzes")})
+UNION ALL SELECT 'oaks_dropbox', course, title, date, start_time, kind, external_id FROM ({oracle_of("pulled_dropboxes")})""",
+)
+def pulled_all(t):
+    """Three sites through the registry."""
+    tables = {"oaks_events": event_payloads, "oaks_quizzes": quizzes_payloads, "oaks_dropbox": dropboxes_payloads}
+    found = P.pull({site: {"payloads": payloads(t)} for site, payloads in tables.items()}, TODAY, CAP)
+    return found.select("site", "course", "title", "date", "start_time", "kind", "external_id")
 
 
 @query(

@@ -47,6 +47,11 @@ def query(key: str, sql: str | None = None):
     return register
 
 
+def oracle_of(key: str) -> str:
+    """The SQL of a key registered before, for keys that put several together."""
+    return _ORACLES[key]
+
+
 def load() -> tuple[dict[str, Callable], dict[str, str]]:
     for name in MODULES:
         import_module(f"ledgerloom.plans.{name}")

@@ -6,7 +6,7 @@ Reading is tolerant: unknown fields are ignored, unreadable dates drop the item,
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Mapping
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -252,5 +252,30 @@ def completion_log(lines: DataFrame) -> DataFrame:
     )
 
 
-# Which function reads the items of which site. A caller adds its own sites here.
-CONNECTORS = {"oaks_events": calendar_events, "oaks_quizzes": quizzes, "oaks_dropbox": dropboxes, "connect": publisher_assignments, "vhl": embedded_summaries}
+# ------------------------------------------------------------------ all sites at once
+
+ITEM_COLUMNS = {
+    "course": "string", "title": "string", "date": "date", "start_time": "string", "end_time": "string", "all_day": "boolean", "kind": "string", "external_id": "string",
+}
+Connector = Callable[[Mapping[str, DataFrame], str, str | None], DataFrame]
+
+# How the items of a site are read from its payload tables, by name. A caller adds its own sites here.
+CONNECTORS: dict[str, Connector] = {
+    "oaks_events": lambda t, today, cap: calendar_events(t["payloads"], today, cap),
+    "oaks_quizzes": lambda t, today, cap: quizzes(t["payloads"], today, cap),
+    "oaks_dropbox": lambda t, today, cap: dropboxes(t["payloads"], today, cap),
+    "connect": lambda t, today, cap: publisher_assignments(t["sections"], t["courses"], t["payloads"], t["wanted"], today, cap),
+    "vhl": lambda t, today, cap: embedded_summaries(t["pages"]).withColumns({"date": F.expr("try_cast(date AS date)"), "kind": F.lit("quiz")}),
+}
+
+
+def pull(inputs: Mapping[str, Mapping[str, DataFrame]], today: str, cap: str | None = None) -> DataFrame:
+    """Items of all sites in ``inputs`` (site -> its payload tables) with one set of columns."""
+    found = None
+    for site, tables in inputs.items():
+        items = CONNECTORS[site](tables, today, cap)
+        blank = {"all_day": F.lit(False), "end_time": F.lit("")}
+        columns = [(F.col(c) if c in items.columns else blank[c]).cast(t).alias(c) for c, t in ITEM_COLUMNS.items()]
+        rows = items.select(F.lit(site).alias("site"), *columns)
+        found = rows if found is None else found.unionByName(rows)
+    return found
