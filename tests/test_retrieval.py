@@ -140,3 +140,19 @@ def test_healed_store_equals_clean_run(spark):
     assert {tuple(r) for r in healed.collect()} == clean
     with pytest.raises(Exception, match="out of step"):
         C.require_sound(chunks, broken, "m").collect()
+
+
+def test_embedder_protocol(spark):
+    """Questions take the model's prefix, and packing keeps within its window by its own tokens."""
+    texts = spark.createDataFrame([(1, "alpha beta"), (2, None)], "id int, text string")
+    asked = {r.id: r.embedding for r in V.embed_with(texts, lambda: V.HashingEmbedder("query: "), queries=True).collect()}
+    plain = V.HashingEmbedder()
+    assert asked[1] == pytest.approx(plain.embed_docs(["query: alpha beta"])[0]) and asked[2] == pytest.approx(plain.embed_docs(["query:"])[0])
+    from ledgerloom.operators import chunking as K
+
+    class Narrow(V.HashingEmbedder):
+        max_tokens = 5
+
+    rows = spark.createDataFrame([(["one two three.", "four five.", "six seven eight nine ten eleven twelve."],)], "s array<string>")
+    chunks = rows.select(K.packer_for(Narrow)("s").alias("c")).first().c
+    assert all(Narrow().count_tokens(c) <= 5 for c in chunks) and set(" ".join(chunks).split()) >= {"one", "twelve."}
