@@ -136,13 +136,26 @@ def _literal(text: str) -> str:
     return "'" + text.replace("'", "\'") + "'"
 
 
+def _ranges(letters) -> str:
+    """The letters as ranges of a pattern's character class: a long list of single ones is slow to match."""
+    codes, out = sorted(map(ord, letters)), []
+    for code in codes:
+        if out and code == out[-1][1] + 1:
+            out[-1][1] = code
+        else:
+            out.append([code, code])
+    return "".join(chr(a) if a == b else f"{chr(a)}-{chr(b)}" for a, b in out)
+
+
 def fold_words_text(text: str) -> str:
     """Accent-free lower-case words of a text as one space-separated string, compatibility forms resolved."""
     one, many = _compatible()
     table = ", ".join(f"{_literal(k)}, {_literal(v)}" for k, v in many.items())
     spelled = f"array_join(transform(split({text}, ''), c -> coalesce(try_element_at(map({table}), c), c)), '')"
-    wide = f"if(rlike({text}, '[{''.join(many)}]'), {spelled}, {text})"
-    folded = f"lower(translate(regexp_replace({wide}, '[\u0300-\u036f]', ''), '{''.join(one)}', '{''.join(one.values())}'))"
+    wide = f"if(rlike({text}, '[{_ranges(many)}]'), {spelled}, {text})"
+    accented = f"translate(regexp_replace({wide}, '[\u0300-\u036f]', ''), '{''.join(one)}', '{''.join(one.values())}')"
+    # Most texts are plain ASCII and need none of this.
+    folded = f"lower(if(octet_length({text}) = char_length({text}), {text}, {accented}))"
     no_notes = f"regexp_replace(regexp_replace({folded}, '\\\\([^)]*\\\\)', ' '), '\\\\[[^\\\\]]*\\\\]', ' ')"
     no_clock = f"regexp_replace({no_notes}, '\\\\b[0-9]{{1,2}}:[0-9]{{2}}\\\\s*(?:am|pm)?\\\\b', ' ')"
     return f"trim(regexp_replace({no_clock}, '[^a-z0-9]+', ' '))"
