@@ -2,7 +2,8 @@
 
 Documents are summed into cells of source, language and topic. The cells' token weights are raked to target shares of
 each of the three marginals in turn until all hold, and documents are then sampled with their cell's calibrated
-probability. Only cells meet in the raking; documents are summed where they are read and joined to their cell again.
+probability. Only cells meet in the raking; documents are summed where they are read and joined to their cell again. There
+are at most as many cells as sources times languages times topics, and only their running sums pass through one task.
 
 Nulls in source or language are values of their own, a null text has no words, an empty table gives an empty result, and
 repeated rows are sampled alike (the draw hashes doc_id and text). Targets name a value that no cell has: it is left out
