@@ -68,6 +68,7 @@ def percent_count(text: str) -> str:
 
 # ------------------------------------------------------------------ links
 
+# Fixed value: addresses of shared documents.
 GOOGLE_DOC = "docs\\\\.google\\\\.com/(document|presentation|spreadsheets)/d/([A-Za-z0-9_-]+)"
 # Hosts that carry no text to index.
 REFERENCE_HOSTS = (
@@ -153,6 +154,10 @@ def safe_filename(url: str) -> str:
 
 # ------------------------------------------------------------------ secrets
 
+# What stands in for a feed address and for its secret parts.
+HIDDEN_URL, HIDDEN_PART = "<feed url hidden>", "<hidden>"
+
+
 def label_url(url: str) -> str:
     """Scheme, host and file name; the middle of the path, where tokens live, is dropped."""
     head = f"regexp_extract({url}, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+)', 1)"
@@ -161,7 +166,7 @@ def label_url(url: str) -> str:
     net = f"substring_index(substring_index(regexp_extract({url}, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^?#]*)', 1), '/', 1), '?', 1)"
     broken = f"contains({net}, '[') <> contains({net}, ']')"
     return (
-        f"CASE WHEN {broken} THEN '<feed url hidden>' WHEN {head} = '' THEN {url} WHEN {tail} = '' THEN concat({head}, '/...')"
+        f"CASE WHEN {broken} THEN '{HIDDEN_URL}' WHEN {head} = '' THEN {url} WHEN {tail} = '' THEN concat({head}, '/...')"
         f" ELSE concat({head}, '/.../', {tail}) END"
     )
 
@@ -169,7 +174,7 @@ def label_url(url: str) -> str:
 def scrub(text: str, url: str) -> str:
     """Remove a url and its long path parts from a message."""
     parts = f"filter(split({url}, '/'), p -> length(p) >= 16 AND p <> 'calendar.google.com')"
-    return f"aggregate({parts}, replace({text}, {url}, '<feed url hidden>'), (s, p) -> replace(s, p, '<hidden>'))"
+    return f"aggregate({parts}, replace({text}, {url}, '{HIDDEN_URL}'), (s, p) -> replace(s, p, '{HIDDEN_PART}'))"
 
 
 def redact(value: str, show_prefix: int = 0) -> str:
@@ -185,6 +190,7 @@ def redact(value: str, show_prefix: int = 0) -> str:
 
 def without_tags(html: str) -> str:
     """Body text of a page with tags blanked; entities still encoded."""
+    # Blocks without body text, and what a tag is.
     no_blocks = f"regexp_replace({html}, '(?is)<(script|style|nav|header|footer)[^>]*>.*?</\\\\1>', ' ')"
     return f"regexp_replace({no_blocks}, '(?s)<[^>]+>', ' ')"
 
@@ -205,6 +211,7 @@ def html_text(html: str) -> Column:
 def is_login_page(body: str) -> str:
     """An html body whose head asks to sign in."""
     head = f"lower(substring({body}, 1, 2000))"
+    # What a sign-in page says.
     words = ["sign in", "password", "log in", "accounts.google", "login.microsoftonline"]
     asks = " OR ".join(f"contains({head}, '{w}')" for w in words)
     return f"((contains({head}, '<html') OR contains({head}, '<!doctype html')) AND ({asks}))"

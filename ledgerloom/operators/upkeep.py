@@ -103,6 +103,7 @@ def note_paths(notes: DataFrame) -> DataFrame:
     slugged = notes.withColumn("slug", F.expr(slugify("name")))
     first = slugged.groupBy("course", "slug").agg(F.min("id").alias("first_id"))
     return slugged.join(first, ["course", "slug"]).withColumn(
+        # Fixed value: where notes are kept.
         "path", F.expr("concat(course, '/_synced/quizzes/', slug, if(id = first_id, '', concat('-', substring_index(cast(id AS string), '-', -1))), '.md')")
     ).drop("first_id")
 
@@ -200,6 +201,7 @@ def sync_status(sites: DataFrame) -> DataFrame:
 
 def error_kind(line: str) -> str:
     """SQL text: the exception name in a log line, never its message."""
+    # Fixed value: what the name of an exception looks like.
     name = f"regexp_extract({line}, '\\\\b([A-Z][A-Za-z0-9_]{{0,38}}(?:Error|Exception|Warning))\\\\b', 1)"
     known = ["AssistBlocked", "BackendUnavailable", "IndexBusy", "LoginRequired", "NoRelevantResults", "StoreOutOfSync"]
     named = " ".join(f"WHEN contains({line}, '{k}') THEN '{k}'" for k in known)
