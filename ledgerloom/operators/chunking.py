@@ -174,10 +174,23 @@ def find_text(docs: DataFrame, when: str = "true", text: str = "text", title: st
     return docs.withColumn("found", F.expr(f"if({when}, {found}, null)"))
 
 
-def sections_of(docs: DataFrame, handler=find_markdown, text: str = "text") -> DataFrame:
-    """One row per section of texts of one type: (…, section, heading_path, body)."""
+def sections_of(docs: DataFrame, text: str = "text", title: str = "title") -> DataFrame:
+    """One row per non-blank section of Markdown texts: (…, section, heading_path, body).
+
+    The sections are cut inside a generator, which keeps the columns they are cut from computed once.
+    """
     cols = [c for c in docs.columns if c != text]
-    return handler(docs).select(*cols, F.expr("inline(found)"))
+    staged = (
+        docs.withColumn("lines", F.expr(lines_of(text)))
+        .withColumn("spans", F.expr(fence_spans("lines")))
+        .withColumn("heads", F.expr(headings("lines", "spans")))
+        .withColumn("marks", F.expr(f"concat(array(named_struct('at', 0, 'path', '')), {heading_paths('heads')})"))
+    )
+    body = "array_join(slice(lines, m.at + 1, if(i + 1 < size(marks), marks[i + 1].at, size(lines)) - m.at), '\\n')"
+    cut = staged.select(*cols, F.expr(f"posexplode(transform(marks, (m, i) -> struct(m.path AS path, {body} AS body))) AS (section, s)"))
+    return cut.selectExpr(
+        *cols, "section", f"coalesce(nullif(s.path, ''), nullif({title}, ''), '(preamble)') AS heading_path", f"{X.strip('s.body')} AS body"
+    ).where("body <> ''")
 
 
 # Suffix -> how a file of that type becomes sections. A caller adds its own types here.
