@@ -42,6 +42,13 @@ def decode_text_q(t):
     return rows.selectExpr("doc_id", "text", "failure IS NOT NULL AS failed")
 
 
+# The documents that the SQL of decode_text leaves out: big-endian without a mark, or plain UTF-8.
+@query("decode_unmarked_text", "SELECT doc_id, text, FALSE AS failed FROM documents WHERE doc_id % 12 = 10")
+def decode_unmarked_text_q(t):
+    rows = decode_files(raw_bytes(t).where("doc_id % 12 = 10"))
+    return rows.selectExpr("doc_id", "text", "failure IS NOT NULL AS failed")
+
+
 MANIFEST = """manifest AS (SELECT collection, CASE WHEN doc_id % 11 = 0 THEN path || '.old' ELSE path END AS path,
   CASE WHEN doc_id % 7 = 0 THEN mtime - INTERVAL 1 HOUR ELSE mtime END AS mtime, CASE WHEN doc_id % 5 = 0 THEN size + 1 ELSE size END AS size FROM corpus),
 changed AS (SELECT c.* FROM corpus c LEFT JOIN manifest m ON c.path = m.path

@@ -58,6 +58,7 @@ HEAD = 4096
 def decoded(content: bytes) -> str:
     """Text of a file: by its mark, else strict UTF-8, else UTF-16 of either order when full of NULs, else Latin-1.
 
+    Of the two orders the one that puts most NULs into the high bytes is tried first, little-endian where they are even.
     Raises ValueError where none fits.
     """
     for mark, encoding in MARKS:
@@ -65,7 +66,11 @@ def decoded(content: bytes) -> str:
             return content[len(mark) :].decode(encoding).lstrip("\ufeff")
     candidates = ["utf-8"]
     head = content[:HEAD]
-    candidates += ["utf-16-le", "utf-16-be"] if 4 * head.count(0) > len(head) else ["latin-1"]
+    if 4 * head.count(0) > len(head):
+        orders = ["utf-16-le", "utf-16-be"]
+        candidates += orders[::-1] if head[::2].count(0) > head[1::2].count(0) else orders
+    else:
+        candidates.append("latin-1")
     for encoding in candidates:
         try:
             return content.decode(encoding)
