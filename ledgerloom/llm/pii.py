@@ -36,8 +36,13 @@ WIDE = {
     "card": r"(?<![0-9])(?:[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}|[0-9]{4}[ -]?[0-9]{6}[ -]?[0-9]{5})(?![0-9])",
     "phone": r"(?<![0-9.])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
 }
-#: What a text must hold for a kind's patterns to be worth a scan.
-HINT = {"email": r"@|(?:at|AT)[\]) ]", "ip": r"[0-9]+\.[0-9]|[0-9A-Fa-f]:[0-9A-Fa-f]", "card": r"[0-9]{4}", "phone": r"[0-9][ .-][0-9]{3}|\+[0-9]"}
+#: What a text must hold for a kind's patterns to be worth a scan; every match of both patterns holds it.
+HINT = {
+    "email": r"@|(?:at|AT)[\]) ]",
+    "ip": r"[0-9]+\.[0-9]|[0-9A-Fa-f]:[0-9A-Fa-f]",
+    "card": r"[0-9](?:[ -]?[0-9]){14}",
+    "phone": r"[0-9][ .-][0-9]{3}|\+[0-9]",
+}
 CONTEXT = {
     "email": r"(?i)(?:e-?mail|contact|write to|courriel|correo|@)\W*\S*$",
     "ip": r"(?i)(?:\bip\b|host|server|address|addr)\W*\S*$",

@@ -102,3 +102,21 @@ def test_digest_order(found):
     row = next(r for r in found[1] if r.doc_id == 6)
     joined = ",".join(f"{s.kind}:{s.start}:{s.end}" for s in row.base)
     assert hashlib.sha256(text.encode()).digest() == hashlib.sha256(joined.encode()).digest()
+
+
+GROUPED = [
+    "453 957 876 362 148 6",
+    "pay 4 5 3 9 5 7 8 7 6 3 6 2 1 4 8 6 now",
+    "45-39-57-87-63-62-14-86",
+    "1 2 3 and 453-957-876-362-148-7",
+    "amex 378282246310005 only",
+]
+
+
+def test_cards_in_short_groups(spark):
+    docs = spark.createDataFrame(list(enumerate(GROUPED)), "doc_id long, text string")
+    found = {r.doc_id: r for r in pii.candidates(docs).collect()}
+    for i, text in enumerate(GROUPED):
+        assert [tuple(s) for s in found[i].base] == base_spans(text), text
+    assert sum(len(found[i].base) for i in range(3)) == 3
+    assert [(c.name, c.start, c.end) for c in found[4].wide] == [("card", 5, 20)]
