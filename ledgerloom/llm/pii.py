@@ -2,11 +2,14 @@
 
 Two generators per kind propose spans. The base one is strict and final: its valid matches are always redacted. The wide
 one also proposes what the base rule's greedy match swallows or misses (a phone number followed by an address, two card
-numbers side by side, "name (at) host (dot) org"). Each candidate gets format features (digits, check digit, octets,
-separators, clean edges) and a context feature (a telling word shortly before). Trees learn to tell candidates that a base
-rule confirms from those that fail its checks, on counts of distinct feature vectors over all documents; the count table
-is bounded by the ranges of the features. A wide candidate is redacted too if its score reaches the threshold that keeps
-the precision on held-out documents, and if it overlaps no base span of its kind.
+numbers side by side, "name (at) host (dot) org"). A candidate must pass its kind's checks (check digit, octets, digits) to
+count at all. It gets format features (digits, separators, clean edges; a phone's without its country code) and a context
+feature (a telling word shortly before). What labels it is none of these: a base rule that finds the same span speaks for
+it; a word that says otherwise speaks against it (an order or version number, "us at example.com"). Trees learn to tell
+the two apart on counts of distinct feature vectors over all documents; the count table is bounded by the ranges of the
+features. A wide candidate that nothing speaks against is redacted too if its score reaches its kind's threshold, which
+keeps the precision on held-out documents, and if it overlaps no base span of its kind. A kind with labels only against it
+adds no spans; one without any labels has the threshold of all kinds together.
 
 A null text counts as empty, repeated rows are judged alike, an empty table gives an empty result, columns other than
 doc_id and text are ignored. Texts are scanned whole; nothing is shuffled but feature counts.
@@ -49,9 +52,20 @@ CONTEXT = {
     "card": r"(?i)(?:card|visa|credit|account|konto|carte|tarjeta)\W*\S*$",
     "phone": r"(?i)(?:tel|phone|call|fax|mobile|handy|mobil)\W*\S*$",
 }
+#: Words before a candidate that name another thing of the same form.
+OTHERWISE = {
+    "ip": r"(?i)(?:\b(?:version|release|firmware|build|section|chapter|clause|v)|§)[ .:]*$",
+    "card": r"(?i)(?:\b(?:order|serial|invoice|isbn|issn|ean|imei|part|item|ticket|tracking|reference|ref|version)(?: (?:no|number|id))?|#)[ .:]*$",
+    "phone": r"(?i)(?:\b(?:order|serial|invoice|isbn|issn|ean|part|item|ticket|tracking|reference|ref|version)(?: (?:no|number|id))?|#|[$€£])[ .:]*$",
+}
+#: An address spelled with a bare "at" before a plain host name, after a word that ends a phrase of prose.
+PROSE = (
+    r"(?i)^(?:us|me|him|her|it|them|you|we|here|there|now|live|online|available|more|look|looks|looked|looking|found|find|is|are|was|"
+    r"were|be|been|visit|website|site|page|pages|blog|read|see|seen|out|up|back|only|free|order|buy|store|shop|located) at [A-Za-z0-9-]+\."
+)
 REACH = 24
-#: Feature ranges, for the record: kind 0-3, digits 0-20, valid 0-1, plus 0-1, separators 0-4, edges 0-2, context 0-1, base 0-1.
-FEATURES = ("kind", "digits", "valid", "plus", "seps", "edges", "context")
+#: Feature ranges, for the record: kind 0-3, digits 0-20, separators 0-4, edges 0-2, context 0-1.
+FEATURES = ("kind", "digits", "seps", "edges", "context")
 PRECISION = 0.98
 
 
@@ -117,7 +131,7 @@ def _matches(docs: DataFrame, patterns: dict[str, str], tag: str) -> DataFrame:
 def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fold, ``base`` (kind, start, end) and ``wide`` (kind, start, end, features, label) of each row.
 
-    label: 1 a base rule found the same span, 0 the checks fail, null neither.
+    label, of those that pass the checks: 0 a word speaks against it, else 1 a base rule found the same span, null neither.
     """
     body = docs.select(F.col(doc_id).alias("doc_id"), whole_text(text).alias("body"))
     body = body.withColumns({f"hint_{k}": F.col("body").rlike(p) for k, p in HINT.items()})
@@ -152,19 +166,22 @@ def _described(kind: str, number: int) -> Column:
         after = F.substring("body", end + 1, F.lit(1))
         valid = _valid(kind, found)
         edges = (~before.rlike(r"[\p{L}\p{Nd}]$")).cast("int") + (~after.rlike(r"^[\p{L}\p{Nd}]")).cast("int")
-        label = F.when(F.array_contains(base, F.struct(start.alias("start"), end.alias("end"))), 1).when(~valid, 0)
+        against = found.rlike(PROSE) if kind == "email" else before.rlike(OTHERWISE[kind])
+        same = F.array_contains(base, F.struct(start.alias("start"), end.alias("end")))
+        label = F.when(~valid, None).when(against, 0).when(same, 1)
+        # The country code is what base rules know a phone by, so it is no feature.
+        form = F.regexp_replace(found, r"^\+[0-9]{1,3}[ .-]?", "") if kind == "phone" else found
         return F.struct(
             F.lit(kind).alias("name"),
             start.alias("start"),
             end.alias("end"),
             F.lit(number).alias("kind"),
-            F.least(F.length(F.regexp_replace(found, "[^0-9]", "")), F.lit(20)).alias("digits"),
+            F.least(F.length(F.regexp_replace(form, "[^0-9]", "")), F.lit(20)).alias("digits"),
             valid.cast("int").alias("valid"),
-            found.startswith("+").cast("int").alias("plus"),
-            F.least(F.regexp_count(found, F.lit(r"[ ().-]")), F.lit(4)).alias("seps"),
+            F.least(F.regexp_count(form, F.lit(r"[ ().-]")), F.lit(4)).alias("seps"),
             edges.alias("edges"),
             before.rlike(CONTEXT[kind]).cast("int").alias("context"),
-            label.alias("label"),
+            label.cast("int").alias("label"),
         )
 
     return F.transform(f"wide_{kind}", describe)
@@ -178,14 +195,19 @@ def feature_counts(spans: DataFrame) -> DataFrame:
     )
 
 
-def fit(spans: DataFrame, precision: float = PRECISION) -> tuple[tuple[float, list], float]:
-    """Trees and score threshold. The counts that reach the driver are bounded by the feature ranges (below 20,000 rows)."""
+def fit(spans: DataFrame, precision: float = PRECISION) -> tuple[tuple[float, list], dict[str, float]]:
+    """Trees, and score threshold of each kind. The counts that reach the driver are bounded by the feature ranges (2,520 rows)."""
     rows = feature_counts(spans).collect()
     split: dict[bool, list] = {True: [], False: []}
     for r in sorted(rows, key=lambda r: tuple(r)):
         split[r.held_out].append((tuple(r[f] for f in FEATURES), float(r.pos), float(r.neg)))
     model = boosting.fit(split[False])
-    return model, boosting.threshold(model, split[True] or split[False], precision)
+    least = {}
+    for number, kind in enumerate(KINDS):
+        held, fitted = ([r for r in split[side] if r[0][0] == number] for side in (True, False))
+        judged = held if any(p for _, p, _ in held) else held + fitted
+        least[kind] = boosting.threshold(model, judged or split[True] or split[False], precision)
+    return model, least
 
 
 def redactions(docs: DataFrame, precision: float = PRECISION, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -193,14 +215,13 @@ def redactions(docs: DataFrame, precision: float = PRECISION, doc_id: str = "doc
     scratch = Scratch(docs.sparkSession, "pii")
     spans = scratch.write(candidates(docs, doc_id, text))
     model, least = fit(spans, precision)
-    if least == float("inf"):
-        added = F.filter("wide", lambda c: F.lit(False))
-    else:
-        accepted = lambda c: boosting.as_column(model, [c[f] for f in FEATURES]) >= least - 1e-9
-        clear = lambda c: ~F.exists(
-            "base", lambda b: (b["kind"] == c["name"]) & (b["start"] < c["end"]) & (c["start"] < b["end"])
-        )
-        added = F.filter("wide", lambda c: (c["valid"] == 1) & clear(c) & accepted(c))
+    floors = F.array(*[F.lit(least[k]) for k in KINDS])
+    accepted = lambda c: boosting.as_column(model, [c[f] for f in FEATURES]) >= F.get(floors, c["kind"]) - 1e-9
+    clear = lambda c: ~F.exists(
+        "base", lambda b: (b["kind"] == c["name"]) & (b["start"] < c["end"]) & (c["start"] < b["end"])
+    )
+    open_ = lambda c: (c["valid"] == 1) & (F.coalesce(c["label"], F.lit(1)) == 1)
+    added = F.filter("wide", lambda c: open_(c) & clear(c) & accepted(c))
     extra = F.transform(added, lambda c: F.struct(c["name"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
     both = spans.select("doc_id", "base", F.concat("base", extra).alias("all"))
     return both.select("doc_id", "base", _ordered().alias("spans"))

@@ -120,3 +120,15 @@ def test_cards_in_short_groups(spark):
         assert [tuple(s) for s in found[i].base] == base_spans(text), text
     assert sum(len(found[i].base) for i in range(3)) == 3
     assert [(c.name, c.start, c.end) for c in found[4].wide] == [("card", 5, 20)]
+
+
+def test_context_decides(spark):
+    rows = [(i, f"{i} e-mail ann.lee@mail.example.com") for i in range(80)] + [(100 + i, f"{i} visit us at example.com") for i in range(80)]
+    rows += [(200 + i, f"{i} card {CARD}") for i in range(80)] + [(300 + i, f"{i} order no {CARD}") for i in range(80)]
+    asked = ["e-mail bob at example.com", "find bob at example.com", "e-mail us at example.com", f"card {CARD} {OTHER}", f"xx {CARD} {OTHER}"]
+    docs = spark.createDataFrame(rows + [(1000 + i, t) for i, t in enumerate(asked)], "doc_id long, text string")
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in pii.redactions(docs).collect()}
+    assert [got[1000 + i] for i in range(3)] == [[("email", 7, 25)], [], []]
+    assert got[1003] == [("card", 5, 21)] and got[1004] == []
+    assert all(got[100 + i] == [] for i in range(80)) and all(len(got[300 + i]) == 1 for i in range(80))
+    assert "valid" not in pii.FEATURES
