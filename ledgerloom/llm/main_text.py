@@ -5,7 +5,8 @@ inside a link or not), tags score negatively, and one linear scan finds the cont
 weights are log odds from labelled pages: pages that mark their article with exactly one ``article`` or ``main`` element
 say which words and tags are content. The marking element itself is no feature, so pages without one are read the same
 way. Elements that never hold article text (menus, forms, asides, adverts, comments and the like, by name or by the words
-of their class and id) are skipped inside the stretch too.
+of their class and id) are skipped inside the stretch too. A form, or an element that only its class or id tells, is a
+wrapper and not skipped if it holds the page's one marked article, or every mark and heading and most of the page's words.
 
 Counting weights reads every page; what is counted is bounded by a fixed list of element names. Character references are
 decoded, white space within a block becomes one space, blocks are joined by one space; nothing else is dropped or cut. A
@@ -47,13 +48,18 @@ NOT_ARTICLE = set(
     "overlay comment comments reply replies respond disqus share sharing social related recommended newsletter subscribe "
     "subscription signup login search pagination pager copyright hidden".split()
 )
+#: Forms of a class or id that say what a page has or lacks, not what the element is.
+STATE = re.compile(r"(?:has|no|with|without)[-_].*|.*[-_](?:open|closed)")
+#: Elements that are skipped unless they wrap the article.
+WRAPPING = {"form", "fieldset"}
 MARKED = ("article", "main")
 CLOSED_BY_OPENING = {"p": set("p div ul ol dl table section article aside header footer nav form blockquote pre h1 h2 h3 h4 h5 h6".split()), "li": {"li"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "option": {"option"}}
 
 PIECE = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[/!?A-Za-z][^<>]*(?:>|\Z)|[^<]+|<", re.S
 )
-NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+NAMING = {"class", "id", "role"}
 WORDS = re.compile(r"[a-z]+")
 LIMIT, TAG_LIMIT = 3.0, 1.0
 #: Weight of words, per element, where no page was counted, and the most that one skipped element can count against a stretch.
@@ -66,11 +72,15 @@ class Page:
     def __init__(self, source: str):
         self.items: list[tuple[str, int, str | None, int, bool, bool]] = []
         self.marks = 0
+        self._named: list[tuple[int, int]] = []  # first and last item, exclusive, of elements that are skipped unless they wrap the article
         self._read(source)
+        if self._named:
+            self._skip_named()
 
     def _read(self, source: str) -> None:
         items = self.items
         stack: list[tuple[str, str, bool, bool, bool]] = []  # name, block element, in a link, skipped, marked
+        named: list[tuple[int, int]] = []  # depth of the stack and first item of open elements for _named
         open_names: Counter = Counter()
         block, at, end = 0, 0, len(source)
         now = ("", "body", False, False, False)
@@ -99,39 +109,73 @@ class Page:
                         open_names[gone] -= 1
                         if gone == name:
                             break
+                    while named and named[-1][0] > len(stack):
+                        self._named.append((named.pop()[1], len(items)))
                     now = stack[-1] if stack else ("", "body", False, False, False)
                 items.append(("<" + tag, 0, None, block, now[3], now[4]))
                 continue
             while stack and name in CLOSED_BY_OPENING.get(stack[-1][0], ()):
                 open_names[stack.pop()[0]] -= 1
                 now = stack[-1] if stack else ("", "body", False, False, False)
+            while named and named[-1][0] > len(stack):
+                self._named.append((named.pop()[1], len(items)))
             items.append(("<" + tag, 0, None, block, now[3], now[4]))
             if name in VOID or m[3].endswith("/") and name not in INLINE and name not in KNOWN:
                 continue
             mark = name in MARKED
             self.marks += mark and not now[4]
-            skipped = now[3] or self._is_skipped(name, m[3], now[4])
+            skipped = now[3] or self._is_skipped(name, now[4])
             inside = name if name not in INLINE else now[1]
             now = (name, inside if inside not in MARKED else "body", now[2] or name == "a", skipped, now[4] or mark)
             stack.append(now)
             open_names[name] += 1
+            if not skipped and (name in WRAPPING or self._is_named(name, m[3])):
+                named.append((len(stack), len(items)))
             if name in RAW:
                 close = re.compile(rf"</{re.escape(name)}\b", re.I).search(source, at)
                 at = close.start() if close else end
 
+        self._named += [(first, len(items)) for _, first in named]
+
+    @staticmethod
+    def _is_skipped(name: str, marked: bool) -> bool:
+        return not marked if name == "header" else name in SKIPPED and name not in WRAPPING
+
     @staticmethod
-    def _is_skipped(name: str, attributes: str, marked: bool) -> bool:
-        if name in SKIPPED:
-            return True
-        if name == "header":
-            return not marked
+    def _is_named(name: str, attributes: str) -> bool:
         if not attributes or name in ("body", "html", *MARKED):
             return False
-        for m in NAMED.finditer(attributes):
-            if NOT_ARTICLE.intersection(WORDS.findall((m[1] or m[2] or m[3] or "").lower())):
-                return True
+        for m in ATTRIBUTE.finditer(attributes):
+            if m[1].lower() in NAMING:
+                for token in (m[2] or m[3] or m[4] or "").lower().split():
+                    if NOT_ARTICLE.intersection(WORDS.findall(token)) and not STATE.fullmatch(token):
+                        return True
         return False
 
+    def _skip_named(self) -> None:
+        """Skips the named elements that do not wrap the article."""
+        sums = [(0, 0, 0)]  # words, marks and headings so far, outside skipped elements
+        inside = False
+        for feature, words, text, _, skipped, marked in self.items:
+            w, marks, heads = sums[-1]
+            if not skipped:
+                w, marks, heads = w + (words if text is not None else 0), marks + (marked and not inside), heads + (feature == "<h1")
+            inside = marked
+            sums.append((w, marks, heads))
+        total = sums[-1]
+        cover = [0] * (len(self.items) + 1)
+        for first, last in self._named:
+            words, marks, heads = (b - a for a, b in zip(sums[first], sums[last], strict=True))
+            if marks == total[1] and (marks == 1 or heads == total[2] and 2 * words > total[0]):
+                continue
+            cover[first] += 1
+            cover[last] -= 1
+        depth = 0
+        for i, item in enumerate(self.items):
+            depth += cover[i]
+            if depth and not item[4]:
+                self.items[i] = (*item[:4], True, item[5])
+
 
 def counts_of(source: str) -> Counter:
     """(feature, inside) to words or tags of one page; nothing unless it marks exactly one article."""

@@ -86,3 +86,29 @@ def test_tables(spark):
     want = {i: t for i, (_, t) in enumerate(made)} | {None: "", 100: ""}
     assert len(got) == len(rows) and all(r.text == want[r.page_id] and r.n_chars == len(r.text) for r in got)
     assert main_text.extracted(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "wrapper",
+    [
+        "<div class='site has-sidebar'>", "<div class='content no-sidebar'>", "<div id='page' class='comments-open'>",
+        "<form id='aspnetForm'>", "<div class='share-page'>", "<div data-id='ad' title=\"class='ad'\" valid=menu>",
+    ],
+)
+@pytest.mark.parametrize("marked", [True, False])
+def test_page_wrappers(weights, wrapper, marked):
+    rng = random.Random(7)
+    for _ in range(20):
+        source, want = page(rng, marked)
+        if len(want.split()) < 60:
+            continue
+        wrapped = source.replace("<body>", f"<body>{wrapper}").replace("</body>", f"</{wrapper[1:].split()[0]}></body>")
+        assert main_text.main_text(wrapped, weights) == want
+        assert main_text.counts_of(wrapped)["p", True] == main_text.counts_of(source)["p", True]
+
+
+def test_marked_articles_of_others_stay_skipped(weights):
+    rng = random.Random(8)
+    source, want = page(rng)
+    more = f"<div class='related'><article><p>{words(rng, 400)}</p></article></div><div class='comments'><p>{words(rng, 900)}</p></div>"
+    assert main_text.main_text(source.replace("<footer>", more + "<footer>"), weights) == want
