@@ -146,3 +146,20 @@ def test_mixing_awkward_rows(docs):
 @pytest.mark.parametrize("op", [exact_dedup.groups, sharding.shard, quality.verdicts, mixing.mix])
 def test_empty_table(docs, op):
     assert op(docs.limit(0)).count() == 0
+
+
+def test_expected_sample_meets_marginals(spark):
+    # Raked weights reach 1 / keep in the cell (en, a), which gives all it has; the others make up for it.
+    rows = [(i, "w " * 20, ("en", "de")[i % 2], ("a", "b", "c")[i % 3]) for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    goals = {
+        "lang": spark.createDataFrame([("en", 0.7), ("de", 0.3)], "lang string, target double"),
+        "source": spark.createDataFrame([("a", 0.55), ("b", 0.3), ("c", 0.15)], "source string, target double"),
+    }
+    mixed = mixing.mix(docs, keep=0.5, targets=goals).cache()
+    report = {(r.margin, r.value): r for r in mixing.marginal_report(mixed).collect()}
+    for margin, value, share in (("lang", "en", 0.7), ("source", "a", 0.55), ("source", "b", 0.3), ("source", "c", 0.15)):
+        r = report[margin, value]
+        assert abs(r.raked - share) < 1e-4 and abs(r.expected - share) < 1e-4 and abs(r.drawn - share) < 0.03
+    assert abs(mixed.agg(F.sum(F.col("n_tokens") * F.col("probability"))).first()[0] - 60_000) < 0.1
+    assert mixed.agg(F.max("probability")).first()[0] > 1 - 1e-9
