@@ -26,11 +26,11 @@ class Scratch:
         self.base = shared_dir(spark, purpose)
         self.count = 0
 
-    def write(self, df: DataFrame) -> DataFrame:
+    def write(self, df: DataFrame, compression: str | None = None) -> DataFrame:
         """``df`` as a written table. Re-reading it costs a scan; recomputing it after a lost executor costs nothing."""
         self.count += 1
         path = f"{self.base}/{self.count}"
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
         table = self.spark.read.schema(df.schema).parquet(path)
         table._scratch = path
         return table
