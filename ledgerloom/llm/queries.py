@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import exact_dedup, main_text, mixing, packing, pieces, pii, quality, sharding, simhash, suffix_dedup, toxicity
+from ledgerloom.llm import exact_dedup, main_text, merkle, mixing, packing, pieces, pii, quality, sharding, simhash, suffix_dedup, toxicity
 from ledgerloom.llm.oracles import ORACLES
 
 
@@ -74,11 +74,17 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir)).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = merkle.manifest(_documents(spark, sf_dir), {"found": merkle.tampered_leaf()})
+    proof = merkle.proof_digest(F.col("path")).alias("proof_sha256")
+    return merkle.verified(rows).select("doc_id", "leaf", "subroot", "root", proof, "folded_root", "verified")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_main_text, op2_simhash_near_dedup, op3_suffix_dedup, op4_pii, op5_quality_rules, op6_toxicity, op7_sharding,
-        op8_mixing, op9_exact_dedup, op10_sentencepiece, op11_packing,
+        op8_mixing, op9_exact_dedup, op10_sentencepiece, op11_packing, op12_merkle_manifest,
     )
 }
 
