@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import exact_dedup, main_text, merkle, mixing, packing, pieces, pii, quality, sharding, simhash, suffix_dedup, toxicity
+from ledgerloom.llm import exact_dedup, main_text, merkle, mixing, packing, pieces, pii, quality, repair, sharding, simhash, suffix_dedup, toxicity
 from ledgerloom.llm.oracles import ORACLES
 
 
@@ -80,11 +80,17 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified(rows).select("doc_id", "leaf", "subroot", "root", proof, "folded_root", "verified")
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = spark.read.parquet(f"{sf_dir.rstrip('/')}/conversations.parquet")
+    return repair.with_empty(repair.repair(repair.damaged(conversations)).report(), conversations)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_main_text, op2_simhash_near_dedup, op3_suffix_dedup, op4_pii, op5_quality_rules, op6_toxicity, op7_sharding,
         op8_mixing, op9_exact_dedup, op10_sentencepiece, op11_packing, op12_merkle_manifest,
+        op13_conversation_repair,
     )
 }
 
