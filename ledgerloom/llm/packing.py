@@ -8,8 +8,8 @@ round, until one group is left. That group fills its windows to the last token b
 then is cut into sequences whose lengths are powers of two, which need no padding.
 
 A task holds ``OPEN`` windows while it reads and ``FAN`` x ``OPEN`` windows while it merges, however many documents there are.
-A text is tokenized in stretches of ``STRETCH`` characters that end at a space; the tokenizer drops white space and joins
-nothing over it, so the ids are those of the whole text.
+With the default tokenizer a text is worked in stretches of ``STRETCH`` bytes and word by word: it drops white space and joins
+nothing over it, so the ids are those of the whole text. Other tokenizers get whole texts.
 
 A null text counts as empty; an empty text is its end id alone. Repeated rows and equal or null ids are documents of their
 own. An empty table gives an empty result. Columns other than the two named are ignored. Sequence numbers follow the
@@ -18,7 +18,9 @@ partitions of the scan and are unique, not gapless.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -36,6 +38,8 @@ OPEN = 64
 FAN = 16
 END_ID = 2
 STRETCH = 500_000
+#: Words whose ids a task remembers.
+CACHE = 400_000
 #: Bytes of ids that leave a task as one batch.
 BATCH_BYTES = 4_000_000
 #: A sequence number is the round, the partition or group in it, and the place among what that one emitted.
@@ -177,29 +181,100 @@ class _Rows:
             yield self.batch()
 
 
-def stretches(text: str, longest: int = STRETCH) -> list[str]:
-    """``text`` in parts of about ``longest`` characters, each ending before a space or a line feed."""
-    out, at = [], 0
+def stretches(text: bytes, longest: int = STRETCH) -> Iterator[bytes]:
+    """``text`` in parts of about ``longest`` bytes, each but the first beginning with a space or a line feed."""
+    at = 0
     while len(text) - at > longest:
-        space, line = text.find(" ", at + longest), text.find("\n", at + longest)
-        cut = min((x for x in (space, line) if x >= 0), default=-1)
+        found = (text.find(b" ", at + longest), text.find(b"\n", at + longest))
+        cut = min((x for x in found if x >= 0), default=-1)
         if cut < 0:
             break
-        out.append(text[at:cut])
+        yield text[at:cut]
         at = cut
-    out.append(text[at:])
-    return out
+    yield text[at:]
 
 
-def _encoded(tokenizer, texts: list[str | None], end_id: int) -> Iterator[bytes]:
-    """The ids of each text with the end id behind them."""
-    end = np.array([end_id], "<u4").tobytes()
-    parts = [stretches(t or "") for t in texts]
-    flat = tokenizer.encode_batch_fast([p for ps in parts for p in ps], add_special_tokens=False)
-    at = 0
-    for ps in parts:
-        yield b"".join(np.array(e.ids, "<u4").tobytes() for e in flat[at : at + len(ps)]) + end
-        at += len(ps)
+class WordEncoder:
+    """Ids of whole texts, from a bounded cache of the ids of what stands between white space.
+
+    The tokenizer drops white space and joins nothing over it, so a text's ids are those of its words one after the other.
+    New words are encoded together. Those of plain letters, digits and signs are first cut where the tokenizer's own pattern
+    cuts them and lowered, which leaves fewer; each such part gives one run of tokens, the last of which ends a word. All
+    others are left to the tokenizer one by one. A tokenizer made otherwise gets every text whole.
+    """
+
+    #: The pattern of the tokenizer whose words can be cut beforehand, and the same on the characters of ``PLAIN``.
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+    #: Other characters may be composed, lowered or classed in ways of their own; ``<|`` may begin a special token.
+    NOT_PLAIN = re.compile(r"[^!-~À-ÖØ-öø-ÿ]|<\|")
+    TOGETHER = 1000
+
+    def __init__(self, config: str, end_id: int, limit: int = CACHE):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.limit, self.end = Tokenizer.from_str(config), limit, np.array([end_id], "<u4").tobytes()
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        made = json.loads(config)
+        steps = [n["type"] for n in (made["normalizer"] or {}).get("normalizers", [])]
+        cuts = [c["pattern"]["Regex"] for c in (made["pre_tokenizer"] or {}).get("pretokenizers", []) if c["type"] == "Split"]
+        self.cut = steps == ["NFC", "Replace", "Lowercase"] and cuts == [self.PATTERN] and bool(made["model"].get("end_of_word_suffix"))
+        if self.cut:
+            self.bare = Tokenizer(self.tokenizer.model)
+            levels = [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+            self.bare.pre_tokenizer = pre_tokenizers.Sequence(levels)
+            ids = self.tokenizer.get_vocab()
+            self.ends_word = np.zeros(max(ids.values()) + 1, bool)
+            self.ends_word[[i for token, i in ids.items() if token.endswith(made["model"]["end_of_word_suffix"])]] = True
+
+    def _one_by_one(self, words: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
+
+    def _learn_parts(self, parts: list[str]) -> None:
+        for at in range(0, len(parts), self.TOGETHER):
+            some = parts[at : at + self.TOGETHER]
+            ids = np.array(self.bare.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) != len(some):
+                self.parts.update(zip(some, self._one_by_one(some), strict=True))
+                continue
+            joined, start = ids.tobytes(), 0
+            for part, end in zip(some, (4 * ends).tolist(), strict=True):
+                self.parts[part] = joined[start:end]
+                start = end
+
+    def _learn(self, new: set[bytes]) -> None:
+        if len(self.parts) > self.limit:
+            self.parts.clear()
+        odd, plain = [], []
+        for word in new:
+            text = word.decode("utf-8", "replace")
+            if self.NOT_PLAIN.search(text):
+                odd.append((word, text))
+            else:
+                plain.append((word, self.PARTS.findall(text.lower())))
+        self.words.update(zip((w for w, _ in odd), self._one_by_one([t for _, t in odd]), strict=True))
+        self._learn_parts(list({p for _, ps in plain for p in ps}.difference(self.parts)))
+        for word, ps in plain:
+            self.words[word] = self.parts[ps[0]] if len(ps) == 1 else b"".join(map(self.parts.__getitem__, ps))
+
+    def _stretch(self, text: bytes) -> bytes:
+        words = text.split()
+        new = set(words).difference(self.words)
+        if len(self.words) + len(new) > self.limit:
+            self.words.clear()
+            new = set(words)
+        if new:
+            self._learn(new)
+        return b"".join(map(self.words.__getitem__, words))
+
+    def __call__(self, text: bytes | None) -> bytes:
+        """The ids of a text and the end id."""
+        if not self.cut:
+            return self._one_by_one([(text or b"").decode("utf-8", "replace")])[0] + self.end
+        return b"".join(map(self._stretch, stretches(text or b""))) + self.end
 
 
 def pack(
@@ -221,7 +296,7 @@ def pack(
     with open(tokenizer_path, encoding="utf-8") as f:
         vocabulary = spark.sparkContext.broadcast(f.read())
     scratch = Scratch(spark, "packing")
-    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").cast("binary").alias("text"))
     schema = _schema(slim.schema["doc_id"])
     empty = spark.createDataFrame([], schema)
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -230,14 +305,13 @@ def pack(
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_str(vocabulary.value)
+        encode = WordEncoder(vocabulary.value, end_id)
         rows = _Rows(arrow, window, 0, TaskContext.get().partitionId())
         packer = Packer(window, open_windows)
         for batch in batches:
             for keys, texts in slices(batch):
-                for key, ids in zip(keys.to_pylist(), _encoded(tokenizer, texts, end_id), strict=True):
+                for key, value in zip(keys.to_pylist(), texts, strict=True):
+                    ids = encode(value)
                     left = Piece(key, 0, ids, len(ids) // 4)
                     while len(left) >= window:
                         whole, left = left.cut(window)

@@ -95,14 +95,32 @@ def test_rounds_of_merging(spark, tokenizer):
     assert sorted(map(str, packing.pack(docs, window=512, open_windows=4, fan=2).collect())) == sorted(map(str, rows))
 
 
-def test_stretches_give_the_ids_of_the_whole_text(tokenizer):
+ALPHABET = "ab cdEÉ1é́ \n\t\x0b\x0c\x85\xa0\u3000\x1c 'sßÖ'×÷µªǰŒJ̌İΣ,.<|日 한ᄒ"
+
+
+@pytest.mark.parametrize("limit", [5, 400_000])
+def test_words_give_the_ids_of_the_whole_text(tokenizer, limit, monkeypatch):
     rng = random.Random(3)
-    alphabet = "ab É1é́ \n\t 'sΣ,.日 "
-    for _ in range(200):
-        text = "".join(rng.choices(alphabet, k=rng.randint(0, 200)))
-        parts = packing.stretches(text, 7)
-        assert "".join(parts) == text
-        assert [i for p in parts for i in tokenizer.encode(p, add_special_tokens=False).ids] == plain_ids(tokenizer, text)[:-1]
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        encode = packing.WordEncoder(f.read(), 2, limit)
+    assert encode.cut
+    monkeypatch.setattr(packing, "STRETCH", 40)
+    texts = ["".join(rng.choices(ALPHABET, k=rng.randint(0, 300))) for _ in range(300)]
+    texts += ["".join(rng.choices("abcde fghi'stm .,!#12ÀéßÿÖ", k=300)) for _ in range(200)]
+    texts += ["a<|endoftext|>B <|ENDOFTEXT|> <|startoftext|>", "we're THEY'LL 'S's ''s", "x" * 5000]
+    for text in texts:
+        assert b"".join(packing.stretches(text.encode(), 7)) == text.encode()
+        assert np.frombuffer(encode(text.encode()), "<u4").tolist() == plain_ids(tokenizer, text)
+    assert len(encode.words) <= max(limit, 300)
+
+
+def test_other_tokenizers_get_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    other = Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as f:
+        encode = packing.WordEncoder(f.read(), 50256)
+    for text in ("two  words\n and more ", "", "É"):
+        assert np.frombuffer(encode(text.encode()), "<u4").tolist() == [*other.encode(text, add_special_tokens=False).ids, 50256]
 
 
 @settings(max_examples=200, deadline=None)
