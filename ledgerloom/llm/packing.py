@@ -38,8 +38,8 @@ OPEN = 64
 FAN = 16
 END_ID = 2
 STRETCH = 500_000
-#: Words whose ids a task remembers.
-CACHE = 400_000
+#: Words whose ids a task remembers in each of two generations.
+CACHE = 200_000
 #: Bytes of ids that leave a task as one batch.
 BATCH_BYTES = 4_000_000
 #: A sequence number is the round, the partition or group in it, and the place among what that one emitted.
@@ -194,6 +194,23 @@ def stretches(text: bytes, longest: int = STRETCH) -> Iterator[bytes]:
     yield text[at:]
 
 
+class Remembered:
+    """A bounded dictionary of two generations: when the young one is full it becomes the old one, and what is asked for
+    again moves over."""
+
+    def __init__(self, limit: int):
+        self.limit, self.young, self.old = limit, {}, {}
+
+    def missing(self, keys: set) -> set:
+        """Those of ``keys`` that are not known. All others are in ``young`` afterwards."""
+        new = keys.difference(self.young)
+        if len(self.young) + len(new) > self.limit:
+            self.old, self.young, new = self.young, {}, keys
+        known = {k for k in new if k in self.old}
+        self.young.update((k, self.old[k]) for k in known)
+        return new - known
+
+
 class WordEncoder:
     """Ids of whole texts, from a bounded cache of the ids of what stands between white space.
 
@@ -213,9 +230,8 @@ class WordEncoder:
     def __init__(self, config: str, end_id: int, limit: int = CACHE):
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.limit, self.end = Tokenizer.from_str(config), limit, np.array([end_id], "<u4").tobytes()
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.tokenizer, self.end = Tokenizer.from_str(config), np.array([end_id], "<u4").tobytes()
+        self.words, self.parts = Remembered(limit), Remembered(limit)
         made = json.loads(config)
         steps = [n["type"] for n in (made["normalizer"] or {}).get("normalizers", [])]
         cuts = [c["pattern"]["Regex"] for c in (made["pre_tokenizer"] or {}).get("pretokenizers", []) if c["type"] == "Split"]
@@ -233,42 +249,39 @@ class WordEncoder:
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
     def _learn_parts(self, parts: list[str]) -> None:
+        known = self.parts.young
         for at in range(0, len(parts), self.TOGETHER):
             some = parts[at : at + self.TOGETHER]
             ids = np.array(self.bare.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.ends_word[ids]) + 1
             if len(ends) != len(some):
-                self.parts.update(zip(some, self._one_by_one(some), strict=True))
+                known.update(zip(some, self._one_by_one(some), strict=True))
                 continue
             joined, start = ids.tobytes(), 0
             for part, end in zip(some, (4 * ends).tolist(), strict=True):
-                self.parts[part] = joined[start:end]
+                known[part] = joined[start:end]
                 start = end
 
     def _learn(self, new: set[bytes]) -> None:
-        if len(self.parts) > self.limit:
-            self.parts.clear()
-        odd, plain = [], []
+        words, odd, plain = self.words.young, [], []
         for word in new:
             text = word.decode("utf-8", "replace")
             if self.NOT_PLAIN.search(text):
                 odd.append((word, text))
             else:
                 plain.append((word, self.PARTS.findall(text.lower())))
-        self.words.update(zip((w for w, _ in odd), self._one_by_one([t for _, t in odd]), strict=True))
-        self._learn_parts(list({p for _, ps in plain for p in ps}.difference(self.parts)))
+        words.update(zip((w for w, _ in odd), self._one_by_one([t for _, t in odd]), strict=True))
+        self._learn_parts(list(self.parts.missing({p for _, ps in plain for p in ps})))
+        known = self.parts.young
         for word, ps in plain:
-            self.words[word] = self.parts[ps[0]] if len(ps) == 1 else b"".join(map(self.parts.__getitem__, ps))
+            words[word] = known[ps[0]] if len(ps) == 1 else b"".join(map(known.__getitem__, ps))
 
     def _stretch(self, text: bytes) -> bytes:
         words = text.split()
-        new = set(words).difference(self.words)
-        if len(self.words) + len(new) > self.limit:
-            self.words.clear()
-            new = set(words)
+        new = self.words.missing(set(words))
         if new:
             self._learn(new)
-        return b"".join(map(self.words.__getitem__, words))
+        return b"".join(map(self.words.young.__getitem__, words))
 
     def __call__(self, text: bytes | None) -> bytes:
         """The ids of a text and the end id."""
@@ -323,6 +336,7 @@ def pack(
                         yield from rows.full()
         for held in packer.rest():
             rows.add(held, closed=False)
+        del encode  # an idle worker keeps what its last task held
         yield rows.batch()
 
     def merge(level: int, last: bool):
