@@ -39,7 +39,7 @@ FAN = 16
 END_ID = 2
 STRETCH = 500_000
 #: Words whose ids a task remembers in each of two generations.
-CACHE = 200_000
+CACHE = 250_000
 #: Bytes of ids that leave a task as one batch.
 BATCH_BYTES = 4_000_000
 #: A sequence number is the round, the partition or group in it, and the place among what that one emitted.
@@ -211,6 +211,31 @@ class Remembered:
         return new - known
 
 
+@dataclass
+class Vocabulary:
+    """A tokenizer file, whether its words can be cut beforehand, and which of its tokens end a word."""
+
+    config: str
+    cut: bool
+    ends_word: np.ndarray
+
+    #: The pattern of the tokenizer whose words can be cut.
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+    @classmethod
+    def load(cls, path: str) -> Vocabulary:
+        with open(path, encoding="utf-8") as f:
+            config = f.read()
+        made = json.loads(config)
+        steps = [n["type"] for n in (made["normalizer"] or {}).get("normalizers", [])]
+        cuts = [c["pattern"]["Regex"] for c in (made["pre_tokenizer"] or {}).get("pretokenizers", []) if c["type"] == "Split"]
+        suffix, ids = made["model"].get("end_of_word_suffix"), made["model"]["vocab"]
+        ends = np.zeros(max(ids.values()) + 1, bool)
+        if suffix:
+            ends[[i for token, i in ids.items() if token.endswith(suffix)]] = True
+        return cls(config, steps == ["NFC", "Replace", "Lowercase"] and cuts == [cls.PATTERN] and bool(suffix), ends)
+
+
 class WordEncoder:
     """Ids of whole texts, from a bounded cache of the ids of what stands between white space.
 
@@ -220,29 +245,21 @@ class WordEncoder:
     others are left to the tokenizer one by one. A tokenizer made otherwise gets every text whole.
     """
 
-    #: The pattern of the tokenizer whose words can be cut beforehand, and the same on the characters of ``PLAIN``.
-    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    #: The tokenizer's pattern on the characters that are plain.
     PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
     #: Other characters may be composed, lowered or classed in ways of their own; ``<|`` may begin a special token.
     NOT_PLAIN = re.compile(r"[^!-~À-ÖØ-öø-ÿ]|<\|")
     TOGETHER = 1000
 
-    def __init__(self, config: str, end_id: int, limit: int = CACHE):
+    def __init__(self, vocabulary: Vocabulary, end_id: int, limit: int = CACHE):
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.end = Tokenizer.from_str(config), np.array([end_id], "<u4").tobytes()
+        self.tokenizer, self.end = Tokenizer.from_str(vocabulary.config), np.array([end_id], "<u4").tobytes()
+        self.cut, self.ends_word = vocabulary.cut, vocabulary.ends_word
         self.words, self.parts = Remembered(limit), Remembered(limit)
-        made = json.loads(config)
-        steps = [n["type"] for n in (made["normalizer"] or {}).get("normalizers", [])]
-        cuts = [c["pattern"]["Regex"] for c in (made["pre_tokenizer"] or {}).get("pretokenizers", []) if c["type"] == "Split"]
-        self.cut = steps == ["NFC", "Replace", "Lowercase"] and cuts == [self.PATTERN] and bool(made["model"].get("end_of_word_suffix"))
-        if self.cut:
-            self.bare = Tokenizer(self.tokenizer.model)
-            levels = [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
-            self.bare.pre_tokenizer = pre_tokenizers.Sequence(levels)
-            ids = self.tokenizer.get_vocab()
-            self.ends_word = np.zeros(max(ids.values()) + 1, bool)
-            self.ends_word[[i for token, i in ids.items() if token.endswith(made["model"]["end_of_word_suffix"])]] = True
+        self.bare = Tokenizer(self.tokenizer.model)
+        levels = [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence(levels)
 
     def _one_by_one(self, words: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
@@ -266,7 +283,9 @@ class WordEncoder:
         words, odd, plain = self.words.young, [], []
         for word in new:
             text = word.decode("utf-8", "replace")
-            if self.NOT_PLAIN.search(text):
+            if word.isalpha():
+                plain.append((word, (text.lower(),)))
+            elif self.NOT_PLAIN.search(text):
                 odd.append((word, text))
             else:
                 plain.append((word, self.PARTS.findall(text.lower())))
@@ -277,6 +296,8 @@ class WordEncoder:
             words[word] = known[ps[0]] if len(ps) == 1 else b"".join(map(known.__getitem__, ps))
 
     def _stretch(self, text: bytes) -> bytes:
+        if text.isascii() and b"<|" not in text:
+            text = text.lower()  # what the tokenizer does to it anyway
         words = text.split()
         new = self.words.missing(set(words))
         if new:
@@ -306,8 +327,7 @@ def pack(
 
         tokenizer_path = public_tokenizers.path("word_bpe_49k.json")
     spark = docs.sparkSession
-    with open(tokenizer_path, encoding="utf-8") as f:
-        vocabulary = spark.sparkContext.broadcast(f.read())
+    vocabulary = spark.sparkContext.broadcast(Vocabulary.load(tokenizer_path))
     scratch = Scratch(spark, "packing")
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").cast("binary").alias("text"))
     schema = _schema(slim.schema["doc_id"])
