@@ -253,6 +253,23 @@ def append_new(stored: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
+def apply_changes(stored: DataFrame, changes: DataFrame, new_id: str) -> tuple[DataFrame, DataFrame]:
+    """The calendar after a poll: moves rewritten, new work appended; returns (rows, actions).
+
+    Only rows of source ``csv`` are edited; others stay as they are. New rows, and moves that found no row of theirs, are
+    appended unless their course, title and date are held already. ``new_id`` is SQL text over a change and gives the id of
+    the row made of it.
+    """
+    own = stored.where("source = 'csv'")
+    rows, actions = apply_moves(own, changes.where("kind = 'moved'"))
+    rows, actions = materialize(rows, "rows-after-moves"), materialize(actions, "actions")
+    spare = changes.where("kind = 'new'").unionByName(changes.join(actions.where("action = 'append'").select("pos"), "pos", "left_semi").select(*changes.columns))
+    added = append_new(rows, spare).withColumn("id", F.expr(new_id)).withColumn("source", F.lit("csv"))
+    cols = stored.columns
+    after = rows.select(*cols).unionByName(added.select(*cols)).unionByName(stored.where("source <> 'csv' OR source IS NULL").select(*cols))
+    return after, actions
+
+
 def authority_merge(events: DataFrame, quizzes: DataFrame) -> DataFrame:
     """Fold calendar events into the quiz records they repeat.
 

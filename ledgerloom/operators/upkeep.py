@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as X
 from ledgerloom.functions.titles import slugify
+from ledgerloom.session import materialize
+from ledgerloom.sources.versions import VersionedTable
 
 SOURCES = ("ics", "csv", "recurring")
 MAX_FEED_BYTES = 8 * 1024 * 1024
@@ -39,6 +41,20 @@ def save_sources(events: DataFrame, path: str) -> DataFrame:
     return events.sparkSession.read.schema(events.schema).parquet(path)
 
 
+def commit_import(table: VersionedTable, parsed: DataFrame, batch: int) -> bool:
+    """Import number ``batch`` into a table partitioned by ``source``; False if it is there already.
+
+    A clean source is replaced, also by nothing; a broken one gets its good rows put over the old ones, and one without any
+    good row keeps its files as they are.
+    """
+    rows = materialize(parsed, "parsed")
+    state = {r.source: r for r in rows.groupBy("source").agg(F.expr("bool_or(error IS NOT NULL) AS broken"), F.expr("bool_or(error IS NULL) AS good")).collect()}
+    sources = {s for (s,) in table.owners()} | set(state)
+    replaced = [s for s in sources if s not in state or not state[s].broken or state[s].good]
+    after = rebuild_or_upsert(table.read(), rows)
+    return table.commit(batch, after.where(F.col("source").isin(replaced)), [(s,) for s in replaced])
+
+
 def collapse_report(parsed: DataFrame) -> DataFrame:
     """Per source: rows parsed, distinct ids stored, and how many collapsed."""
     per_id = parsed.groupBy("source", "id").agg(F.count("*").alias("n"))

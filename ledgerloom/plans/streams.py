@@ -1,14 +1,19 @@
 """Query keys of the streaming jobs, each run over all available input."""
 
+import re
+
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import chunking, reconcile
+from ledgerloom.operators import chunking
 from ledgerloom.plans.corpus import LIBRARY_CHUNKS
-from ledgerloom.plans.reconcile import CMP, REC, completion_log
+from ledgerloom.plans.reconcile import APPLY, CMP, RECON, WORK, completion_log, parts
 from ledgerloom.plans.registry import query
-from ledgerloom.session import shared_dir
+from ledgerloom.plans.views import with_
+from ledgerloom.session import materialize, shared_dir
 from ledgerloom.sources.tables import TODAY, corpus_files, pulled_work, stored_work
+from ledgerloom.sources.versions import VersionedTable
 from ledgerloom.streaming import jobs as J
+from ledgerloom.streaming import state as K
 
 
 def event_stream(t):
@@ -27,6 +32,32 @@ def stream_poll(t):
     return t.spark.read.option("recursiveFileLookup", "true").parquet(out)
 
 
+#: Events stretched over more than a year, so that keys fall silent and are due again.
+START = "timestamp_ntz'2024-01-01 00:00:00'"
+LONG = """long0 AS (SELECT event_id, user_id, event_type, props, (TIMESTAMP '2024-01-01' + 14 * (ts - TIMESTAMP '2024-01-01'))::DATE AS day FROM events),
+long AS (SELECT *, least(3, greatest(0, (day - DATE '2024-01-01') // 105)) AS quarter FROM long0)"""
+
+
+def long_events(t):
+    """event_id, user_id, event_type, props, day, quarter of the stretched events."""
+    day = f"cast(timestampadd(MICROSECOND, 14 * timestampdiff(MICROSECOND, {START}, ts), {START}) AS date)"
+    return t.events.selectExpr("event_id", "user_id", "event_type", "props", f"{day} AS day").withColumn(
+        "quarter", F.expr("least(3, greatest(0, datediff(day, date'2024-01-01') div 105))")
+    )
+
+
+def in_two_runs(rows, batch, last, build, purpose):
+    """The output of a stream over files 0 to ``last``, one per batch, stopped half way and started again."""
+    spark = rows.sparkSession
+    folder, out, checkpoint = (shared_dir(spark, f"{purpose}-{n}") for n in ("in", "out", "checkpoint"))
+    parts = [rows.where(F.expr(batch) == k) for k in range(last + 1)]
+    found = None
+    for some in (parts[: len(parts) // 2], parts[len(parts) // 2 :]):
+        J.staged_files(some, folder)
+        found = K.run_stateful(build(J.file_stream(spark, folder, "*.parquet", rows.schema, 1)), purpose, out, checkpoint)
+    return found
+
+
 @query(
     "stream_dedup",
     """WITH RECURSIVE d AS (SELECT DISTINCT user_id, event_type, (TIMESTAMP '2024-01-01' + 14 * (ts - TIMESTAMP '2024-01-01'))::DATE AS day FROM events),
@@ -35,39 +66,57 @@ p AS (SELECT user_id, event_type, min(day) AS day FROM d GROUP BY 1, 2
 SELECT user_id, event_type, day FROM p WHERE day IS NOT NULL""",
 )
 def stream_dedup(t):
-    """Events stretched over more than a year, in four batches: keys fall silent for 120 days and are due again."""
-    spark, keys = t.spark, ["user_id", "event_type"]
-    base = "timestamp_ntz'2024-01-01 00:00:00'"
-    long = t.events.withColumn("ts", F.expr(f"timestampadd(MICROSECOND, 14 * timestampdiff(MICROSECOND, {base}, ts), {base})"))
-    quarter = F.expr("least(3, greatest(0, datediff(ts, date'2024-01-01') div 105))")
-    folder = J.staged_files([long.where(quarter == k) for k in range(4)], shared_dir(spark, "stretched"))
-    out, state = shared_dir(spark, "dedup"), shared_dir(spark, "dedup-state")
-    stream = J.with_clock(J.file_stream(spark, folder, "*.parquet", long.schema, 1))
-    J.run_batches(stream, J.notify_into(out, state, keys), "dedup")
-    return spark.read.schema("user_id long, event_type string, day date").option("recursiveFileLookup", "true").parquet(out)
+    """Four batches and a restart: keys fall silent for 120 days and are due again."""
+    due = lambda rows: K.due_notifications(rows, ["user_id", "event_type"])
+    return in_two_runs(long_events(t), "quarter", 3, due, "dedup")
 
 
-@query("stream_completions", CMP + "SELECT up, key, date, title, done FROM state")
-def stream_completions(t):
-    """The last change per slot of the stateful fold equals the batch fold."""
-    spark = t.spark
-    log = completion_log(_Streamed(spark, t.sf_dir, t.events.schema)).selectExpr("upper(course) AS up", "key", "date", "line_no", "title", "done")
-    out = shared_dir(spark, "completions")
+#: A seventh of the rows arrives a file late, every 49th two files late.
+LATE = "quarter + CASE WHEN event_id % 49 = 0 THEN 2 WHEN event_id % 7 = 0 THEN 1 ELSE 0 END"
+ARRIVED = f"""arrived AS (SELECT *, {LATE} AS batch FROM long),
+marks AS (SELECT b.batch, max(a.day) - 60 AS mark FROM (SELECT DISTINCT batch FROM arrived) b LEFT JOIN arrived a ON a.batch < b.batch GROUP BY b.batch),
+accepted AS (SELECT a.* FROM arrived a JOIN marks m USING (batch) WHERE mark IS NULL OR a.day > mark)"""
 
-    def keep(batch, batch_id):
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    changes = J.completion_changes(log)
-    J.run_batches(changes, keep, "completions", mode="update")
-    found = spark.read.option("recursiveFileLookup", "true").schema(changes.schema).parquet(out)
-    return found.groupBy("up", "key", "date").agg(F.expr("max(struct(line_no, title, done)) AS s")).select("up", "key", "date", "s.title", "s.done")
+@query(
+    "stream_notify_late",
+    f"""WITH RECURSIVE {LONG}, {ARRIVED},
+d AS (SELECT user_id, event_type, day, row_number() OVER (PARTITION BY user_id, event_type ORDER BY batch, day) AS n FROM (SELECT DISTINCT user_id, event_type, batch, day FROM accepted)),
+p AS (SELECT user_id, event_type, day, n FROM d WHERE n = 1
+  UNION ALL SELECT * FROM (SELECT p.user_id, p.event_type, d.day, d.n FROM p JOIN d ON d.user_id = p.user_id AND d.event_type = p.event_type AND d.n > p.n AND d.day - p.day > 120
+    QUALIFY row_number() OVER (PARTITION BY p.user_id, p.event_type ORDER BY d.n) = 1))
+SELECT user_id, event_type, day FROM p""",
+)
+def stream_notify_late(t):
+    """Six batches with rows that come one or two files late: those behind the watermark by then change nothing."""
+    due = lambda rows: K.due_notifications(rows, ["user_id", "event_type"], delay_days=60)
+    return in_two_runs(long_events(t), LATE, 5, due, "notify-late")
+
 
+@query("stream_completions", CMP + "SELECT up, key, date, title, done FROM state")
+def stream_completions(t):
+    """The log in four files: the last change per slot of the keyed state equals the batch fold."""
+    slot = ["up", "key", "date"]
+    log = completion_log(t).selectExpr("upper(course) AS up", "key", "date", "line_no", "title", "done")
+    changes = lambda rows: K.slot_changes(rows, slot, ["title", "done"], day="date")
+    found = in_two_runs(log, "least(3, greatest(0, datediff(date, date'2024-01-01') div 8))", 3, changes, "completions")
+    return found.groupBy(*slot).agg(F.expr("max(struct(line_no, title, done)) AS s")).select(*slot, "s.title", "s.done")
 
-class _Streamed:
-    """The events table as a stream, where an adapter expects ``t.events``."""
 
-    def __init__(self, spark, folder, schema):
-        self.events = J.file_stream(spark, folder, "events.parquet", schema)
+@query(
+    "stream_slot_changes",
+    f"""WITH {LONG}, {ARRIVED},
+lines AS (SELECT user_id % 12 AS course, event_type AS kind, batch, event_id AS line_no, CAST(props->>'$.k' AS INT) % 3 <> 0 AS done, day FROM accepted),
+seen AS (SELECT *, max(line_no) OVER (PARTITION BY course, kind ORDER BY batch, line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM lines),
+known AS (SELECT *, lag(done) OVER w AS old, lag(day) OVER w AS since FROM seen WHERE newest IS NULL OR line_no > newest WINDOW w AS (PARTITION BY course, kind ORDER BY line_no))
+SELECT course, kind, line_no, done, day FROM known WHERE since IS NULL OR day - since > 2 OR done <> old""",
+)
+def stream_slot_changes(t):
+    """Lines that change what is known of a slot, over six batches with late lines; slots are forgotten after two days."""
+    rows = long_events(t)
+    lines = lambda s: s.selectExpr("user_id % 12 AS course", "event_type AS kind", "event_id AS line_no", "cast(get_json_object(props, '$.k') AS int) % 3 <> 0 AS done", "day")
+    changes = lambda s: K.slot_changes(lines(s), ["course", "kind"], ["done"], keep_days=2, delay_days=60)
+    return in_two_runs(rows, LATE, 5, changes, "slot-changes").select("course", "kind", "line_no", "done", "day")
 
 
 LAST = "(SELECT max(ts) - INTERVAL 1 DAY FROM events)"
@@ -124,17 +173,76 @@ def late_split(t):
     return J.run_available(J.late_split(rows, "2024-01-25", back=14), "late")
 
 
+#: The pulled items in four files: every order in one, some again later with another date, so that they move twice.
+FILE = "k % 4"
+AGAIN = "k % 5 = 1 AND k % 4 < 3"
+
+
+def _batch_sql(k: int) -> str:
+    """The common table expressions of batch k: what is pulled, judged and applied against the table of batch k - 1."""
+    state = f"""held{k} AS (SELECT * FROM state{k})"""
+    pull = f"""pull{k} AS (SELECT p.* FROM pulled0 p WHERE (pos // 2) % 4 = {k}
+  UNION ALL SELECT pos + 1000000000, course, title, (date + {k})::DATE, start_time, end_time, site, known_times FROM pulled0 WHERE (pos // 2) % 5 = 1 AND (pos // 2) % 4 = {k} - 1)"""
+    own = "SELECT * FROM stored WHERE source = 'csv'"
+    apply = APPLY.replace("FROM stored s", f"FROM ({own}) s").replace("JOIN stored s", f"JOIN ({own}) s")
+    after = """fresh AS (SELECT * FROM changes WHERE kind = 'new' OR pos IN (SELECT pos FROM actions WHERE action = 'append')),
+added AS (SELECT -1 - pos AS id, course, title, date, start_time, end_time, 'csv' AS source FROM (SELECT *, row_number() OVER (PARTITION BY course, title, date ORDER BY pos) AS rn FROM fresh f
+  WHERE NOT EXISTS (SELECT 1 FROM rewritten r WHERE r.course = f.course AND r.title = f.title AND r.date = f.date)) WHERE rn = 1)"""
+    text = ",\n".join([parts("stored", f"held{k}"), parts("pulled", f"pull{k}"), RECON, apply, after])
+    for name in re.findall(r"(?:^|,\n)(\w+) AS \(", text):
+        text = _renamed(text, name, f"{name}_{k}")
+    after = f"""state{k + 1} AS (SELECT id, course, title, date, start_time, end_time, 'csv' AS source FROM rewritten_{k}
+  UNION ALL SELECT id, course, title, date, start_time, end_time, source FROM added_{k}
+  UNION ALL SELECT id, course, title, date, start_time, end_time, source FROM held{k} WHERE source <> 'csv')"""
+    return ",\n".join([state, pull, text, after])
+
+
+def _renamed(text: str, name: str, new: str) -> str:
+    """``text`` with a table renamed where it is defined or read; columns of that name stay."""
+    return re.sub(rf"(?m)(^|,\n|\bFROM |\bJOIN |, )({name})(?= AS \(|\s|\)|$)(?! AS [a-z])", rf"\g<1>{new}", text)
+
+
+MOVING = re.sub(
+    r"(?m)(^|,\n|^WITH )(\w+) AS \(", r"\g<1>\g<2> AS MATERIALIZED (",
+    with_(WORK, "state0 AS (SELECT id, course, title, date, start_time, end_time, source FROM stored0)", *map(_batch_sql, range(4))),
+)
+
+
 @query(
     "stream_reconcile",
-    REC + "SELECT CASE v2 WHEN 'retimed' THEN 'moved' ELSE v2 END AS kind, count(*) AS n FROM step2 WHERE v2 <> 'dropped' GROUP BY 1",
+    MOVING + " ".join(
+        f"""{'UNION ALL' if k else ''} SELECT {k} AS batch, CASE v2 WHEN 'retimed' THEN 'moved' ELSE v2 END AS kind, count(*) AS n FROM step2_{k} WHERE v2 <> 'dropped' GROUP BY 2"""
+        for k in range(4)
+    ),
 )
 def stream_reconcile(t):
-    """Every micro-batch of pulled items against the stored table."""
-    out, stored = shared_dir(t.spark, "reconcile"), stored_work(t.orders)
-    pulled = pulled_work(J.file_stream(t.spark, t.sf_dir, "orders.parquet", t.orders.schema))
+    """Verdicts of four batches, each against the table the batch before left."""
+    out, _ = _moving(t)
+    found = t.spark.read.option("basePath", out).parquet(out).withColumn("batch", F.col("batch").cast("int"))
+    return found.groupBy("batch", "kind").agg(F.sum("n").alias("n"))
 
-    def body(batch, batch_id):
-        reconcile.reconcile(batch, stored, TODAY).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    J.run_batches(pulled, body, "reconcile")
-    return t.spark.read.option("recursiveFileLookup", "true").parquet(out).groupBy("kind").agg(F.sum("n").alias("n"))
+@query("stream_reconciled_table", MOVING + "SELECT * FROM state4")
+def stream_reconciled_table(t):
+    """The calendar after four batches of moves and new work."""
+    return _moving(t)[1].read().select("id", "course", "title", "date", "start_time", "end_time", "source")
+
+
+def _moving(t):
+    spark = t.spark
+    stored = stored_work(t.orders).withColumn("bucket", F.expr("cast(pmod(hash(course), 8) AS int)"))
+    table = VersionedTable(spark, shared_dir(spark, "calendar"), stored.schema, ["source", "bucket"])
+    table.commit(0, stored, [tuple(r) for r in stored.select("source", "bucket").distinct().collect()])
+    pulled = pulled_work(t.orders).withColumn("k", F.expr("pos div 2"))
+    again = pulled.where(AGAIN).selectExpr(
+        "* EXCEPT (pos, date)", "pos + 1000000000 AS pos", "date_add(date, cast(k % 4 AS int) + 1) AS date", "k % 4 + 1 AS file"
+    )
+    rows = pulled.withColumn("file", F.expr(FILE)).unionByName(again)
+    items = materialize(rows.drop("k"), "pulled")
+    folder = J.staged_files([items.where(f"file = {k}").drop("file") for k in range(4)], shared_dir(spark, "polls"))
+    out = shared_dir(spark, "verdicts")
+    J.run_batches(
+        J.file_stream(spark, folder, "*.parquet", items.drop("file").schema, 1),
+        J.reconcile_into(table, out, TODAY, "-1 - pos", buckets=8), "reconcile",
+    )
+    return out, table

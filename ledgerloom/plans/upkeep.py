@@ -7,7 +7,9 @@ from ledgerloom.operators import upkeep as U
 from ledgerloom.plans.registry import query
 from ledgerloom.plans.text_plans import LINKS, link_rows
 from ledgerloom.plans.views import DEADLINES, with_
+from ledgerloom.session import shared_dir
 from ledgerloom.sources.tables import TERM_END, TERM_START, deadlines
+from ledgerloom.sources.versions import VersionedTable
 
 # ------------------------------------------------------------------ calendar sources
 
@@ -36,6 +38,47 @@ def rebuild_or_upsert(t):
     return U.rebuild_or_upsert(existing, parsed)
 
 
+#: Three imports of the orders: one clean, one in which prices break a source, one in which that source has no good row and
+#: another is gone.
+IMPORTS = """rows0 AS (SELECT o_orderkey AS pos, o_orderkey // 2 AS id, 'T' || o_custkey AS title, o_totalprice AS amount,
+    CASE (o_orderkey // 2) % 3 WHEN 0 THEN 'ics' WHEN 1 THEN 'csv' ELSE 'recurring' END AS source, n::INT AS batch FROM orders, range(3) t(n)),
+parsed AS (SELECT pos, id, title || ' v' || batch AS title, amount + batch AS amount, source, batch,
+    CASE WHEN source = 'csv' AND (batch = 1 AND amount < 20000 OR batch = 2) THEN 'bad price' WHEN source = 'ics' AND batch = 2 AND amount < 10000 THEN 'bad price' END AS error
+  FROM rows0 WHERE pos % 4 <> batch AND NOT (source = 'recurring' AND batch = 2)),
+good AS (SELECT id, title, amount, source, batch FROM (SELECT *, row_number() OVER (PARTITION BY id, source, batch ORDER BY pos DESC) AS rn FROM parsed WHERE error IS NULL) WHERE rn = 1),
+broken AS (SELECT DISTINCT source, batch FROM parsed WHERE error IS NOT NULL)"""
+
+
+def _import_sql(k: int) -> str:
+    kept = f"""UNION ALL SELECT id, title, amount, source FROM version{k - 1} v WHERE source IN (SELECT source FROM broken WHERE batch = {k})
+  AND NOT EXISTS (SELECT 1 FROM good g WHERE g.batch = {k} AND g.id = v.id)"""
+    return f"version{k} AS (SELECT id, title, amount, source FROM good WHERE batch = {k} {kept if k else ''})"
+
+
+@query(
+    "commit_import",
+    with_(IMPORTS, *map(_import_sql, range(3))) + " UNION ALL ".join(f"SELECT {k} AS version, * FROM version{k}" for k in range(3)),
+)
+def commit_import(t):
+    """Three imports into one table, the second tried twice; every version read back."""
+    spark = t.spark
+    rows = t.orders.selectExpr(
+        "o_orderkey AS pos", "o_orderkey div 2 AS id", "concat('T', o_custkey) AS title", "o_totalprice AS amount",
+        "CASE (o_orderkey div 2) % 3 WHEN 0 THEN 'ics' WHEN 1 THEN 'csv' ELSE 'recurring' END AS source",
+    )
+    low = "source = 'csv' AND ({k} = 1 AND amount < 20000 OR {k} = 2) OR source = 'ics' AND {k} = 2 AND amount < 10000"
+    table = VersionedTable(spark, shared_dir(spark, "imports"), rows.drop("pos").schema, ["source"])
+    for k in (0, 1, 1, 2):
+        parsed = rows.where(f"pos % 4 <> {k} AND NOT (source = 'recurring' AND {k} = 2)").selectExpr(
+            "pos", "id", f"concat(title, ' v{k}') AS title", f"amount + {k} AS amount", "source", f"if({low.format(k=k)}, 'bad price', null) AS error"
+        )
+        U.commit_import(table, parsed, k)
+    first, *others = (table.read(k).withColumn("version", F.lit(k)) for k in table.versions())
+    for more in others:
+        first = first.unionByName(more)
+    return first
+
+
 @query(
     "collapse_report",
     """SELECT source, count(*) AS parsed, count(DISTINCT id) AS stored, count(*) - count(DISTINCT id) AS collapsed FROM (

@@ -15,9 +15,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
+from ledgerloom.operators import reconcile
 from ledgerloom.session import shared_dir
+from ledgerloom.sources.versions import VersionedTable
 
-KEEP_DAYS = 120
+VERDICT = (
+    "kind string, key string, course string, title string, date date, start_time string, end_time string, all_day boolean, site string, pos long, "
+    "old_date date, old_times array<string>, n long"
+)
 
 
 def file_stream(spark: SparkSession, folder: str, name: str, schema: StructType, max_files: int | None = None) -> DataFrame:
@@ -126,40 +131,35 @@ def unseen_into(path: str, seen_path: str, keys: list[str], schema: StructType)
     return body
 
 
-# ------------------------------------------------------------------ stateful operators
-
-def notify_into(path: str, state: str, keys: list[str], clock: str = "ts", keep_days: int = KEEP_DAYS) -> Body:
-    """Write the notifications that are due: a key is silent for ``keep_days`` days from its last notification.
+def reconcile_into(table: VersionedTable, out: str, today: str, new_id: str, buckets: int = 1) -> Body:
+    """A foreachBatch body that judges a batch against the table, applies what it finds and commits the next version.
 
-    Writes (keys, day) below ``path``. What is remembered, one day per key, is written below ``state`` for each batch and
-    forgets keys when their time is over. A key that floods a batch is one row per day before anything meets; within a
-    batch the days of a key are picked in rounds, as many as the batch spans silent periods.
+    The table holds (id, course, title, date, start_time, end_time, all_day, source, bucket) by source and bucket of the
+    course. Verdicts go below ``out`` by batch. Only buckets of changed courses are written again. A batch that is tried again
+    after its commit changes nothing; one that broke off before is judged against the same version as the first time. Version 0
+    is the caller's; batch n makes version n + 1.
     """
 
     def body(batch: DataFrame, batch_id: int) -> None:
+        if batch_id + 1 in table.versions():
+            return
         spark = batch.sparkSession
-        days = batch.select(*keys, F.expr(f"cast({wall_time(clock)} AS date) AS day")).distinct()
-        days.write.mode("overwrite").parquet(f"{state}/days/batch={batch_id}")
-        days = spark.read.schema(days.schema).parquet(f"{state}/days/batch={batch_id}")
-        last = days.limit(0)
-        if batch_id > 0:
-            last = spark.read.schema(days.schema).parquet(f"{state}/last/batch={batch_id - 1}")
-        known, rounds = last, 0
-        while True:
-            since = known.groupBy(*keys).agg(F.max("day").alias("since"))
-            due = days.join(since, keys, "left").where(f"since IS NULL OR datediff(day, since) > {keep_days}").groupBy(*keys).agg(F.min("day").alias("day"))
-            due.write.mode("overwrite").parquet(f"{path}/batch={batch_id}/round={rounds}")
-            picked = spark.read.schema(days.schema).parquet(f"{path}/batch={batch_id}/round={rounds}")
-            if picked.isEmpty():
-                break
-            known, rounds = known.unionByName(picked.select(*known.columns)), rounds + 1
-        today = known.unionByName(days).agg(F.max("day")).first()[0]
-        kept = known.groupBy(*keys).agg(F.max("day").alias("day")).where(F.datediff(F.lit(today), "day") <= keep_days)
-        kept.write.mode("overwrite").parquet(f"{state}/last/batch={batch_id}")
+        stored = table.read().drop("bucket")
+        reconcile.reconcile(batch, stored, today).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        verdicts = spark.read.schema(VERDICT).parquet(f"{out}/batch={batch_id}")
+        changes = verdicts.where("kind <> 'present'")
+        in_bucket = F.expr(f"cast(pmod(hash(course), {buckets}) AS int)")
+        touched = [("csv", r.bucket) for r in changes.select(in_bucket.alias("bucket")).distinct().collect()]
+        here = [b for _, b in touched]
+        mine = stored.where(in_bucket.isin(here)) if here else stored.limit(0)
+        after, _ = reconcile.apply_changes(mine, changes, new_id)
+        table.commit(batch_id + 1, after.where("source = 'csv'").withColumn("bucket", in_bucket), touched)
 
     return body
 
 
+# ------------------------------------------------------------------ stateful operators
+
 def index_into(path: str, chunk: Callable[[DataFrame], DataFrame], schema: StructType) -> Body:
     """Keep an index of files (collection, path, mtime, size, text): only new and changed files are chunked.
 
@@ -214,17 +214,6 @@ def sessions(events: DataFrame, keys: list[str], gap: str, clock: str = "ts", de
     )
 
 
-def completion_changes(log: DataFrame) -> DataFrame:
-    """Newest line per (up, key, date), in update mode: each batch emits the slots it changed.
-
-    log (up, key, date, line_no, title, done). A built-in aggregate, so a slot that is ticked over and over is
-    combined before the shuffle and its state stays one row.
-    """
-    return log.groupBy("up", "key", "date").agg(F.expr("max(struct(line_no, title, done)) AS last")).select(
-        "up", "key", "date", "last.line_no", "last.title", "last.done"
-    )
-
-
 def late_split(items: DataFrame, today: str, back: int = 30) -> DataFrame:
     """Flag items too old to act on: an explicit business rule beside the watermark."""
     return items.withColumn("late", F.expr(f"date < date_sub(date'{today}', {back})"))

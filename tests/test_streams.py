@@ -1,23 +1,21 @@
 """Streams that stop, go on and fail now and then."""
 
 from datetime import date
-from datetime import datetime as dt
 
 from ledgerloom.session import shared_dir
 from ledgerloom.streaming import jobs as J
+from ledgerloom.streaming import state as K
 
 
 def test_notifications_over_a_restart(spark):
     """A key notified on 1 January is silent on 20 March and due again on 20 July, also when the job was stopped meanwhile."""
-    schema = "k string, ts timestamp_ntz"
-    rows = [[("a", dt(2024, 1, 1)), ("b", dt(2024, 1, 5))], [("a", dt(2024, 3, 20)), ("c", dt(2024, 3, 20))], [("a", dt(2024, 7, 20)), ("a", dt(2024, 7, 21)), ("b", dt(2024, 4, 1))]]
-    frames = [spark.createDataFrame(r, schema) for r in rows]
-    folder, out, state, checkpoint = (shared_dir(spark, n) for n in ("in", "out", "state", "check"))
+    rows = [[("a", date(2024, 1, 1)), ("b", date(2024, 1, 5))], [("a", date(2024, 3, 20)), ("c", date(2024, 3, 20)), ("d", None)], [("a", date(2024, 7, 20)), ("a", date(2024, 7, 21)), ("b", date(2024, 4, 1))]]
+    frames = [spark.createDataFrame(r, "k string, day date") for r in rows]
+    folder, out, checkpoint = (shared_dir(spark, n) for n in ("in", "out", "check"))
 
     def run():
-        stream = J.with_clock(J.file_stream(spark, folder, "*.parquet", frames[0].schema, 1))
-        J.run_batches(stream, J.notify_into(out, state, ["k"]), "notify", checkpoint=checkpoint)
-        return sorted((r.k, r.day) for r in spark.read.schema("k string, day date").option("recursiveFileLookup", "true").parquet(out).collect())
+        stream = J.file_stream(spark, folder, "*.parquet", frames[0].schema, 1)
+        return sorted((r.k, r.day) for r in K.run_stateful(K.due_notifications(stream, ["k"]), "notify", out, checkpoint).collect())
 
     J.staged_files(frames[:1], folder)
     first = [("a", date(2024, 1, 1)), ("b", date(2024, 1, 5))]
