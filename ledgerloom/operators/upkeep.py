@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as X
@@ -79,24 +82,57 @@ def expand_recurring(rules: DataFrame, breaks: DataFrame, term_start: str, term_
     )
 
 
-def match_course(texts: DataFrame, codes: DataFrame) -> DataFrame:
-    """The course whose code a text contains, longest code first, else 'OTHER'.
+#: Bytes of codes that one automaton is built of; its nodes take some thirty times as much.
+AUTOMATON_BYTES = 4 * 1024 * 1024
+
 
-    A text contains a code when one of its substrings of that length equals it, so this is an equi-join on
-    substrings of the lengths codes have. texts (id, text), codes (code).
+def match_course(texts: DataFrame, codes: DataFrame, limit: int = AUTOMATON_BYTES) -> DataFrame:
+    """The course whose code a text contains, longest code first, else 'OTHER'. texts (id, text), codes (code).
+
+    All codes are looked for in one pass over a text by an automaton that is built on the driver and broadcast. Codes of more
+    than ``limit`` bytes are dealt out by hash to several automata, one pass over the texts for each; a text carries its best
+    code from one pass to the next, so nothing is shuffled and no row is made but one per text. A null text matches nothing,
+    a code without letters or digits every other text.
     """
     flat = lambda c: f"upper(regexp_replace({c}, '(?U)[\\\\s_-]+', ''))"
-    wanted = codes.select("code", F.expr(f"{flat('code')} AS piece"))
-    lengths = wanted.agg(F.expr("collect_set(length(piece)) AS lengths"))
-    pieces = texts.select("id", F.expr(f"{flat('text')} AS t"), lengths.scalar().alias("lengths")).select(
-        "id",
-        F.expr(
-            "explode(array_distinct(flatten(transform(filter(lengths, n -> n <= length(t)),"
-            " n -> transform(sequence(1, length(t) - n + 1), i -> substring(t, i, n)))))) AS piece"
-        ),
-    )
-    best = pieces.join(wanted, "piece").groupBy("id").agg(F.expr("min_by(code, struct(-length(piece), code)) AS course"))
-    return texts.select("id").join(best, "id", "left").select("id", F.expr("coalesce(course, 'OTHER') AS course"))
+    wanted = materialize(codes.where("code IS NOT NULL").groupBy(F.expr(f"{flat('code')} AS piece")).agg(F.min("code").alias("code")), "codes")
+    size = wanted.agg(F.expr("sum(octet_length(piece) + octet_length(code))")).first()[0] or 0
+    shards = max(1, -(-size // limit))
+    found = texts.select("id", F.expr(f"{flat('text')} AS flat"), F.lit(None).cast("string").alias("piece"), F.lit(None).cast("string").alias("code"))
+    for shard in range(shards):
+        here = wanted.where(f"pmod(xxhash64(piece), {shards}) = {shard}").collect()
+        found = found.mapInArrow(_best_codes(found.sparkSession, {r.piece: r.code for r in here}), found.schema)
+        if shard + 1 < shards:
+            found = materialize(found, "matched")
+    return found.select("id", F.expr("coalesce(code, 'OTHER') AS course"))
+
+
+def _best_codes(spark: SparkSession, codes: dict[str, str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A pass over (id, flat, piece, code) that puts in the longest code found, the first by name of several."""
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    for piece, code in codes.items():
+        if piece:
+            automaton.add_word(piece, (-len(piece), code, piece))
+    automaton.make_automaton()
+    shared = spark.sparkContext.broadcast((automaton, codes.get("")))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder, anywhere = shared.value
+        for batch in batches:
+            best = []
+            for text, piece, code in zip(*(batch[c].to_pylist() for c in ("flat", "piece", "code")), strict=True):
+                hits = [] if code is None else [(-len(piece), code, piece)]
+                if text is not None and anywhere is not None:
+                    hits.append((0, anywhere, ""))
+                if text and len(finder):
+                    hits.extend(hit for _, hit in finder.iter(text))
+                best.append(min(hits)[1:] if hits else (None, None))
+            columns = [pa.array([b[i] for b in best], pa.string()) for i in (1, 0)]
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["flat"], *columns], schema=batch.schema)
+
+    return search
 
 
 def feed_last_good(fetches: DataFrame) -> DataFrame:

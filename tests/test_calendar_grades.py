@@ -143,3 +143,21 @@ def test_match_course_prefers_longest_code(spark):
     texts = spark.createDataFrame([(1, "Intro to finc-313 honors"), (2, "FINC 31"), (3, "music")], "id long, text string")
     codes = spark.createDataFrame([("FINC31",), ("FINC313",)], "code string")
     assert {r.id: r.course for r in U.match_course(texts, codes).collect()} == {1: "FINC313", 2: "FINC31", 3: "OTHER"}
+
+
+def test_match_course_among_many_codes(spark):
+    """100,000 codes in one automaton and in several give what a plain search gives."""
+    codes = spark.range(100_000).selectExpr("concat('Code ', id, if(id % 3 = 0, '-x', '')) AS code").unionByName(spark.createDataFrame([(None,), ("co de 7",), ("CODE 7",)], "code string"))
+    texts = spark.createDataFrame([(1, "see code_99999-X and code 12"), (2, "code"), (3, None), (4, ""), (5, "xcode 7!"), (5, "code 3 x"), (6, "Code 123456")], "id long, text string")
+    want = [(1, "Code 99999-x"), (2, "OTHER"), (3, "OTHER"), (4, "OTHER"), (5, "CODE 7"), (5, "Code 3-x"), (6, "Code 1234")]
+    for limit in (U.AUTOMATON_BYTES, 700_000):
+        assert sorted((r.id, r.course) for r in U.match_course(texts, codes, limit).collect()) == sorted(want)
+    blank = codes.unionByName(spark.createDataFrame([(" - ",)], "code string"))
+    assert sorted((r.id, r.course) for r in U.match_course(texts, blank).collect())[1:4] == [(2, " - "), (3, "OTHER"), (4, " - ")]
+    assert U.match_course(texts, codes.limit(0)).where("course <> 'OTHER'").count() == 0
+
+
+def test_match_course_makes_no_row_per_substring(spark):
+    plan = U.match_course(spark.createDataFrame([(1, "a")], "id long, text string"), spark.createDataFrame([("a",)], "code string"))
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in text and "Exchange" not in text and "Generate" not in text
