@@ -11,9 +11,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -77,18 +76,14 @@ class _Forgetful(StatefulProcessor):
             self.handle.deleteTimer(before)
         self.handle.registerTimer(ends)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.state.clear()
         return iter(())
 
-    def in_time(self, rows: Iterator[pd.DataFrame], timer_values) -> pd.DataFrame:
-        """All rows of a key in this batch that are not late."""
-        found = pd.concat(list(rows), ignore_index=True)
-        return found[found["day_no"] * DAY_MS > timer_values.getCurrentWatermarkInMs()]
-
-    def row(self, key: tuple, columns: dict) -> pd.DataFrame:
-        size = len(next(iter(columns.values())))
-        return pd.DataFrame({n: [k] * size for n, k in zip(self.names, key, strict=True)} | columns)
+    def in_time(self, rows: Iterator[Row], timer_values) -> list[Row]:
+        """The rows of a key in this batch that are not late."""
+        watermark = timer_values.getCurrentWatermarkInMs()
+        return [r for r in rows if r.day_no * DAY_MS > watermark]
 
     def close(self) -> None:
         pass
@@ -100,8 +95,8 @@ class SilentAfter(_Forgetful):
     def __init__(self, keys: StructType, keep_days: int):
         super().__init__(keys, "day int", keep_days)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        days = sorted(set(self.in_time(rows, timerValues)["day_no"].tolist()))
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        days = sorted({r.day_no for r in self.in_time(rows, timerValues)})
         old = self.state.get()
         due, last = [], None if old is None else old[-1]
         for day in days:
@@ -110,7 +105,7 @@ class SilentAfter(_Forgetful):
                 last = day
         if due:
             self.remember(old, (last,))
-            yield self.row(key, {"day_no": due})
+        return iter([Row(*self.names, "day_no")(*key, day) for day in due])
 
 
 class SlotChanges(_Forgetful):
@@ -121,11 +116,11 @@ class SlotChanges(_Forgetful):
         fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in values)
         super().__init__(keys, f"line_no bigint, {fields}, day int", keep_days)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        lines = self.in_time(rows, timerValues).sort_values("line_no", kind="stable")
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         old = known = self.state.get()
         out = []
-        for line in zip(*(lines[c].tolist() for c in ("line_no", *self.values, "day_no")), strict=True):
+        for r in sorted(self.in_time(rows, timerValues), key=lambda r: r.line_no):
+            line = (r.line_no, *(r[c] for c in self.values), r.day_no)
             silent = known is None or line[-1] - known[-1] > self.keep_days
             if not silent and line[0] <= known[0]:
                 continue
@@ -134,15 +129,14 @@ class SlotChanges(_Forgetful):
             known = line
         if known is not old:
             self.remember(old, known)
-        if out:
-            columns = zip(*out, strict=True)
-            yield self.row(key, {n: list(c) for n, c in zip(("line_no", *self.values, "day_no"), columns, strict=True)})
+        made = Row(*self.names, "line_no", *self.values, "day_no")
+        return iter([made(*key, *line) for line in out])
 
 
 def _stateful(rows: DataFrame, keys: list[str], processor: StatefulProcessor, out: list[StructField], delay_days: int) -> DataFrame:
     clocked = rows.where("day_no IS NOT NULL").withColumn("_at", _instant("date_from_unix_date(day_no)")).withWatermark("_at", f"{delay_days} days")
     schema = StructType([*(rows.schema[k] for k in keys), *out, StructField("day_no", IntegerType())])
-    found = clocked.groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", "EventTime")
+    found = clocked.groupBy(*keys).transformWithState(processor, schema, "Append", "EventTime")
     return found.withColumn("day", F.expr("date_from_unix_date(day_no)")).drop("day_no")
 
 
