@@ -128,11 +128,9 @@ def _params(name: str) -> str:
 
 def basic_time(value: str) -> str:
     """'20260908' or '20260908T120000' as a zone-less time, null when unreadable; a trailing Z is left out."""
-    day, clock = "^([0-9]{4})([0-9]{2})([0-9]{2})", "T([0-9]{2})([0-9]{2})([0-9]{2})Z?"
-    return (
-        f"try_cast(CASE WHEN rlike({value}, '{day}{clock}$') THEN regexp_replace({value}, '{day}{clock}$', '$1-$2-$3 $4:$5:$6')"
-        f" WHEN rlike({value}, '{day}$') THEN regexp_replace({value}, '{day}$', '$1-$2-$3') END AS timestamp_ntz)"
-    )
+    part = lambda at, n=2: f"substr({value}, {at}, {n})"
+    day, clock = f"{part(1, 4)}, '-', {part(5)}, '-', {part(7)}", f"{part(10)}, ':', {part(12)}, ':', {part(14)}"
+    return f"try_cast(CASE WHEN rlike({value}, '^[0-9]{{8}}(T[0-9]{{6}}Z?)?$') THEN if(length({value}) = 8, concat({day}), concat({day}, ' ', {clock})) END AS timestamp_ntz)"
 
 
 # Zone names of Windows calendars and what they are called elsewhere.
@@ -155,17 +153,22 @@ WINDOWS_ZONES = {
 _ZONES = "map(" + ", ".join(f"'{k}', '{v}'" for k, v in WINDOWS_ZONES.items()) + ")"
 
 
-def zone_of(params: str) -> str:
-    """The zone a property names: null when it names one that is not known, '' when it names none."""
-    tzid = f"trim(regexp_extract({params}, 'TZID=\"?([^;:\"]+)', 1))"
-    named = f"coalesce(try_element_at({_ZONES}, {tzid}), {tzid})"
-    known = f"try_to_timestamp(concat('2024-01-01 00:00:00 ', {named}), 'yyyy-MM-dd HH:mm:ss VV') IS NOT NULL"
-    return f"CASE WHEN {tzid} = '' THEN '' WHEN {known} THEN {named} END"
+def zone_name(params: str) -> str:
+    """What a property's zone is called: '' when it names none."""
+    return f"transform(array(trim(regexp_extract({params}, 'TZID=\"?([^;:\"]+)', 1))), z -> if(z = '', '', coalesce(try_element_at({_ZONES}, z), z)))[0]"
+
+
+def known_zone(name: str) -> str:
+    """A zone by its name: null when it is not known."""
+    known = f"try_to_timestamp(concat('2024-01-01 00:00:00 ', {name}), 'yyyy-MM-dd HH:mm:ss VV') IS NOT NULL"
+    return f"CASE WHEN {name} = '' THEN '' WHEN {known} THEN {name} END"
+
 
+def ics_time(value: str, local: str, named_zone: str, zone: str) -> str:
+    """iCalendar date or date-time as a zone-less time in ``zone``; floating times stay as they are, unknown zones give null.
 
-def ics_time(value: str, named_zone: str, zone: str) -> str:
-    """iCalendar date or date-time as a zone-less time in ``zone``; floating times stay as they are, unknown zones give null."""
-    local = basic_time(value)
+    ``local`` is the time as it is written.
+    """
     return (
         f"CASE WHEN endswith({value}, 'Z') THEN convert_timezone('UTC', '{zone}', {local})"
         f" WHEN {named_zone} = '' THEN {local} WHEN {named_zone} IS NOT NULL THEN convert_timezone({named_zone}, '{zone}', {local}) END"
@@ -187,23 +190,29 @@ def ics_events(feeds: DataFrame, zone: str = "UTC") -> DataFrame:
     vevents = feeds.select("feed", F.expr(f"posexplode(slice(split({unfolded}, 'BEGIN:VEVENT'), 2, 1000000000)) AS (n, v0)")).selectExpr(
         "feed", "n", "regexp_replace(split_part(v0, 'END:VEVENT', 1), '(?s)BEGIN:VALARM.*?END:VALARM', '') AS v"
     )
+    # Each value is parsed in a column of its own and used by name, so nothing is parsed twice.
+    listed = lambda k: f"if(contains(v, '{k}'), zip_with({_all(k, 1)}, {_all(k, 2)}, (p, x) -> struct({zone_name('p')} AS name, x AS x)), null)"
     fields = vevents.selectExpr(
-        "feed", "n", "v",
+        "feed", "n",
         f"coalesce(nullif(trim({unescape_ics(_property('SUMMARY'))}), ''), '(untitled)') AS title",
         f"{unescape_ics(_property('CATEGORIES'))} AS categories",
-        f"trim({_property('DTSTART')}) AS st", f"{zone_of(_params('DTSTART'))} AS sz", f"trim({_property('DTEND')}) AS et", f"{zone_of(_params('DTEND'))} AS ez",
-        f"{_property('DURATION')} AS dur", f"array_join({_all('RRULE', 2)}, '\\n') AS rrule",
-        *(f"zip_with({_all(k, 1)}, {_all(k, 2)}, (p, x) -> struct({zone_of('p')} AS z, x AS x)) AS {k.lower()}" for k in ("RDATE", "EXDATE")),
-    )
+        f"trim({_property('DTSTART')}) AS st", f"{zone_name(_params('DTSTART'))} AS sn", f"trim({_property('DTEND')}) AS et", f"{zone_name(_params('DTEND'))} AS en",
+        f"if(contains(v, 'DURATION'), {_property('DURATION')}, '') AS dur", f"if(contains(v, 'RRULE'), array_join({_all('RRULE', 2)}, '\n'), '') AS rrule",
+        f"{listed('RDATE')} AS rdate", f"{listed('EXDATE')} AS exdate",
+    ).selectExpr(
+        "*", f"{known_zone('sn')} AS sz", f"{basic_time('st')} AS sl", f"{basic_time('et')} AS el",
+        *(f"transform({c}, l -> struct(l.x AS x, {known_zone('l.name')} AS z)) AS {c}_lines" for c in ("rdate", "exdate")),
+    ).selectExpr("*", f"CASE WHEN en = sn THEN sz ELSE {known_zone('en')} END AS ez")
     part = lambda unit: f"coalesce(try_cast(nullif(regexp_extract(dur, '([0-9]+){unit}', 1), '') AS int), 0)"
-    span = f"make_dt_interval({part('W')} * 7 + {part('D')}, {part('H')}, {part('M')}, {part('S')})"
+    span = f"if(dur = '', null, make_dt_interval({part('W')} * 7 + {part('D')}, {part('H')}, {part('M')}, {part('S')}))"
     timed = fields.selectExpr(
-        "*", f"{ics_time('st', 'sz', zone)} AS starts_at", "length(st) = 8 AS all_day", f"{ics_time('et', 'ez', zone)} AS dtend", f"{span} AS span"
+        "*", f"{ics_time('st', 'sl', 'sz', zone)} AS starts_at", "length(st) = 8 AS all_day", f"{ics_time('et', 'el', 'ez', zone)} AS dtend", f"{span} AS span"
     )
     # A listed date without a time means the occurrence of that day.
     clock = "if(length(x) = 8 AND NOT all_day, concat(x, date_format(starts_at, \"'T'HHmmss\")), x)"
+    values = f"transform(transform(split(l.x, ','), x -> trim(x)), x -> struct(x AS x, {basic_time(clock)} AS local))"
     dates = lambda c: (
-        f"filter(flatten(transform({c}, l -> transform(transform(split(l.x, ','), x -> trim(x)), x -> {ics_time('x', 'l.z', zone).replace(basic_time('x'), basic_time(clock))}))), t -> t IS NOT NULL)"
+        f"coalesce(filter(flatten(transform({c}_lines, l -> transform({values}, y -> {ics_time('y.x', 'y.local', 'l.z', zone)}))), t -> t IS NOT NULL), array())"
     )
     return timed.selectExpr(
         "feed", "n", "title", "categories", "starts_at",
@@ -267,9 +276,47 @@ _FITS = (
     " AND (size(p.days) > 0 OR size(p.mdays) > 0 OR CASE p.freq WHEN 'WEEKLY' THEN weekday(d) = weekday(d0) WHEN 'MONTHLY' THEN day(d) = day(d0)"
     " WHEN 'YEARLY' THEN day(d) = day(d0) AND (size(p.months) > 0 OR month(d) = month(d0)) ELSE true END)"
 )
-# Whole periods around the days in question, so that places in a period can be counted.
-_FROM = "CASE p.freq WHEN 'DAILY' THEN d0 WHEN 'WEEKLY' THEN date_sub(d0, cast(pmod(weekday(d0) - p.wkst, 7) AS int)) WHEN 'MONTHLY' THEN trunc(d0, 'MM') ELSE trunc(d0, 'YEAR') END"
-_TO = "CASE WHEN size(p.places) = 0 OR p.freq = 'DAILY' THEN last WHEN p.freq = 'WEEKLY' THEN date_add(last, 6) WHEN p.freq = 'MONTHLY' THEN last_day(last) ELSE make_date(year(last), 12, 31) END"
+# What rows start with: the first day that can matter. COUNT runs from the first start, all else from the window.
+_FIRST = "if(p.n_max IS NULL, greatest(d0, first), d0)"
+_WEEK0 = "date_sub(d0, cast(pmod(weekday(d0) - p.wkst, 7) AS int))"
+#: Every period that counts has an occurrence, so as many periods as COUNT asks for are enough.
+_DENSE = (
+    "size(p.months) = 0 AND size(p.mdays) = 0 AND size(p.places) = 0 AND CASE p.freq WHEN 'WEEKLY' THEN true WHEN 'DAILY' THEN size(p.days) = 0"
+    " ELSE if(size(p.days) > 0, forall(p.days, b -> abs(b.nth) <= 4), day(d0) <= 28) END"
+)
+_LAST_K = f"if(p.n_max IS NOT NULL AND {_DENSE}, least({{k}}, cast(p.step AS bigint) * (p.n_max + 1)), {{k}})"
+
+
+def _periods() -> str:
+    """SQL text: numbers of the periods that count, from the first that can matter to the last."""
+    number = lambda day: f"transform(array({day}), d -> {_PERIOD})[0]"
+    span = f"transform(array(struct(cast(ceil({number(_FIRST)} / p.step) AS bigint) * p.step AS lo, cast({_LAST_K.format(k=number('last'))} AS bigint) AS hi))"
+    return f"flatten({span}, b -> if(last < d0 OR b.lo > b.hi, cast(array() AS array<bigint>), sequence(b.lo, b.hi, cast(p.step AS bigint)))))"
+
+
+# The stretches of days of a period that its rule picks days from: one month, some months of a year, or a year.
+_MONTH = "struct({m} AS lo, last_day({m}) AS hi)"
+_STRETCHES = (
+    f"CASE WHEN p.freq = 'MONTHLY' THEN transform(array(add_months(trunc(d0, 'MM'), cast(k AS int))), m -> {_MONTH.format(m='m')})"
+    f" WHEN size(p.months) > 0 THEN transform(filter(p.months, x -> x BETWEEN 1 AND 12), x -> {_MONTH.format(m='make_date(cast(year(d0) + k AS int), x, 1)')})"
+    f" WHEN size(p.mdays) > 0 THEN transform(sequence(1, 12), x -> {_MONTH.format(m='make_date(cast(year(d0) + k AS int), x, 1)')})"
+    " WHEN size(p.days) > 0 THEN array(struct(make_date(cast(year(d0) + k AS int), 1, 1) AS lo, make_date(cast(year(d0) + k AS int), 12, 31) AS hi))"
+    f" ELSE array({_MONTH.format(m='make_date(cast(year(d0) + k AS int), month(d0), 1)')}) END"
+)
+# The days a stretch offers: by number, by weekday (the n-th from either end or all), or the day of the first start.
+_ON_DAY = "date_add(s.lo, cast(pmod(b.dow - weekday(s.lo), 7) AS int))"
+_ON_DAY_BACK = "date_sub(s.hi, cast(pmod(weekday(s.hi) - b.dow, 7) AS int))"
+_OFFERED = (
+    "filter(CASE WHEN size(p.mdays) > 0 THEN transform(p.mdays, x -> if(x > 0, date_add(s.lo, x - 1), date_add(s.hi, x + 1)))"
+    f" WHEN size(p.days) > 0 THEN flatten(transform(p.days, b -> CASE WHEN b.nth = 0 THEN sequence({_ON_DAY}, s.hi, INTERVAL 7 DAYS)"
+    f" WHEN b.nth > 0 THEN array(date_add({_ON_DAY}, 7 * (b.nth - 1))) ELSE array(date_sub({_ON_DAY_BACK}, 7 * (-b.nth - 1))) END))"
+    " ELSE array(date_add(s.lo, day(d0) - 1)) END, d -> d BETWEEN s.lo AND s.hi)"
+)
+_CANDIDATES = (
+    "CASE p.freq WHEN 'DAILY' THEN array(date_add(d0, cast(k AS int)))"
+    f" WHEN 'WEEKLY' THEN transform(if(size(p.days) > 0, p.days, array(struct(0 AS nth, weekday(d0) AS dow))), b -> date_add({_WEEK0}, cast(7 * k + pmod(b.dow - p.wkst, 7) AS int)))"
+    f" ELSE flatten(transform({_STRETCHES}, s -> {_OFFERED})) END"
+)
 
 
 def expand_rules(events: DataFrame, window_start: str, window_end: str, cap: int = MAX_OCCURRENCES, zone: str = "UTC") -> DataFrame:
@@ -278,24 +325,21 @@ def expand_rules(events: DataFrame, window_start: str, window_end: str, cap: int
     Rows need starts_at, ends_at, rrule, rdates, exdates, error; ``rrule`` may hold several rules, one per line. Read are
     DAILY, WEEKLY, MONTHLY and YEARLY rules with INTERVAL, COUNT, UNTIL, BYDAY (numbered too), BYMONTHDAY, BYMONTH,
     BYSETPOS and WKST. Any other rule is an error row, as is a rule without an occurrence in the window. COUNT runs
-    from the first start; EXDATE does not extend it. UNTIL in UTC is taken in ``zone``.
+    from the first start; EXDATE does not extend it. UNTIL in UTC is taken in ``zone``. A rule is stepped through by whole
+    periods, from the window on where it has no COUNT, so a rule that began long ago costs no more than a new one.
     """
     end = f"timestamp_ntz'{window_end} 23:59:59'"
     rows = events.selectExpr(
         "*", f"transform(filter(split(rrule, '\\n'), r -> r <> ''), r -> {_rule(zone)}) AS rules", "cast(starts_at AS date) AS d0",
         "starts_at - cast(cast(starts_at AS date) AS timestamp_ntz) AS tod", "ends_at - starts_at AS span",
-        "rrule IS NOT NULL OR size(coalesce(rdates, array())) > 0 AS recurs", f"cast({end} AS date) AS last",
+        "rrule IS NOT NULL OR size(coalesce(rdates, array())) > 0 AS recurs", f"cast({end} AS date) AS last", f"date'{window_start}' AS first",
     ).withColumn("error", F.expr("coalesce(error, if(exists(rules, p -> p.bad), concat('unsupported rule ', rrule), null))"))
-    # Days of the periods that count, with the number of their period.
-    day_rows = (
-        f"filter(transform(if(last < d0, cast(array() AS array<date>), sequence({_FROM}, {_TO})), d -> struct({_PERIOD} AS k, d AS d, {_FITS} AS fits)), x -> x.fits AND pmod(x.k, p.step) = 0)"
-    )
-    placed = (
-        "filter(c, x -> size(p.places) = 0 OR exists(p.places, n -> n = if(n > 0, size(filter(c, y -> y.k = x.k AND y.d <= x.d)), -size(filter(c, y -> y.k = x.k AND y.d >= x.d)))))"
-    )
-    stamps = f"filter(transform(filter({placed}, x -> x.d >= d0), x -> cast(x.d AS timestamp_ntz) + tod), t -> (p.until IS NULL OR t <= p.until) AND t <= {end})"
-    staged = rows.withColumn("days", F.expr(f"if(error IS NULL, transform(rules, p -> {day_rows}), null)"))
-    staged = staged.withColumn("sets", F.expr(f"zip_with(rules, days, (p, c) -> {stamps})"))
+    # The days of each period that counts, then the places in it, then the times.
+    days = f"transform({_periods()}, k -> array_sort(array_distinct(filter({_CANDIDATES}, d -> {_FITS}))))"
+    placed = "if(size(p.places) = 0, c, filter(c, (d, i) -> exists(p.places, n -> n = i + 1 OR n = i - size(c))))"
+    stamps = f"filter(transform(filter(flatten(transform(cs, c -> {placed})), d -> d >= d0), d -> cast(d AS timestamp_ntz) + tod), t -> (p.until IS NULL OR t <= p.until) AND t <= {end})"
+    staged = rows.withColumn("days", F.expr(f"if(error IS NULL, transform(rules, p -> {days}), null)"))
+    staged = staged.withColumn("sets", F.expr(f"zip_with(rules, days, (p, cs) -> {stamps})"))
     counted = "flatten(zip_with(rules, sets, (p, s) -> if(p.n_max IS NULL, s, slice(s, 1, p.n_max))))"
     merged = f"array_except(array_sort(array_distinct(concat(coalesce({counted}, array()), coalesce(rdates, array())))), coalesce(exdates, array()))"
     inside = f"t >= timestamp_ntz'{window_start} 00:00:00' AND t <= {end}"
