@@ -177,7 +177,8 @@ def find_text(docs: DataFrame, when: str = "true", text: str = "text", title: st
 def sections_of(docs: DataFrame, text: str = "text", title: str = "title") -> DataFrame:
     """One row per non-blank section of Markdown texts: (…, section, heading_path, body).
 
-    The sections are cut inside a generator, which keeps the columns they are cut from computed once.
+    The sections are cut inside an outer generator: for an inner one the optimizer adds a filter on the size of the array,
+    and with it computes the array and all it is made of once more.
     """
     cols = [c for c in docs.columns if c != text]
     staged = (
@@ -187,7 +188,7 @@ def sections_of(docs: DataFrame, text: str = "text", title: str = "title") -> Da
         .withColumn("marks", F.expr(f"concat(array(named_struct('at', 0, 'path', '')), {heading_paths('heads')})"))
     )
     body = "array_join(slice(lines, m.at + 1, if(i + 1 < size(marks), marks[i + 1].at, size(lines)) - m.at), '\\n')"
-    cut = staged.select(*cols, F.expr(f"posexplode(transform(marks, (m, i) -> struct(m.path AS path, {body} AS body))) AS (section, s)"))
+    cut = staged.select(*cols, F.expr(f"posexplode_outer(transform(marks, (m, i) -> struct(m.path AS path, {body} AS body))) AS (section, s)")).where("section IS NOT NULL")
     return cut.selectExpr(
         *cols, "section", f"coalesce(nullif(s.path, ''), nullif({title}, ''), '(preamble)') AS heading_path", f"{X.strip('s.body')} AS body"
     ).where("body <> ''")
@@ -226,7 +227,8 @@ def chunk_files(files: DataFrame, pack_column=None, handlers=None) -> DataFrame:
     for handler, suffixes in by_handler.items():
         mine = "suffix IN (" + ", ".join(f"'{x}'" for x in suffixes) + ")"
         staged = handler(staged, mine).withColumn("sections", F.expr("coalesce(sections, found)")).drop("found")
-    sections = staged.select("collection", "source_path", "title", "suffix", F.expr("inline(sections)"))
+    # An outer generator, so that the sections are not computed again for a filter on their number.
+    sections = staged.select("collection", "source_path", "title", "suffix", F.expr("inline_outer(sections)")).where("section IS NOT NULL")
     chunks = pack_sections(sections.drop("title", "suffix"), pack_column)
     return chunks.selectExpr(
         "xxhash64(collection, source_path, section, part, content_hash) AS chunk_id", "collection", "source_path", "section", "part",

@@ -20,16 +20,46 @@ def event_stream(t):
     return J.with_clock(J.file_stream(t.spark, t.sf_dir, "events.parquet", t.events.schema))
 
 
+#: Three polls, ten days each. The second meets a site that is down.
+POLL = "least(2, datediff(ts, date'2024-01-01') div 10)"
+POLLED = """polled AS (SELECT *, least(2, (ts::DATE - DATE '2024-01-01') // 10)::BIGINT AS run_id FROM events)"""
+
+
+def _polls(t):
+    """(folder of the items by site, folder of the statuses) after three polls."""
+    spark, out, status = t.spark, shared_dir(t.spark, "poll"), shared_dir(t.spark, "poll-status")
+    folder = J.staged_files([t.events.where(f"{POLL} = {k}") for k in range(3)], shared_dir(spark, "poll-in"))
+
+    def apply(batch, batch_id):
+        up = batch.where(F.expr(f"assert_true({POLL} <> 1, 'site is down') IS NULL"))
+        sites = up.groupBy(F.col("event_type").alias("site")).agg(F.count("*").alias("items"), F.expr("count_if(value > 50) AS new"))
+        sites.withColumn("run_id", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{out}/run={batch_id}")
+
+    body = J.poll_into(status, {"items": "count(*)", "new": "count_if(value > 50)"}, apply)
+    J.run_batches(J.file_stream(spark, folder, "*.parquet", t.events.schema, 1), body, "poll")
+    return out, status
+
+
 @query(
     "stream_poll",
-    """SELECT event_type AS site, count(*) AS items, count(*) FILTER (value > 50) AS new, 0 AS run_id FROM events GROUP BY event_type""",
+    f"""WITH {POLLED} SELECT event_type AS site, count(*) AS items, count(*) FILTER (value > 50) AS new, run_id FROM polled WHERE run_id <> 1 GROUP BY event_type, run_id""",
 )
 def stream_poll(t):
-    """One poll over the available files; its batch id is the run id."""
-    out = shared_dir(t.spark, "poll")
-    summarise = lambda b: b.groupBy(F.col("event_type").alias("site")).agg(F.count("*").alias("items"), F.expr("count_if(value > 50) AS new"))
-    J.run_batches(event_stream(t), J.poll_into(out, summarise), "poll")
-    return t.spark.read.option("recursiveFileLookup", "true").parquet(out)
+    """What three polls found; a failed one leaves nothing and ends nothing."""
+    out, _ = _polls(t)
+    return t.spark.read.schema("site string, items long, new long, run_id long").parquet(f"{out}/run=0", f"{out}/run=2")
+
+
+@query(
+    "poll_statuses",
+    f"""WITH {POLLED}, s AS (SELECT run_id, count(*) AS items, count(*) FILTER (value > 50) AS new FROM polled GROUP BY run_id)
+SELECT run_id, true AS ok, items, new, false AS failed FROM s WHERE run_id <> 1 UNION ALL SELECT 1, false, items, new, true FROM s WHERE run_id = 0""",
+)
+def poll_statuses(t):
+    """The status of each poll, its counters observed while the poll ran; a failed one repeats the last counters."""
+    _, status = _polls(t)
+    rows = t.spark.read.schema("run_id long, ok boolean, items long, new long, error string").option("recursiveFileLookup", "true").parquet(status)
+    return rows.selectExpr("run_id", "ok", "items", "new", "error LIKE '%site is down%' AS failed").na.fill(False, ["failed"])
 
 
 #: Events stretched over more than a year, so that keys fall silent and are due again.
@@ -146,9 +176,8 @@ def stream_sessions(t):
     return J.run_available(J.sessions(event_stream(t), ["user_id"], "6 hours"), "sessions")
 
 
-@query("stream_index", LIBRARY_CHUNKS)
-def stream_index(t):
-    """Documents arrive in three batches, some a second time and some in a newer version; the index holds the last version once."""
+def _indexed(t):
+    """Documents arrive in three batches, some a second time and some in a newer version."""
     spark = t.spark
     docs = corpus_files(t.documents)
     old = docs.where("doc_id % 9 = 0").selectExpr("* EXCEPT (text, size, mtime)", "mtime - INTERVAL '1' DAY AS mtime", "size + 7 AS size", "concat(text, ' Old.\\n# Gone') AS text").select(*docs.columns)
@@ -156,15 +185,43 @@ def stream_index(t):
     stream = J.file_stream(spark, J.staged_files(parts, shared_dir(spark, "arrivals")), "*.parquet", docs.schema, 1)
     out = shared_dir(spark, "index")
     J.run_batches(stream, J.index_into(out, chunking.chunk_files, docs.schema), "index")
-    return J.current_index(spark, out, 2).select("collection", "source_path", "locator", "content_hash")
+    return out, docs.schema
+
+
+@query("stream_index", LIBRARY_CHUNKS)
+def stream_index(t):
+    """The index after three batches holds the last version of every document once."""
+    out, schema = _indexed(t)
+    return J.current_index(t.spark, out, schema).select("collection", "source_path", "locator", "content_hash")
 
 
-@query("stream_seen", "SELECT DISTINCT user_id, event_type FROM events")
+@query(
+    "stream_index_report",
+    """WITH n AS (SELECT doc_id % 3 AS r3, doc_id % 6 AS r6, doc_id % 9 AS r9 FROM documents)
+SELECT 0::BIGINT AS batch, count(*) FILTER (r3 = 0) AS scanned, count(*) FILTER (r3 = 0) AS indexed, 0::BIGINT AS skipped FROM n
+UNION ALL SELECT 1, count(*) FILTER (r3 = 1 OR r6 = 0 AND r9 <> 0), count(*) FILTER (r3 = 1), count(*) FILTER (r6 = 0 AND r9 <> 0) FROM n
+UNION ALL SELECT 2, count(*) FILTER (r3 = 2 OR r9 = 0), count(*) FILTER (r3 = 2 OR r9 = 0), 0 FROM n""",
+)
+def stream_index_report(t):
+    """What each batch scanned, indexed and skipped, observed while it ran."""
+    out, _ = _indexed(t)
+    return t.spark.read.schema(J.INDEX_REPORT).option("recursiveFileLookup", "true").parquet(f"{out}/report").drop("chunks_added")
+
+
+@query(
+    "stream_seen",
+    "SELECT user_id, event_type, min(least(4, (ts::DATE - DATE '2024-01-01') // 6))::BIGINT AS batch FROM events GROUP BY user_id, event_type",
+)
 def stream_seen(t):
-    out, seen = shared_dir(t.spark, "announcements"), shared_dir(t.spark, "announcements-seen")
-    keys = ["user_id", "event_type"]
-    J.run_batches(event_stream(t), J.unseen_into(out, seen, keys, t.events.schema), "announcements")
-    return t.spark.read.option("recursiveFileLookup", "true").parquet(out).select(*keys)
+    """Five batches in two runs; keys come again in later batches and are new only once."""
+    spark, keys = t.spark, ["user_id", "event_type"]
+    rows = t.events.select("event_id", *keys, F.expr("least(4, datediff(ts, date'2024-01-01') div 6) AS part"))
+    folder, out, checkpoint = (shared_dir(spark, f"announcements-{n}") for n in ("in", "out", "checkpoint"))
+    seen = J.seen_table(spark, shared_dir(spark, "seen"), rows.schema, keys)
+    for parts in ((0, 1), (2, 3, 4)):
+        J.staged_files([rows.where(f"part = {k}") for k in parts], folder)
+        J.run_batches(J.file_stream(spark, folder, "*.parquet", rows.schema, 1), J.unseen_into(out, seen, keys), "announcements", checkpoint=checkpoint)
+    return J.unseen_items(spark, out, rows.schema).select(*keys, "batch")
 
 
 @query("late_split", "SELECT event_id, ts::DATE AS date, ts::DATE < DATE '2024-01-25' - 14 AS late FROM events")

@@ -35,7 +35,7 @@ SENTENCES = f"""sentence_rows AS (SELECT doc_id, s.i AS pos, {duck_strip("s.x")}
     with_(SENTENCES) + "SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1)::INT AS pos, sentence FROM sentence_rows",
 )
 def sentences(t):
-    return t.documents.select("doc_id", F.expr(f"posexplode({X.sentences('text')}) AS (pos, sentence)"))
+    return t.documents.select("doc_id", F.expr(f"posexplode_outer({X.sentences('text')}) AS (pos, sentence)")).where("pos IS NOT NULL")
 
 
 @query("content_hash", "SELECT doc_id, substr(sha256(text), 1, 16) AS content_hash FROM documents")

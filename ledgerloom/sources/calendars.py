@@ -187,7 +187,7 @@ def ics_events(feeds: DataFrame, zone: str = "UTC") -> DataFrame:
     not known makes an error row.
     """
     unfolded = "regexp_replace(body, '\\r?\\n[ \\t]', '')"
-    vevents = feeds.select("feed", F.expr(f"posexplode(slice(split({unfolded}, 'BEGIN:VEVENT'), 2, 1000000000)) AS (n, v0)")).selectExpr(
+    vevents = feeds.select("feed", F.expr(f"posexplode_outer(slice(split({unfolded}, 'BEGIN:VEVENT'), 2, 1000000000)) AS (n, v0)")).where("n IS NOT NULL").selectExpr(
         "feed", "n", "regexp_replace(split_part(v0, 'END:VEVENT', 1), '(?s)BEGIN:VALARM.*?END:VALARM', '') AS v"
     )
     # Each value is parsed in a column of its own and used by name, so nothing is parsed twice.

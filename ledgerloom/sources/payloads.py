@@ -40,7 +40,9 @@ def flat_code(text: str) -> str:
 
 def exploded(raw: DataFrame, element: str, *keep: str) -> DataFrame:
     """One row per element of a JSON array payload."""
-    return raw.select(*keep, F.expr(f"explode(from_json(payload, 'array<{element}>')) AS r")).select(*keep, "r.*")
+    # An outer generator: for an inner one the optimizer adds a filter on the array's size and parses every payload twice.
+    found = raw.select(*keep, F.expr(f"posexplode_outer(from_json(payload, 'array<{element}>')) AS (_at, r)"))
+    return found.where("_at IS NOT NULL").select(*keep, "r.*")
 
 
 def enrollments(raw: DataFrame, courses: DataFrame, today: str) -> DataFrame:

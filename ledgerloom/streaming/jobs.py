@@ -10,10 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
 from ledgerloom.operators import reconcile
 from ledgerloom.session import shared_dir
@@ -98,39 +98,70 @@ def tolerant(body: Body, failures: str) -> Body:
 
 # ------------------------------------------------------------------ polling and sinks
 
-def poll_into(path: str, summarise: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch body that writes one status snapshot per poll; the batch id is the run id.
+def poll_into(path: str, counters: dict[str, str], apply: Body) -> Body:
+    """A foreachBatch body that runs ``apply`` on a batch and writes one status per poll; the batch id is the run id.
 
-    The snapshot of a run overwrites itself, so a batch that is tried again leaves one copy.
+    ``counters`` (name, SQL aggregate) are observed while ``apply`` reads the batch, so nothing is read a second time;
+    ``apply`` must run the batch it is given. A poll that fails is a finished poll: its status says why and repeats the last
+    counters, and the stream goes on. The status of a run overwrites itself, so a batch that is tried again leaves one.
     """
+    schema = StructType([StructField("run_id", LongType()), StructField("ok", BooleanType()), *(StructField(c, LongType()) for c in counters), StructField("error", StringType())])
 
     def body(batch: DataFrame, batch_id: int) -> None:
-        summarise(batch).withColumn("run_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/run={batch_id}")
+        spark, seen = batch.sparkSession, Observation()
+        try:
+            apply(batch.observe(seen, *[F.expr(f"cast({e} AS bigint)").alias(c) for c, e in counters.items()]), batch_id)
+            values, error = [seen.get[c] for c in counters], None
+        except Exception as e:  # whatever ends one poll must not end the stream
+            last = spark.read.schema(schema).parquet(f"{path}/run={batch_id - 1}").first() if batch_id else None
+            values, error = [last[c] if last else 0 for c in counters], f"{type(e).__name__}: {e}".splitlines()[0][:500]
+        spark.createDataFrame([(batch_id, error is None, *values, error)], schema).write.mode("overwrite").parquet(f"{path}/run={batch_id}")
 
     return body
 
 
-def unseen_into(path: str, seen_path: str, keys: list[str], schema: StructType) -> Callable[[DataFrame, int], None]:
-    """Write items whose keys no earlier batch wrote, then mark them seen.
+SEEN_BUCKETS = 64
+
+
+def seen_table(spark: SparkSession, path: str, schema: StructType, keys: list[str]) -> VersionedTable:
+    """A table of keys marked as seen, dealt out to buckets by hash."""
+    return VersionedTable(spark, path, StructType([*(schema[k] for k in keys), StructField("bucket", IntegerType())]), ["bucket"])
+
+
+def unseen_into(path: str, seen: VersionedTable, keys: list[str], mark: bool = True, buckets: int = SEEN_BUCKETS) -> Body:
+    """Write items whose keys are not marked as seen, and mark them; without ``mark`` they stay new, as unread mail does.
 
-    Both tables are kept by batch. A batch reads only the marks of batches before it, so running it twice
-    gives the same result.
+    Only buckets the batch's keys fall into are read, and only those that get new keys are written again, each as one run of
+    sorted keys. Batch n makes version n of the table, so a batch that is tried again gives the same result.
     """
 
     def body(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates(keys)
-        if batch_id > 0:
-            marked = StructType([*(schema[k] for k in keys), StructField("batch", LongType())])
-            marks = spark.read.schema(marked).parquet(seen_path).where(F.col("batch") < batch_id)
-            fresh = fresh.join(marks.select(*keys), keys, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-        written = spark.read.schema(fresh.schema).parquet(f"{path}/batch={batch_id}")
-        written.select(*keys).write.mode("overwrite").parquet(f"{seen_path}/batch={batch_id}")
+        found = batch.dropDuplicates(keys).withColumn("bucket", F.expr(f"cast(pmod(xxhash64({', '.join(keys)}), {buckets}) AS int)"))
+        found.write.mode("overwrite").parquet(f"{path}/found/batch={batch_id}")
+        found = spark.read.schema(found.schema).parquet(f"{path}/found/batch={batch_id}")
+        touched = [r.bucket for r in found.select("bucket").distinct().collect()]
+        known = [v for v in seen.versions() if v < batch_id]
+        marks = seen.read(known[-1] if known else None) if known else spark.createDataFrame([], seen.schema)
+        marks = marks.where(F.col("bucket").isin(touched))
+        fresh = found.join(marks, [*keys, "bucket"], "left_anti")
+        fresh.drop("bucket").write.mode("overwrite").parquet(f"{path}/fresh/batch={batch_id}")
+        if mark:
+            new = spark.read.schema(batch.schema).parquet(f"{path}/fresh/batch={batch_id}").select(*keys)
+            new = new.withColumn("bucket", F.expr(f"cast(pmod(xxhash64({', '.join(keys)}), {buckets}) AS int)"))
+            grown = [r.bucket for r in new.select("bucket").distinct().collect()]
+            rows = marks.where(F.col("bucket").isin(grown)).unionByName(new).repartition("bucket").sortWithinPartitions("bucket", *keys)
+            seen.commit(batch_id, rows, [(b,) for b in grown])
 
     return body
 
 
+def unseen_items(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """All items written as new, with the batch that brought them."""
+    fields = StructType([*schema, StructField("batch", LongType())])
+    return spark.read.schema(fields).option("basePath", f"{path}/fresh").parquet(f"{path}/fresh")
+
+
 def reconcile_into(table: VersionedTable, out: str, today: str, new_id: str, buckets: int = 1) -> Body:
     """A foreachBatch body that judges a batch against the table, applies what it finds and commits the next version.
 
@@ -160,34 +191,51 @@ def reconcile_into(table: VersionedTable, out: str, today: str, new_id: str, buc
 
 # ------------------------------------------------------------------ stateful operators
 
-def index_into(path: str, chunk: Callable[[DataFrame], DataFrame], schema: StructType) -> Body:
+def index_into(path: str, chunk: Callable[[DataFrame], DataFrame], schema: StructType, buckets: int = SEEN_BUCKETS) -> Body:
     """Keep an index of files (collection, path, mtime, size, text): only new and changed files are chunked.
 
-    ``manifest/batch=N`` says for every file known after batch N which batch chunked it; ``chunks/batch=N`` holds the
-    chunks of that batch. The chunks of a file's earlier version are left behind by the manifest.
+    The manifest says for every file which batch chunked it; it is a versioned table in buckets of paths, of which a batch
+    writes those again in which files changed. ``chunks/batch=N`` holds the chunks of a batch, ``report/batch=N`` what it
+    scanned, indexed and added, observed while the chunks are written. Chunks of a file's earlier version are left behind by
+    the manifest, and so are those of a batch that broke off before its manifest: the next run chunks these files again.
     """
     facts = ["path", "mtime", "size"]
-    known_schema = StructType([*(schema[c] for c in facts), StructField("owner", LongType())])
 
     def body(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        manifest = index_manifest(spark, path, schema)
+        known_version = [v for v in manifest.versions() if v < batch_id]
+        known = manifest.read(known_version[-1]) if known_version else spark.createDataFrame([], manifest.schema)
+        scanned, indexed, added = (Observation() for _ in range(3))
+        one = lambda name: F.count(F.lit(1)).alias(name)
         newest = batch.groupBy("path").agg(F.max("mtime").alias("mtime"))
-        files = batch.join(newest, ["path", "mtime"]).dropDuplicates(["path"])
-        known = spark.createDataFrame([], known_schema)
-        if batch_id > 0:
-            known = spark.read.schema(known_schema).parquet(f"{path}/manifest/batch={batch_id - 1}")
-        changed = files.join(known.drop("owner"), facts, "left_anti")
-        chunk(changed).write.mode("overwrite").parquet(f"{path}/chunks/batch={batch_id}")
-        mine = changed.select(*facts).withColumn("owner", F.lit(batch_id).cast("long"))
-        now = known.join(mine.select("path"), "path", "left_anti").select(*mine.columns).unionByName(mine)
-        now.write.mode("overwrite").parquet(f"{path}/manifest/batch={batch_id}")
+        files = batch.join(newest, ["path", "mtime"]).dropDuplicates(["path"]).observe(scanned, one("n"))
+        changed = files.join(known.select(*facts), facts, "left_anti").observe(indexed, one("n"))
+        changed.write.mode("overwrite").parquet(f"{path}/changed/batch={batch_id}")
+        changed = spark.read.schema(files.schema).parquet(f"{path}/changed/batch={batch_id}")
+        chunk(changed).observe(added, one("n")).write.mode("overwrite").parquet(f"{path}/chunks/batch={batch_id}")
+        counts = [(batch_id, scanned.get["n"], indexed.get["n"], scanned.get["n"] - indexed.get["n"], added.get["n"])]
+        spark.createDataFrame(counts, INDEX_REPORT).write.mode("overwrite").parquet(f"{path}/report/batch={batch_id}")
+        mine = changed.select(*facts).withColumn("owner", F.lit(batch_id).cast("long")).withColumn("bucket", F.expr(f"cast(pmod(xxhash64(path), {buckets}) AS int)"))
+        touched = [r.bucket for r in mine.select("bucket").distinct().collect()]
+        kept = known.where(F.col("bucket").isin(touched)).join(mine.select("path"), "path", "left_anti")
+        manifest.commit(batch_id, kept.select(*mine.columns).unionByName(mine), [(b,) for b in touched])
 
     return body
 
 
-def current_index(spark: SparkSession, path: str, last_batch: int) -> DataFrame:
-    """The chunks that the manifest of the last batch vouches for."""
-    manifest = spark.read.parquet(f"{path}/manifest/batch={last_batch}").select(F.col("path").alias("source_path"), F.col("owner").alias("batch"))
+INDEX_REPORT = "batch long, scanned long, indexed long, skipped long, chunks_added long"
+
+
+def index_manifest(spark: SparkSession, path: str, schema: StructType) -> VersionedTable:
+    """(path, mtime, size, owner, bucket) of the files of an index."""
+    fields = [*(schema[c] for c in ("path", "mtime", "size")), StructField("owner", LongType()), StructField("bucket", IntegerType())]
+    return VersionedTable(spark, f"{path}/manifest", StructType(fields), ["bucket"])
+
+
+def current_index(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The chunks that the newest manifest vouches for; ``schema`` is that of the files."""
+    manifest = index_manifest(spark, path, schema).read().select(F.col("path").alias("source_path"), F.col("owner").alias("batch"))
     chunks = spark.read.option("basePath", f"{path}/chunks").parquet(f"{path}/chunks").withColumn("batch", F.col("batch").cast("long"))
     return chunks.join(manifest, ["source_path", "batch"], "left_semi").drop("batch")
 
