@@ -1,14 +1,15 @@
 """Sub-word encoding with seeded merge-dropout, and lossless decoding.
 
 A text is encoded by merging adjacent pieces from single characters upwards, best piece first, ties from the left. Each
-candidate merge taken from the agenda is skipped when a hash of its place and length, keyed by seed, variant and unit,
-falls below the dropout rate. So one text has many segmentations, each reproducible from its seed, and all decode to the
-text itself. With dropout 0 the result is the usual encoding.
+candidate merge taken from the agenda is skipped when a hash of its place and length, keyed by seed, document and the unit's
+place in the document, falls below the dropout rate. So one text has many segmentations, each reproducible from its seed,
+and all decode to the text itself. With dropout 0 the result is the usual encoding.
 
-A unit is a run of spaces with the word behind it, or the start of a line; no piece spans two units, so units are merged
-on their own and kept in a bounded cache. The variant of a unit depends on the document and on the unit's place, so a repeated word varies within
-a document too. Characters outside the vocabulary become bytes. So do characters equal to the vocabulary's own mark for a
-space, which would otherwise come back as spaces.
+A unit is a run of spaces with the word behind it, or the start of a line; no piece spans two units, so units are merged on
+their own. A bounded cache holds what a unit becomes without dropout and the candidates taken on the way. A unit none of
+whose candidates is skipped at its place takes that result; every other one is merged anew with its own key.
+Characters outside the vocabulary become bytes. So do characters equal to the vocabulary's own mark for a space, which would
+otherwise come back as spaces.
 
 A null text gives null ids; an empty text gives no ids and decodes to an empty text. Rows are independent: repeated rows
 with one doc_id get one segmentation, an empty table an empty result, and columns other than doc_id and text are ignored.
@@ -32,12 +33,14 @@ from ledgerloom.llm.shared import slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-VARIANTS = 4
-CACHE = 200_000
+CACHE = 400_000
 #: Longer units (texts without spaces, long rows of spaces) are not kept in the cache.
 CACHED_LENGTH = 64
 #: Odd constants of the multiplicative hash that decides on dropout.
 SPREAD, MULTIPLIER, MASK = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 2**64 - 1
+#: Stands for the places of a unit that only the heap can merge; no real place is that large a number.
+NO_PLACE = np.uint64(MASK)
+ODD = NO_PLACE.tobytes()
 
 
 @dataclass
@@ -127,6 +130,19 @@ class PairTable:
         return flat.reshape(out.shape)
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers spread over all bits."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def unit_keys(salts: np.ndarray, places: np.ndarray, seed: int = 0) -> np.ndarray:
+    """The dropout keys of units from the seed, the salt of their document and their place in it."""
+    start = salts.astype(np.uint64) + np.uint64(seed * MULTIPLIER & MASK)
+    return _mixed(start + places.astype(np.uint64) * np.uint64(SPREAD))
+
+
 class Encoder:
     """Encodes texts with one vocabulary, dropout rate and seed."""
 
@@ -135,8 +151,8 @@ class Encoder:
         self.pairs = PairTable(vocabulary)
         self.limit = int(dropout * 2**64)
         self.seed = seed
-        self.variants = VARIANTS if self.limit else 1
-        self.caches: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
+        #: Ids of a unit without dropout, the hashed places of the merges that lead to them, and the unit's text.
+        self.cache: dict[str, tuple[bytes, bytes, str]] = {}
         self.mark_bytes = self._bytes(MARK)
         # Where no piece holds a line break, nothing merges across one.
         self.line_break = b"" if any("\n" in piece for piece in vocabulary.ids) else self._bytes("\n")
@@ -144,12 +160,9 @@ class Encoder:
     def _bytes(self, text: str) -> bytes:
         return array("i", [self.v.byte_ids[b] for b in text.encode()]).tobytes()
 
-    def _key(self, unit: str, variant: int) -> int:
-        return xxhash.xxh64_intdigest(unit, self.seed + variant) if self.limit else 0
-
-    def merged(self, unit: str, variant: int) -> bytes:
+    def merged(self, unit: str, key: int = 0, dropout: bool = True) -> bytes:
         """Ids of one unit as 32-bit integers. The agenda is a heap; entries whose pair has changed meanwhile are passed over."""
-        rank, limit, key = self.v.ranks.get, self.limit, self._key(unit, variant)
+        rank, limit = self.v.ranks.get, self.limit if dropout else 0
         parts: list[str | None] = list(unit)
         after = list(range(1, len(parts) + 1))
         before = list(range(-1, len(parts) - 1))
@@ -185,8 +198,13 @@ class Encoder:
                 out.extend([found] if found is not None else [self.v.byte_ids[b] for b in part.encode()])
         return array("i", out).tobytes()
 
-    def merged_many(self, units: list[str], variants: list[int]) -> list[bytes]:
-        """The same for many units at once: the agendas of all units of one length are rows of a matrix."""
+    def merged_many(self, units: list[str], keys: np.ndarray | None = None) -> list[tuple[bytes, bytes]]:
+        """The same for many units at once: the agendas of all units of one length are rows of a matrix.
+
+        Without keys nothing is skipped, and the places of the merges come out beside the ids.
+        """
+        limit = self.limit if keys is not None else 0
+        keys = np.zeros(len(units), np.uint64) if keys is None else keys
         sizes = np.array([len(u) for u in units], np.int64)
         chars = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
         symbols = self.pairs.by_char[chars]
@@ -196,25 +214,32 @@ class Encoder:
         plain[np.repeat(np.arange(len(units)), sizes)[symbols >= len(self.v.surface)]] = False
         plain[np.repeat(np.arange(len(units)), sizes)[symbols < 0]] = False
         plain &= sizes <= CACHED_LENGTH
-        keys = np.array([self._key(u, v) for u, v in zip(units, variants, strict=True)], np.uint64)
-        out: list[bytes] = [b""] * len(units)
+        out: list[tuple[bytes, bytes]] = [(b"", b"")] * len(units)
         for i in np.flatnonzero(~plain).tolist():
-            out[i] = self.merged(units[i], variants[i])
+            out[i] = (self.merged(units[i], int(keys[i]), bool(limit)), ODD)
         for size in np.unique(sizes[plain]).tolist():
             at = np.flatnonzero(plain & (sizes == size))
-            ids, counts = self._matrix(symbols[first[at][:, None] + np.arange(size)], keys[at])
+            ids, counts, places = self._matrix(symbols[first[at][:, None] + np.arange(size)], keys[at], limit)
             flat = ids[np.arange(size) < counts[:, None]].tobytes()
-            ends = np.cumsum(4 * counts)
-            for i, a, b in zip(at.tolist(), (ends - 4 * counts).tolist(), ends.tolist(), strict=True):
-                out[i] = flat[a:b]
+            ends, stops = np.cumsum(4 * counts), np.cumsum(8 * (size - counts))
+            if limit:
+                for i, a, b in zip(at.tolist(), (ends - 4 * counts).tolist(), ends.tolist(), strict=True):
+                    out[i] = (flat[a:b], b"")
+                continue
+            for i, a, b, c, d in zip(at.tolist(), (ends - 4 * counts).tolist(), ends.tolist(), (stops - 8 * (size - counts)).tolist(), stops.tolist(), strict=True):
+                out[i] = (flat[a:b], places[c:d])
         return out
 
-    def _matrix(self, symbols: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Final symbols (rows filled up with -1) and their numbers for units of one length."""
+    def _matrix(self, symbols: np.ndarray, keys: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, bytes]:
+        """Final symbols (rows filled up with -1) and their numbers for units of one length.
+
+        Without a limit the hashed places of all merges come too, row after row.
+        """
         n, size = symbols.shape
         done, counts = symbols.copy(), np.full(n, size)
         if size == 1:
-            return done, counts
+            return done, counts, b""
+        whose, taken = [], []
         rows, length = np.arange(n), np.full(n, size)
         start = np.tile(np.arange(size + 1, dtype=np.int32), (n, 1))
         pairs = self.pairs(symbols[:, :-1], symbols[:, 1:])
@@ -227,12 +252,15 @@ class Encoder:
                 done[rows[~on]], counts[rows[~on]] = symbols[~on], length[~on]
                 rows, length, symbols, start, pairs, best, keys = (x[on] for x in (rows, length, symbols, start, pairs, best, keys))
             at = np.arange(len(rows))
-            if self.limit:
-                left = start[at, best].astype(np.uint64)
-                place = left * np.uint64(SPREAD) + (start[at, best + 2].astype(np.uint64) - left)
-                missed = (keys ^ place) * np.uint64(MULTIPLIER) < np.uint64(min(self.limit, MASK))
+            left = start[at, best].astype(np.uint64)
+            place = left * np.uint64(SPREAD) + (start[at, best + 2].astype(np.uint64) - left)
+            if limit:
+                missed = (keys ^ place) * np.uint64(MULTIPLIER) < np.uint64(min(limit, MASK))
                 pairs[at[missed], best[missed]] = -1
                 at = at[~missed]
+            else:
+                whose.append(rows)
+                taken.append(place)
             if not len(at):
                 continue
             b = best[at]
@@ -255,60 +283,80 @@ class Encoder:
             inner = b > 0
             next_pairs[own[inner], b[inner] - 1] = self.pairs(now[own[inner], b[inner] - 1], joined[inner])
             pairs[at] = next_pairs
-        return done, counts
+        if limit or not whose:
+            return done, counts, b""
+        order = np.argsort(np.concatenate(whose), kind="stable")
+        return done, counts, np.concatenate(taken)[order].tobytes()
 
-    def encode(self, text: str, key: int = 0) -> np.ndarray:
-        return self.encode_all([text], [key])[0]
+    def encode(self, text: str, salt: int = 0) -> np.ndarray:
+        return self.encode_all([text], [salt])[0]
 
-    def encode_all(self, texts: list[str], keys: list[int]) -> list[np.ndarray]:
-        """Ids of each text. Units that no cache holds are gathered from all texts first and merged together."""
+    def encode_all(self, texts: list[str], salts: list[int]) -> list[np.ndarray]:
+        """Ids of each text; a salt stands for a document."""
         out: list[bytes | None] = []
-        holes: list[tuple[int, int, str]] = []
-        wanted: dict[tuple[int, str], str] = {}
-        ends = []
-        for text, key in zip(texts, keys, strict=True):
+        names: list[str] = []
+        slots: list[range] = []
+        ends, units_of = [], []
+        for text in texts:
+            before = len(names)
             for k, stretch in enumerate((" " + text).split(MARK) if text else ()):
                 if k:
                     out.append(self.mark_bytes)
                 for n, line in enumerate(stretch.split("\n") if self.line_break else (stretch,)):
                     if n:
                         out.append(self.line_break)
-                    key = self._line(line, key, out, holes, wanted)
+                    words = self._units(line)
+                    slots.append(range(len(out), len(out) + len(words)))
+                    out.extend([None] * len(words))
+                    names += words
             ends.append(len(out))
-        fresh = dict(zip(wanted, self.merged_many(list(wanted.values()), [v for v, _ in wanted]), strict=True))
-        for place, variant, name in holes:
-            out[place] = fresh[variant, name]
-        for (variant, name), ids in fresh.items():
-            if len(name) <= CACHED_LENGTH:
-                cache = self.caches[variant]
-                if len(cache) >= CACHE:
-                    cache.clear()
-                cache[name] = ids
+            units_of.append(len(names) - before)
+        filled = self._encoded(names, np.array(salts, np.uint64), np.array(units_of, np.int64))
+        at = 0
+        for some in slots:
+            out[some.start : some.stop] = filled[at : at + len(some)]
+            at += len(some)
         return [np.frombuffer(b"".join(out[a:b]), np.int32) for a, b in zip([0, *ends], ends, strict=False)]
 
-    def _line(self, line: str, key: int, out: list, holes: list, wanted: dict) -> int:
-        """Appends the ids of a stretch in which only spaces part units, with holes for those not known; gives the next key."""
+    @staticmethod
+    def _units(line: str) -> list[str]:
+        """The names of the units of a stretch in which only spaces part them: a word behind one space goes by itself, one
+        behind several with its spaces, the start of the line with a line break before it."""
         head, *words = line.split(" ")
-        units: list[tuple[str, str]] | None = None
         if "" in words:  # a run of spaces belongs to the word behind it
-            units = [(u[1:] if u.count(" ") == 1 else u, u) for u in re.findall(" +[^ ]*", line)]
-            words = [name for name, _ in units]
-        if head:
-            words.insert(0, "\n" + head)
-        found: list[bytes | None] = [None] * len(words)
-        for v in range(self.variants):
-            place = (v - key) % self.variants
-            found[place :: self.variants] = map(self.caches[v].get, words[place :: self.variants])
-        if None in found:
-            base, shift = len(out), 1 if head else 0
-            for i, ids in enumerate(found):
-                if ids is None:
-                    name, variant = words[i], (key + i) % self.variants
-                    unit = head if head and i == 0 else units[i - shift][1] if units else " " + name
-                    wanted[variant, name] = unit.replace(" ", MARK)
-                    holes.append((base + i, variant, name))
-        out.extend(found)
-        return key + len(found)
+            words = [u[1:] if u.count(" ") == 1 else u for u in re.findall(" +[^ ]*", line)]
+        return ["\n" + head, *words] if head else words
+
+    @staticmethod
+    def _text_of(name: str) -> str:
+        return name[1:] if name.startswith("\n") else (name if name.startswith(" ") else " " + name).replace(" ", MARK)
+
+    def _encoded(self, names: list[str], salts: np.ndarray, units_of: np.ndarray) -> list[bytes]:
+        """The ids of all units of some documents, which follow one another."""
+        fresh = list(set(names).difference(self.cache))
+        if len(self.cache) + len(fresh) > CACHE:
+            self.cache.clear()
+            fresh = list(set(names))
+        units = [self._text_of(n) for n in fresh]
+        self.cache.update((n, (*got, u)) for n, got, u in zip(fresh, self.merged_many(units), units, strict=True))
+        found = list(map(self.cache.__getitem__, names))
+        ids = [f[0] for f in found]
+        if self.limit:
+            place_in_doc = np.arange(len(names)) - np.repeat(np.cumsum(units_of) - units_of, units_of)
+            keys = unit_keys(np.repeat(salts, units_of), place_in_doc, self.seed)
+            places = [f[1] for f in found]
+            sizes = np.fromiter(map(len, places), np.int64, len(places)) // 8
+            hashed = np.frombuffer(b"".join(places), np.uint64)
+            missed = (np.repeat(keys, sizes) ^ hashed) * np.uint64(MULTIPLIER) < np.uint64(min(self.limit, MASK))
+            owner = np.repeat(np.arange(len(names)), sizes)
+            # Units that only the heap merges have no places; they are always merged anew.
+            again = np.unique(owner[missed | (hashed == NO_PLACE)]).tolist()
+            for i, (got, _) in zip(again, self.merged_many([found[i][2] for i in again], keys[again]), strict=True):
+                ids[i] = got
+        for name in fresh:
+            if len(name) > CACHED_LENGTH:
+                del self.cache[name]
+        return ids
 
 
 def decode(vocabulary: Vocabulary, ids: np.ndarray) -> str:
