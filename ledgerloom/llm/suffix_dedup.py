@@ -18,12 +18,15 @@ only suffixes of runs with one gram can match. Then
 Grams with very many different strings are not sorted in one place: their windows are dealt out again by content, where
 equal windows meet and the smallest doc_id decides. Texts are shuffled once, compressed, to meet the runs to be cut from
 them and later the spans that go. Later copies of a text that one task sees, and runs that an earlier document at hand has too, are settled there. Everything spills; nothing
-is collected. Runs travel as three longs (48 bits of the gram's hash, 43 of the run's, start and length, document).
+is collected. Runs travel as four longs (48 bits of the gram's hash, 43 and 64 of two hashes of the run, start and length,
+document); runs are taken as equal when all of these 155 bits are.
 
 Texts are whole UTF-8 byte strings, at most 2^30 bytes each; null counts as empty. Rows that repeat a doc_id are not
 earlier than one another: they are numbered within it first. Rows without doc_id neither lose anything nor make others
-lose. An empty table gives an empty result; columns other than doc_id and text are ignored. Ids are longs, and an id times
-the largest number of rows with one id must still be one.
+lose. An empty table gives an empty result; columns other than doc_id and text are ignored. Ids may be of any type that can
+be ordered: whole numbers go as they are, all others, and repeated ones too large to be numbered within, by their rank. The
+number of different ids times that of the rows of the commonest one must be below 2^63; beyond that the job fails with a
+message.
 """
 
 from __future__ import annotations
@@ -39,8 +42,11 @@ import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
-from ledgerloom.llm.shared import Scratch, whole_text
+from ledgerloom.llm.merkle import positions
+from ledgerloom.llm.sharding import row_numbers
+from ledgerloom.llm.shared import Scratch, row_keyed, whole_text
 
 LENGTH = 50
 GRAM = 16
@@ -65,7 +71,7 @@ def _gram_hashes(data: np.ndarray) -> np.ndarray:
 
 
 def runs_of(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Runs of windows of texts of at least LENGTH bytes: gram, hash of the run's bytes, text number, start, windows."""
+    """Runs of windows of texts of at least LENGTH bytes: gram, two hashes of the run's bytes, text number, start, windows."""
     data = np.frombuffer(b"".join(texts), np.uint8)
     sizes = np.array([len(t) for t in texts], np.int64)
     first = np.cumsum(sizes) - sizes
@@ -87,11 +93,12 @@ def runs_of(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     start = at[heads]
     count = np.diff(np.r_[heads, len(at)])
     end = start + count + LENGTH - 1
-    named = count.astype(np.uint64)
+    named, again = count.astype(np.uint64), count.astype(np.uint64)
     for place in (start, start + GRAM, start + 2 * GRAM, end - 3 * GRAM, end - 2 * GRAM, end - GRAM):
         named = _mix(named * C1 ^ grams[place])
+        again = _mix(again * C2 + grams[place] * C1)
     owner = owner[start]
-    return grams[chosen[start]].view(np.int64), named.view(np.int64), owner, start - first[owner], count
+    return grams[chosen[start]].view(np.int64), named.view(np.int64), again.view(np.int64), owner, start - first[owner], count
 
 
 def longest_previous_factors(lcp: np.ndarray, position: np.ndarray) -> np.ndarray:
@@ -164,14 +171,37 @@ def _spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts[new], ends[last]
 
 
-def _numbered(docs: DataFrame, scratch: Scratch, doc_id: str, text: str) -> tuple[DataFrame, int]:
-    """(d, text) with a different d for every row that has a doc_id, and the number that d is to be divided by to get it."""
-    base = docs.select(F.col(doc_id).cast("long").alias("d"), whole_text(text).alias("text"))
-    ties = base.where("d IS NOT NULL").groupBy("d").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
-    if ties == 1:
-        return base, 1
-    number = F.row_number().over(Window.partitionBy("d").orderBy("text")) - 1
-    return scratch.write(base.withColumn("d", F.when(F.col("d").isNotNull(), F.col("d") * ties + number))), ties
+def _numbered(docs: DataFrame, scratch: Scratch, doc_id: str, text: str) -> tuple[DataFrame, int, DataFrame | None]:
+    """(d, text) with a different d for every row that has a doc_id, the number that d is to be divided by to get it, and,
+    where that gives a rank instead, the ids by rank."""
+    whole = isinstance(docs.schema[doc_id].dataType, (ByteType, ShortType, IntegerType, LongType))
+    ids = docs.select(F.col(doc_id).alias("id")).where("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("n"))
+    if whole:
+        most = ids.agg(F.max("n").alias("ties"), F.min("id").cast("string").alias("least"), F.max("id").cast("string").alias("largest")).first()
+        ties = most.ties or 1
+        base = docs.select(F.col(doc_id).cast("long").alias("d"), whole_text(text).alias("text"))
+        if ties == 1:
+            return base, 1, None
+        if max(abs(int(most.least)), abs(int(most.largest))) * ties < 2**62:
+            number = F.row_number().over(Window.partitionBy("d").orderBy("text")) - 1
+            return scratch.write(base.withColumn("d", F.when(F.col("d").isNotNull(), F.col("d") * ties + number))), ties, None
+    return _ranked(docs, ids, scratch, doc_id, text)
+
+
+def _ranked(docs: DataFrame, ids: DataFrame, scratch: Scratch, doc_id: str, text: str) -> tuple[DataFrame, int, DataFrame]:
+    """The same by the rank of an id among all. Ranks and places within an id are given without one task that sorts either."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranks, different = row_numbers(ids, ["id"], scratch, parts)
+    ranks = scratch.write(ranks.withColumnRenamed("row_no", "rank"))
+    ties = ranks.agg(F.max("n")).first()[0] or 1
+    if different * ties >= 2**63:
+        raise ValueError(f"{different} ids of up to {ties} rows each are too many to be numbered")
+    docs, key = row_keyed(docs, scratch)
+    slim = docs.select(F.col(doc_id).alias("id"), key.alias("_row"), F.xxhash64(whole_text(text)).alias("h")).where("id IS NOT NULL")
+    placed = positions(slim.join(ranks.select("id", "rank"), "id").select(F.col("rank").alias("tree"), "h", "_row"), ["h", "_row"], scratch)
+    numbers = scratch.write(placed.select("_row", (F.col("tree") * ties + F.col("pos")).alias("d")))
+    texts = docs.select(key.alias("_row"), whole_text(text).alias("text")).join(numbers, "_row", "left").select("d", "text")
+    return scratch.write(texts), ties, ranks.select("rank", "id")
 
 
 def _id_of(ties: int) -> Column:
@@ -195,12 +225,12 @@ class _Copies:
         return False
 
 
-def _settled_here(gram: np.ndarray, named: np.ndarray, ids: np.ndarray) -> np.ndarray:
+def _settled_here(gram: np.ndarray, named: np.ndarray, again: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Which of these runs an earlier document among the same ones has too."""
     key = gram ^ _mix(named.view(np.uint64)).view(np.int64)
-    order = np.argsort(key, kind="stable")
-    ranked = key[order]
-    heads = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
+    order = np.lexsort((again, key))
+    ranked, second = key[order], again[order]
+    heads = np.flatnonzero(np.r_[True, (ranked[1:] != ranked[:-1]) | (second[1:] != second[:-1])])
     first = np.minimum.reduceat(ids[order], heads)
     out = np.empty(len(key), bool)
     out[order] = ids[order] > np.repeat(first, np.diff(np.r_[heads, len(key)]))
@@ -208,10 +238,10 @@ def _settled_here(gram: np.ndarray, named: np.ndarray, ids: np.ndarray) -> np.nd
 
 
 def _runs(texts: DataFrame, ties: int) -> DataFrame:
-    """Packed runs (a, b, d) of all texts that are long enough.
+    """Packed runs (a, b, c, d) of all texts that are long enough.
 
     a: gram hash and low bits of the start; b: run hash, whether an earlier document at hand has the run, number of windows,
-    high bits of the start. A later copy sends its first run only, with 0 windows, which stands for the whole text.
+    high bits of the start; c: second run hash. A later copy sends its first run only, with 0 windows, which stands for the whole text.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,22 +262,22 @@ def _runs(texts: DataFrame, ties: int) -> DataFrame:
                     held, whose, copied, size = [], [], [], 0
 
     def packed(held: list[bytes], whose: np.ndarray, copied: np.ndarray) -> pa.RecordBatch:
-        gram, named, owner, start, n = runs_of(held)
+        gram, named, again, owner, start, n = runs_of(held)
         of_copy = copied[owner]
         use = ~of_copy | (start == 0)
-        gram, named, owner, start = gram[use], named[use], owner[use], start[use]
+        gram, named, again, owner, start = gram[use], named[use], again[use], owner[use], start[use]
         n = np.where(of_copy[use], 0, n[use])
         d = whose[owner]
-        settled = _settled_here(gram, named, d // ties)
+        settled = _settled_here(gram, named, again, d // ties)
         # Settled runs need no gram to meet at; a hash of their own spreads them, however frequent their gram is.
         gram = np.where(settled, _mix((d * 64 + 1).view(np.uint64) ^ _mix(start.view(np.uint64))).view(np.int64), gram)
         low, high = start & ((1 << LOW_BITS) - 1), start >> LOW_BITS
         a = gram >> (64 - GRAM_BITS) << LOW_BITS | low
         b = ((named >> (64 - RUN_BITS) << 1 | settled) << COUNT_BITS | n) << HIGH_BITS | high
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(d)], names=["a", "b", "d"])
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(again), pa.array(d)], names=["a", "b", "c", "d"])
 
     long = texts.where(F.col("d").isNotNull() & (F.octet_length("text") >= LENGTH))
-    return long.select("d", "text").mapInArrow(run, "a long, b long, d long")
+    return long.select("d", "text").mapInArrow(run, "a long, b long, c long, d long")
 
 
 def _shared_runs(runs: DataFrame, ties: int, parts: int) -> DataFrame:
@@ -259,18 +289,19 @@ def _shared_runs(runs: DataFrame, ties: int, parts: int) -> DataFrame:
     plain = dealt.select(
         F.shiftright("a", LOW_BITS).alias("gram"),
         F.shiftright("b", 64 - RUN_BITS).alias("run"),
+        "c",
         "d",
         (F.shiftleft(F.col("b").bitwiseAND(F.lit((1 << HIGH_BITS) - 1)), LOW_BITS) + F.col("a").bitwiseAND(F.lit((1 << LOW_BITS) - 1))).alias("start"),
         F.shiftright("b", HIGH_BITS).bitwiseAND(F.lit((1 << COUNT_BITS) - 1)).cast("int").alias("n"),
         _id_of(ties).alias("id"),
         (F.shiftright("b", HIGH_BITS + COUNT_BITS).bitwiseAND(F.lit(1)) == 1).alias("done"),
     )
-    by_gram, by_run = Window.partitionBy("gram"), Window.partitionBy("gram", "run")
+    by_gram, by_run = Window.partitionBy("gram"), Window.partitionBy("gram", "run", "c")
     known = plain.withColumns(
         {
             "first": F.min("id").over(by_gram),
             "last": F.max("id").over(by_gram),
-            "open": F.min("run").over(by_gram) != F.max("run").over(by_gram),
+            "open": (F.min("run").over(by_gram) != F.max("run").over(by_gram)) | (F.min("c").over(by_gram) != F.max("c").over(by_gram)),
         }
     ).where("first < last OR done")
     settled = F.col("done") | (F.col("id") > F.min("id").over(by_run))
@@ -379,7 +410,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row; ``kept`` too, the remaining bytes, if asked for."""
     scratch = Scratch(docs.sparkSession, "suffix-dedup")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts, ties = _numbered(docs, scratch, doc_id, text)
+    texts, ties, ranked = _numbered(docs, scratch, doc_id, text)
     shared = scratch.write(_shared_runs(_runs(texts, ties), ties, parts))
     packed = _packed(texts, ties, parts)
     spans = _spans_of(packed, shared, ties).groupBy("d").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
@@ -423,6 +454,10 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
         F.unhex(F.sha2("text", 256)).alias("sha"),
         F.encode("text", "UTF-8").alias("kept"),
     )
-    return done.unionByName(nameless).select(
+    found = done.unionByName(nameless).select(
         _id_of(ties).alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.lower(F.hex("sha")).alias("kept_sha256"), *(["kept"] if with_text else [])
     )
+    if ranked is None:
+        return found
+    columns = found.columns[1:]
+    return found.withColumnRenamed("doc_id", "rank").join(ranked, "rank", "left").select(F.col("id").alias("doc_id"), *columns)

@@ -87,3 +87,26 @@ def test_long_text_and_empty_table(spark):
     assert (got[1].n_removed, got[2].n_removed, got[3].n_removed, got[4].n_removed) == (0, len(long), 0, 51)
     assert bytes(got[2].kept) == b"start  end"
     assert sd.deduplicated(docs.limit(0)).count() == 0
+
+
+def test_large_repeated_and_text_ids(spark):
+    """Ids near the end of the longs, repeated ones among them, and ids that are texts, decimals or bytes of a number."""
+    rows = [(None if d is None else d, t) for d, t in corpus(5, 60)]
+    big = [(None if d is None else 2**63 - 1 - 1000 + d, t) for d, t in rows] + [(-(2**63), rows[4][1])] * 2
+    for data, kind in ((big, "long"), ([(None if d is None else f"id{d:05d}é", t) for d, t in rows], "string"), ([(d, t) for d, t in rows], "decimal(20,0)")):
+        cast = "cast(d AS decimal(20,0))" if kind.startswith("decimal") else "d"
+        docs = spark.createDataFrame(data, f"d {'long' if kind != 'string' else kind}, text string").selectExpr(f"{cast} AS doc_id", "text", "1 AS rank", "2 AS id", "'x' AS tree")
+        got = sd.deduplicated(docs.repartition(3)).collect()
+        want = plain(data)
+        assert sorted(((None if r.doc_id is None else r.doc_id if kind != "decimal(20,0)" else int(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=str) == want
+    assert sd.deduplicated(spark.createDataFrame([], "doc_id string, text string")).count() == 0
+
+
+def test_runs_are_equal_by_more_than_the_packed_hash(spark, monkeypatch):
+    """Where all packed run hashes clash, the second hash keeps different runs apart."""
+    plain_runs = sd.runs_of
+    monkeypatch.setattr(sd, "runs_of", lambda texts: (lambda g, n, *rest: (g, np.zeros_like(n), *rest))(*plain_runs(texts)))
+    rows = corpus(7, 80)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sd.deduplicated(docs.repartition(3)).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=str) == plain(rows)
