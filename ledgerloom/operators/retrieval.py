@@ -5,8 +5,13 @@ Hits: (question_id, collection, chunk_id, score, rn). A refused question is a ro
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ledgerloom.functions import text as X
 from ledgerloom.operators.vectors import top_k
@@ -132,22 +137,76 @@ def budget_prefix(hits: DataFrame, budget: int, keys: list[str]) -> DataFrame:
     return run.where(f"pos = 1 OR used <= {budget}").drop("used")
 
 
+class RoundRobin:
+    """Spends a budget hit by hit, in the order the hits come; a hit that does not fit is skipped, the first always fits.
+
+    With ``stop`` the first hit that does not fit ends it.
+    """
+
+    def __init__(self, budget: int):
+        self.budget, self.used, self.open, self.kept = budget, 0, True, []
+
+    def offer(self, cost: int, item: dict, stop: bool = False) -> None:
+        if self.open and (not self.kept or self.used + cost <= self.budget):
+            self.used += cost
+            self.kept.append(item)
+        elif stop:
+            self.open = False
+
+
+def _folded(hits: DataFrame, keys: list[str], order: list[str], start: Callable, schema: StructType) -> DataFrame:
+    """One row for each key: ``start()`` gives an object that takes the key's rows in order and at last gives the row.
+
+    Rows are sorted by Spark and streamed through; a key holds what its object holds, not its rows.
+    """
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, key, out = None, None, []
+        for batch in batches:
+            for row in batch.to_pylist():
+                here = tuple(row[k] for k in keys)
+                if held is None or here != key:
+                    if held is not None:
+                        out.append(dict(zip(keys, key, strict=True)) | held.result())
+                    held, key = start(), here
+                held.take(row)
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=arrow)
+                out = []
+        if held is not None:
+            yield pa.RecordBatch.from_pylist([dict(zip(keys, key, strict=True)) | held.result()], schema=arrow)
+
+    return hits.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
+class _Spent:
+    """How many hits a question was offered and which it keeps."""
+
+    def __init__(self, budget: int):
+        self.spending, self.offered = RoundRobin(budget), 0
+
+    def take(self, row: dict) -> None:
+        self.offered += 1
+        self.spending.offer(row["cost"], {c: row[c] for c in ("collection", "chunk_id", "score")})
+
+    def result(self) -> dict:
+        return {"offered": self.offered, "kept": self.spending.kept}
+
+
+KEPT = "array<struct<collection:string,chunk_id:bigint,score:double>>"
+
+
 def budget_round_robin(hits: DataFrame, budget: int, keys: list[str]) -> DataFrame:
     """All collections: spend the budget round by round, best hit of each first; a hit that does not fit is skipped.
 
-    The fold runs over one array per question of at most k hits per collection.
+    (keys, offered, kept). The hits of a question are streamed in order, however many collections it has.
     """
     best = Window.partitionBy(*keys, "collection").orderBy(F.desc("score"), "chunk_id")
-    ranked = hits.withColumn("depth", F.row_number().over(best)).withColumn("best", F.max("score").over(Window.partitionBy(*keys, "collection")))
-    item = "struct(depth, -best AS lead, collection, chunk_id, score, cost)"
-    grouped = ranked.groupBy(*keys).agg(F.expr(f"array_sort(collect_list({item})) AS items"))
-    state = "named_struct('used', cast(0 AS bigint), 'kept', cast(array() AS array<struct<collection:string,chunk_id:bigint,score:double>>))"
-    take = (
-        "named_struct('used', s.used + x.cost, 'kept',"
-        " array_append(s.kept, named_struct('collection', x.collection, 'chunk_id', x.chunk_id, 'score', x.score)))"
-    )
-    fold = f"aggregate(items, {state}, (s, x) -> if(size(s.kept) > 0 AND s.used + x.cost > {budget}, s, {take}), s -> s.kept)"
-    return grouped.select(*keys, F.size("items").alias("offered"), F.expr(f"{fold} AS kept"))
+    ranked = hits.withColumn("depth", F.row_number().over(best)).withColumn("lead", -F.max("score").over(Window.partitionBy(*keys, "collection")))
+    schema = StructType([*(hits.schema[k] for k in keys), StructField("offered", IntegerType()), StructField("kept", StructType.fromDDL(f"x {KEPT}")["x"].dataType)])
+    stream = ranked.select(*keys, "depth", "lead", "collection", "chunk_id", "score", "cost")
+    return _folded(stream, keys, ["depth", "lead", "collection", "chunk_id"], lambda: _Spent(budget), schema)
 
 
 def citations(kept: DataFrame, keys: list[str]) -> DataFrame:
@@ -249,6 +308,28 @@ def question_material(
 
 # ------------------------------------------------------------------ the whole preparation
 
+CITED = "array<struct<score:double,chunk_id:bigint,collection:string>>"
+
+
+class _Prepared:
+    """What the hits of a question say: the best score, closed and limited collections, and what its budget keeps."""
+
+    def __init__(self, budget: int):
+        self.spending, self.offered, self.best, self.off, self.limited = RoundRobin(budget), 0, None, False, set()
+
+    def take(self, row: dict) -> None:
+        self.offered += 1
+        self.best = row["best"]
+        self.off |= row["level"] == "off"
+        if row["level"] == "explain_only":
+            self.limited.add(row["collection"])
+        self.spending.offer(row["cost"], {c: row[c] for c in ("score", "chunk_id", "collection")}, stop=row["scope"] != "all")
+
+    def result(self) -> dict:
+        kept = sorted(self.spending.kept, key=lambda c: (-c["score"], c["chunk_id"], c["collection"]))
+        return {"best": self.best, "off": self.off, "limited": sorted(self.limited, key=lambda c: (c is None, c)), "offered": self.offered, "kept": kept}
+
+
 def prepare_batch(
     questions: DataFrame, vectors: DataFrame, costs: DataFrame, levels: DataFrame,
     k: int = 6, floor: float = 0.6, soft: float = 0.5, budget: int = 8000, material: DataFrame | None = None,
@@ -257,8 +338,8 @@ def prepare_batch(
 
     questions (question_id, scope, qvec) with scope 'all' or one collection; vectors (chunk_id, collection,
     embedding); costs (chunk_id, cost) in tokens; levels (collection, assist_level). One row per question with
-    status answerable, blocked, no_results or empty_index, its level, citations and notices. All facts of one
-    question come from a single array of at most k hits per collection. A question that finds nothing but has
+    status answerable, blocked, no_results or empty_index, its level, citations and notices. The hits of a question, at
+    most k per collection, are streamed in order; what is held of them is what it cites. A question that finds nothing but has
     ``material`` (question_id, material) is answered from that: its status is context_only.
     """
     if material is None:
@@ -275,38 +356,29 @@ def prepare_batch(
         )
     )
     found = top_k(routed.where("route = 'search'"), vectors, k, min(soft, floor))
-    lead = F.max("score").over(Window.partitionBy("question_id", "collection"))
+    lead = -F.max("score").over(Window.partitionBy("question_id", "collection"))
+    best = F.max("score").over(Window.partitionBy("question_id"))
     # Only ids, scores and costs here; texts are fetched later for the cited chunks alone.
-    hits = found.withColumn("lead", lead).join(costs, "chunk_id").join(levels, "collection", "left")
-    item = "struct(rn AS depth, -lead AS lead, collection, chunk_id, score, cost, coalesce(assist_level, 'full') AS level)"
-    grouped = hits.groupBy("question_id").agg(F.expr(f"array_sort(collect_list({item})) AS offered"), F.max("score").alias("best"))
-    clear = f"filter(offered, x -> x.score >= {floor}D OR best < {floor}D)"
-    names = lambda lv: f"array_sort(array_distinct(transform(filter(items, x -> x.level = '{lv}'), x -> x.collection)))"
+    hits = (
+        found.withColumn("lead", lead).join(costs, "chunk_id").join(levels, "collection", "left").withColumn("best", best)
+        .where(f"score >= {floor}D OR best < {floor}D").join(routed.select("question_id", "scope"), "question_id")
+        .selectExpr("question_id", "rn AS depth", "lead", "collection", "chunk_id", "score", "cost", "coalesce(assist_level, 'full') AS level", "best", "scope")
+    )
+    folded = StructType([hits.schema["question_id"], *StructType.fromDDL(f"best double, off boolean, limited array<string>, offered int, kept {CITED}")])
     facts = (
         routed.select("question_id", "scope", "route", "own_level")
-        .join(grouped, "question_id", "left")
+        .join(_folded(hits, ["question_id"], ["depth", "lead", "collection", "chunk_id"], lambda: _Prepared(budget), folded), "question_id", "left")
         .join(material.select("question_id", "material"), "question_id", "left")
-        .selectExpr("question_id", "scope", "route", "own_level", "material", f"coalesce({clear}, array()) AS items", f"best < {floor}D AS low")
-        .selectExpr("*", f"{names('off')} AS off", f"{names('explain_only')} AS limited")
+        .selectExpr(
+            "question_id", "scope", "route", "own_level", "material", "coalesce(offered, 0) AS offered", f"best < {floor}D AS low",
+            "coalesce(off, false) AS off", "coalesce(limited, array()) AS limited", f"coalesce(kept, cast(array() AS {CITED})) AS kept",
+        )
     )
     status = (
-        "CASE WHEN route = 'blocked' THEN route WHEN size(items) = 0 AND material IS NOT NULL THEN 'context_only'"
-        " WHEN route <> 'search' THEN route WHEN size(items) = 0 THEN 'no_results' WHEN size(off) > 0 THEN 'blocked'"
+        "CASE WHEN route = 'blocked' THEN route WHEN offered = 0 AND material IS NOT NULL THEN 'context_only'"
+        " WHEN route <> 'search' THEN route WHEN offered = 0 THEN 'no_results' WHEN off THEN 'blocked'"
         " ELSE 'answerable' END"
     )
-    state = (
-        "named_struct('used', cast({u} AS bigint), 'open', {o}, 'kept', {k})"
-    )
-    start = state.format(u=0, o="true", k="cast(array() AS array<struct<score:double,chunk_id:bigint,collection:string>>)")
-    take = state.format(
-        u="s.used + x.cost", o="true",
-        k="array_append(s.kept, named_struct('score', -x.score, 'chunk_id', x.chunk_id, 'collection', x.collection))",
-    )
-    skip = state.format(u="s.used", o="scope = 'all'", k="s.kept")
-    fold = (
-        f"aggregate(items, {start}, (s, x) -> CASE WHEN NOT s.open THEN s"
-        f" WHEN size(s.kept) > 0 AND s.used + x.cost > {budget} THEN {skip} ELSE {take} END, s -> array_sort(s.kept))"
-    )
     empty = levels.join(indexed, "collection", "left_anti").agg(F.expr("array_sort(collect_list(collection)) AS empty"))
     rows = facts.selectExpr("*", f"{status} AS status").selectExpr(
         "question_id",
@@ -314,13 +386,13 @@ def prepare_batch(
         "status",
         "CASE status WHEN 'answerable' THEN if(size(limited) > 0, 'explain_only', 'full') WHEN 'context_only' THEN own_level END AS level",
         "if(status = 'answerable', limited, cast(array() AS array<string>)) AS restricting",
-        f"if(status = 'answerable', {fold}, cast(array() AS array<struct<score:double,chunk_id:bigint,collection:string>>)) AS kept",
-        "size(items) AS offered",
+        f"if(status = 'answerable', kept, cast(array() AS {CITED})) AS kept",
+        "offered",
         "status = 'answerable' AND low AS low_confidence",
         "if(status IN ('answerable', 'context_only'), material, null) AS material",
     ).selectExpr(
         "question_id", "scope", "status", "level", "restricting", "material",
-        "transform(kept, (c, i) -> struct(i + 1 AS n, c.collection AS collection, c.chunk_id AS chunk_id, -c.score AS score)) AS cited",
+        "transform(kept, (c, i) -> struct(i + 1 AS n, c.collection AS collection, c.chunk_id AS chunk_id, c.score AS score)) AS cited",
         "if(status = 'answerable', offered - size(kept), 0) AS dropped",
         "low_confidence",
     )

@@ -156,3 +156,27 @@ def test_embedder_protocol(spark):
     rows = spark.createDataFrame([(["one two three.", "four five.", "six seven eight nine ten eleven twelve."],)], "s array<string>")
     chunks = rows.select(K.packer_for(Narrow)("s").alias("c")).first().c
     assert all(Narrow().count_tokens(c) <= 5 for c in chunks) and set(" ".join(chunks).split()) >= {"one", "twelve."}
+
+
+def test_round_robin_over_many_collections(spark):
+    """10,000 collections: the budget is spent best hit of each first, and no array holds a question's hits."""
+    import random
+
+    rng = random.Random(6)
+    rows = [(q, f"c{c}", q * 1_000_000 + c * 10 + i, round(rng.random(), 3), rng.randint(1, 60)) for q in range(2) for c in range(10_000) for i in range(rng.randint(1, 3))]
+    hits = spark.createDataFrame(rows, "question_id long, collection string, chunk_id long, score double, cost int").repartition(7)
+    found = R.budget_round_robin(hits, 5000, ["question_id"])
+    for r in found.collect():
+        mine = [x for x in rows if x[0] == r.question_id]
+        by = {}
+        for x in sorted(mine, key=lambda x: (-x[3], x[2])):
+            by.setdefault(x[1], []).append(x)
+        offers = sorted((depth, -group[0][3], c, x[2], x[3], x[4]) for c, group in by.items() for depth, x in enumerate(group))
+        kept, used = [], 0
+        for _, _, c, chunk, score, cost in offers:
+            if not kept or used + cost <= 5000:
+                kept.append((c, chunk, score))
+                used += cost
+        assert r.offered == len(mine) and [tuple(k) for k in r.kept] == kept
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "MapInArrow" in plan
