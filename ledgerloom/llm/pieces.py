@@ -219,8 +219,9 @@ class Encoder:
             out[i] = (self.merged(units[i], int(keys[i]), bool(limit)), ODD)
         for size in np.unique(sizes[plain]).tolist():
             at = np.flatnonzero(plain & (sizes == size))
-            ids, counts, places = self._matrix(symbols[first[at][:, None] + np.arange(size)], keys[at], limit)
-            flat = ids[np.arange(size) < counts[:, None]].tobytes()
+            ids, places = self._matrix(symbols[first[at][:, None] + np.arange(size)], keys[at], limit)
+            left = ids >= 0
+            counts, flat = left.sum(1), ids[left].tobytes()
             ends, stops = np.cumsum(4 * counts), np.cumsum(8 * (size - counts))
             if limit:
                 for i, a, b in zip(at.tolist(), (ends - 4 * counts).tolist(), ends.tolist(), strict=True):
@@ -230,63 +231,59 @@ class Encoder:
                 out[i] = (flat[a:b], places[c:d])
         return out
 
-    def _matrix(self, symbols: np.ndarray, keys: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, bytes]:
-        """Final symbols (rows filled up with -1) and their numbers for units of one length.
+    def _matrix(self, symbols: np.ndarray, keys: np.ndarray, limit: int) -> tuple[np.ndarray, bytes]:
+        """Final symbols of units of one length, -1 where a symbol has gone into the one before it.
 
-        Without a limit the hashed places of all merges come too, row after row.
+        Symbols stay where they began and know their neighbours, so a step touches a few cells of each row. Without a limit
+        the hashed places of all merges come too, row after row.
         """
         n, size = symbols.shape
-        done, counts = symbols.copy(), np.full(n, size)
+        symbols = symbols.copy()
         if size == 1:
-            return done, counts, b""
+            return symbols, b""
+        never = self.pairs.rank[-1]
+        pairs = np.full((n, size), -1, np.int32)
+        pairs[:, :-1] = self.pairs(symbols[:, :-1], symbols[:, 1:])
+        ranks = self.pairs.rank[pairs]
+        after = np.tile(np.arange(1, size + 1, dtype=np.int32), (n, 1))
+        before = np.tile(np.arange(-1, size - 1, dtype=np.int32), (n, 1))
+        rows = np.arange(n)
         whose, taken = [], []
-        rows, length = np.arange(n), np.full(n, size)
-        start = np.tile(np.arange(size + 1, dtype=np.int32), (n, 1))
-        pairs = self.pairs(symbols[:, :-1], symbols[:, 1:])
-        never, columns = self.pairs.rank[-1], np.arange(size)
         while len(rows):
-            ranks = self.pairs.rank[pairs]
-            best = ranks.argmin(1)
-            on = ranks[np.arange(len(rows)), best] < never
-            if not on.all():
-                done[rows[~on]], counts[rows[~on]] = symbols[~on], length[~on]
-                rows, length, symbols, start, pairs, best, keys = (x[on] for x in (rows, length, symbols, start, pairs, best, keys))
-            at = np.arange(len(rows))
-            left = start[at, best].astype(np.uint64)
-            place = left * np.uint64(SPREAD) + (start[at, best + 2].astype(np.uint64) - left)
+            now = ranks[rows]
+            left = now.argmin(1)
+            on = now[np.arange(len(rows)), left] < never
+            rows, left = rows[on], left[on]
+            if not len(rows):
+                break
+            at, right = rows, after[rows, left]
+            end = after[at, right]
+            place = left.astype(np.uint64) * np.uint64(SPREAD) + (end - left).astype(np.uint64)
             if limit:
-                missed = (keys ^ place) * np.uint64(MULTIPLIER) < np.uint64(min(limit, MASK))
-                pairs[at[missed], best[missed]] = -1
-                at = at[~missed]
+                missed = (keys[at] ^ place) * np.uint64(MULTIPLIER) < np.uint64(min(limit, MASK))
+                ranks[at[missed], left[missed]] = never
+                at, left, right, end = at[~missed], left[~missed], right[~missed], end[~missed]
             else:
-                whose.append(rows)
+                whose.append(at)
                 taken.append(place)
-            if not len(at):
-                continue
-            b = best[at]
-            own = np.arange(len(at))
-            joined = pairs[at, b]
-            shifted = np.minimum(columns + (columns > b[:, None]), size - 1)
-            now = np.take_along_axis(symbols[at], shifted, 1)
-            now[:, -1] = -1
-            now[own, b] = joined
-            symbols[at] = now
-            length[at] -= 1
-            wide = np.arange(size + 1)
-            start[at] = np.take_along_axis(start[at], np.minimum(wide + (wide > b[:, None]), size), 1)
-            short = np.arange(size - 1)
-            next_pairs = np.take_along_axis(pairs[at], np.minimum(short + (short >= b[:, None]), size - 2), 1)
-            next_pairs[:, -1] = -1
-            right = np.where(b + 1 < size, now[own, np.minimum(b + 1, size - 1)], -1)
-            fits = b < size - 1
-            next_pairs[own[fits], b[fits]] = self.pairs(joined[fits], right[fits])
-            inner = b > 0
-            next_pairs[own[inner], b[inner] - 1] = self.pairs(now[own[inner], b[inner] - 1], joined[inner])
-            pairs[at] = next_pairs
+            joined = pairs[at, left]
+            symbols[at, left], symbols[at, right] = joined, -1
+            ranks[at, right] = never
+            after[at, left] = end
+            inner, ahead = end < size, before[at, left]
+            before[at[inner], end[inner]] = left[inner]
+            first = ahead >= 0
+            # The pairs with the neighbours on either side, looked up together.
+            follower = np.where(inner, symbols[at, np.minimum(end, size - 1)], -1)
+            leader = symbols[at[first], ahead[first]]
+            made = self.pairs(np.concatenate([joined, leader]), np.concatenate([follower, joined[first]]))
+            new, old = made[: len(at)], made[len(at) :]
+            pairs[at, left], ranks[at, left] = new, self.pairs.rank[new]
+            pairs[at[first], ahead[first]], ranks[at[first], ahead[first]] = old, self.pairs.rank[old]
         if limit or not whose:
-            return done, counts, b""
+            return symbols, b""
         order = np.argsort(np.concatenate(whose), kind="stable")
-        return done, counts, np.concatenate(taken)[order].tobytes()
+        return symbols, np.concatenate(taken)[order].tobytes()
 
     def encode(self, text: str, salt: int = 0) -> np.ndarray:
         return self.encode_all([text], [salt])[0]
