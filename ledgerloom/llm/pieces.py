@@ -198,47 +198,60 @@ class Encoder:
                 out.extend([found] if found is not None else [self.v.byte_ids[b] for b in part.encode()])
         return array("i", out).tobytes()
 
-    def merged_many(self, units: list[str], keys: np.ndarray | None = None) -> list[tuple[bytes, bytes]]:
-        """The same for many units at once: the agendas of all units of one length are rows of a matrix.
-
-        Without keys nothing is skipped, and the places of the merges come out beside the ids.
-        """
-        limit = self.limit if keys is not None else 0
-        keys = np.zeros(len(units), np.uint64) if keys is None else keys
-        sizes = np.array([len(u) for u in units], np.int64)
-        chars = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
-        symbols = self.pairs.by_char[chars]
+    def _alike(self, units: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+        """Places of units of one length with the matrix of their symbols; None where only the heap can merge them."""
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        symbols = self.pairs.by_char[np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)]
         first = np.cumsum(sizes) - sizes
         # Units with characters that no piece knows, and long ones, take the heap.
-        plain = np.ones(len(units), bool)
-        plain[np.repeat(np.arange(len(units)), sizes)[symbols >= len(self.v.surface)]] = False
-        plain[np.repeat(np.arange(len(units)), sizes)[symbols < 0]] = False
-        plain &= sizes <= CACHED_LENGTH
+        plain = sizes <= CACHED_LENGTH
+        plain[np.repeat(np.arange(len(units)), sizes)[(symbols < 0) | (symbols >= len(self.v.surface))]] = False
+        if not plain.all():
+            yield np.flatnonzero(~plain), None
+        order = np.flatnonzero(plain)[np.argsort(sizes[plain], kind="stable")]
+        ends = np.flatnonzero(np.diff(sizes[order], append=-1)) + 1
+        for at in np.split(order, ends[:-1]) if len(order) else ():
+            yield at, symbols[first[at][:, None] + np.arange(sizes[at[0]])]
+
+    def merged_many(self, units: list[str]) -> list[tuple[bytes, bytes]]:
+        """Ids of many units without dropout, and the hashed places of their merges in order."""
         out: list[tuple[bytes, bytes]] = [(b"", b"")] * len(units)
-        for i in np.flatnonzero(~plain).tolist():
-            out[i] = (self.merged(units[i], int(keys[i]), bool(limit)), ODD)
-        for size in np.unique(sizes[plain]).tolist():
-            at = np.flatnonzero(plain & (sizes == size))
-            ids, places = self._matrix(symbols[first[at][:, None] + np.arange(size)], keys[at], limit)
+        for at, symbols in self._alike(units):
+            if symbols is None:
+                for i in at.tolist():
+                    out[i] = (self.merged(units[i], dropout=False), ODD)
+                continue
+            ids, places = self._matrix(symbols, None)
             left = ids >= 0
             counts, flat = left.sum(1), ids[left].tobytes()
-            ends, stops = np.cumsum(4 * counts), np.cumsum(8 * (size - counts))
-            if limit:
-                for i, a, b in zip(at.tolist(), (ends - 4 * counts).tolist(), ends.tolist(), strict=True):
-                    out[i] = (flat[a:b], b"")
-                continue
-            for i, a, b, c, d in zip(at.tolist(), (ends - 4 * counts).tolist(), ends.tolist(), (stops - 8 * (size - counts)).tolist(), stops.tolist(), strict=True):
+            ends, stops = np.cumsum(4 * counts).tolist(), np.cumsum(8 * (symbols.shape[1] - counts)).tolist()
+            for i, a, b, c, d in zip(at.tolist(), [0, *ends], ends, [0, *stops], stops, strict=False):
                 out[i] = (flat[a:b], places[c:d])
         return out
 
-    def _matrix(self, symbols: np.ndarray, keys: np.ndarray, limit: int) -> tuple[np.ndarray, bytes]:
+    def merged_by(self, units: list[str], keys: np.ndarray) -> list[bytes]:
+        """Ids of many units, each with its own key for dropout."""
+        out = [b""] * len(units)
+        for at, symbols in self._alike(units):
+            if symbols is None:
+                for i in at.tolist():
+                    out[i] = self.merged(units[i], int(keys[i]))
+                continue
+            ids, _ = self._matrix(symbols, keys[at])
+            left = ids >= 0
+            flat, ends = ids[left].tobytes(), np.cumsum(4 * left.sum(1)).tolist()
+            for i, a, b in zip(at.tolist(), [0, *ends], ends, strict=False):
+                out[i] = flat[a:b]
+        return out
+
+    def _matrix(self, symbols: np.ndarray, keys: np.ndarray | None) -> tuple[np.ndarray, bytes]:
         """Final symbols of units of one length, -1 where a symbol has gone into the one before it.
 
-        Symbols stay where they began and know their neighbours, so a step touches a few cells of each row. Without a limit
-        the hashed places of all merges come too, row after row.
+        The agendas of all units are rows of a matrix. Symbols stay where they began and know their neighbours, so a step
+        touches a few cells of each row. Without keys nothing is skipped, and the hashed places of all merges come too.
         """
         n, size = symbols.shape
-        symbols = symbols.copy()
+        limit = self.limit if keys is not None else 0
         if size == 1:
             return symbols, b""
         never = self.pairs.rank[-1]
@@ -345,10 +358,11 @@ class Encoder:
             sizes = np.fromiter(map(len, places), np.int64, len(places)) // 8
             hashed = np.frombuffer(b"".join(places), np.uint64)
             missed = (np.repeat(keys, sizes) ^ hashed) * np.uint64(MULTIPLIER) < np.uint64(min(self.limit, MASK))
-            owner = np.repeat(np.arange(len(names)), sizes)
             # Units that only the heap merges have no places; they are always merged anew.
-            again = np.unique(owner[missed | (hashed == NO_PLACE)]).tolist()
-            for i, (got, _) in zip(again, self.merged_many([found[i][2] for i in again], keys[again]), strict=True):
+            touched = np.zeros(len(names), bool)
+            touched[np.repeat(np.arange(len(names)), sizes)[missed | (hashed == NO_PLACE)]] = True
+            again = np.flatnonzero(touched)
+            for i, got in zip(again.tolist(), self.merged_by([found[i][2] for i in again.tolist()], keys[again]), strict=True):
                 ids[i] = got
         for name in fresh:
             if len(name) > CACHED_LENGTH:

@@ -81,7 +81,7 @@ def test_corpus_without_dropout(vocabulary):
 def test_many_units_are_merged_as_one_by_one(encoders, units, rate):
     encoder = encoders[rate]
     keys = pieces.unit_keys(np.full(len(units), 7), np.arange(len(units)))
-    assert [ids for ids, _ in encoder.merged_many(units, keys)] == [encoder.merged(u, int(k)) for u, k in zip(units, keys, strict=True)]
+    assert encoder.merged_by(units, keys) == [encoder.merged(u, int(k)) for u, k in zip(units, keys, strict=True)]
     assert [ids for ids, _ in encoder.merged_many(units)] == [encoder.merged(u, dropout=False) for u in units]
 
 
