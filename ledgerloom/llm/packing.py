@@ -229,11 +229,13 @@ class Vocabulary:
         made = json.loads(config)
         steps = [n["type"] for n in (made["normalizer"] or {}).get("normalizers", [])]
         cuts = [c["pattern"]["Regex"] for c in (made["pre_tokenizer"] or {}).get("pretokenizers", []) if c["type"] == "Split"]
-        suffix, ids = made["model"].get("end_of_word_suffix"), made["model"]["vocab"]
+        suffix = made["model"].get("end_of_word_suffix")
+        if steps != ["NFC", "Replace", "Lowercase"] or cuts != [cls.PATTERN] or not suffix:
+            return cls(config, False, np.zeros(0, bool))
+        ids = made["model"]["vocab"]
         ends = np.zeros(max(ids.values()) + 1, bool)
-        if suffix:
-            ends[[i for token, i in ids.items() if token.endswith(suffix)]] = True
-        return cls(config, steps == ["NFC", "Replace", "Lowercase"] and cuts == [cls.PATTERN] and bool(suffix), ends)
+        ends[[i for token, i in ids.items() if token.endswith(suffix)]] = True
+        return cls(config, True, ends)
 
 
 class WordEncoder:
