@@ -40,10 +40,30 @@ def default_topic(text: Column) -> Column:
     )
 
 
-def tempered(cells: DataFrame, margin: str, power: float) -> DataFrame:
-    """Target shares of one marginal: its present token shares to a power below 1, which evens out large and small."""
-    present = cells.groupBy(margin).agg(F.sum("tokens").alias("_t")).where("_t > 0")
-    return present.select(margin, F.pow(F.col("_t"), F.lit(power)).alias("target"))
+#: How much of what a value can give at most a default target asks for.
+REACH = 0.95
+
+
+def tempered(cells: DataFrame, margin: str, power: float, keep: float) -> DataFrame:
+    """Target shares of one marginal that a sample of ``keep`` of all tokens can meet.
+
+    Present token shares to a power below 1 even out large and small values. A value whose tokens are too few for that gets
+    ``REACH`` of the share it could give, and the others share the rest as before: values in falling order of what is asked
+    of them, the first scale that leaves its value and all behind it below their bound.
+    """
+    present = cells.groupBy(margin).agg(F.sum("tokens").cast("double").alias("_t")).where("_t > 0")
+    share = F.col("_t") / F.sum("_t").over(Window.partitionBy())
+    # A sample of all tokens can have the present shares only.
+    bound = F.greatest(share, share * F.lit(REACH) / max(keep, 1e-9))
+    values = present.select(margin, F.pow(share, F.lit(power)).alias("_free"), bound.alias("_cap"))
+    order = Window.orderBy(F.desc(F.col("_free") / F.col("_cap")), margin)
+    capped = F.coalesce(F.sum("_cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    free = F.sum("_free").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    scale = (1 - capped) / free
+    fits = F.when((scale >= 0) & (scale * F.col("_free") <= F.col("_cap") * (1 + 1e-12)), scale)
+    tried = values.withColumn("_fits", fits)
+    first = F.first("_fits", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return tried.withColumn("_scale", first).select(margin, F.least("_cap", F.coalesce(F.col("_scale") * F.col("_free"), F.col("_cap"))).alias("target"))
 
 
 def _one(cells: DataFrame, margin: str) -> Column:
@@ -182,7 +202,7 @@ def mix(
     """doc_id, source, lang, topic, n_tokens, weight, probability, sampled, and ``_row``, for every row of ``docs``.
 
     ``targets`` maps source, lang and topic to tables (value, target); by default each is the present marginal to the
-    ``power``. ``keep`` is the share of all tokens that the sample should hold.
+    ``power``, as far as the tokens there are can meet it. ``keep`` is the share of all tokens that the sample should hold.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
     body = whole_text(text)
@@ -199,7 +219,7 @@ def mix(
         )
     )
     cells = scratch.write(slim.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")))
-    goals = {m: (targets or {}).get(m, tempered(cells, m, power)) for m in MARGINS}
+    goals = {m: (targets or {}).get(m, tempered(cells, m, power, keep)) for m in MARGINS}
     fitted = calibrated(bounded(rake(cells, goals, scratch), list(goals), keep, scratch), keep)
     rates = scratch.write(fitted.select(*MARGINS, "weight", "probability"))
     return slim.join(rates, list(MARGINS)).select(

@@ -163,3 +163,14 @@ def test_expected_sample_meets_marginals(spark):
         assert abs(r.raked - share) < 1e-4 and abs(r.expected - share) < 1e-4 and abs(r.drawn - share) < 0.03
     assert abs(mixed.agg(F.sum(F.col("n_tokens") * F.col("probability"))).first()[0] - 60_000) < 0.1
     assert mixed.agg(F.max("probability")).first()[0] > 1 - 1e-9
+
+
+def test_default_targets_are_met(spark):
+    """At the defaults the expected sample has the raked shares of every value, small ones included."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rare = docs.limit(3).selectExpr("doc_id + 1000000 AS doc_id", "'# % & # % &' AS text", "'xx' AS lang", "'rare' AS source", "n_chars")
+    for keep in (0.5, 0.9, 1.0):
+        report = mixing.marginal_report(mixing.mix(docs.unionByName(rare), keep=keep)).collect()
+        assert max(abs(r.raked - r.expected) for r in report) < 1e-4
+        if keep < 1:
+            assert all(r.raked > r.present for r in report if r.value in ("rare", "xx"))
