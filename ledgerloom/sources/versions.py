@@ -1,19 +1,21 @@
 """A Parquet table that changes by whole partitions, one numbered commit after the other.
 
-A commit writes the new rows of the partitions it replaces below ``data/batch=N`` and then one small manifest that says for
-every partition which batch's rows hold. The manifest appears by a rename that never replaces a file, so a commit is there
-whole or not at all, readers keep the version they began with, and a batch that is tried again leaves one version. Partitions
-that a commit doesn't name keep their files. A manifest has one entry per partition; it is read by the driver.
+A commit writes the new rows of the partitions it replaces into a folder of its own and then one small manifest that says
+for every partition which folder's rows hold. The manifest appears by a rename that never replaces a file, so a commit is
+there whole or not at all, readers keep the version they began with, and a batch that is tried again, even while the first
+attempt still writes, leaves one version. Partitions that a commit doesn't name keep their files. A manifest has one entry
+per partition; it is read by the driver. Folders that no manifest names are left by attempts that broke off.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 class VersionedTable:
@@ -37,8 +39,8 @@ class VersionedTable:
         names = [s.getPath().getName() for s in fs.listStatus(where)]
         return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json"))
 
-    def owners(self, version: int | None = None) -> dict[tuple, int]:
-        """Which batch holds each partition, at a version or now."""
+    def owners(self, version: int | None = None) -> dict[tuple, str]:
+        """Which folder holds each partition, at a version or now; its name begins with the batch that wrote it."""
         found = self.versions()
         if version is None:
             version = found[-1] if found else None
@@ -47,14 +49,14 @@ class VersionedTable:
         if version is None:
             return {}
         text = self.spark.read.text(f"{self.path}/commits/{version:012d}.json", wholetext=True).first()[0]
-        return {tuple(values): batch for *values, batch in json.loads(text)}
+        return {tuple(values): folder for *values, folder in json.loads(text)}
 
-    def _publish(self, version: int, owners: dict[tuple, int]) -> None:
+    def _publish(self, version: int, owners: dict[tuple, str]) -> None:
         """Rename a finished manifest into place; another writer's manifest of this number stays and counts."""
         jvm, target, fs = self._files(f"{self.path}/commits/{version:012d}.json")
         draft = jvm.org.apache.hadoop.fs.Path(f"{self.path}/drafts/{jvm.java.util.UUID.randomUUID()}")
         out = fs.create(draft)
-        out.write(bytearray(json.dumps(sorted([*k, b] for k, b in owners.items())).encode()))
+        out.write(bytearray(json.dumps(sorted([*k, f] for k, f in owners.items())).encode()))
         out.close()
         fs.mkdirs(target.getParent())
         context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), self.spark._jsc.hadoopConfiguration())
@@ -63,9 +65,9 @@ class VersionedTable:
 
     # -------------------------------------------------------------- rows
 
-    def _stored(self, batches: Iterable[int]) -> DataFrame:
-        schema = StructType([*self.schema, StructField("batch", LongType())])
-        paths = [f"{self.path}/data/batch={b}" for b in sorted(set(batches))]
+    def _stored(self, folders: Iterable[str]) -> DataFrame:
+        schema = StructType([*self.schema, StructField("folder_name", StringType())])
+        paths = [f"{self.path}/data/folder_name={f}" for f in sorted(set(folders))]
         return self.spark.read.schema(schema).option("basePath", f"{self.path}/data").parquet(*paths)
 
     def read(self, version: int | None = None) -> DataFrame:
@@ -73,16 +75,16 @@ class VersionedTable:
         owners = self.owners(version)
         if not owners:
             return self.spark.createDataFrame([], self.schema)
-        by_batch: dict[int, list[tuple]] = {}
-        for values, batch in owners.items():
-            by_batch.setdefault(batch, []).append(values)
+        byfolder_name: dict[str, list[tuple]] = {}
+        for values, folder in owners.items():
+            byfolder_name.setdefault(folder, []).append(values)
         held = F.lit(False)
-        for batch, values in by_batch.items():
+        for folder, values in byfolder_name.items():
             here = F.struct(*self.partition).isin([F.struct(*map(F.lit, v)) for v in values])
             if len(self.partition) == 1:
                 here = F.col(self.partition[0]).isin([v for (v,) in values])
-            held = held | ((F.col("batch") == batch) & here)
-        return self._stored(by_batch).where(held).select(*self.schema.names)
+            held = held | ((F.col("folder_name") == folder) & here)
+        return self._stored(byfolder_name).where(held).select(*self.schema.names)
 
     def commit(self, batch: int, rows: DataFrame, replaced: Iterable[tuple]) -> bool:
         """Let ``rows`` be all rows of the ``replaced`` partitions; False if this batch, or a later one, is committed already.
@@ -93,13 +95,13 @@ class VersionedTable:
         if before and before[-1] >= batch:
             return False
         replaced = {tuple(r) for r in replaced}
-        owners = {k: b for k, b in self.owners().items() if k not in replaced}
+        owners = {k: f for k, f in self.owners().items() if k not in replaced}
         if replaced:
-            rows.select(*self.schema.names).write.mode("overwrite").partitionBy(*self.partition).parquet(f"{self.path}/data/batch={batch}")
-            written = {tuple(r) for r in self._stored([batch]).select(*self.partition).distinct().collect()}
+            folder = f"{batch:012d}-{uuid.uuid4().hex[:12]}"
+            rows.select(*self.schema.names).write.partitionBy(*self.partition).parquet(f"{self.path}/data/folder_name={folder}")
+            written = {tuple(r) for r in self._stored([folder]).select(*self.partition).distinct().collect()}
             if written - replaced:
                 raise ValueError(f"rows of partitions that are not replaced: {sorted(written - replaced)[:5]}")
-            owners |= dict.fromkeys(written, batch)
+            owners |= dict.fromkeys(written, folder)
         self._publish(batch, owners)
         return True
-

@@ -15,6 +15,11 @@ def rows(df):
     return sorted(tuple(r) for r in df.collect())
 
 
+def batches(table):
+    """Which batch wrote what holds."""
+    return {k: int(folder.split("-")[0]) for k, folder in table.owners().items()}
+
+
 @pytest.fixture()
 def table(spark):
     schema = spark.createDataFrame([], "id long, title string, source string").schema
@@ -58,8 +63,18 @@ def test_an_attempt_that_broke_off_is_not_seen(table, monkeypatch):
 def test_the_first_of_two_writers_wins(table):
     table.commit(0, frame(table, [(1, "a", "ics")]), [("ics",)])
     with pytest.raises(Exception, match="exist"):
-        table._publish(0, {("csv",): 0})
-    assert table.owners() == {("ics",): 0}
+        table._publish(0, {("csv",): "other"})
+    assert batches(table) == {("ics",): 0}
+
+
+def test_a_late_attempt_touches_nothing(table, monkeypatch):
+    """Two attempts of one batch overlap: the second to publish fails and the files of the first are as they were."""
+    late = VersionedTable(table.spark, table.path, table.schema, ["source"])
+    publish = late._publish
+    monkeypatch.setattr(late, "_publish", lambda *a: (table.commit(0, frame(table, [(1, "first", "ics")]), [("ics",)]), publish(*a)))
+    with pytest.raises(Exception, match="exist"):
+        late.commit(0, frame(table, [(2, "late", "ics")]), [("ics",)])
+    assert rows(table.read()) == [(1, "first", "ics")]
 
 
 def test_rows_of_other_partitions_are_refused(table):
@@ -80,7 +95,7 @@ def test_imports(table):
     load(1, [(1, 5, "e", "csv", None), (2, 2, "b2", "csv", None), (3, 6, "f", "csv", "bad"), (4, 7, "g", "ics", "bad")])
     # csv is upserted, ics keeps its files, recurring had no rows and no error.
     assert rows(table.read()) == [(1, "a2", "ics"), (2, "b2", "csv"), (5, "e", "csv")]
-    assert table.owners() == {("ics",): 0, ("csv",): 1}
+    assert batches(table) == {("ics",): 0, ("csv",): 1}
     load(2, [(1, 8, "h", "csv", None)])
     assert rows(table.read()) == [(8, "h", "csv")]
     assert not load(2, [(1, 9, "x", "csv", None)])
@@ -117,4 +132,4 @@ def test_a_move_is_judged_against_the_version_before(spark):
     body(frames[2], 2)
     assert table.versions() == before == [0, 1, 2, 3]
     essays = table.read().where("course = 'MKTG1'").select("bucket").first().bucket
-    assert table.owners()[("csv", essays)] == 0 or essays == table.read().where("course = 'FINC313'").first().bucket
+    assert batches(table)[("csv", essays)] == 0 or essays == table.read().where("course = 'FINC313'").first().bucket
