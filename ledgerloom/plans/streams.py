@@ -76,13 +76,14 @@ def long_events(t):
     )
 
 
-def in_two_runs(rows, batch, last, build, purpose):
-    """The output of a stream over files 0 to ``last``, one per batch, stopped half way and started again."""
+def in_runs(rows, batch, last, build, purpose, runs=2):
+    """The output of a stream over files 0 to ``last``, one per batch; with two runs it is stopped half way and started again."""
     spark = rows.sparkSession
     folder, out, checkpoint = (shared_dir(spark, f"{purpose}-{n}") for n in ("in", "out", "checkpoint"))
     parts = [rows.where(F.expr(batch) == k) for k in range(last + 1)]
     found = None
-    for some in (parts[: len(parts) // 2], parts[len(parts) // 2 :]):
+    step = -(-len(parts) // runs)
+    for some in (parts[at : at + step] for at in range(0, len(parts), step)):
         J.staged_files(some, folder)
         found = K.run_stateful(build(J.file_stream(spark, folder, "*.parquet", rows.schema, 1)), purpose, out, checkpoint)
     return found
@@ -96,9 +97,9 @@ p AS (SELECT user_id, event_type, min(day) AS day FROM d GROUP BY 1, 2
 SELECT user_id, event_type, day FROM p WHERE day IS NOT NULL""",
 )
 def stream_dedup(t):
-    """Four batches and a restart: keys fall silent for 120 days and are due again."""
+    """Four batches: keys fall silent for 120 days and are due again."""
     due = lambda rows: K.due_notifications(rows, ["user_id", "event_type"])
-    return in_two_runs(long_events(t), "quarter", 3, due, "dedup")
+    return in_runs(long_events(t), "quarter", 3, due, "dedup", runs=1)
 
 
 #: A seventh of the rows arrives a file late, every 49th two files late.
@@ -120,7 +121,7 @@ SELECT user_id, event_type, day FROM p""",
 def stream_notify_late(t):
     """Six batches with rows that come one or two files late: those behind the watermark by then change nothing."""
     due = lambda rows: K.due_notifications(rows, ["user_id", "event_type"], delay_days=60)
-    return in_two_runs(long_events(t), LATE, 5, due, "notify-late")
+    return in_runs(long_events(t), LATE, 5, due, "notify-late")
 
 
 @query("stream_completions", CMP + "SELECT up, key, date, title, done FROM state")
@@ -129,7 +130,7 @@ def stream_completions(t):
     slot = ["up", "key", "date"]
     log = completion_log(t).selectExpr("upper(course) AS up", "key", "date", "line_no", "title", "done")
     changes = lambda rows: K.slot_changes(rows, slot, ["title", "done"], day="date")
-    found = in_two_runs(log, "least(3, greatest(0, datediff(date, date'2024-01-01') div 8))", 3, changes, "completions")
+    found = in_runs(log, "least(3, greatest(0, datediff(date, date'2024-01-01') div 8))", 3, changes, "completions")
     return found.groupBy(*slot).agg(F.expr("max(struct(line_no, title, done)) AS s")).select(*slot, "s.title", "s.done")
 
 
@@ -146,7 +147,7 @@ def stream_slot_changes(t):
     rows = long_events(t)
     lines = lambda s: s.selectExpr("user_id % 12 AS course", "event_type AS kind", "event_id AS line_no", "cast(get_json_object(props, '$.k') AS int) % 3 <> 0 AS done", "day")
     changes = lambda s: K.slot_changes(lines(s), ["course", "kind"], ["done"], keep_days=2, delay_days=60)
-    return in_two_runs(rows, LATE, 5, changes, "slot-changes").select("course", "kind", "line_no", "done", "day")
+    return in_runs(rows, LATE, 5, changes, "slot-changes").select("course", "kind", "line_no", "done", "day")
 
 
 LAST = "(SELECT max(ts) - INTERVAL 1 DAY FROM events)"
