@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import chunking
+from ledgerloom.operators import chunking, reconcile
 from ledgerloom.plans.corpus import LIBRARY_CHUNKS
 from ledgerloom.plans.reconcile import APPLY, CMP, RECON, WORK, completion_log, parts
 from ledgerloom.plans.registry import query
@@ -288,7 +288,7 @@ def stream_reconciled_table(t):
 
 def _moving(t):
     spark = t.spark
-    stored = stored_work(t.orders).withColumn("bucket", F.expr("cast(pmod(hash(course), 8) AS int)"))
+    stored = reconcile.signed(stored_work(t.orders)).withColumn("bucket", F.expr("cast(pmod(hash(course), 8) AS int)"))
     table = VersionedTable(spark, shared_dir(spark, "calendar"), stored.schema, ["source", "bucket"])
     table.commit(0, stored, [tuple(r) for r in stored.select("source", "bucket").distinct().collect()])
     pulled = pulled_work(t.orders).withColumn("k", F.expr("pos div 2"))
@@ -297,10 +297,6 @@ def _moving(t):
     )
     rows = pulled.withColumn("file", F.expr(FILE)).unionByName(again)
     items = materialize(rows.drop("k"), "pulled")
-    folder = J.staged_files([items.where(f"file = {k}").drop("file") for k in range(4)], shared_dir(spark, "polls"))
-    out = shared_dir(spark, "verdicts")
-    J.run_batches(
-        J.file_stream(spark, folder, "*.parquet", items.drop("file").schema, 1),
-        J.reconcile_into(table, out, TODAY, "-1 - pos", buckets=8), "reconcile",
-    )
+    polls, out = [items.where(f"file = {k}").drop("file") for k in range(4)], shared_dir(spark, "verdicts")
+    J.run_parts(polls, J.reconcile_into(table, out, TODAY, "-1 - pos", buckets=8), "reconcile")
     return out, table

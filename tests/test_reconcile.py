@@ -109,3 +109,21 @@ def test_untick_stops_looser_matches(spark):
         "id long, course string, title string, date date",
     )
     assert {r.id: r.done for r in R.is_done(events, state).collect()} == {1: False, 2: True, 3: True, 4: False}
+
+
+def test_title_parts_are_carried_and_kept_up(spark):
+    """A calendar that carries what titles are compared by is judged the same, is not written again and signs only new rows."""
+    stored = spark.createDataFrame([(i, "FINC313", f"Quiz {i}", day("2026-09-08"), "12:00", "", False, "csv") for i in range(1, 5)], STORED)
+    rows = [("Quiz 1", "2026-09-08", "12:00"), ("Quiz 2", "2026-09-10", "12:00"), ("Ch Quiz 3", "2026-09-08", "10:00"), ("Essay 9", "2026-09-12", "09:00")]
+    pulled = spark.createDataFrame([(i, "FINC313", t, day(d), s, "", False, "lms", []) for i, (t, d, s) in enumerate(rows)], PULLED)
+    signed = R.signed(stored)
+    assert set(R.signed_once(signed, "id").columns) == {"id", *R.SIGNED}
+    plain, carried = (R.reconcile(pulled, t, "2026-08-01") for t in (stored, signed))
+    assert sorted(map(str, plain.collect())) == sorted(map(str, carried.collect()))
+    changes = carried.where("kind <> 'present'")
+    after, _ = R.apply_changes(signed, changes, "-1 - pos")
+    bare, _ = R.apply_changes(stored, changes, "-1 - pos")
+    assert sorted(map(str, after.select(*stored.columns).collect())) == sorted(map(str, bare.collect()))
+    assert after.columns == signed.columns
+    again = R.signed(after.select(*stored.columns)).select(*signed.columns)
+    assert sorted(map(str, after.collect())) == sorted(map(str, again.collect()))

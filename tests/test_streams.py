@@ -112,3 +112,11 @@ def test_an_interrupted_index_heals_on_the_next_run(spark, monkeypatch):
     assert sorted(r.text for r in J.current_index(spark, out, schema).collect()) == ["One more.", "Three.", "Two."]
     report = spark.read.schema(J.INDEX_REPORT).option("recursiveFileLookup", "true").parquet(f"{out}/report").orderBy("batch").collect()
     assert [tuple(r) for r in report] == [(0, 2, 2, 0, 2), (1, 3, 2, 1, 2)]
+
+
+def test_a_part_of_several_files_is_one_batch(spark):
+    parts = [spark.range(k * 100, k * 100 + 50).repartition(5) for k in range(3)]
+    folder, seen = shared_dir(spark, "parts"), []
+    J.run_parts(parts, lambda batch, batch_id: seen.append((batch_id, sorted(r.id for r in batch.collect()))), "parts", folder)
+    assert seen == [(k, list(range(k * 100, k * 100 + 50))) for k in range(3)]
+    assert len(spark.read.parquet(folder).inputFiles()) > len(parts)
