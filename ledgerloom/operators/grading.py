@@ -138,45 +138,41 @@ def strict_pairs(items: DataFrame, events: DataFrame) -> DataFrame:
     Numerals must agree both ways and one side's words must cover the other's by prefix. A cover needs every
     word of one side to meet a word of the other that shares its first two letters (or equals it), so candidates
     come from an equi-join on course, numerals and that short prefix of one word. Any word will do; the one whose
-    prefix is rarest on the other side is taken, and a name with a prefix the other side lacks is out at once.
-    Names and titles are made distinct first, so repeats of a series cost nothing.
+    prefix is rarest on the other side is taken, its lead, and a name with a prefix the other side lacks has none.
+    Names and titles are made distinct first, so repeats of a series cost nothing. Leads are chosen by windows behind one
+    shuffle by course and numerals, and only rows whose prefix is the lead of either side go into the join.
     """
 
-    def signed(df: DataFrame, col: str, words: str, nums: str) -> DataFrame:
+    def signed(df: DataFrame, col: str, side: int) -> DataFrame:
         return (
-            df.select("course", col)
+            df.select("course", F.col(col).alias("text"))
             .distinct()
-            .withColumn("folded", F.expr(fold_words_text(col)))
-            .selectExpr("course", col, f"{run_words_of('folded')} AS {words}", f"array_join({run_numbers_of('folded', 'course')}, '-') AS {nums}")
-            .where(f"size({words}) > 0")
+            .withColumn("folded", F.expr(fold_words_text("text")))
+            .selectExpr("course", f"array_join({run_numbers_of('folded', 'course')}, '-') AS nums", f"{side} AS side", "text", f"array_join({run_words_of('folded')}, ' ') AS words")
+            .where("words <> ''")
         )
 
-    left = signed(items, "name", "iw", "nums")
-    right = signed(events, "title", "ew", "nums")
-    toks = lambda df, words: df.withColumn("tok", F.expr(f"explode(array_distinct(transform({words}, w -> left(w, 2))))"))
-    all_i, all_e = materialize(toks(left, "iw"), "item-words"), materialize(toks(right, "ew"), "event-words")
-    lead_i = _rarest(all_i, all_e, "name", "iw")
-    lead_e = _rarest(all_e, all_i, "title", "ew")
-    meet = "x = y OR (length(x) >= 2 AND startswith(y, x)) OR (length(y) >= 2 AND startswith(x, y))"
-    item_covered = f"forall(iw, x -> exists(ew, y -> {meet}))"
-    event_covered = f"forall(ew, x -> exists(iw, y -> {meet}))"
-    cols = ["course", "name", "title"]
-    one = lead_i.join(all_e, ["course", "nums", "tok"]).where(item_covered).select(*cols)
-    two = lead_e.join(all_i, ["course", "nums", "tok"]).where(event_covered).select(*cols)
-    return one.unionByName(two).distinct()
-
-
-def _rarest(rows: DataFrame, others: DataFrame, col: str, words: str) -> DataFrame:
-    """One prefix per row: the rarest among the others; rows with a prefix the others lack drop out."""
     blocks = ["course", "nums", "tok"]
-    seen = others.groupBy(*blocks).agg(F.count("*").alias("n"))
-    return (
-        rows.join(seen, blocks, "left")
-        .groupBy("course", "nums", col)
-        .agg(F.expr("min(struct(coalesce(n, 0) AS n, tok)) AS lead"), F.first(words).alias(words))
-        .where("lead.n > 0")
-        .select("course", "nums", col, words, F.col("lead.tok").alias("tok"))
+    texts = signed(items, "name", 0).unionByName(signed(events, "title", 1)).repartition("course", "nums")
+    rows = _led(texts.withColumn("tok", F.expr("explode(array_distinct(transform(split(words, ' '), w -> left(w, 2))))")), blocks)
+    rows = materialize(rows, "title-words")
+    side = lambda k, *names: rows.where(f"side = {k}").select(*blocks, *(F.col(c).alias(n) for c, n in zip(("text", "words", "leads"), names)))
+    meet = "x = y OR (length(x) >= 2 AND startswith(y, x)) OR (length(y) >= 2 AND startswith(x, y))"
+    covered = "forall(split({a}, ' '), x -> exists(split({b}, ' '), y -> " + meet + "))"
+    either = f"item_leads AND {covered.format(a='iw', b='ew')} OR event_leads AND {covered.format(a='ew', b='iw')}"
+    pairs = side(0, "name", "iw", "item_leads").join(side(1, "title", "ew", "event_leads"), blocks).where(either)
+    return pairs.select("course", "name", "title").distinct()
+
+
+def _led(rows: DataFrame, blocks: list[str]) -> DataFrame:
+    """Rows (…, side, text, words, tok) that lead their text, or share a block with one that leads a text of the other side."""
+    among, text = Window.partitionBy(*blocks), Window.partitionBy("course", "nums", "side", "text")
+    counted = rows.withColumns({"items": F.count_if(F.expr("side = 0")).over(among), "events": F.count_if(F.expr("side = 1")).over(among)})
+    led = counted.withColumn("lead", F.min(F.expr("struct(if(side = 0, events, items) AS n, tok)")).over(text)).withColumn(
+        "leads", F.expr("lead.n > 0 AND lead.tok = tok")
     )
+    by_side = {f"led_{k}": F.expr(f"bool_or(side = {k} AND leads)").over(among) for k in (0, 1)}
+    return led.withColumns(by_side).where("leads OR if(side = 0, led_1, led_0)").select(*blocks, "side", "text", "words", "leads")
 
 
 def _priced_items(items: DataFrame) -> DataFrame:

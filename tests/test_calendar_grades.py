@@ -1,5 +1,6 @@
 """Calendar sources, workload rules, gradebook and venue functions on small fixtures."""
 
+import random
 from datetime import datetime as dt
 from decimal import Decimal
 
@@ -161,3 +162,23 @@ def test_match_course_makes_no_row_per_substring(spark):
     plan = U.match_course(spark.createDataFrame([(1, "a")], "id long, text string"), spark.createDataFrame([("a",)], "code string"))
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in text and "Exchange" not in text and "Generate" not in text
+
+
+def test_strict_pairs_are_all_pairs_by_few_shuffles(spark):
+    """Every pair that a comparison of all with all finds; behind the written leads, two sides of one join and a distinct."""
+    rng = random.Random(5)
+    pool = ["chapter", "ch", "quiz", "chart", "quick", "exam", "essay", "draft", "lab"]
+    make = lambda n: [(f"BK{rng.randrange(3)}", " ".join([*rng.sample(pool, rng.randint(1, 3)), *map(str, range(1, rng.randint(1, 3)))])) for _ in range(n)]
+    names, titles = make(60), make(80)
+    found = G.strict_pairs(spark.createDataFrame(names, "course string, name string"), spark.createDataFrame(titles, "course string, title string"))
+    meet = lambda x, y: x == y or len(x) >= 2 and y.startswith(x) or len(y) >= 2 and x.startswith(y)
+    covers = lambda a, b: all(any(meet(x, y) for y in b) for x in a)
+
+    def same(course, a, b):
+        nums = [{w for w in t.split() if w.isdigit() and w != course[2:]} for t in (a, b)]
+        a, b = ([w for w in t.split()] for t in (a, b))
+        return nums[0] == nums[1] and (covers(a, b) or covers(b, a))
+
+    want = {(c, n, t) for c, n in names for d, t in titles if c == d and same(c, n, t)}
+    assert {tuple(r) for r in found.collect()} == want and want
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
