@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import html as html_entities
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ledgerloom.functions import patterns as P
 from ledgerloom.functions.patterns import word_match
+from ledgerloom.functions.slices import mapped
 
 
 def token_estimate(text: str) -> str:
@@ -195,10 +196,8 @@ def without_tags(html: str) -> str:
     return f"regexp_replace({no_blocks}, '(?s)<[^>]+>', ' ')"
 
 
-@F.pandas_udf(StringType())
-def unescape_entities(texts: pd.Series) -> pd.Series:
-    """All named and numeric entities, by the standard library's table."""
-    return texts.map(html_entities.unescape, na_action="ignore")
+#: All named and numeric entities, by the standard library's table.
+unescape_entities = mapped(html_entities.unescape, StringType(), pa.string())
 
 
 def html_text(html: str) -> Column:

@@ -10,12 +10,13 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Callable
 from itertools import accumulate, pairwise
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from ledgerloom.functions import text as X
+from ledgerloom.functions.slices import mapped
 
 TARGET_TOKENS = 800
 OVERLAP_TOKENS = 100
@@ -80,11 +81,7 @@ def pack(sentences, target: int, overlap: int, count: Callable[[str], int]) -> l
 def packer(target: int = TARGET_TOKENS, overlap: int | None = None, count: Callable[[str], int] = estimate):
     """A column function array<sentence> -> array<chunk>. ``count`` may be a model's tokenizer."""
     carry = OVERLAP_TOKENS if overlap is None and target == TARGET_TOKENS else overlap or overlap_for(target)
-
-    def run(rows: pd.Series) -> pd.Series:
-        return rows.map(lambda s: pack(s, target, carry, count), na_action="ignore")
-
-    return F.pandas_udf(run, ArrayType(StringType()))
+    return mapped(lambda s: pack(s, target, carry, count), ArrayType(StringType()), pa.list_(pa.string()))
 
 
 def packer_for(factory: Callable[[], object], target: int = TARGET_TOKENS):
