@@ -1,9 +1,12 @@
 """Search, floors, gate, budgets and the vector table on small fixtures."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
+from ledgerloom.functions.slices import mapped, slices
 from ledgerloom.operators import corpus as C
 from ledgerloom.operators import retrieval as R
 from ledgerloom.operators import vectors as V
@@ -180,3 +183,28 @@ def test_round_robin_over_many_collections(spark):
         assert r.offered == len(mine) and [tuple(k) for k in r.kept] == kept
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "collect_list" not in plan and "MapInArrow" in plan
+
+
+def test_vectors_of_chunks_are_made_once_for_all_blocks(spark):
+    """More questions than one broadcast holds pass over the chunks block by block, but a chunk is embedded once."""
+    made = spark.sparkContext.accumulator(0)
+
+    def embed(batches):
+        for rows in batches:
+            made.add(rows.num_rows)
+            yield rows
+
+    schema = "chunk_id long, collection string, embedding array<double>"
+    plain = spark.createDataFrame([(i, f"L{i % 3}", [float(i % 7), 1.0, float(i % 5)]) for i in range(90)], schema)
+    questions = spark.createDataFrame([(q, [1.0, float(q), 0.5]) for q in range(40)], "question_id long, qvec array<double>")
+    rows = sorted(V.top_k(questions, plain.mapInArrow(embed, schema), 2, broadcast_bytes=256).collect())
+    assert made.value == 90
+    assert rows == sorted(V.top_k(questions, plain, 2).collect()) and len(rows) == 40 * 3 * 2
+
+
+def test_rows_become_objects_a_slice_at_a_time(spark):
+    """A worker turns one slice of a batch into vectors at a time, whatever the size of the batch."""
+    assert [len(s) for s in slices(pa.array(range(300)), 128)] == [128, 128, 44]
+    upper = mapped(str.upper, StringType(), pa.string(), 3)
+    rows = spark.range(0, 10, 1, 1).selectExpr("id", "if(id = 4, null, concat('a', id)) AS t").select("id", upper("t").alias("u")).collect()
+    assert [r.u for r in rows] == [None if i == 4 else f"A{i}" for i in range(10)]
