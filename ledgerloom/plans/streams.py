@@ -183,9 +183,8 @@ def _indexed(t):
     docs = corpus_files(t.documents)
     old = docs.where("doc_id % 9 = 0").selectExpr("* EXCEPT (text, size, mtime)", "mtime - INTERVAL '1' DAY AS mtime", "size + 7 AS size", "concat(text, ' Old.\\n# Gone') AS text").select(*docs.columns)
     parts = [docs.where("doc_id % 3 = 0 AND doc_id % 9 <> 0").unionByName(old), docs.where("doc_id % 3 = 1 OR doc_id % 6 = 0 AND doc_id % 9 <> 0"), docs.where("doc_id % 3 = 2 OR doc_id % 9 = 0")]
-    stream = J.file_stream(spark, J.staged_files(parts, shared_dir(spark, "arrivals")), "*.parquet", docs.schema, 1)
     out = shared_dir(spark, "index")
-    J.run_batches(stream, J.index_into(out, chunking.chunk_files, docs.schema), "index")
+    J.run_parts(parts, J.index_into(out, chunking.chunk_files, docs.schema), "arrivals")
     return out, docs.schema
 
 
