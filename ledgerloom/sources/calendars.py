@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.session import spread
+
 CSV_COLUMNS = ["course", "title", "date", "start_time", "end_time", "all_day", "kind"]
 CSV_KINDS = ("exam", "project", "quiz", "admin")
 EVENT_KINDS = ("exam", "project", "quiz", "recurring", "admin")
@@ -329,19 +331,22 @@ def expand_rules(events: DataFrame, window_start: str, window_end: str, cap: int
     periods, from the window on where it has no COUNT, so a rule that began long ago costs no more than a new one.
     """
     end = f"timestamp_ntz'{window_end} 23:59:59'"
-    rows = events.selectExpr(
+    rows = spread(events).selectExpr(
         "*", f"transform(filter(split(rrule, '\\n'), r -> r <> ''), r -> {_rule(zone)}) AS rules", "cast(starts_at AS date) AS d0",
         "starts_at - cast(cast(starts_at AS date) AS timestamp_ntz) AS tod", "ends_at - starts_at AS span",
         "rrule IS NOT NULL OR size(coalesce(rdates, array())) > 0 AS recurs", f"cast({end} AS date) AS last", f"date'{window_start}' AS first",
     ).withColumn("error", F.expr("coalesce(error, if(exists(rules, p -> p.bad), concat('unsupported rule ', rrule), null))"))
     # The days of each period that counts, then the places in it, then the times.
-    days = f"transform({_periods()}, k -> array_sort(array_distinct(filter({_CANDIDATES}, d -> {_FITS}))))"
+    # Sorted natively, and only where a period has several days; a comparator would be interpreted for each pair.
+    found = f"filter({_CANDIDATES}, d -> {_FITS})"
+    picked = f"transform(array({found}), c -> if(size(c) > 1, sort_array(array_distinct(c)), c))[0]"
+    days = f"transform({_periods()}, k -> {picked})"
     placed = "if(size(p.places) = 0, c, filter(c, (d, i) -> exists(p.places, n -> n = i + 1 OR n = i - size(c))))"
     stamps = f"filter(transform(filter(flatten(transform(cs, c -> {placed})), d -> d >= d0), d -> cast(d AS timestamp_ntz) + tod), t -> (p.until IS NULL OR t <= p.until) AND t <= {end})"
     staged = rows.withColumn("days", F.expr(f"if(error IS NULL, transform(rules, p -> {days}), null)"))
     staged = staged.withColumn("sets", F.expr(f"zip_with(rules, days, (p, cs) -> {stamps})"))
     counted = "flatten(zip_with(rules, sets, (p, s) -> if(p.n_max IS NULL, s, slice(s, 1, p.n_max))))"
-    merged = f"array_except(array_sort(array_distinct(concat(coalesce({counted}, array()), coalesce(rdates, array())))), coalesce(exdates, array()))"
+    merged = f"array_except(sort_array(array_distinct(concat(coalesce({counted}, array()), coalesce(rdates, array())))), coalesce(exdates, array()))"
     inside = f"t >= timestamp_ntz'{window_start} 00:00:00' AND t <= {end}"
     starts = f"CASE WHEN error IS NOT NULL THEN cast(array() AS array<timestamp_ntz>) WHEN recurs THEN slice(filter({merged}, t -> {inside}), 1, {cap}) ELSE array(starts_at) END"
     staged = staged.withColumn("starts", F.expr(starts))

@@ -106,3 +106,16 @@ def test_a_rule_from_long_ago_steps_through_few_periods(spark):
     rows = [(i, datetime(1970, 1, 5, 9), None, r, [], [], None) for i, r in enumerate(("FREQ=DAILY", "FREQ=WEEKLY;BYDAY=MO", "FREQ=DAILY;COUNT=5"))]
     frame = spark.createDataFrame(rows, SCHEMA).selectExpr("*", f"transform(array(rrule), r -> {C._rule('UTC')})[0] AS p", "date'1970-01-05' AS d0", f"date'{FIRST}' AS first", f"date'{LAST}' AS last")
     assert [r[0] for r in frame.orderBy("id").selectExpr(f"size({C._periods()})").collect()] == [(LAST - FIRST).days + 1, 17, 7]
+
+
+def test_rules_of_one_file_are_expanded_by_many_tasks(spark, tmp_path):
+    """A table in one row group is read by one task; the rules are stepped through by all of them."""
+    rows = spark.range(0, 400, 1, 1).selectExpr(
+        "id", "timestamp_ntz'2024-01-01 10:00:00' AS starts_at", "timestamp_ntz'2024-01-01 11:00:00' AS ends_at", "'FREQ=WEEKLY;BYDAY=FR,MO' AS rrule",
+        "cast(array() AS array<timestamp_ntz>) AS rdates", "cast(array() AS array<timestamp_ntz>) AS exdates", "cast(null AS string) AS error",
+    )
+    rows.write.parquet(str(tmp_path / "rules"))
+    found = C.expand_rules(spark.read.parquet(str(tmp_path / "rules")), "2024-01-01", "2024-01-14")
+    assert found.rdd.getNumPartitions() > 1
+    days = [(r.starts_at.day, r.n) for r in found.groupBy("starts_at").count().withColumnRenamed("count", "n").orderBy("starts_at").collect()]
+    assert days == [(d, 400) for d in (1, 5, 8, 12)]
