@@ -98,7 +98,7 @@ SELECT user_id, event_type, day FROM p WHERE day IS NOT NULL""",
 )
 def stream_dedup(t):
     """Four batches: keys fall silent for 120 days and are due again."""
-    due = lambda rows: K.due_notifications(rows, ["user_id", "event_type"])
+    due = lambda rows: K.due_notifications(rows, ["user_id", "event_type"], buckets=K.BUCKETS)
     return in_runs(long_events(t), "quarter", 3, due, "dedup", runs=1)
 
 

@@ -39,7 +39,7 @@ def file_stream(spark: SparkSession, folder: str, name: str, schema: StructType,
 def staged_files(parts: list[DataFrame], folder: str) -> str:
     """Write each part as one file of a folder, in order, for a stream that reads a file at a time."""
     for part in parts:
-        part.coalesce(1).write.mode("append").parquet(folder)
+        part.repartition(1).write.mode("append").parquet(folder)  # the scan before it stays with all tasks
     return folder
 
 

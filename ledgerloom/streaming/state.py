@@ -20,6 +20,8 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from ledgerloom.streaming.jobs import run_available
 
 DAY_MS = 86_400_000
+#: Buckets that share out the keys of notifications where a batch holds many.
+BUCKETS = 4096
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -108,6 +110,63 @@ class SilentAfter(_Forgetful):
         return iter([Row(*self.names, "day_no")(*key, day) for day in due])
 
 
+class SilentBuckets(StatefulProcessor):
+    """The same for all keys of a bucket, whose last days are one list: a batch costs a round trip or two per bucket, not per key. A bucket
+    has one timer, at the first end of a silence in it.
+    """
+
+    def __init__(self, keys: StructType, keep_days: int):
+        self.keys, self.names, self.keep_days = keys, keys.names, keep_days
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getListState("last_days", StructType([*self.keys, StructField("day", IntegerType())]))
+
+    def _kept(self, watermark: int) -> dict[tuple, int]:
+        """The last day of each key of the bucket that is silent still."""
+        return {tuple(row[:-1]): row[-1] for row in self.state.get() if self._ends(row[-1]) > watermark}
+
+    def _ends(self, day: int) -> int:
+        return (day + self.keep_days + 1) * DAY_MS
+
+    def _remember(self, last: dict[tuple, int]) -> None:
+        if not last:
+            self.state.clear()
+            return
+        self.state.put([(*key, day) for key, day in last.items()])
+        ends = self._ends(min(last.values()))
+        timers = list(self.handle.listTimers())
+        for old in timers:
+            if old != ends:
+                self.handle.deleteTimer(old)
+        if ends not in timers:
+            self.handle.registerTimer(ends)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        watermark = timerValues.getCurrentWatermarkInMs()
+        days: dict[tuple, set[int]] = {}
+        for r in rows:
+            if r.day_no * DAY_MS > watermark:
+                days.setdefault(tuple(r[k] for k in self.names), set()).add(r.day_no)
+        last, due = self._kept(watermark), []
+        for who, found in days.items():
+            for day in sorted(found):
+                if who not in last or day - last[who] > self.keep_days:
+                    due.append((*who, day))
+                    last[who] = day
+        if due:
+            self._remember(last)
+        made = Row(*self.names, "day_no")
+        return iter([made(*row) for row in due])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self._remember(self._kept(timerValues.getCurrentWatermarkInMs()))
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
 class SlotChanges(_Forgetful):
     """Lines that say something new about a slot: other values than the newest line before, or the first after a silence."""
 
@@ -133,21 +192,30 @@ class SlotChanges(_Forgetful):
         return iter([made(*key, *line) for line in out])
 
 
-def _stateful(rows: DataFrame, keys: list[str], processor: StatefulProcessor, out: list[StructField], delay_days: int) -> DataFrame:
+def _stateful(
+    rows: DataFrame, keys: list[str], processor: StatefulProcessor, out: list[StructField], delay_days: int, groups: list[str] | None = None
+) -> DataFrame:
     clocked = rows.where("day_no IS NOT NULL").withColumn("_at", _instant("date_from_unix_date(day_no)")).withWatermark("_at", f"{delay_days} days")
     schema = StructType([*(rows.schema[k] for k in keys), *out, StructField("day_no", IntegerType())])
-    found = clocked.groupBy(*keys).transformWithState(processor, schema, "Append", "EventTime")
+    found = clocked.groupBy(*(groups or keys)).transformWithState(processor, schema, "Append", "EventTime")
     return found.withColumn("day", F.expr("date_from_unix_date(day_no)")).drop("day_no")
 
 
-def due_notifications(events: DataFrame, keys: list[str], day: str = "day", keep_days: int = 120, delay_days: int = 1) -> DataFrame:
+def due_notifications(
+    events: DataFrame, keys: list[str], day: str = "day", keep_days: int = 120, delay_days: int = 1, buckets: int | None = None
+) -> DataFrame:
     """(keys, day) of the notifications that are due: a key is silent for ``keep_days`` days from its last one.
 
-    ``events`` is a stream with a date column. Days of a key are judged in order within a batch, batch after batch.
+    ``events`` is a stream with a date column. Days of a key are judged in order within a batch, batch after batch. State is
+    kept by key; with ``buckets`` the keys of a bucket are worked together, which is faster where a batch holds many keys. Their
+    number holds for the life of a checkpoint.
     """
     days = _one_per_value(events.select(*keys, F.unix_date(day).alias("day_no")))
     schema = StructType([days.schema[k] for k in keys])
-    return _stateful(days, keys, SilentAfter(schema, keep_days), [], delay_days)
+    if not buckets:
+        return _stateful(days, keys, SilentAfter(schema, keep_days), [], delay_days)
+    days = days.withColumn("bucket_no", F.expr(f"cast(pmod(xxhash64({', '.join(f'`{k}`' for k in keys)}), {buckets}) AS int)"))
+    return _stateful(days, keys, SilentBuckets(schema, keep_days), [], delay_days, ["bucket_no"])
 
 
 def slot_changes(

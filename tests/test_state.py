@@ -86,3 +86,20 @@ def test_provider_comes_back(spark):
     with K.rocksdb(spark):
         assert spark.conf.get(K.PROVIDER) == K.ROCKSDB
     assert spark.conf.get(K.PROVIDER, None) == before
+
+
+def test_keys_in_buckets_are_due_as_single_ones_are(spark):
+    """Buckets of several keys give the same days, over late rows and restarts, and forget the keys whose silence is over."""
+    batches = [[(k, d) for k, _, _, d in b] for b in random_batches(random.Random(3), 60, "abcdefgh")]
+    frames = [spark.createDataFrame(b, "k string, day date") for b in batches]
+    want = streamed(spark, frames, lambda s: K.due_notifications(s, ["k"], keep_days=30, delay_days=50), 1).collect()
+    for runs in (1, 3):
+        found = streamed(spark, frames, lambda s: K.due_notifications(s, ["k"], keep_days=30, delay_days=50, buckets=3), runs).collect()
+        assert sorted(found) == sorted(want) and want
+    frames = [spark.createDataFrame(r, "k string, day date") for r in ([("old", FIRST)], [("new", FIRST + timedelta(days=200))], [("new", FIRST + timedelta(days=201))])]
+    folder, out, checkpoint = (shared_dir(spark, n) for n in ("in", "out", "check"))
+    J.staged_files(frames, folder)
+    K.run_stateful(K.due_notifications(J.file_stream(spark, folder, "*.parquet", frames[0].schema, 1), ["k"], buckets=1), "state-test", out, checkpoint)
+    reader = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "last_days")
+    with K.rocksdb(spark):
+        assert [r.list_element.k for r in reader.load().collect()] == ["new"]
