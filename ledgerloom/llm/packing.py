@@ -8,8 +8,10 @@ round, until one group is left. That group fills its windows to the last token b
 then is cut into sequences whose lengths are powers of two, which need no padding.
 
 A task holds ``OPEN`` windows while it reads and ``FAN`` x ``OPEN`` windows while it merges, however many documents there are.
-With the default tokenizer a text is worked in stretches of ``STRETCH`` bytes and word by word: it drops white space and joins
-nothing over it, so the ids are those of the whole text. Other tokenizers get whole texts.
+With the default tokenizer texts are worked word by word: it drops white space and joins nothing over it, so the ids are
+those of the whole text. ``STRETCH`` bytes of text are worked together, short texts by the run and long ones by the stretch;
+Arrow cuts them into words and finds the different ones, and only those are looked up and encoded. Other tokenizers get
+whole texts.
 
 A null text counts as empty; an empty text is its end id alone. Repeated rows and equal or null ids are documents of their
 own. An empty table gives an empty result. Columns other than the two named are ignored. Sequence numbers follow the
@@ -20,26 +22,27 @@ from __future__ import annotations
 
 import json
 import os
-import re
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, IntegerType, LongType, StructField, StructType
 
-from ledgerloom.llm.shared import Scratch, slices
+from ledgerloom.llm.shared import Scratch
 
 WINDOW = 4096
 OPEN = 64
 FAN = 16
 END_ID = 2
-STRETCH = 500_000
-#: Words whose ids a task remembers in each of two generations.
-CACHE = 250_000
+#: Bytes of text that are worked together.
+STRETCH = 4_000_000
+#: Parts of words whose ids a task remembers, and the bytes they have at most.
+CACHE, CACHE_BYTES = 500_000, 16_000_000
 #: Bytes of ids that leave a task as one batch.
 BATCH_BYTES = 4_000_000
 #: A sequence number is the round, the partition or group in it, and the place among what that one emitted.
@@ -194,21 +197,55 @@ def stretches(text: bytes, longest: int = STRETCH) -> Iterator[bytes]:
     yield text[at:]
 
 
+def runs(batch: pa.RecordBatch, longest: int) -> Iterator[pa.RecordBatch]:
+    """The rows in order, texts of ``longest`` bytes at a time; a longer text goes by itself."""
+    start = held = 0
+    for i, size in enumerate(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()):
+        if held + size > longest and i > start:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += size
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
+def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of ``flat`` that begin at ``starts``, one after the other, and where each ends."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(total, len(flat)) < 2**31 else np.int64
+    place = np.repeat((starts - ends + sizes).astype(kind), sizes)
+    place += np.arange(total, dtype=kind)
+    return flat[place], ends
+
+
 class Remembered:
-    """A bounded dictionary of two generations: when the young one is full it becomes the old one, and what is asked for
-    again moves over."""
+    """The ids of words, as arrays: ``young`` has the words, each with a place and a number of ids in ``ids``.
 
-    def __init__(self, limit: int):
-        self.limit, self.young, self.old = limit, {}, {}
+    When there would be more than ``limit`` of them, or more bytes of them than ``most``, those stay that were just asked for.
+    """
 
-    def missing(self, keys: set) -> set:
-        """Those of ``keys`` that are not known. All others are in ``young`` afterwards."""
-        new = keys.difference(self.young)
-        if len(self.young) + len(new) > self.limit:
-            self.old, self.young, new = self.young, {}, keys
-        known = {k for k in new if k in self.old}
-        self.young.update((k, self.old[k]) for k in known)
-        return new - known
+    def __init__(self, limit: int, most: int = CACHE_BYTES):
+        self.limit, self.most, self.young, self.ids = limit, most, pa.array([], pa.binary()), np.zeros(0, "<u4")
+        self.starts = self.sizes = np.zeros(0, np.int64)
+
+    def __call__(self, words: pa.Array, learn) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size in ``ids`` of different words. ``learn`` gives ids, starts and sizes of those at the places it is told."""
+        at = pc.fill_null(pc.index_in(words, value_set=self.young), -1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            if len(self.young) + len(new) > self.limit or self.young.nbytes + words.nbytes > self.most:
+                old = np.flatnonzero(at >= 0)
+                self.young, self.sizes = self.young.take(pa.array(at[old])), self.sizes[at[old]]
+                self.ids, ends = gathered(self.ids, self.starts[at[old]], self.sizes)
+                self.starts = ends - self.sizes
+                at[old] = np.arange(len(old))
+            at[new] = len(self.young) + np.arange(len(new))
+            ids, starts, sizes = learn(new)
+            self.young = pa.concat_arrays([self.young, words.take(pa.array(new))])
+            self.starts, self.sizes = np.concatenate([self.starts, len(self.ids) + starts]), np.concatenate([self.sizes, sizes])
+            self.ids = np.concatenate([self.ids, ids])
+        return self.starts[at], self.sizes[at]
 
 
 @dataclass
@@ -238,19 +275,72 @@ class Vocabulary:
         return cls(config, True, ends)
 
 
+#: Bytes of plain words: 0 of letters (those of two bytes are the small letters of Latin-1), 1 digits, 2 signs.
+KIND = np.full(256, 2, np.uint8)
+KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = 0
+KIND[0x30:0x3A] = 1
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[0x41:0x5B] += 0x20
+#: Controls and the space; what may follow the byte C3 (the signs for times and by are no letters).
+CONTROL = np.isin(np.arange(256), [*range(0x21), 0x7F])
+AFTER_C3 = np.isin(np.arange(256), [x for x in range(0x80, 0xC0) if x not in (0x97, 0xB7)])
+
+
+def cut_words(words: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Words that stand between white space, lowered and cut where the tokenizer's own pattern cuts them.
+
+    Gives the parts, which of them are odd, and the number of parts before each word and at the end. Only plain words are cut
+    and lowered: of letters of Latin-1, digits and signs. Other characters may be composed, lowered or classed in ways of their
+    own, and ``<|`` may begin a special token; such a word is one odd part.
+    """
+    bounds = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    n = int(bounds[-1] - bounds[0])
+    data = np.zeros(n + 2, np.uint8)  # two bytes more, so that every byte has two others behind it
+    if n:
+        data[:n] = np.frombuffer(words.buffers()[2], np.uint8)[bounds[0] : bounds[-1]]
+    bounds -= bounds[0]
+    first = np.zeros(n + 2, bool)
+    first[bounds] = first[n:] = True
+    kind, joined = KIND[data], ~first[1:]
+    cut = first.copy()
+    cut[1:] |= (kind[1:] != kind[:-1]) | (kind[1:] == 1)
+    low, bad = LOWER[data], CONTROL[data]
+    bad[:-1] |= (data[:-1] == ord("<")) & (data[1:] == ord("|")) & joined
+    if (data >= 0x80).any():
+        pair = (data[:-1] == 0xC3) & AFTER_C3[data[1:]] & joined
+        low[1:][pair & (data[1:] < 0x9F)] += 0x20
+        bad |= data >= 0x80
+        bad[:-1][pair] = bad[1:][pair] = False
+    odd = np.zeros(len(words), bool)
+    odd[np.searchsorted(bounds, np.flatnonzero(bad[:n]), "right") - 1] = True
+    whole = np.repeat(odd, np.diff(bounds))
+    cut[:n][whole] = first[:n][whole]
+    low[:n][whole] = data[:n][whole]
+    # 's 't 'm 'd 're 've 'll where a part begins
+    quotes = np.flatnonzero(cut[:n] & (data[:n] == ord("'")) & ~whole)
+    one, two = low[quotes + 1], low[quotes + 2]
+    short = np.isin(one, list(b"stmd"))
+    long = ((two == ord("e")) & np.isin(one, list(b"rv"))) | ((two == ord("l")) & (one == ord("l")))
+    size = np.where(first[quotes + 1], 0, np.where(short, 1, np.where(long & ~first[quotes + 2], 2, 0)))
+    quotes, size = quotes[size > 0], size[size > 0]
+    cut[quotes + 1] = False
+    cut[quotes + 1 + size] = True
+    starts = np.flatnonzero(cut[:n])
+    before = np.searchsorted(starts, bounds)
+    offsets = np.append(starts, n).astype(np.int32)
+    parts = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(low)])
+    return parts, np.repeat(odd, np.diff(before)), before
+
+
 class WordEncoder:
-    """Ids of whole texts, from a bounded cache of the ids of what stands between white space.
+    """Ids of whole texts, from a bounded cache of the ids of their words.
 
     The tokenizer drops white space and joins nothing over it, so a text's ids are those of its words one after the other.
-    New words are encoded together. Those of plain letters, digits and signs are first cut where the tokenizer's own pattern
-    cuts them and lowered, which leaves fewer; each such part gives one run of tokens, the last of which ends a word. All
-    others are left to the tokenizer one by one. A tokenizer made otherwise gets every text whole.
+    Of many texts the different words are taken, and of those the different parts that the tokenizer's own pattern cuts. New
+    parts are encoded together; each gives one run of tokens, the last of which ends a word. Odd ones are left to the
+    tokenizer one by one. A tokenizer made otherwise gets every text whole.
     """
 
-    #: The tokenizer's pattern on the characters that are plain.
-    PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
-    #: Other characters may be composed, lowered or classed in ways of their own; ``<|`` may begin a special token.
-    NOT_PLAIN = re.compile(r"[^!-~À-ÖØ-öø-ÿ]|<\|")
     TOGETHER = 1000
 
     def __init__(self, vocabulary: Vocabulary, end_id: int, limit: int = CACHE):
@@ -258,59 +348,73 @@ class WordEncoder:
 
         self.tokenizer, self.end = Tokenizer.from_str(vocabulary.config), np.array([end_id], "<u4").tobytes()
         self.cut, self.ends_word = vocabulary.cut, vocabulary.ends_word
-        self.words, self.parts = Remembered(limit), Remembered(limit)
+        self.words = Remembered(limit)
         self.bare = Tokenizer(self.tokenizer.model)
         levels = [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
         self.bare.pre_tokenizer = pre_tokenizers.Sequence(levels)
 
-    def _one_by_one(self, words: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+    def _one_by_one(self, words: list[bytes | None]) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch_fast([(w or b"").decode("utf-8", "replace") for w in words], add_special_tokens=False)
+        return [np.array(e.ids, "<u4") for e in found]
 
-    def _learn_parts(self, parts: list[str]) -> None:
-        known = self.parts.young
+    def _learn(self, parts: pa.Array, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of different parts, and where those of each part begin and how many they are."""
+        got, sizes, order = [np.zeros(0, "<u4")], [], np.argsort(odd, kind="stable")
+        plain = len(parts) - int(odd.sum())
         for at in range(0, len(parts), self.TOGETHER):
-            some = parts[at : at + self.TOGETHER]
-            ids = np.array(self.bare.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(self.ends_word[ids]) + 1
-            if len(ends) != len(some):
-                known.update(zip(some, self._one_by_one(some), strict=True))
-                continue
-            joined, start = ids.tobytes(), 0
-            for part, end in zip(some, (4 * ends).tolist(), strict=True):
-                known[part] = joined[start:end]
+            some = parts.take(pa.array(order[at : at + self.TOGETHER]))
+            if at + len(some) <= plain:
+                text = pc.binary_join(pa.ListArray.from_arrays([0, len(some)], some), b" ")[0].as_py().decode()
+                ids = np.array(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+                ends = np.flatnonzero(self.ends_word[ids]) + 1
+                if len(ends) == len(some):
+                    got.append(ids)
+                    sizes.append(np.diff(ends, prepend=0))
+                    continue
+            each = self._one_by_one(some.to_pylist())
+            got += each
+            sizes.append(np.fromiter(map(len, each), np.int64, len(each)))
+        by_part = np.empty((2, len(parts)), np.int64)
+        sizes = np.concatenate(sizes)
+        by_part[:, order] = np.cumsum(sizes) - sizes, sizes
+        return np.concatenate(got), *by_part
+
+    def _joined(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some texts one after the other, and where those of each text end."""
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts, b"").view(pa.string()))
+        words = lists.flatten().dictionary_encode()
+        parts, odd, before = cut_words(words.dictionary.view(pa.binary()))
+        parts = parts.dictionary_encode()
+        part_of = parts.indices.to_numpy()
+        odd_ones = np.zeros(len(parts.dictionary), bool)
+        odd_ones[part_of[odd]] = True
+        starts, sizes = self.words(parts.dictionary, lambda new: self._learn(parts.dictionary.take(pa.array(new)), odd_ones[new]))
+        # First the ids of every different word from those of its parts, then those of the texts from those of their words.
+        ids, ends = gathered(self.words.ids, starts[part_of], sizes[part_of])
+        bounds = np.append(0, ends)[before]
+        word_of = words.indices.to_numpy()
+        ids, ends = gathered(ids, bounds[:-1][word_of], np.diff(bounds)[word_of])
+        return ids, np.append(0, ends)[np.cumsum(pc.list_value_length(lists).to_numpy())]
+
+    def all(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text and the end id. A text of more than ``STRETCH`` bytes comes by itself."""
+        if pa.types.is_large_binary(texts.type):
+            texts = pa.array(texts.to_pylist(), pa.binary())
+        if not self.cut:
+            yield from (self._one_by_one([text])[0].tobytes() + self.end for text in texts.to_pylist())
+        elif len(texts) == 1 and (pc.binary_length(texts)[0].as_py() or 0) > STRETCH:
+            parts = stretches(texts[0].as_py(), STRETCH)
+            yield b"".join(self._joined(pa.array([part], pa.binary()))[0].tobytes() for part in parts) + self.end
+        else:
+            ids, ends = self._joined(texts)
+            start = 0
+            for end in ends.tolist():
+                yield ids[start:end].tobytes() + self.end
                 start = end
 
-    def _learn(self, new: set[bytes]) -> None:
-        words, odd, plain = self.words.young, [], []
-        for word in new:
-            text = word.decode("utf-8", "replace")
-            if word.isalpha():
-                plain.append((word, (text.lower(),)))
-            elif self.NOT_PLAIN.search(text):
-                odd.append((word, text))
-            else:
-                plain.append((word, self.PARTS.findall(text.lower())))
-        words.update(zip((w for w, _ in odd), self._one_by_one([t for _, t in odd]), strict=True))
-        self._learn_parts(list(self.parts.missing({p for _, ps in plain for p in ps})))
-        known = self.parts.young
-        for word, ps in plain:
-            words[word] = known[ps[0]] if len(ps) == 1 else b"".join(map(known.__getitem__, ps))
-
-    def _stretch(self, text: bytes) -> bytes:
-        if text.isascii() and b"<|" not in text:
-            text = text.lower()  # what the tokenizer does to it anyway
-        words = text.split()
-        new = self.words.missing(set(words))
-        if new:
-            self._learn(new)
-        return b"".join(map(self.words.young.__getitem__, words))
-
     def __call__(self, text: bytes | None) -> bytes:
         """The ids of a text and the end id."""
-        if not self.cut:
-            return self._one_by_one([(text or b"").decode("utf-8", "replace")])[0] + self.end
-        return b"".join(map(self._stretch, stretches(text or b""))) + self.end
+        return next(self.all(pa.array([text], pa.binary())))
 
 
 def pack(
@@ -344,14 +448,14 @@ def pack(
         rows = _Rows(arrow, window, 0, TaskContext.get().partitionId())
         packer = Packer(window, open_windows)
         for batch in batches:
-            for keys, texts in slices(batch):
-                for key, value in zip(keys.to_pylist(), texts, strict=True):
-                    ids = encode(value)
-                    left = Piece(key, 0, ids, len(ids) // 4)
-                    while len(left) >= window:
-                        whole, left = left.cut(window)
-                        rows.add([whole])
+            for run in runs(batch, STRETCH):
+                for key, ids in zip(run.column(0).to_pylist(), encode.all(run.column(1)), strict=True):
+                    total, at = len(ids) // 4, 0
+                    while total - at >= window:
+                        rows.add([Piece(key, at, ids[4 * at : 4 * (at + window)], total)])
+                        at += window
                         yield from rows.full()
+                    left = Piece(key, at, ids[4 * at :], total)
                     if len(left):
                         for emitted in packer.put(left):
                             rows.add(emitted)

@@ -1,11 +1,13 @@
 """Packing against the tokenizer itself: every id once, windows without gaps, little padding, leftovers merged."""
 
 import random
+import re
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -113,6 +115,76 @@ def test_words_give_the_ids_of_the_whole_text(tokenizer, limit, monkeypatch):
     assert encode(None) == encode.end and len(encode.words.young) <= max(limit, 300)
 
 
+class Counted:
+    """A tokenizer that counts how often it is called."""
+
+    def __init__(self, made):
+        self.made, self.calls = made, 0
+
+    def encode_batch_fast(self, *args, **kwargs):
+        self.calls += 1
+        return self.made.encode_batch_fast(*args, **kwargs)
+
+
+def test_words_of_many_texts_are_encoded_together(tokenizer):
+    encode = packing.WordEncoder(packing.Vocabulary.load(public_tokenizers.path("word_bpe_49k.json")), 2)
+    encode.bare, encode.tokenizer = Counted(encode.bare), Counted(encode.tokenizer)
+    texts = [None if i % 50 == 7 else f"Word{i}x and, {'ab' * (i % 9)} d'{i}" for i in range(2_000)]
+    got = encode.all(pa.array([t and t.encode() for t in texts], pa.binary()))
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [plain_ids(tokenizer, t) for t in texts]
+    # A call for every text with new words took most of the time.
+    assert encode.bare.calls + encode.tokenizer.calls <= 3
+    again = list(encode.all(pa.array([b"and, ababab"] * 9, pa.large_binary()).slice(2, 3)))
+    assert again == [encode(b"and, ababab")] * 3 and encode.bare.calls <= 3
+
+
+def test_long_words_are_not_all_remembered(tokenizer):
+    encode = packing.WordEncoder(packing.Vocabulary.load(public_tokenizers.path("word_bpe_49k.json")), 2)
+    encode.words.most = 20_000
+    for i in range(40):
+        text = f"日{i}" * 300 + " and " + "xy" * 900 + f" {i} and"
+        assert np.frombuffer(encode(text.encode()), "<u4").tolist() == plain_ids(tokenizer, text)
+        assert encode.words.young.nbytes < 20_000 and len(encode.words.ids) < 20_000
+
+
+def test_runs_of_texts():
+    sizes = [3, None, 4, 30, 0, 5, 5, 1]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(len(sizes))), pa.array([n if n is None else b"x" * n for n in sizes], pa.binary())], names=["k", "t"]
+    )
+    assert [r.column(0).to_pylist() for r in packing.runs(batch, 10)] == [[0, 1, 2], [3], [4, 5, 6], [7]]
+    assert [r.num_rows for r in packing.runs(batch.slice(2), 10)] == [1, 1, 3, 1]
+    assert not list(packing.runs(batch.slice(0, 0), 10))
+
+
+def test_invalid_bytes_and_long_texts(tokenizer, monkeypatch):
+    encode = packing.WordEncoder(packing.Vocabulary.load(public_tokenizers.path("word_bpe_49k.json")), 2)
+    for text in (b"a\xc3 b\xa9c \xc3", b"\xff\xc3\x97 \xc3\xc3\xa9 \xe2\x82", b"\xc3\x89'\xc3\x89 A\x00B"):
+        assert np.frombuffer(encode(text), "<u4").tolist() == plain_ids(tokenizer, text.decode("utf-8", "replace"))
+    long = "We'll see 12 words, " * 400
+    want = encode(long.encode())
+    assert np.frombuffer(want, "<u4").tolist() == plain_ids(tokenizer, long)
+    monkeypatch.setattr(packing, "STRETCH", 50)
+    assert encode(long.encode()) == want
+
+
+PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+NOT_PLAIN = re.compile(r"[^!-~À-ÖØ-öø-ÿ]|<\|")
+CHARACTERS = "aZlLrRvVeEsStTmMdD'''09.,<|\x1c×÷ÀÞßöøÿéµŒ日"
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.text(st.sampled_from(CHARACTERS), max_size=12), max_size=8), st.integers(0, 2))
+def test_words_are_cut_as_the_pattern_cuts_them(words, skip):
+    parts, odd, before = packing.cut_words(pa.array([w.encode() for w in words], pa.binary()).slice(skip))
+    got = [p.decode() for p in parts.to_pylist()]
+    assert len(got) == len(odd) == before[-1] and len(before) == len(words[skip:]) + 1
+    for word, a, b in zip(words[skip:], before[:-1], before[1:], strict=True):
+        plain = not NOT_PLAIN.search(word)
+        assert got[a:b] == (PARTS.findall(word.lower()) if plain else [word])
+        assert all(odd[a:b] != plain)
+
+
 def test_other_tokenizers_get_whole_texts():
     path = public_tokenizers.path("byte_bpe_50k.json")
     other = Tokenizer.from_file(path)
