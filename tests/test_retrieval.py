@@ -61,6 +61,54 @@ def test_partial_hits_stay_near_the_result(spark):
     assert V.partial_hits(questions, chunks, 2, -1.0).count() <= 4 * 5 * 2000 * 2
 
 
+@pytest.mark.parametrize("limit", [V.BROADCAST_BYTES, 400])
+def test_many_questions_meet_chunks_laid_by_collection(spark, monkeypatch, limit):
+    met, plain = [], V.partial_hits
+    monkeypatch.setattr(V, "FEW_QUESTIONS", 5, raising=False)
+    monkeypatch.setattr(V, "partial_hits", lambda q, c, k, floor: met.append(c) or plain(q, c, k, floor))
+    questions, chunks, asks, vecs, names = random_space(spark, 300, 9)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        got = V.top_k(questions, chunks.repartition(7), 4, 0.2, broadcast_bytes=limit)
+        assert {(r.question_id, r.collection, r.chunk_id) for r in got.collect()} == brute(asks, vecs, names, 4, 0.2)
+        pairs = met[0].select(F.input_file_name().alias("file"), "collection").distinct()
+        files = pairs.select("file").where("file <> ''").distinct().count()
+        assert files > 1 and pairs.count() < files + 5  # five collections
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_scores_that_single_precision_cannot_tell_apart(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=16)
+    vecs = base + rng.normal(size=(200, 16)) * 1e-8 * rng.integers(0, 2, (200, 1))
+    names = [f"c{i % 3}" for i in range(200)]
+    asks = np.stack([base, -base, base * 1e-3, rng.normal(size=16) * 1e16, np.zeros(16)])
+    for n, space in ((5, 1.0), (5, 1e16)):
+        rows = [(i, names[i], (vecs[i] * space).tolist()) for i in range(200)]
+        chunks = spark.createDataFrame(rows, "chunk_id long, collection string, embedding array<double>").repartition(3)
+        sides = (np.arange(n), np.array(["all"] * n, dtype=object), asks)
+        best, asked = V._Best(4), V._Questions(sides)
+        got = chunks.toArrow().sort_by("chunk_id")
+        for at in range(0, 200, 60):
+            some = got.slice(at, 60)
+            V._block_hits(asked, some["chunk_id"].to_numpy(), np.array(some["collection"].to_pylist(), dtype=object), V._matrix(some["embedding"]), best, -1e300)
+        found = {(q, c, i) for b in best.drain() for q, c, i in zip(*(b.column(x).to_pylist() for x in range(3)))}
+        want = set()
+        for q, ask in enumerate(asks):
+            exact = np.round(np.einsum("ij,ij->i", np.broadcast_to(ask, vecs.shape), vecs * space), 12)
+            for name in set(names):
+                mine = sorted((-exact[i], i) for i in range(200) if names[i] == name)
+                want |= {(q, name, i) for _, i in mine[:4]}
+        assert found == want
+
+
+def test_copies_do_not_crowd_a_block(spark):
+    vecs = np.repeat(np.eye(4), 500, axis=0)
+    kept = V._first_copies(np.arange(2000)[::-1].copy(), vecs, 2)
+    assert sorted(np.arange(2000)[::-1][kept]) == [0, 1, 500, 501, 1000, 1001, 1500, 1501]
+
+
 def test_copies_tie_by_id_and_scope_limits(spark):
     chunks = spark.createDataFrame([(i, "a" if i < 6 else "b", [1.0, 0.0]) for i in range(8)], "chunk_id long, collection string, embedding array<double>")
     questions = spark.createDataFrame([(1, "all", [1.0, 0.0]), (2, "b", [1.0, 0.0])], "question_id long, scope string, qvec array<double>")
