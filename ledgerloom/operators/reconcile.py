@@ -44,6 +44,28 @@ def signed_once(df: DataFrame, *cols: str) -> DataFrame:
     return table if set(SIGNED) <= set(df.columns) else materialize(table, "signed")
 
 
+MARK = "xxhash64(up, if(nums <> '', nums, key))"
+MARK_BITS = 1 << 27
+
+
+def met_by(stored: DataFrame, pulled: DataFrame, bits: int = MARK_BITS) -> tuple[DataFrame, DataFrame]:
+    """(rows that an item may name, all other rows) of a stored table; both carry what titles are compared by.
+
+    Whatever compares titles asks for one key, or for one course and the same numbers, so only rows with the course and
+    numbers (where there are none, the key) of an item can matter. The items' hashes are set in a bitmap of ``bits`` bits at
+    most (16 MB) that travels to the rows; hashes that meet by chance only keep a row among the first, of which a large batch
+    over a small bitmap makes more.
+    """
+    known, rows = materialize(signed(pulled).where("date IS NOT NULL").select(F.expr(f"{MARK} AS mark")), "marks"), signed(stored)
+    size = min(bits, max(1 << 15, 1 << (16 * known.count()).bit_length()))
+    block, at = f"pmod(mark, {size}) div 32768", f"cast(pmod(mark, {size}) % 32768 AS int)"
+    maps = known.selectExpr(f"{block} AS block", f"{at} AS at").groupBy("block").agg(F.bitmap_construct_agg("at").alias("map"))
+    maps = F.broadcast(materialize(maps, "mark-bits"))
+    told = rows.withColumn("mark", F.expr(MARK)).withColumns({"block": F.expr(block), "at": F.expr(at)}).join(maps, "block", "left")
+    is_set = "map IS NOT NULL AND getbit(cast(conv(hex(substring(map, at div 8 + 1, 1)), 16, 10) AS int), at % 8) = 1"
+    return materialize(told.where(is_set).select(*rows.columns), "rows-met"), told.where(f"NOT ({is_set})").select(*rows.columns)
+
+
 def _on_slots(rows: DataFrame, slots: DataFrame, keys: list[str]) -> DataFrame:
     """Numbered rows that lie on one of the slots: sought before their words are exploded, so only rows that can match are."""
     return rows.where("nums <> ''").join(slots.where("nums <> ''").select(*keys).distinct(), keys, "left_semi")
@@ -74,13 +96,15 @@ def platform_bucket(pulled: DataFrame, stored: DataFrame) -> DataFrame:
     return rows.join(platform_slots(stored), ["site", "up", "date"], "left_semi").drop("up")
 
 
-def reconcile(pulled: DataFrame, stored: DataFrame, today: str) -> DataFrame:
+def reconcile(pulled: DataFrame, stored: DataFrame, today: str, platforms: DataFrame | None = None) -> DataFrame:
     """Verdicts: one row per change (n = 1) and one per variant that is present (n items).
 
-    Columns kind, key, course, title, date, start_time, end_time, all_day, site, pos, old_date, old_times, n.
+    Columns kind, key, course, title, date, start_time, end_time, all_day, site, pos, old_date, old_times, n. ``platforms`` are
+    the platform slots where ``stored`` holds only the rows that items may name.
     """
     have = signed_once(stored, "course", "date", "start_time", "source")
-    dated = materialize(signed(pulled.where("date IS NOT NULL")).drop("up", "words", "nums"), "pulled-signed")
+    dated = signed(pulled.where("date IS NOT NULL")).drop("up", "words", "nums")
+    dated = dated if set(SIGNED) <= set(pulled.columns) else materialize(dated, "pulled-signed")
     # Every known time of a slot with who states it, then one row of facts per slot.
     stated = have.selectExpr(
         "key", "date", "nullif(start_time, '') AS time", "source = 'csv' AND start_time <> '' AS in_csv", "true AS is_stored", "false AS is_served"
@@ -103,7 +127,7 @@ def reconcile(pulled: DataFrame, stored: DataFrame, today: str) -> DataFrame:
         F.expr("min_by(served, date) AS only_served"),
         F.expr("min_by(old_times, date) AS only_times"),
     )
-    buckets = platform_slots(have).withColumn("bucket", F.lit(True))
+    buckets = (platform_slots(have) if platforms is None else platforms).withColumn("bucket", F.lit(True))
     variants = dated.groupBy("key", "course", "title", "date", "start_time", "end_time", "all_day", "site").agg(
         F.min("pos").alias("pos"), F.count("*").alias("n")
     ).withColumn("up", F.expr("upper(course)"))
